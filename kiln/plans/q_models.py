@@ -1 +1,188 @@
-"""(filled in below)"""
+"""k-NN and model plans: L1-L10, E12, E13, E15, S6."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kiln.functions.columns import round_all
+from kiln.operators import knn
+from kiln.operators.split import split_three_way
+from kiln.plans.registry import query
+from kiln.plans.tables import table
+
+
+def _emb_split(spark, sf):
+    return split_three_way(table(spark, sf, "embeddings"), "vec_id")
+
+
+_EMB_SQL = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+        (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b FROM embeddings),
+tr AS (SELECT * FROM e WHERE b >= 3600), te AS (SELECT * FROM e WHERE b < 2000),
+d AS (SELECT te.vec_id AS qid, tr.vec_id AS tid, tr.label AS tl,
+             sqrt(list_sum(list_transform(list_zip(te.v, tr.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+      FROM te, tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+top AS (SELECT * FROM r WHERE rn <= 5)"""
+
+
+@query("knn_classify", _EMB_SQL + """,
+v AS (SELECT qid, tl, count(*) AS n FROM top GROUP BY qid, tl),
+p AS (SELECT qid, tl AS pred, row_number() OVER (PARTITION BY qid ORDER BY n DESC, tl) AS rk FROM v)
+SELECT te.vec_id, te.label, p.pred AS prediction FROM te JOIN p ON p.qid = te.vec_id AND p.rk = 1""")
+def q_knn_classify(spark, sf):
+    e = _emb_split(spark, sf)
+    train, test = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
+    pred = knn.knn_predict(train, test, id_col="vec_id", vec_col="embedding", target_col="label",
+                           query_id="vec_id", k=5)
+    return test.select("vec_id", "label").join(pred, "vec_id")
+
+
+@query("knn_regress", _EMB_SQL + """,
+z AS (SELECT qid, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) AS has0 FROM top GROUP BY qid),
+w AS (SELECT top.qid, tl, CASE WHEN has0 = 1 THEN CAST(dist = 0 AS DOUBLE) ELSE 1 / dist END AS wt
+      FROM top JOIN z ON z.qid = top.qid)
+SELECT te.vec_id, te.label, round(sum(wt * tl) / sum(wt), 6) AS prediction
+FROM te JOIN w ON w.qid = te.vec_id GROUP BY te.vec_id, te.label""")
+def q_knn_regress(spark, sf):
+    e = _emb_split(spark, sf)
+    train, test = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
+    pred = knn.knn_predict(train, test, id_col="vec_id", vec_col="embedding", target_col="label",
+                           query_id="vec_id", k=5, weights="distance", task="regression")
+    return round_all(test.select("vec_id", "label").join(pred, "vec_id"))
+
+
+# ------------------------------------------------------------------- Spark ML models
+from kiln.operators import models as ml  # noqa: E402
+from kiln.operators import prep  # noqa: E402
+from kiln.plans.tables import lineitem_nulls  # noqa: E402
+from kiln.session import scratch_path  # noqa: E402
+
+EMB_DIMS = 16
+
+
+def _emb_features(spark, sf):
+    """embeddings with the first EMB_DIMS vector entries as numeric feature columns, split by key."""
+    e = _emb_split(spark, sf)
+    return e.select("vec_id", "label", "split",
+                    *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(EMB_DIMS)])
+
+
+FEATS = [f"f{i}" for i in range(EMB_DIMS)]
+
+
+def _fit_predict(spark, sf, model_type, problem, **params):
+    if problem == "regression":
+        p = split_three_way(table(spark, sf, "part"), "p_partkey")
+        feats, target, key = ["p_size", "p_partkey"], "p_retailprice", "p_partkey"
+    else:
+        p = _emb_features(spark, sf)
+        if problem == "binary":
+            p = p.withColumn("label", (F.col("label") >= 5).cast("int"))
+        feats, target, key = FEATS, "label", "vec_id"
+    m = ml.train_model(p.where(F.col("split") == "train"), feats, target, model_type, problem, **params)
+    out = m.transform(p.where(F.col("split") == "test"))
+    return out.select(key, F.col(target).alias("actual"), F.col("prediction").cast("double").alias("prediction"))
+
+
+def _register_model(name, model_type, problem, **params):
+    @query(name)
+    def run(spark, sf):
+        return _fit_predict(spark, sf, model_type, problem, **params)
+    return run
+
+
+# L1-L3 (classification and regression), L4-L8, L10 — rows-only checks (iterative fits).
+_register_model("model_random_forest_cls", "random_forest", "multiclass", n_estimators=20)
+_register_model("model_random_forest_reg", "random_forest", "regression", n_estimators=20)
+_register_model("model_gbt_binary", "gradient_boosting", "binary", n_estimators=20)
+_register_model("model_gbt_multiclass", "gradient_boosting", "multiclass", n_estimators=10)
+_register_model("model_gbt_reg", "gradient_boosting", "regression", n_estimators=20)
+_register_model("model_decision_tree_cls", "decision_tree", "multiclass")
+_register_model("model_decision_tree_reg", "decision_tree", "regression")
+_register_model("model_lasso", "lasso", "regression", alpha=1.0)
+_register_model("model_logistic_binary", "logistic_regression", "binary", C=1.0)
+_register_model("model_logistic_multiclass", "logistic_regression", "multiclass", C=1.0)
+_register_model("model_svm_binary", "svm", "binary", C=1.0, kernel="linear")
+_register_model("model_svm_multiclass", "svm", "multiclass", C=1.0, kernel="linear")
+_register_model("model_neural_network", "neural_network", "multiclass", hidden_dims=[32, 16], max_iter=50)
+_register_model("model_knn", "knn", "multiclass", n_neighbors=5)
+
+_PART_SPLIT = ("(SELECT *, (('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b "
+               "FROM part)")
+
+
+@query("model_linear_regression", f"""WITH p AS {_PART_SPLIT},
+tr AS (SELECT * FROM p WHERE b >= 3600),
+c AS (SELECT regr_slope(p_retailprice, p_size) AS w, regr_intercept(p_retailprice, p_size) AS i FROM tr)
+SELECT p_partkey, p_retailprice AS actual, round(i + w * p_size, 4) AS prediction FROM p, c WHERE b < 2000""")
+def q_model_linear_regression(spark, sf):
+    """L4: one-feature OLS, checked against the closed form."""
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", "linear_regression",
+                       "regression")
+    out = m.transform(p.where(F.col("split") == "test"))
+    return out.select("p_partkey", F.col("p_retailprice").alias("actual"),
+                      F.round("prediction", 4).alias("prediction"))
+
+
+@query("model_ridge", f"""WITH p AS {_PART_SPLIT},
+tr AS (SELECT * FROM p WHERE b >= 3600),
+m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my FROM tr),
+c AS (SELECT sum((p_size - mx) * (p_retailprice - my)) / (sum((p_size - mx) * (p_size - mx)) + 1.0) AS w,
+             any_value(mx) AS mx, any_value(my) AS my FROM tr, m)
+SELECT p_partkey, p_retailprice AS actual, round(my + w * (p_size - mx), 4) AS prediction FROM p, c WHERE b < 2000""")
+def q_model_ridge(spark, sf):
+    """One-feature ridge (alpha = 1), checked against the closed form."""
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", "ridge",
+                       "regression", alpha=1.0)
+    out = m.transform(p.where(F.col("split") == "test"))
+    return out.select("p_partkey", F.col("p_retailprice").alias("actual"),
+                      F.round("prediction", 4).alias("prediction"))
+
+
+@query("train_val_scores")
+def q_train_val_scores(spark, sf):
+    """Accuracy and loss per split for a random forest on embeddings."""
+    e = _emb_features(spark, sf)
+    m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "random_forest", "multiclass",
+                       n_estimators=20)
+    return ml.train_val_scores(m, e.where(F.col("split") != "test"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """Impurity importance of a random forest predicting part prices."""
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size", "p_partkey"], "p_retailprice",
+                       "random_forest", "regression", n_estimators=20)
+    return ml.feature_importance(m)
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Save a fitted pipeline to the shared folder, load it, predict the test split."""
+    e = _emb_features(spark, sf)
+    m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "logistic_regression", "multiclass")
+    path = scratch_path(spark, "model")
+    ml.save_model(m, path)
+    m2 = ml.load_model(spark, path)
+    return m2.transform(e.where(F.col("split") == "test")).select("vec_id", "label", "prediction")
+
+
+BATCH_STEPS = [
+    {"operation": "missing_values", "strategy": "median", "columns": ["l_quantity", "l_discount", "l_tax"]},
+    {"operation": "normalization", "method": "standard", "columns": ["l_quantity", "l_discount", "l_tax"]},
+]
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    """Rules and a model fitted on the train split, replayed on the other rows."""
+    df = split_three_way(lineitem_nulls(spark, sf), "l_orderkey")
+    train = df.where(F.col("split") == "train")
+    rules, prepared = prep.fit_pipeline(train, BATCH_STEPS)
+    m = ml.train_model(prepared, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
+                       "linear_regression", "regression")
+    scored = ml.batch_score(df.where(F.col("split") != "train"), rules, m)
+    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
