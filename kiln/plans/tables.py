@@ -24,7 +24,11 @@ LI_SQL = "(SELECT " + ", ".join(
 
 
 def lineitem_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return inject_li_nulls(table(spark, sf_dir, "lineitem"))
+
+
+def inject_li_nulls(li: DataFrame) -> DataFrame:
+    """The null-injecting projection; works on batch and streaming DataFrames alike."""
     return li.select(*[
         F.when(F.col("l_orderkey") % _LI_NULLS[c] == 0, F.lit(None)).otherwise(F.col(c)).alias(c)
         if c in _LI_NULLS else F.col(c) for c in LI_COLS])
