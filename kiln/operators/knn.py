@@ -40,13 +40,23 @@ def _dist(a: Column, b: Column) -> Column:
 
 
 def _cells(train: DataFrame, n_train: int, seed: int):
+    """(assign, centres): ``assign(df)`` adds the int column ``_cell`` to rows with ``_vec``."""
     n_cells = max(1, min(MAX_CELLS, int(round(math.sqrt(n_train / 2.0)))))
+    if n_cells == 1:
+        # One cell: any centre keeps the triangle-inequality bounds valid.
+        first = train.select("_vec").head(1)[0][0]
+        return (lambda df: df.withColumn("_cell", F.lit(0))), [[float(v) for v in first]]
     frac = min(1.0, SAMPLE_FOR_CELLS / max(n_train, 1))
     sample = train.sample(False, frac, seed) if frac < 1.0 else train
     feats = sample.select(array_to_vector("_vec").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features").fit(feats)
+    model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features",
+                   predictionCol="_cell").fit(feats)
     centers = [[float(v) for v in c] for c in model.clusterCenters()]
-    return model, centers
+
+    def assign(df):
+        out = model.transform(df.withColumn("features", array_to_vector("_vec"))).drop("features")
+        return out.withColumn("_cell", F.col("_cell").cast("int"))
+    return assign, centers
 
 
 def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
@@ -61,10 +71,9 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
     n_train = tr.count()
     if n_train == 0:
         raise ValueError("empty training set")
-    model, centers = _cells(tr, n_train, seed)
+    assign, centers = _cells(tr, n_train, seed)
     n_cells = len(centers)
-    assigned = model.setFeaturesCol("features").setPredictionCol("_cell").transform(
-        tr.withColumn("features", array_to_vector("_vec"))).drop("features")
+    assigned = assign(tr)
     cdf = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "_cell int, _center array<double>")
     with_center = assigned.join(F.broadcast(cdf), "_cell")          # P-row side, bounded
     stats = {r["_cell"]: (r["n"], r["r"]) for r in with_center.groupBy("_cell").agg(
