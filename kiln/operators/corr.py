@@ -54,29 +54,39 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long_matrix(df.sparkSession, columns, vals, diag)
 
 
-def average_ranks(df: DataFrame, column: str, rank_col: str = "rank") -> DataFrame:
+def average_ranks(df: DataFrame, column: str, rank_col: str = "rank",
+                  n_distinct: int | None = None) -> DataFrame:
     """(value, average rank) for the non-null values of ``column``; ties share the mean rank.
 
     Collapse to (value, count), running counts by value range, rank = before + (count+1)/2.
     """
     v = df.select(qcol(column).alias("value")).where(F.col("value").isNotNull())
     vc = v.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    rt = running_totals(vc, "value", ["c"])
+    rt = running_totals(vc, "value", ["c"], n_rows=n_distinct)
     return rt.select("value", (F.col("c_cum") - F.col("c") + (F.col("c") + 1) / 2.0).alias(rank_col),
                      "c")
 
 
-def _with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+def _approx_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
+    return {c: int(r[f"d{i}"]) for i, c in enumerate(cols)}
+
+
+def _maybe_broadcast(df: DataFrame, approx_rows: int) -> DataFrame:
+    # approx_count_distinct errs by a few percent; keep a margin below the limit
+    return F.broadcast(df) if approx_rows * 1.2 <= BROADCAST_ROWS else df
+
+
+def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataFrame:
     """Add ``_r<i>`` average-rank columns (rows where all ``cols`` are non-null)."""
     cur = df.select(*[qcol(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     for i in range(len(cols)):
         cur = cur.where(F.col(f"_v{i}").isNotNull())
     base = cur
     for i in range(len(cols)):
-        ranks = average_ranks(base.select(F.col(f"_v{i}").alias("x")), "x", f"_r{i}").drop("c")
-        n = ranks.count()
-        if n <= BROADCAST_ROWS:
-            ranks = F.broadcast(ranks)
+        est = int(approx[cols[i]] * 1.1) + 1
+        ranks = average_ranks(base.select(F.col(f"_v{i}").alias("x")), "x", f"_r{i}", est).drop("c")
+        ranks = _maybe_broadcast(ranks, est)
         cur = cur.join(ranks, cur[f"_v{i}"] == ranks["value"], "inner").drop("value")
     return cur
 
@@ -84,14 +94,17 @@ def _with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson of average ranks, ranks retaken per pair on its complete rows."""
     spark = df.sparkSession
-    nulls = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"n{i}")
-                     for i, c in enumerate(columns)]).collect()[0]
-    has_null = {c: bool(nulls[f"n{i}"]) for i, c in enumerate(columns)}
+    pre = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)],
+                 *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
+                 ).collect()[0]
+    has_null = {c: bool(pre[f"n{i}"]) for i, c in enumerate(columns)}
+    approx = {c: int(pre[f"d{i}"]) for i, c in enumerate(columns)}
     clean = [c for c in columns if not has_null[c]]
     vals: dict = {}
     diag: dict = {}
-    if clean:
-        ranked = _with_ranks(df, clean)
+    if len(clean) >= 2:
+        ranked = _with_ranks(df, clean, approx)
         pairs = list(combinations(range(len(clean)), 2))
         aggs = [F.corr(f"_r{a}", f"_r{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
         aggs += [F.stddev_pop(f"_r{i}").alias(f"s{i}") for i in range(len(clean))]
@@ -103,17 +116,16 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     for a, b in combinations(columns, 2):
         if (a, b) in vals:
             continue
-        ranked = _with_ranks(df, [a, b])
+        ranked = _with_ranks(df, [a, b], approx)
         r = ranked.agg(F.corr("_r0", "_r1").alias("p")).collect()[0]
         vals[(a, b)] = r["p"]
-    for c in columns:
+    for i, c in enumerate(columns):
         if c not in diag:
-            s = df.agg(F.stddev_pop(qcol(c).cast("double"))).collect()[0][0]
-            diag[c] = 1.0 if s else None
+            diag[c] = 1.0 if pre[f"s{i}"] else None
     return _long_matrix(spark, columns, vals, diag)
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str) -> float | None:
+def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None = None) -> float | None:
     """Kendall tau-b with ties, O(n log n) rows of work, no pair enumeration.
 
     Distinct (x, y, count) rows get the dense rank of y.  Two rows with different y are
@@ -121,31 +133,32 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> float | None:
     the higher bits, rows with bit 0 have the smaller y.  Concordant pairs are then
     ``n1(x) × (# bit-0 rows with smaller x)`` summed over the group, found with running
     sums ordered by x.  A group larger than one task's share is split by x range, with
-    per-range offsets from a small aggregate.
+    per-range offsets from a small aggregate.  Distinct-count estimates only size ranges
+    and the bit depth (extra top levels contribute nothing), so no exact count job is run.
     """
     base = df.select(qcol(x).cast("double").alias("x"), qcol(y).cast("double").alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if approx is None:
+        approx = _approx_distinct(base, ["x", "y"])
+        ax, ay = approx["x"], approx["y"]
+    else:
+        ax, ay = approx[x], approx[y]
+    ax, ay = int(ax * 1.1) + 2, int(ay * 1.1) + 2            # margins over the HLL estimate
     xy = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).persist()
     try:
-        n_distinct = xy.count()
-        if n_distinct == 0:
-            return None
-        codes = dense_codes(xy, "y")
-        n_y = codes.count()
-        if n_y <= BROADCAST_ROWS:
-            codes = F.broadcast(codes)
+        codes = _maybe_broadcast(dense_codes(xy, "y", n_rows=ay), ay)
         ranked = xy.join(codes, "y").select("x", "c", F.col("code").alias("ry"))
-        levels = max(1, math.ceil(math.log2(n_y))) if n_y > 1 else 1
+        levels = max(1, math.ceil(math.log2(ay)))
         ex = ranked.select("x", "c", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
         ex = ex.select("b", F.expr("shiftright(ry, b + 1)").alias("pre"),
                        F.expr("shiftright(ry, b) & 1").alias("bit"), "x", "c")
         g = ex.groupBy("b", "pre", "x").agg(
             F.sum(F.col("c") * (1 - F.col("bit"))).alias("n0"),
             F.sum(F.col("c") * F.col("bit")).alias("n1"))
-        n_x = xy.select("x").distinct().count()
-        n_ranges = ranges_for(n_x)
+        n_ranges = ranges_for(ax)
         if n_ranges > 1:
-            bounds = sample_bounds(xy, "x", n_ranges, n_distinct)
+            # sample the distinct x values, so the sample size follows the estimate
+            bounds = sample_bounds(xy.select("x").distinct(), "x", n_ranges, ax)
             g = g.withColumn("xr", range_of(F.col("x"), bounds))
         else:
             g = g.withColumn("xr", F.lit(0))
@@ -164,13 +177,17 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> float | None:
         below = F.col("below_in_range") + F.col("off0")
         res = j.agg(F.sum(F.col("n1") * below).alias("C"),
                     F.sum(F.col("n1") * (F.col("tot0") - below - F.col("n0"))).alias("D")).collect()[0]
-        ties = xy.groupBy("x").agg(F.sum("c").alias("t")).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tx"), F.sum("t").alias("n")).collect()[0]
-        ty = xy.groupBy("y").agg(F.sum("c").alias("t")).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ty")).collect()[0]["ty"]
-        n = ties["n"]
+        # tie sums for x and y in one job: one shuffle over (axis, value)
+        both = xy.select(F.explode(F.array(
+            F.struct(F.lit("x").alias("a"), F.col("x").alias("v"), F.col("c").alias("c")),
+            F.struct(F.lit("y").alias("a"), F.col("y").alias("v"), F.col("c").alias("c")))).alias("s"))
+        ties = {r["a"]: r for r in both.groupBy("s.a", "s.v").agg(F.sum("s.c").alias("t")).groupBy("a").agg(
+            F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties"), F.sum("t").alias("n")).collect()}
+        if not ties:
+            return None
+        n = ties["x"]["n"]
         n0 = n * (n - 1) / 2
-        den = (n0 - ties["tx"]) * (n0 - ty)
+        den = (n0 - ties["x"]["ties"]) * (n0 - ties["y"]["ties"])
         if den <= 0:
             return None
         return float((res["C"] or 0) - (res["D"] or 0)) / math.sqrt(den)
@@ -179,8 +196,10 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> float | None:
 
 
 def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    vals = {(a, b): kendall_tau_b(df, a, b) for a, b in combinations(columns, 2)}
-    r = df.agg(*[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).collect()[0]
+    r = df.agg(*[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
+               *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
+    approx = {c: int(r[f"d{i}"]) for i, c in enumerate(columns)}
+    vals = {(a, b): kendall_tau_b(df, a, b, approx) for a, b in combinations(columns, 2)}
     diag = {c: (1.0 if r[f"s{i}"] else None) for i, c in enumerate(columns)}
     return _long_matrix(df.sparkSession, columns, vals, diag)
 

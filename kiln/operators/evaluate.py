@@ -110,7 +110,7 @@ def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def _curve_base(df: DataFrame, y: str, score: str) -> tuple[DataFrame, int, int]:
-    sc = _score_counts(df, y, score).persist()
+    sc = _score_counts(df, y, score)
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("k")).collect()[0]
     rt = running_totals(sc, "threshold", ["pos", "neg"], descending=True, n_rows=tot["k"])
     return rt, tot["P"] or 0, tot["N"] or 0

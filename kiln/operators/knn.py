@@ -1,4 +1,4 @@
-"""Exact k-nearest neighbours as a cell-pruned equi-join, without pairing every row.
+"""Exact k-nearest neighbours as a cell-pruned, blocked join — no row pair is materialised.
 
 1. Cells: KMeans centres fitted on a bounded sample of the training vectors; every
    training row is assigned to its nearest centre (JVM-side model transform).
@@ -8,9 +8,12 @@
    centre array): an upper bound U on its k-th neighbour distance (cells ordered by
    d + r until k rows are covered) and the candidate cells with d - r <= U.  By the
    triangle inequality no true neighbour lies outside them, so the answer is exact.
-4. Candidates: equi-join on cell id, exact distance, ``row_number() <= k`` per query
-   ordered by (distance, id) — Spark evaluates this as a per-task group limit before the
-   final sort.
+4. Blocks: a cell is cut into sub-blocks of at most T_BLOCK training rows (so a cell holding
+   a third of the data is still many bounded groups) and the queries into blocks of at most
+   Q_BLOCK rows.  Each (query block, cell, sub-block) group is one cogroup; a vectorised
+   numpy kernel computes its distance matrix in chunks and emits only a local top-k per
+   query.  Then ``row_number() <= k`` per query, ordered by (distance, id), picks the answer
+   (Spark runs it as a per-task group limit before the final sort).
 5. Vote (classification, ties to the smallest label) or mean (regression); ``weights=
    "distance"`` uses 1/d, and exact matches (d = 0) take all the weight.
 """
@@ -49,7 +52,8 @@ def _cells(train: DataFrame, n_train: int, seed: int):
     frac = min(1.0, SAMPLE_FOR_CELLS / max(n_train, 1))
     sample = train.sample(False, frac, seed) if frac < 1.0 else train
     feats = sample.select(array_to_vector("_vec").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features",
+    # Cells only prune candidates; rough centres are enough, so few iterations.
+    model = KMeans(k=n_cells, seed=seed, maxIter=8, initSteps=2, featuresCol="features",
                    predictionCol="_cell").fit(feats)
     centers = [[float(v) for v in c] for c in model.clusterCenters()]
 
@@ -59,14 +63,62 @@ def _cells(train: DataFrame, n_train: int, seed: int):
     return assign, centers
 
 
-def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
-                  query_id: str, k: int = 5, target_col: str | None = None,
-                  seed: int = 42) -> DataFrame:
-    """(query id, ``neighbor_id``, ``distance``, ``rank`` 1..k[, ``target``]) of the k nearest
-    training rows for every query; ties in distance go to the smaller id."""
+# Bounded group sizes for the blocked distance kernel.
+Q_BLOCK = 4096
+T_BLOCK = 16384
+_CHUNK = 512
+
+
+def _local_topk(k: int):
+    """Pandas cogroup kernel: top-k training rows per query within one block pair.
+
+    Candidates are chosen on the BLAS form |q|^2 + |t|^2 - 2 q.t with a margin far above its
+    rounding error, then re-ranked on exact direct distances, ties to the smaller id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        cols = ["_qid", "_tid", "_y", "_d"]
+        if len(qpdf) == 0 or len(tpdf) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        Q = np.stack(qpdf["_qvec"].to_numpy()).astype(np.float64)
+        T = np.stack(tpdf["_vec"].to_numpy()).astype(np.float64)
+        tid = tpdf["_tid"].to_numpy()
+        ty = tpdf["_y"].to_numpy()
+        qid = qpdf["_qid"].to_numpy()
+        tn = (T * T).sum(1)
+        dim = T.shape[1]
+        kk = min(k, len(T))
+        out_q, out_t, out_y, out_d = [], [], [], []
+        for s0 in range(0, len(Q), _CHUNK):
+            q = Q[s0:s0 + _CHUNK]
+            qn = (q * q).sum(1)
+            approx = qn[:, None] + tn[None, :] - 2.0 * (q @ T.T)
+            tau = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            slack = 1e-9 * dim * (qn + tn.max()) + 1e-300
+            for i in range(len(q)):
+                cand = np.nonzero(approx[i] <= tau[i] + slack[i])[0]
+                dd = np.sqrt(((T[cand] - q[i]) ** 2).sum(1))
+                order = np.lexsort((tid[cand], dd))[:kk]
+                sel = cand[order]
+                out_q.append(np.repeat(qid[s0 + i], len(sel)))
+                out_t.append(tid[sel])
+                out_y.append(ty[sel])
+                out_d.append(dd[order])
+        return pd.DataFrame({"_qid": np.concatenate(out_q), "_tid": np.concatenate(out_t),
+                             "_y": np.concatenate(out_y), "_d": np.concatenate(out_d)})
+    return run
+
+
+def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
+                   query_id: str, k: int = 5, target_col: str | None = None,
+                   seed: int = 42) -> DataFrame:
+    """(_qid, _tid, _y, _d): for each query, the k nearest rows within each of its candidate
+    blocks — a superset of its k nearest neighbours."""
     spark = train.sparkSession
     tr = train.select(qcol(id_col).alias("_tid"), _as_double_array(qcol(vec_col)).alias("_vec"),
-                      (qcol(target_col) if target_col else F.lit(None)).alias("_y")) \
+                      (qcol(target_col) if target_col else F.lit(None).cast("int")).alias("_y")) \
         .where(F.col("_vec").isNotNull())
     n_train = tr.count()
     if n_train == 0:
@@ -78,12 +130,18 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
     with_center = assigned.join(F.broadcast(cdf), "_cell")          # P-row side, bounded
     stats = {r["_cell"]: (r["n"], r["r"]) for r in with_center.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.max(_dist(F.col("_vec"), F.col("_center"))).alias("r")).collect()}
+    counts = [int(stats.get(i, (0, 0.0))[0]) for i in range(n_cells)]
+    subs = [max(1, math.ceil(c / T_BLOCK)) for c in counts]
 
     center_arr = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    cnt_arr = F.array(*[F.lit(int(stats.get(i, (0, 0.0))[0])) for i in range(n_cells)])
+    cnt_arr = F.array(*[F.lit(c) for c in counts])
     rad_arr = F.array(*[F.lit(float(stats.get(i, (0, 0.0))[1] or 0.0)) for i in range(n_cells)])
+    sub_arr = F.array(*[F.lit(v) for v in subs])
 
     q = queries.select(qcol(query_id).alias("_qid"), _as_double_array(qcol(vec_col)).alias("_qvec"))
+    n_q = q.count()
+    q_blocks = max(1, math.ceil(n_q / Q_BLOCK))
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)), lambda i: F.struct(
         i.alias("cell"),
         _dist(F.col("_qvec"), F.element_at(center_arr, i + 1)).alias("d"),
@@ -97,10 +155,32 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
                             F.struct((s.acc + c.n).alias("acc"), (c.d + c.r).alias("u"))))
     q = q.withColumn("_u", bound.getField("u"))
     cand = F.filter("_cells", lambda c: (c.n > 0) & (c.d - c.r <= F.col("_u") * (1 + _SLACK) + _SLACK))
-    qx = q.select("_qid", "_qvec", F.explode(F.transform(cand, lambda c: c.cell)).alias("_cell"))
+    qx = q.select("_qb", "_qid", "_qvec", F.explode(F.transform(cand, lambda c: c.cell)).alias("_cell"))
+    qx = qx.select("_qb", "_cell", F.explode(F.sequence(F.lit(0), F.element_at(sub_arr, F.col("_cell") + 1) - 1))
+                   .alias("_sub"), "_qid", "_qvec")
 
-    pairs = qx.join(assigned.select("_cell", "_tid", "_vec", "_y"), "_cell")
-    pairs = pairs.select("_qid", "_tid", "_y", _dist(F.col("_qvec"), F.col("_vec")).alias("_d"))
+    tsub = assigned.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.element_at(sub_arr, F.col("_cell") + 1))
+                               .cast("int"))
+    # fresh column ids: these keys come from the query side, which is cogrouped below
+    need = qx.select(F.col("_qb").alias("_nqb"), F.col("_cell").alias("_ncell"),
+                     F.col("_sub").alias("_nsub")).distinct()
+    trep = tsub.join(need, (tsub["_cell"] == need["_ncell"]) & (tsub["_sub"] == need["_nsub"])) \
+        .select(F.col("_nqb").alias("_qb"), F.col("_ncell").alias("_cell"), F.col("_nsub").alias("_sub"),
+                "_tid", "_vec", "_y")
+
+    types = {f.name: f.dataType.simpleString() for f in q.schema.fields + tsub.schema.fields}
+    schema = f"_qid {types['_qid']}, _tid {types['_tid']}, _y {types['_y']}, _d double"
+    keys = ["_qb", "_cell", "_sub"]
+    return qx.groupBy(*keys).cogroup(trep.groupBy(*keys)).applyInPandas(_local_topk(k), schema)
+
+
+def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
+                  query_id: str, k: int = 5, target_col: str | None = None,
+                  seed: int = 42) -> DataFrame:
+    """(query id, ``neighbor_id``, ``distance``, ``rank`` 1..k[, ``target``]) of the k nearest
+    training rows for every query; ties in distance go to the smaller id."""
+    pairs = candidate_topk(train, queries, id_col=id_col, vec_col=vec_col, query_id=query_id, k=k,
+                           target_col=target_col, seed=seed)
     w = Window.partitionBy("_qid").orderBy("_d", "_tid")
     top = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     out = top.select(F.col("_qid").alias(query_id), F.col("_tid").alias("neighbor_id"),

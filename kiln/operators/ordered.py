@@ -57,6 +57,7 @@ def running_totals(df: DataFrame, order_col: str, measures: list[str], *,
     """Add inclusive running sums ``<m><suffix>`` of ``measures`` in ``order_col`` order.
 
     ``order_col`` must be unique per row (collapse duplicates first) and non-null.
+    ``n_rows`` may be an estimate (e.g. ``approx_count_distinct``): it only sizes the ranges.
     """
     n = df.count() if n_rows is None else n_rows
     n_ranges = ranges_for(n)
@@ -93,7 +94,10 @@ def running_totals(df: DataFrame, order_col: str, measures: list[str], *,
 
 
 def dense_codes(values: DataFrame, col: str, n_rows: int | None = None) -> DataFrame:
-    """0-based dense rank of the distinct values of ``col`` in ascending order."""
+    """0-based dense rank of the distinct values of ``col`` in ascending order.
+
+    ``n_rows`` (an estimate of the distinct count is enough) only sizes the value ranges.
+    """
     d = values.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     out = running_totals(d, col, ["_one"], n_rows=n_rows)
     return out.select(col, (F.col("_one_cum") - 1).cast("int").alias("code"))
