@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kiln.functions.columns import qcol
+from kiln.session import run_concurrently
 from kiln.operators.ordered import ROWS_PER_RANGE, dense_codes, range_of, ranges_for, running_totals, \
     sample_bounds
 
@@ -113,12 +114,12 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
             vals[(clean[a], clean[b])] = r[f"p{k}"]
         for i, c in enumerate(clean):
             diag[c] = 1.0 if r[f"s{i}"] else None
-    for a, b in combinations(columns, 2):
-        if (a, b) in vals:
-            continue
-        ranked = _with_ranks(df, [a, b], approx)
-        r = ranked.agg(F.corr("_r0", "_r1").alias("p")).collect()[0]
-        vals[(a, b)] = r["p"]
+    todo = [(a, b) for a, b in combinations(columns, 2) if (a, b) not in vals]
+
+    def one(pair):
+        return _with_ranks(df, list(pair), approx).agg(F.corr("_r0", "_r1").alias("p")).collect()[0]["p"]
+    for pair, v in zip(todo, run_concurrently(one, todo)):
+        vals[pair] = v
     for i, c in enumerate(columns):
         if c not in diag:
             diag[c] = 1.0 if pre[f"s{i}"] else None
@@ -199,7 +200,8 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     r = df.agg(*[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
                *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
     approx = {c: int(r[f"d{i}"]) for i, c in enumerate(columns)}
-    vals = {(a, b): kendall_tau_b(df, a, b, approx) for a, b in combinations(columns, 2)}
+    pairs = list(combinations(columns, 2))
+    vals = dict(zip(pairs, run_concurrently(lambda p: kendall_tau_b(df, p[0], p[1], approx), pairs)))
     diag = {c: (1.0 if r[f"s{i}"] else None) for i, c in enumerate(columns)}
     return _long_matrix(df.sparkSession, columns, vals, diag)
 

@@ -78,4 +78,17 @@ def default_parallelism(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "default_parallelism"]
+def run_concurrently(fn, items, max_workers: int = 4) -> list:
+    """Submit independent Spark jobs from a few driver threads (results keep input order).
+
+    Only job submission is concurrent; every job still runs distributed.
+    """
+    items = list(items)
+    if len(items) <= 1:
+        return [fn(x) for x in items]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "default_parallelism", "run_concurrently"]
