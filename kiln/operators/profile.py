@@ -39,6 +39,16 @@ def columns_with_nulls(df: DataFrame, columns: list[str] | None = None) -> list[
     return [c for i, c in enumerate(cols) if row[f"c{i}"] == 1]
 
 
+def null_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """P2 as a table: (column) for every column holding a null — one aggregate, then unpivot."""
+    cols = columns or df.columns
+    wide = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"c{i}") for i, c in enumerate(cols)])
+    long = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("has_null")) for i, c in enumerate(cols)]))
+        .alias("s"))
+    return long.where(F.col("s.has_null") == 1).select(F.col("s.column").alias("column"))
+
+
 def head_preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
     """First ``n`` rows by key (a bounded top-k, no global sort)."""
     return df.orderBy(*[qcol(c) for c in order_by]).limit(n)
@@ -106,9 +116,10 @@ def missing_by_column(df: DataFrame, columns: list[str] | None = None) -> DataFr
     long = wide.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("n_missing"))
         for i, c in enumerate(cols)])).alias("s"))
-    return long.select(
+    out = long.select(
         F.col("s.column").alias("column"), F.col("s.n_missing").alias("n_missing"),
         (F.try_divide(F.col("s.n_missing") * F.lit(100.0), F.col("_n"))).alias("pct_missing"))
+    return out.orderBy(F.desc("pct_missing"), F.asc("column"))       # one row per column
 
 
 NO_MISSING = "No missing values"

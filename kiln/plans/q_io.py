@@ -72,3 +72,15 @@ def q_stream_replay_rules(spark, sf):
     out = stream_apply_rules(spark, f"{sf.rstrip('/')}/lineitem*.parquet", src.schema, rules,
                              prepare=inject_li_nulls)
     return round_all(out)
+
+
+@query("csv_prepare_file", "SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber) FROM (" + _PIPE_SQL + ")")
+def q_csv_prepare_file(spark, sf):
+    """The reference's prepare flow on a CSV copy of lineitem (missing cells written as NA):
+    read typed, fit the steps, save rules, replay them on the file, write the result."""
+    from kiln.workflow import prepare_file
+    src = scratch_path(spark, "li-csv")
+    li = lineitem_nulls(spark, sf)
+    write_csv(li.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in li.columns]), src)
+    out = prepare_file(spark, src, PIPELINE, scratch_path(spark, "li-rules"), scratch_path(spark, "li-out"))
+    return round_all(out)

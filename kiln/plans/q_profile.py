@@ -34,6 +34,12 @@ def q_select_numeric(spark, sf):
     return profile.select_numeric(table(spark, sf, "part"))
 
 
+@query("null_columns", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\" FROM {LI_SQL} t HAVING count(*) > count({c})" for c in LI_COLS))
+def q_null_columns(spark, sf):
+    return profile.null_columns(lineitem_nulls(spark, sf))
+
+
 @query("table_summary",
        f"SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns, CAST(8 AS BIGINT) AS n_numeric, "
        f"CAST(2 AS BIGINT) AS n_categorical, CAST(sum(" +
