@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 # One window task sorts at most about this many rows before we split the order into ranges.
 ROWS_PER_RANGE = 2_000_000
@@ -41,13 +41,22 @@ def sample_bounds(df: DataFrame, col: str, n_ranges: int, n_rows: int, seed: int
     return bounds
 
 
+def _literal(v) -> Column:
+    """Literal for a boundary; a sampled struct key (a Row) becomes a struct with its field names."""
+    if isinstance(v, Row):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    return F.lit(v)
+
+
 def range_of(c: Column, bounds: list) -> Column:
     """Number of boundaries strictly below ``c`` (a balanced CASE tree, log2(B) deep)."""
+    lits = [_literal(b) for b in bounds]
+
     def rec(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+        return F.when(c > lits[mid], rec(mid + 1, hi)).otherwise(rec(lo, mid))
     return rec(0, len(bounds)).cast("int")
 
 
@@ -101,3 +110,54 @@ def dense_codes(values: DataFrame, col: str, n_rows: int | None = None) -> DataF
     d = values.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
     out = running_totals(d, col, ["_one"], n_rows=n_rows)
     return out.select(col, (F.col("_one_cum") - 1).cast("int").alias("code"))
+
+
+# Selection splits the key into at least this many ranges so that the final window only
+# touches the few ranges holding wanted ranks.
+_SELECT_ROWS_PER_RANGE = 20_000
+
+
+def select_ranks(df: DataFrame, key: str, count: str, ranks: list[int], n_keys: int) -> dict[int, object]:
+    """Key at each 0-based rank of the multiset ``key`` repeated ``count`` times.
+
+    ``df`` has one row per distinct non-null key.  Range totals come from a ≤512-row
+    aggregate; only the ranges containing a wanted rank are windowed.
+    """
+    ranks = sorted(set(ranks))
+    if not ranks:
+        return {}
+    n_ranges = max(1, min(MAX_RANGES, math.ceil(n_keys / _SELECT_ROWS_PER_RANGE)))
+    bounds = sample_bounds(df, key, n_ranges, n_keys) if n_ranges > 1 else []
+    dfr = df.withColumn("_rng", range_of(F.col(key), bounds) if bounds else F.lit(0))
+    totals = sorted((r["_rng"], r["n"]) for r in dfr.groupBy("_rng").agg(F.sum(count).alias("n")).collect())
+    start, acc = {}, 0
+    for rng, n in totals:
+        start[rng] = acc
+        acc += n
+    need = {}
+    for r in ranks:
+        for rng, n in totals:
+            if start[rng] <= r < start[rng] + n:
+                need[rng] = start[rng]
+                break
+    if not need:
+        return {}
+    pairs = []
+    for k, v in need.items():
+        pairs += [F.lit(k), F.lit(v)]
+    off = F.try_element_at(F.create_map(*pairs), F.col("_rng"))
+    w = Window.partitionBy("_rng").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sub = dfr.where(F.col("_rng").isin(list(need))).select(
+        key, count, (F.sum(count).over(w) + off).alias("_cum"))
+    cond = None
+    for r in ranks:
+        t = (F.col("_cum") - F.col(count) <= F.lit(r)) & (F.lit(r) < F.col("_cum"))
+        cond = t if cond is None else (cond | t)
+    hits = sub.where(cond).select(key, count, "_cum").collect()     # <= len(ranks) rows
+    out = {}
+    for r in ranks:
+        for h in hits:
+            if h["_cum"] - h[count] <= r < h["_cum"]:
+                out[r] = h[key]
+                break
+    return out

@@ -13,11 +13,11 @@ import math
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kiln.functions.columns import qcol
-from kiln.operators.ordered import running_totals
+from kiln.operators.ordered import select_ranks
 
 # Largest approximate distinct count for which the built-in exact ``percentile`` is used.
 # Its buffer holds one (value, count) entry per distinct value.
-PERCENTILE_MAP_LIMIT = 1_000_000
+PERCENTILE_MAP_LIMIT = 250_000
 
 
 def moments(df: DataFrame, columns: list[str], distinct: bool = False) -> dict[str, dict]:
@@ -49,36 +49,44 @@ def _interpolate(sorted_at, n: int, p: float) -> float:
     return a + (pos - lo) * (b - a)
 
 
-def exact_quantiles_ranged(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """Exact linear-interpolated quantiles of one column for any number of distinct values.
+def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str,
+                           probs: list[float]) -> dict[str, list[float | None]] | list[float | None]:
+    """Exact linear-interpolated quantiles for any number of distinct values, all columns at once.
 
-    Collapses to (value, count), takes running counts by value range, then fetches only
-    the few rows that hold the wanted ranks.
+    Rows collapse to (column index, value, count); running counts follow the order of the key
+    ``struct(column index, value)`` across value ranges, so no task holds a whole column.
+    Only the rows holding the wanted ranks (two per probability and column) are fetched.
     """
-    v = df.select(qcol(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).persist()
+    single = isinstance(columns, str)
+    cols = [columns] if single else list(columns)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), qcol(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+        .alias("s")).select("s.ci", "s.v").where(F.col("v").isNotNull())
+    vc = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("c")).persist()
     try:
-        nd = vc.count()
-        if nd == 0:
-            return [None] * len(probs)
-        rt = running_totals(vc, "v", ["c"], n_rows=nd)
-        n = vc.agg(F.sum("c")).collect()[0][0]
-        ranks = set()
-        for p in probs:
-            pos = p * (n - 1)
-            ranks.update({math.floor(pos), math.ceil(pos)})
-        cond = None
-        for r in ranks:
-            t = (F.col("c_cum") - F.col("c") <= F.lit(r)) & (F.lit(r) < F.col("c_cum"))
-            cond = t if cond is None else (cond | t)
-        hits = rt.where(cond).select("v", "c", "c_cum").collect()   # <= 2 rows per prob
-
-        def at(r):
-            for h in hits:
-                if h["c_cum"] - h["c"] <= r < h["c_cum"]:
-                    return h["v"]
-            raise AssertionError(r)
-        return [_interpolate(at, n, p) for p in probs]
+        per = {r["ci"]: (r["n"], r["nd"]) for r in vc.groupBy("ci").agg(
+            F.sum("c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()}     # one row per column
+        out: dict[str, list] = {}
+        offset, wanted = 0, {}
+        offsets = {}
+        for i, c in enumerate(cols):
+            offsets[i] = offset
+            n = per.get(i, (0, 0))[0]
+            if n:
+                for p in probs:
+                    pos = p * (n - 1)
+                    for r in {math.floor(pos), math.ceil(pos)}:
+                        wanted[offset + r] = (i, r)
+            offset += n
+        keyed = vc.select(F.struct("ci", "v").alias("k"), "c")
+        found = select_ranks(keyed, "k", "c", list(wanted), sum(nd for _, nd in per.values()))
+
+        def at(i, r):
+            return found[offsets[i] + r]["v"]
+        for i, c in enumerate(cols):
+            n = per.get(i, (0, 0))[0]
+            out[c] = [_interpolate(lambda r: at(i, r), n, p) for p in probs] if n else [None] * len(probs)
+        return out[cols[0]] if single else out
     finally:
         vc.unpersist()
 
@@ -102,8 +110,8 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
                        for i, c in enumerate(small)]).collect()[0]
         for i, c in enumerate(small):
             out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    for c in big:
-        out[c] = exact_quantiles_ranged(df, c, probs)
+    if big:
+        out.update(exact_quantiles_ranged(df, big, probs))
     return out
 
 

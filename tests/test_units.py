@@ -137,6 +137,7 @@ def test_average_ranks_ties(ties):
 def small_ranges(monkeypatch):
     """Force the multi-range code paths on small data."""
     monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 37)
+    monkeypatch.setattr(ordered, "_SELECT_ROWS_PER_RANGE", 23)
 
 
 def test_running_totals_ranges_equal_single_window(spark, small_ranges):
@@ -255,3 +256,14 @@ def test_histogram_constant_and_density(spark, constant):
 def test_missing_patterns(tiny_nulls):
     got = {r.pattern: r.n_rows for r in profile.missing_patterns(nan_to_null(tiny_nulls)).collect()}
     assert got == {"a, b": 2, "b": 4, "b, c": 2}
+
+
+def test_quantiles_ranged_many_columns(spark, small_ranges):
+    rnd = random.Random(9)
+    rows = [(float(rnd.randint(0, 500)), rnd.choice([None, rnd.gauss(0, 5)]), 1.0) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    probs = [0.05, 0.25, 0.5, 0.75, 1.0]
+    exact = stats.quantiles(df, ["a", "b", "c"], probs)
+    ranged = stats.exact_quantiles_ranged(df, ["a", "b", "c"], probs)
+    for col in "abc":
+        assert ranged[col] == pytest.approx(exact[col], abs=1e-9)
