@@ -18,6 +18,8 @@ from kiln.operators.ordered import select_ranks
 # Largest approximate distinct count for which the built-in exact ``percentile`` is used.
 # Its buffer holds one (value, count) entry per distinct value.
 PERCENTILE_MAP_LIMIT = 250_000
+# ... and all columns of one ``percentile`` aggregate together at most this many entries.
+PERCENTILE_MAP_BUDGET = 1_000_000
 
 
 def moments(df: DataFrame, columns: list[str], distinct: bool = False) -> dict[str, dict]:
@@ -101,7 +103,12 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
         r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}")
                      for i, c in enumerate(columns)]).collect()[0]
         approx_distinct = {c: r[f"d{i}"] for i, c in enumerate(columns)}
-    small = [c for c in columns if approx_distinct.get(c, 0) <= map_limit]
+    small, used = [], 0
+    for c in sorted(columns, key=lambda c: approx_distinct.get(c, 0)):
+        d = approx_distinct.get(c, 0)
+        if d <= map_limit and used + d <= max(map_limit, PERCENTILE_MAP_BUDGET):
+            small.append(c)
+            used += d
     big = [c for c in columns if c not in small]
     out: dict[str, list] = {}
     if small:
