@@ -105,7 +105,8 @@ def value_counts_all(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """
     cols = columns or categorical_columns(df)
     long = stats.unpivot(df, cols, "string").where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    return counts.orderBy("column", F.desc("count"), "value")
 
 
 def missing_by_column(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -137,7 +138,8 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
             F.lit(NO_MISSING).alias("pattern"), "n_rows")
     label = F.concat_ws(", ", *[F.when(qcol(c).isNull(), F.lit(c)) for c in cols])
     pattern = F.when(label == "", F.lit(NO_MISSING)).otherwise(label)
-    return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .orderBy(F.desc("n_rows"), "pattern")
 
 
 def _bytes_expr(f: T.StructField):
@@ -189,7 +191,8 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
     nonnull = df.where(c.isNotNull())
     total = nonnull.select(F.count(F.lit(1))).scalar()
     counts = nonnull.groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select("category", "count", (F.col("count") / total).alias("share"))
+    return counts.select("category", "count", (F.col("count") / total).alias("share")) \
+        .orderBy(F.desc("count"), "category")
 
 
 def scatter_sample(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
