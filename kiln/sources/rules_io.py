@@ -25,3 +25,47 @@ def load_rules(spark: SparkSession, path: str) -> list[Rule]:
     """Read rules back, ordered by their sequence number."""
     rows = spark.read.schema(RULES_SCHEMA).json(path).orderBy("seq").collect()
     return [Rule.from_dict(r.asDict()) for r in rows]
+
+
+def rules_from_reference_state(state: dict) -> list[Rule]:
+    """Rules from a state document of the reference application (``transformation_rules``
+    with its four maps), in that application's replay order: encode, scale, fill, outliers.
+
+    Min-max entries hold the scaler's offset ``min`` and multiplier ``scale``
+    (x' = x * scale + min); they are turned into ``data_min``/``data_range`` so the replay
+    reproduces the fitted transform.
+    """
+    tr = state.get("transformation_rules", state)
+    out: list[Rule] = []
+    for col, m in tr.get("encoding_maps", {}).items():
+        if m["type"] == "label":
+            out.append(Rule("label", col, {"values": {str(k): int(v) for k, v in m["values"].items()}}))
+        elif m["type"] == "onehot":
+            cats = [str(c) for c in m["categories"]]
+            out.append(Rule("onehot", col, {"categories": cats, "null_category": "nan" in cats,
+                                            "encoded_columns": m.get("encoded_columns")
+                                            or [f"{col}_{c}" for c in cats]}))
+    for col, p in tr.get("normalizations", {}).items():
+        if p["type"] == "standard":
+            out.append(Rule("standard", col, {"mean": p["mean"], "std": p["std"] or 1.0}))
+        elif p["type"] == "minmax":
+            scale = p["scale"] or 1.0
+            out.append(Rule("minmax", col, {"data_min": -p["min"] / scale, "data_range": 1.0 / scale}))
+        elif p["type"] == "robust":
+            out.append(Rule("robust", col, {"center": p["center"], "scale": p["scale"] or 1.0}))
+    for col, r in tr.get("missing_value_rules", {}).items():
+        out.append(Rule("fill", col, {"strategy": r.get("strategy"), "fill_value": r["fill_value"]}))
+    for col, r in tr.get("outlier_rules", {}).items():
+        prm = r["params"]
+        if r["method"] == "zscore":
+            out.append(Rule("zscore", col, {"threshold": r["threshold"], "mean": prm["mean"], "std": prm["std"]}))
+        else:
+            out.append(Rule("iqr", col, {"Q1": prm["Q1"], "Q3": prm["Q3"], "IQR": prm["IQR"], "k": 1.5}))
+    return out
+
+
+def load_reference_state(spark: SparkSession, path: str) -> list[Rule]:
+    """Read one state JSON file of the reference application (a small document) into rules."""
+    import json
+    text = spark.read.text(path, wholetext=True).collect()[0][0]
+    return rules_from_reference_state(json.loads(text))

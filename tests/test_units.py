@@ -267,3 +267,26 @@ def test_quantiles_ranged_many_columns(spark, small_ranges):
     ranged = stats.exact_quantiles_ranged(df, ["a", "b", "c"], probs)
     for col in "abc":
         assert ranged[col] == pytest.approx(exact[col], abs=1e-9)
+
+
+def test_reference_state_converts_to_rules(spark):
+    import json
+    import os
+    import tempfile
+
+    from kiln.sources.rules_io import load_reference_state
+    state = {"dataset_name": "d", "operations": [], "transformation_rules": {
+        "encoding_maps": {"c": {"type": "label", "values": {"x": 0, "y": 1}}},
+        # sklearn MinMaxScaler on data in [2, 6]: scale_ = 1/4, min_ = -2/4
+        "normalizations": {"a": {"type": "minmax", "min": -0.5, "scale": 0.25}},
+        "missing_value_rules": {"b": {"strategy": "mean", "fill_value": 7.0}},
+        "outlier_rules": {"a": {"method": "iqr", "params": {"Q1": 0.25, "Q3": 0.75, "IQR": 0.5}}}}}
+    d = tempfile.mkdtemp(prefix="kiln-state-")
+    p = os.path.join(d, "state.json")
+    with open(p, "w") as f:
+        json.dump(state, f)
+    rules = load_reference_state(spark, p)
+    assert [r.kind for r in rules] == ["label", "minmax", "fill", "iqr"]
+    df = spark.createDataFrame([(2.0, None, "x"), (6.0, 1.0, "y"), (4.0, 2.0, "z")], "a double, b double, c string")
+    got = sorted(map(tuple, prep.apply_rules(df, rules).collect()), key=lambda t: t[0])
+    assert got == [(0.0, 7.0, 0), (0.5, 2.0, None), (1.0, 1.0, 1)]
