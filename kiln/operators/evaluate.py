@@ -196,3 +196,33 @@ def cross_entropy_loss(df: DataFrame, logits: str, y: str) -> DataFrame:
 def mse_loss(df: DataFrame, y: str, yhat: str) -> DataFrame:
     e = qcol(y).cast("double") - qcol(yhat).cast("double")
     return df.agg(F.avg(e * e).alias("loss"))
+
+
+# ------------------------------------------------------------------ entry points
+def evaluate_classification(df: DataFrame, y: str, yhat: str, prob: str | None = None,
+                            is_binary: bool = False) -> dict[str, DataFrame]:
+    """Confusion matrix and report; for binary problems with a score, ROC, AUC, PR curve and
+    its precision summaries (``mean_precision`` is the reference's ``avg_precision``)."""
+    out = {"confusion_matrix": confusion_matrix(df, y, yhat),
+           "classification_report": classification_report(df, y, yhat)}
+    if is_binary and prob is not None:
+        out.update({"roc": roc_curve(df, y, prob), "auc": auc(df, y, prob),
+                    "pr_curve": pr_curve(df, y, prob), "pr_summary": pr_summary(df, y, prob)})
+    return out
+
+
+def evaluate_regression(df: DataFrame, y: str, yhat: str) -> dict[str, DataFrame]:
+    return {"metrics": regression_metrics(df, y, yhat), "residuals": residuals(df, y, yhat),
+            "bounds": actual_vs_predicted_bounds(df, y, yhat)}
+
+
+def evaluate_model(model, df: DataFrame) -> dict[str, DataFrame]:
+    """Score ``df`` with a trained model and evaluate by its problem type."""
+    pred = model.transform(df)
+    y = "_y_true"
+    pred = pred.withColumn(y, qcol(model.target).cast("double" if model.problem == "regression" else "int"))
+    if model.problem == "regression":
+        return evaluate_regression(pred, y, "prediction")
+    pred = pred.withColumn("_y_pred", F.col("prediction").cast("int"))
+    return evaluate_classification(pred, y, "_y_pred", "p1" if "p1" in pred.columns else None,
+                                   is_binary=model.problem == "binary")

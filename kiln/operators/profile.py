@@ -233,3 +233,17 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
+
+
+def profile_table(df: DataFrame, correlation: str = "pearson",
+                  numeric: list[str] | None = None) -> dict[str, DataFrame]:
+    """The analysis page in one call: summary, describe, value counts, missing values,
+    missing patterns, data bytes and a correlation matrix (all small result tables)."""
+    from kiln.operators.corr import correlation_matrix
+    num = numeric or numeric_columns(df)
+    out = {"summary": table_summary(df), "describe": describe_numeric(df, num),
+           "value_counts": value_counts_all(df), "missing": missing_by_column(df),
+           "missing_patterns": missing_patterns(df), "bytes": column_bytes(df)}
+    if len(num) >= 2:
+        out["correlation"] = correlation_matrix(df, num, correlation)
+    return out

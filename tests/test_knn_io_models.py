@@ -128,3 +128,16 @@ def test_non_numeric_features_rejected(spark):
 def test_unsupported_kernel_raises(spark, blobs):
     with pytest.raises(ValueError, match="kernel"):
         ml.train_model(blobs, ["f1", "f2"], "y", "svm", "binary", kernel="rbf")
+
+
+def test_evaluate_model_binary_and_profile(spark, blobs):
+    from kiln.operators import evaluate as ev, profile
+    df = blobs.withColumn("y", (F.col("y") > 0).cast("int"))
+    m = ml.train_model(df, ["f1", "f2"], "y", "logistic_regression", "binary")
+    res = ev.evaluate_model(m, df)
+    assert set(res) == {"confusion_matrix", "classification_report", "roc", "auc", "pr_curve", "pr_summary"}
+    assert res["auc"].collect()[0][0] > 0.95
+    rep = ml.train_model(blobs, ["f1"], "t", "linear_regression", "regression")
+    assert ev.evaluate_model(rep, blobs)["metrics"].collect()[0]["r2"] > 0.5
+    prof = profile.profile_table(blobs.select("f1", "f2", "y"))
+    assert prof["correlation"].count() == 9 and prof["summary"].collect()[0]["n_rows"] == 600
