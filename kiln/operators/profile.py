@@ -104,6 +104,8 @@ def value_counts_all(df: DataFrame, columns: list[str] | None = None) -> DataFra
     All columns go through one Expand + one partially aggregated shuffle.
     """
     cols = columns or categorical_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, count bigint")
     long = stats.unpivot(df, cols, "string").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy("column", F.desc("count"), "value")
