@@ -75,10 +75,10 @@ def kde_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
                        (F.col("k") * F.lit(norm)).alias("density"))
 
 
-def box_stats(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool = False) -> DataFrame:
     """D3: quartiles (exact), whiskers (extreme values inside Q1-k·IQR, Q3+k·IQR), outlier count."""
     spark = df.sparkSession
-    q = stats.quantiles(df, columns, [0.25, 0.5, 0.75])
+    q = stats.quantiles(df, columns, [0.25, 0.5, 0.75], approx=approx)
     aggs = []
     for i, c in enumerate(columns):
         q1, med, q3 = q[c]
@@ -113,9 +113,9 @@ def outlier_flag_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> D
                                           (F.abs(z) > F.lit(threshold)).alias("is_outlier"))
 
 
-def outlier_flag_iqr(df: DataFrame, column: str, threshold: float = 1.5) -> DataFrame:
+def outlier_flag_iqr(df: DataFrame, column: str, threshold: float = 1.5, approx: bool = False) -> DataFrame:
     """Rows with a value and ``is_outlier`` outside [Q1 - t·IQR, Q3 + t·IQR]."""
-    q1, q3 = stats.quantiles(df, [column], [0.25, 0.75])[column]
+    q1, q3 = stats.quantiles(df, [column], [0.25, 0.75], approx=approx)[column]
     x = qcol(column).cast("double")
     if q1 is None:
         return df.where(F.lit(False)).select("*", F.lit(False).alias("is_outlier"))

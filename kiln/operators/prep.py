@@ -53,13 +53,14 @@ class Step:
     columns: tuple[str, ...] | None = None
     threshold: float | None = None
     fill_value: object = None
+    approx: bool = False                    # quantile fits: one percentile_approx pass
 
     @staticmethod
     def from_dict(d: dict) -> "Step":
         cols = d.get("columns")
         return Step(op=d["operation"], method=d.get("method"), strategy=d.get("strategy"),
                     columns=tuple(cols) if cols else None, threshold=d.get("threshold"),
-                    fill_value=d.get("fill_value"))
+                    fill_value=d.get("fill_value"), approx=bool(d.get("approx", False)))
 
 
 # ----------------------------------------------------------------------------- fit
@@ -69,7 +70,7 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def fit_impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = None,
-               fill_value=None) -> list[Rule]:
+               fill_value=None, approx: bool = False) -> list[Rule]:
     """Fill values for mean / median / most_frequent / constant (fused per strategy)."""
     cols = list(columns) if columns else numeric_columns(df)
     types = _types(df)
@@ -81,7 +82,7 @@ def fit_impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None
         m = stats.moments(df, cols)
         vals = {c: m[c]["mean"] for c in cols}
     elif strategy == "median":
-        q = stats.quantiles(df, cols, [0.5])
+        q = stats.quantiles(df, cols, [0.5], approx=approx)
         vals = {c: q[c][0] for c in cols}
     elif strategy == "most_frequent":
         vals = stats.modes(df, cols)
@@ -94,7 +95,8 @@ def fit_impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None
     return [Rule("fill", c, {"strategy": strategy, "fill_value": vals[c]}) for c in cols]
 
 
-def fit_scale(df: DataFrame, method: str = "standard", columns: list[str] | None = None) -> list[Rule]:
+def fit_scale(df: DataFrame, method: str = "standard", columns: list[str] | None = None,
+              approx: bool = False) -> list[Rule]:
     """Scaling statistics for all columns in one aggregate (two for robust)."""
     cols = list(columns) if columns else numeric_columns(df)
     if method == "standard":
@@ -111,7 +113,7 @@ def fit_scale(df: DataFrame, method: str = "standard", columns: list[str] | None
             out.append(Rule("minmax", c, {"data_min": lo, "data_range": rng if rng else 1.0}))
         return out
     if method == "robust":
-        q = stats.quantiles(df, cols, [0.25, 0.5, 0.75])
+        q = stats.quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
         out = []
         for c in cols:
             q1, med, q3 = q[c]
@@ -175,7 +177,8 @@ def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None =
 
 
 def fit_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
-                 columns: list[str] | None = None, k: float = 1.5) -> tuple[list[Rule], DataFrame]:
+                 columns: list[str] | None = None, k: float = 1.5,
+                 approx: bool = False) -> tuple[list[Rule], DataFrame]:
     """Columns in sequence, each fitted on the rows kept by the previous ones.
 
     No checkpoint is needed between columns: every fit reads only the columns used so
@@ -189,7 +192,7 @@ def fit_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
             m = stats.moments(cur, [c])[c]
             r = Rule("zscore", c, {"threshold": float(threshold), "mean": m["mean"], "std": m["std"]})
         elif method == "iqr":
-            q1, q3 = stats.quantiles(cur, [c], [0.25, 0.75])[c]
+            q1, q3 = stats.quantiles(cur, [c], [0.25, 0.75], approx=approx)[c]
             iqr = (q3 - q1) if q1 is not None else None
             r = Rule("iqr", c, {"Q1": q1, "Q3": q3, "IQR": iqr, "k": float(k)})
         else:
@@ -202,14 +205,14 @@ def fit_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
 def fit_step(df: DataFrame, step: Step) -> tuple[list[Rule], DataFrame]:
     cols = list(step.columns) if step.columns else None
     if step.op == "missing_values":
-        rules = fit_impute(df, step.strategy or "mean", cols, step.fill_value)
+        rules = fit_impute(df, step.strategy or "mean", cols, step.fill_value, approx=step.approx)
     elif step.op == "normalization":
-        rules = fit_scale(df, step.method or "standard", cols)
+        rules = fit_scale(df, step.method or "standard", cols, approx=step.approx)
     elif step.op == "encoding":
         rules = fit_encode(df, step.method or "label", cols)
     elif step.op == "outliers":
         return fit_outliers(df, step.method or "zscore",
-                            3.0 if step.threshold is None else step.threshold, cols)
+                            3.0 if step.threshold is None else step.threshold, cols, approx=step.approx)
     else:
         raise ValueError(f"unknown operation: {step.op}")
     return rules, apply_rules(df, rules)

@@ -95,10 +95,20 @@ def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str,
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float],
               approx_distinct: dict[str, int] | None = None,
-              map_limit: int = PERCENTILE_MAP_LIMIT) -> dict[str, list[float | None]]:
-    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns."""
+              map_limit: int = PERCENTILE_MAP_LIMIT, approx: bool = False,
+              accuracy: int = 10000) -> dict[str, list[float | None]]:
+    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns.
+
+    ``approx=True`` takes one ``percentile_approx`` pass instead (rank error <= n/accuracy,
+    values are actual data points, no interpolation).
+    """
     if not columns:
         return {}
+    if approx:
+        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(map(float, probs)), accuracy)
+                       .alias(f"q{i}") for i, c in enumerate(columns)]).collect()[0]
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(columns)}
     if approx_distinct is None:
         r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}")
                      for i, c in enumerate(columns)]).collect()[0]

@@ -290,3 +290,13 @@ def test_reference_state_converts_to_rules(spark):
     df = spark.createDataFrame([(2.0, None, "x"), (6.0, 1.0, "y"), (4.0, 2.0, "z")], "a double, b double, c string")
     got = sorted(map(tuple, prep.apply_rules(df, rules).collect()), key=lambda t: t[0])
     assert got == [(0.0, 7.0, 0), (0.5, 2.0, None), (1.0, 1.0, 1)]
+
+
+def test_approx_quantile_option_is_close(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10_001)], "x double")
+    exact = stats.quantiles(df, ["x"], [0.25, 0.5])["x"]
+    approx = stats.quantiles(df, ["x"], [0.25, 0.5], approx=True)["x"]
+    assert exact == [2500.0, 5000.0]
+    assert all(abs(a - e) <= 10_001 / 10_000 + 1 for a, e in zip(approx, exact))
+    rules = prep.fit_scale(df, "robust", ["x"], approx=True)
+    assert abs(rules[0].params["center"] - 5000.0) <= 2
