@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd  # noqa: F401 — resolves the pandas UDF type hints below
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,18 +31,12 @@ from kiln.functions.columns import qcol
 
 MAX_CELLS = 256
 SAMPLE_FOR_CELLS = 200_000
-_SLACK = 1e-9
 
 
 def _as_double_array(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
 
-def _dist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                              lambda acc, v: acc + v))
-
-
 def _cells(train: DataFrame, n_train: int, seed: int):
     """(assign, centres): ``assign(df)`` adds the int column ``_cell`` to rows with ``_vec``."""
     n_cells = max(1, min(MAX_CELLS, int(round(math.sqrt(n_train / 2.0)))))
@@ -111,12 +106,67 @@ def _local_topk(k: int):
     return run
 
 
+def _center_distance(centers: list[list[float]]):
+    """Scalar pandas UDF: distance of each vector to the centre of its cell (centres in the
+    closure: at most MAX_CELLS x dim numbers)."""
+    import numpy as np
+    import pandas as pd
+    cmat = np.asarray(centers, dtype=np.float64)
+
+    @F.pandas_udf("double")
+    def dist(vec: pd.Series, cell: pd.Series) -> pd.Series:
+        if len(vec) == 0:
+            return pd.Series([], dtype="float64")
+        v = np.stack(vec.to_numpy()).astype(np.float64)
+        c = cmat[cell.to_numpy().astype(np.int64)]
+        return pd.Series(np.sqrt(((v - c) ** 2).sum(1)))
+    return dist
+
+
+def _query_cells(centers, radii, counts, subs, k: int, id_type: str):
+    """mapInPandas kernel: for each query, the (cell, sub-block) pairs that may hold one of its
+    k nearest training rows (triangle inequality, with a generous rounding margin)."""
+    import numpy as np
+    import pandas as pd
+    C = np.asarray(centers, dtype=np.float64)
+    R = np.asarray(radii, dtype=np.float64)
+    N = np.asarray(counts, dtype=np.int64)
+    S = np.asarray(subs, dtype=np.int64)
+    cn = (C * C).sum(1)
+    dim = C.shape[1]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            Q = np.stack(pdf["_qvec"].to_numpy()).astype(np.float64)
+            qn = (Q * Q).sum(1)
+            D2 = np.maximum(qn[:, None] + cn[None, :] - 2.0 * (Q @ C.T), 0.0)
+            D = np.sqrt(D2)
+            # margin far above the rounding error of the BLAS form; only adds candidates
+            slack = np.sqrt(1e-9 * dim * (qn[:, None] + cn.max())) + 1e-9 * (D + R[None, :])
+            hi = D + R[None, :] + slack
+            order = np.argsort(hi, axis=1, kind="stable")
+            cum = np.cumsum(np.where(N[order] > 0, N[order], 0), axis=1)
+            reach = np.argmax(cum >= k, axis=1)
+            full = cum[:, -1] >= k
+            U = np.where(full, np.take_along_axis(hi, order, 1)[np.arange(len(Q)), reach], np.inf)
+            keep = (N[None, :] > 0) & (D - R[None, :] - slack <= U[:, None])
+            qi, ci = np.nonzero(keep)
+            reps = S[ci]
+            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
+            sub = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], dtype=np.int64)
+            yield pd.DataFrame({"_qb": pdf["_qb"].to_numpy()[qi].astype(np.int32),
+                                "_cell": ci.astype(np.int32), "_sub": sub.astype(np.int32),
+                                "_qid": pdf["_qid"].to_numpy()[qi], "_qvec": pdf["_qvec"].to_numpy()[qi]})
+    return run
+
+
 def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
                    query_id: str, k: int = 5, target_col: str | None = None,
                    seed: int = 42) -> DataFrame:
     """(_qid, _tid, _y, _d): for each query, the k nearest rows within each of its candidate
     blocks — a superset of its k nearest neighbours."""
-    spark = train.sparkSession
     tr = train.select(qcol(id_col).alias("_tid"), _as_double_array(qcol(vec_col)).alias("_vec"),
                       (qcol(target_col) if target_col else F.lit(None).cast("int")).alias("_y")) \
         .where(F.col("_vec").isNotNull())
@@ -126,38 +176,22 @@ def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col
     assign, centers = _cells(tr, n_train, seed)
     n_cells = len(centers)
     assigned = assign(tr)
-    cdf = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "_cell int, _center array<double>")
-    with_center = assigned.join(F.broadcast(cdf), "_cell")          # P-row side, bounded
-    stats = {r["_cell"]: (r["n"], r["r"]) for r in with_center.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max(_dist(F.col("_vec"), F.col("_center"))).alias("r")).collect()}
+    stats = {r["_cell"]: (r["n"], r["r"]) for r in assigned.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(_center_distance(centers)(F.col("_vec"), F.col("_cell"))).alias("r")).collect()}  # <= P rows
     counts = [int(stats.get(i, (0, 0.0))[0]) for i in range(n_cells)]
+    radii = [float(stats.get(i, (0, 0.0))[1] or 0.0) for i in range(n_cells)]
     subs = [max(1, math.ceil(c / T_BLOCK)) for c in counts]
-
-    center_arr = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    cnt_arr = F.array(*[F.lit(c) for c in counts])
-    rad_arr = F.array(*[F.lit(float(stats.get(i, (0, 0.0))[1] or 0.0)) for i in range(n_cells)])
     sub_arr = F.array(*[F.lit(v) for v in subs])
 
-    q = queries.select(qcol(query_id).alias("_qid"), _as_double_array(qcol(vec_col)).alias("_qvec"))
+    q = queries.select(qcol(query_id).alias("_qid"), _as_double_array(qcol(vec_col)).alias("_qvec")) \
+        .where(F.col("_qvec").isNotNull())
     n_q = q.count()
     q_blocks = max(1, math.ceil(n_q / Q_BLOCK))
     q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)), lambda i: F.struct(
-        i.alias("cell"),
-        _dist(F.col("_qvec"), F.element_at(center_arr, i + 1)).alias("d"),
-        F.element_at(rad_arr, i + 1).alias("r"),
-        F.element_at(cnt_arr, i + 1).alias("n")))
-    q = q.withColumn("_cells", cells)
-    by_far = F.array_sort("_cells", lambda a, b: F.when(a.d + a.r < b.d + b.r, -1)
-                          .when(a.d + a.r > b.d + b.r, 1).otherwise(0))
-    bound = F.aggregate(by_far, F.struct(F.lit(0).cast("long").alias("acc"), F.lit(float("inf")).alias("u")),
-                        lambda s, c: F.when(s.acc >= k, s).otherwise(
-                            F.struct((s.acc + c.n).alias("acc"), (c.d + c.r).alias("u"))))
-    q = q.withColumn("_u", bound.getField("u"))
-    cand = F.filter("_cells", lambda c: (c.n > 0) & (c.d - c.r <= F.col("_u") * (1 + _SLACK) + _SLACK))
-    qx = q.select("_qb", "_qid", "_qvec", F.explode(F.transform(cand, lambda c: c.cell)).alias("_cell"))
-    qx = qx.select("_qb", "_cell", F.explode(F.sequence(F.lit(0), F.element_at(sub_arr, F.col("_cell") + 1) - 1))
-                   .alias("_sub"), "_qid", "_qvec")
+    id_type = dict((f.name, f.dataType.simpleString()) for f in q.schema.fields)["_qid"]
+    qx = q.mapInPandas(_query_cells(centers, radii, counts, subs, k, id_type),
+                       f"_qb int, _cell int, _sub int, _qid {id_type}, _qvec array<double>")
 
     tsub = assigned.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.element_at(sub_arr, F.col("_cell") + 1))
                                .cast("int"))
