@@ -1,9 +1,10 @@
 """Fused column statistics: moments, exact quantiles, modes.
 
 Each function touches all requested columns in one aggregate (one scan, partial
-aggregation before the shuffle).  Exact quantiles use Spark's ``percentile`` when a
-cheap distinct-count pass shows its value->count map is bounded; otherwise they switch
-to a range-partitioned exact method that never builds a whole-column map in one task.
+aggregation before the shuffle).  Exact quantiles use Spark's ``percentile`` only when a
+cheap distinct-count pass shows the columns are low-cardinality (its per-task maps all
+meet in one final task); otherwise one ranged pass handles all columns: (column, value)
+counts shuffled over every reducer, then rank selection (``ordered.select_ranks``).
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from kiln.functions.columns import qcol
 from kiln.operators.ordered import select_ranks
 
 # Largest approximate distinct count for which the built-in exact ``percentile`` is used.
-# Its buffer holds one (value, count) entry per distinct value.
-PERCENTILE_MAP_LIMIT = 250_000
+# It is a global aggregate: every map task ships its partial (value -> count) map to ONE
+# final task, so the map must stay as small as a sketch buffer.  Larger columns take the
+# ranged path, whose (value, count) shuffle spreads over all reducers.
+PERCENTILE_MAP_LIMIT = 2_000
 # ... and all columns of one ``percentile`` aggregate together at most this many entries.
-PERCENTILE_MAP_BUDGET = 1_000_000
+PERCENTILE_MAP_BUDGET = 20_000
 
 
 def moments(df: DataFrame, columns: list[str], distinct: bool = False) -> dict[str, dict]:
