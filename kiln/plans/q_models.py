@@ -186,3 +186,63 @@ def q_batch_score(spark, sf):
                        "linear_regression", "regression")
     scored = ml.batch_score(df.where(F.col("split") != "train"), rules, m)
     return scored.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+
+
+_OLS_SQL = f"""WITH p AS {_PART_SPLIT},
+tr AS (SELECT * FROM p WHERE b >= 3600),
+c AS (SELECT regr_slope(p_retailprice, p_size) AS w, regr_intercept(p_retailprice, p_size) AS i FROM tr)"""
+
+
+def _ols_part(spark, sf):
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", "linear_regression",
+                       "regression")
+    return p, m
+
+
+@query("feature_importance_linear", _OLS_SQL + """
+SELECT 'p_size' AS feature, round(abs(w), 4) AS importance FROM c""")
+def q_feature_importance_linear(spark, sf):
+    """E12 for a linear model: |coefficient| per feature."""
+    _, m = _ols_part(spark, sf)
+    return ml.feature_importance(m).select("feature", F.round("importance", 4).alias("importance"))
+
+
+@query("train_val_scores_linear", _OLS_SQL + """
+SELECT 'linear_regression' AS model, CASE WHEN b >= 3600 THEN 'train' ELSE 'validation' END AS split,
+       CAST(NULL AS DOUBLE) AS accuracy, round(avg((i + w * p_size - p_retailprice) * (i + w * p_size - p_retailprice)), 4) AS loss
+FROM p, c WHERE b >= 2000 GROUP BY 2""")
+def q_train_val_scores_linear(spark, sf):
+    """E13 for a regression model: MSE per split."""
+    p, m = _ols_part(spark, sf)
+    s = ml.train_val_scores(m, p.where(F.col("split") != "test"))
+    return s.select("model", "split", "accuracy", F.round("loss", 4).alias("loss"))
+
+
+@query("model_roundtrip_linear", _OLS_SQL + """
+SELECT p_partkey, p_retailprice AS actual, round(i + w * p_size, 4) AS prediction FROM p, c WHERE b < 2000""")
+def q_model_roundtrip_linear(spark, sf):
+    """S6 with a value check: save, load and apply a one-feature OLS pipeline."""
+    p, m = _ols_part(spark, sf)
+    path = scratch_path(spark, "ols")
+    ml.save_model(m, path)
+    out = ml.load_model(spark, path).transform(p.where(F.col("split") == "test"))
+    return out.select("p_partkey", F.col("p_retailprice").alias("actual"), F.round("prediction", 4).alias("prediction"))
+
+
+@query("model_lasso_closed_form", f"""WITH p AS {_PART_SPLIT},
+tr AS (SELECT * FROM p WHERE b >= 3600),
+m AS (SELECT avg(p_size) AS mx, avg(p_retailprice) AS my, count(*) AS n FROM tr),
+z AS (SELECT sum((p_size - mx) * (p_retailprice - my)) / any_value(n) AS sxy,
+             sum((p_size - mx) * (p_size - mx)) / any_value(n) AS sxx, any_value(mx) AS mx, any_value(my) AS my
+      FROM tr, m),
+c AS (SELECT sign(sxy) * greatest(abs(sxy) - 1.0, 0) / sxx AS w, mx, my FROM z)
+SELECT p_partkey, p_retailprice AS actual, round(my + w * (p_size - mx), 4) AS prediction FROM p, c WHERE b < 2000""")
+def q_model_lasso_closed_form(spark, sf):
+    """One-feature lasso (alpha = 1), checked against the soft-threshold closed form."""
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", "lasso",
+                       "regression", alpha=1.0)
+    out = m.transform(p.where(F.col("split") == "test"))
+    return out.select("p_partkey", F.col("p_retailprice").alias("actual"),
+                      F.round("prediction", 4).alias("prediction"))
