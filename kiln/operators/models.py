@@ -214,3 +214,24 @@ def load_model(spark, path: str) -> TrainedModel:
     pm = PipelineModel.load(path + "/pipeline")
     return TrainedModel(meta["model_type"], meta["problem"], meta["features"], meta["target"],
                         pipeline=pm, params=meta.get("params", {}))
+
+
+def prepare_data(df: DataFrame, target: str, problem: str, key: str, test_size: float = 0.2,
+                 val_size: float = 0.2, features: list[str] | None = None, seed: int = 42):
+    """Features = every column but the target (and the key), all numeric (checked on the schema);
+    classification targets cast to int; a ``split`` column from the key hash (64/16/20 by
+    default).  Returns (DataFrame, features, number of classes or None)."""
+    from kiln.operators.split import split_three_way
+    feats = features or [c for c in df.columns if c not in (target, key)]
+    feature_target(df, target, feats)          # schema check only: raises for non-numeric features
+    if problem != "regression":
+        n_null = df.where(qcol(target).isNull()).limit(1).count()
+        if n_null:
+            raise ValueError(f"target column {target!r} holds nulls")
+    out = split_three_way(df.select(qcol(key), *[qcol(c) for c in feats],
+                                    (qcol(target).cast("int") if problem != "regression" else qcol(target))
+                                    .alias(target)), key, test_size, val_size, seed)
+    n_classes = None
+    if problem != "regression":
+        n_classes = out.select(target).distinct().count()
+    return out, feats, n_classes

@@ -141,3 +141,24 @@ def test_evaluate_model_binary_and_profile(spark, blobs):
     assert ev.evaluate_model(rep, blobs)["metrics"].collect()[0]["r2"] > 0.5
     prof = profile.profile_table(blobs.select("f1", "f2", "y"))
     assert prof["correlation"].count() == 9 and prof["summary"].collect()[0]["n_rows"] == 600
+
+
+def test_prepare_data_and_stream_scoring(spark, blobs):
+    import tempfile
+
+    from kiln.operators import prep
+    from kiln.streaming.replay import stream_apply_rules
+    out, feats, k = ml.prepare_data(blobs.drop("t"), "y", "multiclass", key="id")
+    assert feats == ["f1", "f2"] and k == 3
+    shares = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert abs(shares["test"] / 600 - 0.2) < 0.06 and abs(shares["validation"] / 600 - 0.16) < 0.06
+    rules, _ = prep.fit_pipeline(blobs, [{"operation": "normalization", "method": "standard",
+                                          "columns": ["f1", "f2"]}])
+    m = ml.train_model(prep.apply_rules(blobs, rules), ["f1", "f2"], "t", "linear_regression", "regression")
+    src = tempfile.mkdtemp(prefix="kiln-stream-src-")
+    blobs.repartition(3).write.mode("overwrite").parquet(src + "/in")
+    scored = stream_apply_rules(spark, src + "/in", blobs.schema, rules, model=m)
+    batch = m.transform(prep.apply_rules(blobs, rules))
+    got = {r.id: round(r.prediction, 9) for r in scored.collect()}
+    want = {r.id: round(r.prediction, 9) for r in batch.collect()}
+    assert got == want
