@@ -36,12 +36,20 @@ def q_predict_threshold(spark, sf):
 
 
 def _logits(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", to_double_array(F.slice("embedding", 1, 10)).alias("z"))
+    """Ten logits per embedding from the whole vector: z[j] = sum of the entries whose
+    0-based index is j mod 10."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", to_double_array(F.col("embedding")).alias("v"))
 
+    def in_class(j):
+        return lambda x, i: i % 10 == j
+    z = F.array(*[F.aggregate(F.filter("v", in_class(j)), F.lit(0.0), lambda a, x: a + x) for j in range(10)])
+    return e.select("vec_id", "label", z.alias("z"))
 
-_LOGITS_SQL = ("(SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z "
-               "FROM embeddings)")
+
+_LOGITS_SQL = ("(SELECT vec_id, label, [" + ", ".join(
+    f"list_sum(list_filter(v, lambda x, i: (i - 1) % 10 = {j}))" for j in range(10)) +
+    "] AS z FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v "
+    "FROM embeddings))")
 _LSE = "(list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))))"
 
 

@@ -57,11 +57,11 @@ from kiln.operators import prep  # noqa: E402
 from kiln.plans.tables import lineitem_nulls  # noqa: E402
 from kiln.session import scratch_path  # noqa: E402
 
-EMB_DIMS = 16
+EMB_DIMS = 64
 
 
 def _emb_features(spark, sf):
-    """embeddings with the first EMB_DIMS vector entries as numeric feature columns, split by key."""
+    """embeddings with every vector entry as a numeric feature column, split by key."""
     e = _emb_split(spark, sf)
     return e.select("vec_id", "label", "split",
                     *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(EMB_DIMS)])
