@@ -119,8 +119,9 @@ def _curve_base(df: DataFrame, y: str, score: str) -> tuple[DataFrame, int, int]
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, high to low, starting at (+inf, 0, 0)."""
     rt, P, N = _curve_base(df, y, score)
-    pts = rt.select("threshold", (F.col("neg_cum") / F.lit(float(N))).alias("fpr"),
-                    (F.col("pos_cum") / F.lit(float(P))).alias("tpr"))
+    # a class without rows leaves its rate undefined: NULL, not an error
+    pts = rt.select("threshold", F.try_divide(F.col("neg_cum"), F.lit(float(N))).alias("fpr"),
+                    F.try_divide(F.col("pos_cum"), F.lit(float(P))).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
@@ -132,8 +133,8 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     Each score row adds (neg/N) × (tpr_before + tpr_after)/2; no lag window needed.
     """
     rt, P, N = _curve_base(df, y, score)
-    area = (F.col("neg") / F.lit(float(N))) * \
-        ((2 * F.col("pos_cum") - F.col("pos")) / F.lit(2.0 * P))
+    area = F.try_divide(F.col("neg"), F.lit(float(N))) * \
+        F.try_divide(2 * F.col("pos_cum") - F.col("pos"), F.lit(2.0 * P))
     return rt.agg(F.sum(area).alias("auc"))
 
 
@@ -142,7 +143,7 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     rt, P, N = _curve_base(df, y, score)
     pts = rt.select("threshold",
                     (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
-                    (F.col("pos_cum") / F.lit(float(P))).alias("recall"))
+                    F.try_divide(F.col("pos_cum"), F.lit(float(P))).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
@@ -154,7 +155,7 @@ def pr_summary(df: DataFrame, y: str, score: str) -> DataFrame:
     rt, P, N = _curve_base(df, y, score)
     prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
     return rt.agg(((F.sum(prec) + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(1))).alias("mean_precision"),
-                  F.sum(prec * F.col("pos") / F.lit(float(P))).alias("average_precision"))
+                  F.sum(prec * F.try_divide(F.col("pos"), F.lit(float(P)))).alias("average_precision"))
 
 
 # --------------------------------------------------------------------- regression

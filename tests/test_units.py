@@ -300,3 +300,11 @@ def test_approx_quantile_option_is_close(spark):
     assert all(abs(a - e) <= 10_001 / 10_000 + 1 for a, e in zip(approx, exact))
     rules = prep.fit_scale(df, "robust", ["x"], approx=True)
     assert abs(rules[0].params["center"] - 5000.0) <= 2
+
+
+def test_curves_with_one_class_do_not_raise(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.7)], "y int, s double")
+    assert all(r.fpr is None for r in ev.roc_curve(df, "y", "s").collect() if r.threshold != float("inf"))
+    assert ev.auc(df, "y", "s").collect()[0][0] is None
+    neg = spark.createDataFrame([(0, 0.2), (0, 0.7)], "y int, s double")
+    assert ev.pr_summary(neg, "y", "s").collect()[0]["average_precision"] is None
