@@ -143,7 +143,8 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     rt, P, N = _curve_base(df, y, score)
     pts = rt.select("threshold",
                     (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
-                    F.try_divide(F.col("pos_cum"), F.lit(float(P))).alias("recall"))
+                    # no positive rows: recall is 1 at every threshold (scikit-learn's rule)
+                    (F.try_divide(F.col("pos_cum"), F.lit(float(P))) if P else F.lit(1.0)).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)

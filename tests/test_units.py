@@ -308,3 +308,9 @@ def test_curves_with_one_class_do_not_raise(spark):
     assert ev.auc(df, "y", "s").collect()[0][0] is None
     neg = spark.createDataFrame([(0, 0.2), (0, 0.7)], "y int, s double")
     assert ev.pr_summary(neg, "y", "s").collect()[0]["average_precision"] is None
+
+
+def test_pr_curve_without_positives_has_recall_one(spark):
+    neg = spark.createDataFrame([(0, 0.2), (0, 0.7)], "y int, s double")
+    rows = ev.pr_curve(neg, "y", "s").collect()
+    assert [r.recall for r in rows if r.threshold is not None] == [1.0, 1.0]
