@@ -126,6 +126,33 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long_matrix(spark, columns, vals, diag)
 
 
+def _kendall_pairs(ranked: DataFrame, levels: int, bounds: list):
+    """Concordant (C) and discordant (D) pair counts of (x, y-rank, count) rows."""
+    ex = ranked.select("x", "c", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
+    ex = ex.select("b", F.expr("shiftright(ry, b + 1)").alias("pre"),
+                   F.expr("shiftright(ry, b) & 1").alias("bit"), "x", "c")
+    g = ex.groupBy("b", "pre", "x").agg(
+        F.sum(F.col("c") * (1 - F.col("bit"))).alias("n0"),
+        F.sum(F.col("c") * F.col("bit")).alias("n1"))
+    g = g.withColumn("xr", range_of(F.col("x"), bounds) if bounds else F.lit(0))
+    grp = ["b", "pre"]
+    # per (group, x-range) totals -> offsets of earlier ranges and group totals
+    t = g.groupBy("b", "pre", "xr").agg(F.sum("n0").alias("s0"))
+    wg = Window.partitionBy(*grp).orderBy("xr")
+    t = t.select("b", "pre", "xr",
+                 F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0)).alias("off0"),
+                 F.sum("s0").over(Window.partitionBy(*grp)).alias("tot0"))
+    w = Window.partitionBy("b", "pre", "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    g2 = g.select("b", "pre", "xr", "x", "n0", "n1",
+                  F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"))
+    j = g2.join(t, ["b", "pre", "xr"])
+    below = F.col("below_in_range") + F.col("off0")
+    return j.agg(F.sum(F.col("n1") * below).alias("C"),
+                 F.sum(F.col("n1") * (F.col("tot0") - below - F.col("n0"))).alias("D"),
+                 F.max(F.when(F.col("b") == levels - 1, F.col("pre"))).alias("top_pre")).collect()[0]
+
+
 def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None = None) -> float | None:
     """Kendall tau-b with ties, O(n log n) rows of work, no pair enumeration.
 
@@ -134,8 +161,9 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None =
     the higher bits, rows with bit 0 have the smaller y.  Concordant pairs are then
     ``n1(x) × (# bit-0 rows with smaller x)`` summed over the group, found with running
     sums ordered by x.  A group larger than one task's share is split by x range, with
-    per-range offsets from a small aggregate.  Distinct-count estimates only size ranges
-    and the bit depth (extra top levels contribute nothing), so no exact count job is run.
+    per-range offsets from a small aggregate.  Distinct-count estimates size the ranges and
+    the bit depth (extra top levels contribute nothing); the depth is verified exactly in
+    the final aggregate and raised if an estimate was too low.
     """
     base = df.select(qcol(x).cast("double").alias("x"), qcol(y).cast("double").alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -150,34 +178,15 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None =
         codes = _maybe_broadcast(dense_codes(xy, "y", n_rows=ay), ay)
         ranked = xy.join(codes, "y").select("x", "c", F.col("code").alias("ry"))
         levels = max(1, math.ceil(math.log2(ay)))
-        ex = ranked.select("x", "c", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
-        ex = ex.select("b", F.expr("shiftright(ry, b + 1)").alias("pre"),
-                       F.expr("shiftright(ry, b) & 1").alias("bit"), "x", "c")
-        g = ex.groupBy("b", "pre", "x").agg(
-            F.sum(F.col("c") * (1 - F.col("bit"))).alias("n0"),
-            F.sum(F.col("c") * F.col("bit")).alias("n1"))
         n_ranges = ranges_for(ax)
-        if n_ranges > 1:
-            # sample the distinct x values, so the sample size follows the estimate
-            bounds = sample_bounds(xy.select("x").distinct(), "x", n_ranges, ax)
-            g = g.withColumn("xr", range_of(F.col("x"), bounds))
-        else:
-            g = g.withColumn("xr", F.lit(0))
-        grp = ["b", "pre"]
-        # per (group, x-range) totals -> offsets of earlier ranges and group totals
-        t = g.groupBy("b", "pre", "xr").agg(F.sum("n0").alias("s0"))
-        wg = Window.partitionBy(*grp).orderBy("xr")
-        t = t.select("b", "pre", "xr",
-                     F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("off0"),
-                     F.sum("s0").over(Window.partitionBy(*grp)).alias("tot0"))
-        w = Window.partitionBy("b", "pre", "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        g2 = g.select("b", "pre", "xr", "x", "n0", "n1",
-                      F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"))
-        j = g2.join(t, ["b", "pre", "xr"])
-        below = F.col("below_in_range") + F.col("off0")
-        res = j.agg(F.sum(F.col("n1") * below).alias("C"),
-                    F.sum(F.col("n1") * (F.col("tot0") - below - F.col("n0"))).alias("D")).collect()[0]
+        bounds = sample_bounds(xy.select("x").distinct(), "x", n_ranges, ax) if n_ranges > 1 else []
+        while True:
+            res = _kendall_pairs(ranked, levels, bounds)
+            # Exact check of the estimate-based depth: at the top level every row must share
+            # prefix 0, or some pairs were never compared.  Retry deeper (rare).
+            if not res["top_pre"]:
+                break
+            levels += 4
         # tie sums for x and y in one job: one shuffle over (axis, value)
         both = xy.select(F.explode(F.array(
             F.struct(F.lit("x").alias("a"), F.col("x").alias("v"), F.col("c").alias("c")),

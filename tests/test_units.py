@@ -314,3 +314,11 @@ def test_pr_curve_without_positives_has_recall_one(spark):
     neg = spark.createDataFrame([(0, 0.2), (0, 0.7)], "y int, s double")
     rows = ev.pr_curve(neg, "y", "s").collect()
     assert [r.recall for r in rows if r.threshold is not None] == [1.0, 1.0]
+
+
+def test_kendall_recovers_from_low_estimates(ties, spark):
+    rnd = random.Random(17)
+    pairs = [(rnd.randint(0, 30), rnd.randint(0, 200)) for _ in range(250)]
+    df = spark.createDataFrame(pairs, "x int, y int")
+    got = corr.kendall_tau_b(df, "x", "y", approx={"x": 1, "y": 1})
+    assert got == pytest.approx(_brute_tau_b(pairs), abs=1e-12)
