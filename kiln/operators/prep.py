@@ -128,8 +128,9 @@ def _label_key(c: Column) -> Column:
 
 
 def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None = None) -> list[Rule]:
-    """Sorted category lists.  Small lists are collected (bounded by a distinct-count
-    check); a large label list becomes a code table computed by range-partitioned ranking."""
+    """Sorted category lists.  Small lists are collected — the collect is capped and
+    checked, so an optimistic distinct-count estimate cannot flood the driver; a large label
+    list becomes a code table computed by range-partitioned ranking."""
     cols = list(columns) if columns else categorical_columns(df)
     if not cols:
         return []
@@ -143,10 +144,20 @@ def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None =
         long = stats.unpivot(df, small, "string")
         if method == "label":
             long = long.select("column", _label_key(F.col("value")).alias("value"))
-        pairs = long.distinct().collect()   # bounded by the approx-distinct check above
+        cap = len(small) * (limit + 1)
+        pairs = long.distinct().limit(cap).collect()     # hard bound on what reaches the driver
         per: dict[str, list] = {c: [] for c in small}
         for r in pairs:
             per[r["column"]].append(r["value"])
+        if len(pairs) == cap:
+            # the estimate was low somewhere: count exactly and move oversized columns on
+            exact = {r["column"]: r["n"] for r in long.distinct().groupBy("column")
+                     .agg(F.count(F.lit(1)).alias("n")).collect()}
+            small = [c for c in small if exact.get(c, 0) <= limit]
+            per = {c: [] for c in small}
+            if small:   # the capped result may have cut these lists short: collect them again
+                for r in long.where(F.col("column").isin(small)).distinct().collect():
+                    per[r["column"]].append(r["value"])
         for c in small:
             vals = per[c]
             if method == "label":

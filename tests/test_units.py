@@ -322,3 +322,16 @@ def test_kendall_recovers_from_low_estimates(ties, spark):
     df = spark.createDataFrame(pairs, "x int, y int")
     got = corr.kendall_tau_b(df, "x", "y", approx={"x": 1, "y": 1})
     assert got == pytest.approx(_brute_tau_b(pairs), abs=1e-12)
+
+
+def test_label_fit_survives_low_estimate(spark, monkeypatch):
+    # a low estimate lets a 60-value column into the inline path with a cap of 10: the capped
+    # collect notices, counts exactly and sends that column to the code table
+    monkeypatch.setattr(prep, "INLINE_LABELS", 10)
+    monkeypatch.setattr(F, "approx_count_distinct", lambda c, rsd=None: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(i, f"v{i % 60:02d}", "ab"[i % 2]) for i in range(300)],
+                               "id long, big string, small string")
+    rules = {r.column: r for r in prep.fit_encode(df, "label", ["big", "small"])}
+    assert "table" in rules["big"].params and rules["small"].params["values"] == {"a": 0, "b": 1}
+    got = {r.id: (r.big, r.small) for r in prep.apply_rules(df, list(rules.values())).collect()}
+    assert got == {i: (i % 60, i % 2) for i in range(300)}
