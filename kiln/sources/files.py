@@ -37,16 +37,25 @@ def rows_per_file(spark: SparkSession, root: str) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# One DataFrame per file only makes sense for a modest number of files.
+MAX_FILES = 10_000
+
+
 def load_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """S3 for files with different schemas: relative path -> lazily typed DataFrame.
 
-    Only the listing is collected (one row per file); a file that fails type inference is
-    reported in the returned ``errors`` entry and skipped.
+    Only the listing is collected (one row per file, at most MAX_FILES; same-schema
+    directories of any size go through ``rows_per_file`` / one ``read_csv_typed`` instead).
+    A file that fails type inference is reported in the ``__errors__`` entry and skipped.
     """
     out: dict[str, DataFrame] = {}
     errors = {}
-    for r in list_files(spark, root).where(F.col("extension") == ".csv").select(
-            "path", "relative_path").collect():
+    listing = list_files(spark, root).where(F.col("extension") == ".csv").select(
+        "path", "relative_path").limit(MAX_FILES + 1).collect()
+    if len(listing) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} CSV files below {root}; read them as one table "
+                         "(read_csv_typed on the folder) or count them with rows_per_file")
+    for r in listing:
         try:
             out[r["relative_path"]] = read_csv_typed(spark, r["path"])
         except Exception as e:  # noqa: BLE001 — reported, not hidden

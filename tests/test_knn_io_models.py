@@ -162,3 +162,15 @@ def test_prepare_data_and_stream_scoring(spark, blobs):
     got = {r.id: round(r.prediction, 9) for r in scored.collect()}
     want = {r.id: round(r.prediction, 9) for r in batch.collect()}
     assert got == want
+
+
+def test_load_files_per_file_tables(spark):
+    from kiln.sources.files import load_files
+    d = tempfile.mkdtemp(prefix="kiln-multi-")
+    os.makedirs(os.path.join(d, "sub"))
+    open(os.path.join(d, "a.csv"), "w").write("x,y\n1,2.5\n2,NA\n")
+    open(os.path.join(d, "sub", "b.csv"), "w").write("name,flag\nq,True\nr,False\n")
+    got = load_files(spark, d)
+    assert set(got) == {"a.csv", "sub/b.csv"}
+    assert dict(got["a.csv"].dtypes) == {"x": "bigint", "y": "double"}
+    assert dict(got["sub/b.csv"].dtypes) == {"name": "string", "flag": "boolean"}
