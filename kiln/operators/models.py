@@ -147,11 +147,17 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
         return TrainedModel("knn", problem, list(features), target,
                             knn_train=tr.withColumnRenamed("_id", "_row_id"), params=params)
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"),
-                     F.max("label").alias("m")).collect()[0]
+                     F.max("label").alias("m"),
+                     *[F.sum(qcol(c).isNull().cast("long")).alias(f"null{i}") for i, c in enumerate(features)]
+                     ).collect()[0]
+    missing = [c for i, c in enumerate(features) if stats[f"null{i}"]]
+    if missing:
+        raise ValueError("features hold missing values (impute them first): " + ", ".join(missing))
     est = create_estimator(model_type, problem, n_rows=stats["n"], label_std=stats["s"],
                            n_features=len(features),
                            n_classes=int(stats["m"]) + 1 if problem != "regression" else None, **params)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    # "error": a row with a missing feature fails loudly at scoring instead of being dropped
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     pm = Pipeline(stages=[asm, est]).fit(data)
     return TrainedModel(model_type, problem, list(features), target, pipeline=pm, params=params)
 

@@ -174,3 +174,9 @@ def test_load_files_per_file_tables(spark):
     assert set(got) == {"a.csv", "sub/b.csv"}
     assert dict(got["a.csv"].dtypes) == {"x": "bigint", "y": "double"}
     assert dict(got["sub/b.csv"].dtypes) == {"name": "string", "flag": "boolean"}
+
+
+def test_missing_features_are_reported(spark):
+    df = spark.createDataFrame([(1.0, 0), (None, 1), (2.0, 0)], "f double, y int")
+    with pytest.raises(ValueError, match="missing values"):
+        ml.train_model(df, ["f"], "y", "decision_tree", "binary")
