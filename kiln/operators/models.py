@@ -53,7 +53,7 @@ class TrainedModel:
                 self.knn_train, qv, id_col="_row_id", vec_col="_fv", target_col="_y", query_id="_row_id",
                 k=int(self.params.get("n_neighbors", 5)), weights=self.params.get("weights", "uniform"),
                 task="regression" if self.problem == "regression" else "classification")
-            return q.join(pred, "_row_id").drop("_row_id")
+            return q.join(pred, "_row_id", "left").drop("_row_id")     # rows without a vector keep NULL
         out = self.pipeline.transform(df)
         if "probability" in out.columns and self.problem == "binary":
             out = out.withColumn("p1", F.element_at(vector_to_array("probability"), 2))

@@ -28,13 +28,13 @@ top AS (SELECT * FROM r WHERE rn <= 5)"""
 @query("knn_classify", _EMB_SQL + """,
 v AS (SELECT qid, tl, count(*) AS n FROM top GROUP BY qid, tl),
 p AS (SELECT qid, tl AS pred, row_number() OVER (PARTITION BY qid ORDER BY n DESC, tl) AS rk FROM v)
-SELECT te.vec_id, te.label, p.pred AS prediction FROM te JOIN p ON p.qid = te.vec_id AND p.rk = 1""")
+SELECT te.vec_id, te.label, p.pred AS prediction FROM te LEFT JOIN p ON p.qid = te.vec_id AND p.rk = 1""")
 def q_knn_classify(spark, sf):
     e = _emb_split(spark, sf)
     train, test = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
     pred = knn.knn_predict(train, test, id_col="vec_id", vec_col="embedding", target_col="label",
                            query_id="vec_id", k=5)
-    return test.select("vec_id", "label").join(pred, "vec_id")
+    return test.select("vec_id", "label").join(pred, "vec_id", "left")
 
 
 @query("knn_regress", _EMB_SQL + """,
@@ -42,13 +42,13 @@ z AS (SELECT qid, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) AS has0 FROM top GRO
 w AS (SELECT top.qid, tl, CASE WHEN has0 = 1 THEN CAST(dist = 0 AS DOUBLE) ELSE 1 / dist END AS wt
       FROM top JOIN z ON z.qid = top.qid)
 SELECT te.vec_id, te.label, round(sum(wt * tl) / sum(wt), 6) AS prediction
-FROM te JOIN w ON w.qid = te.vec_id GROUP BY te.vec_id, te.label""")
+FROM te LEFT JOIN w ON w.qid = te.vec_id GROUP BY te.vec_id, te.label""")
 def q_knn_regress(spark, sf):
     e = _emb_split(spark, sf)
     train, test = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
     pred = knn.knn_predict(train, test, id_col="vec_id", vec_col="embedding", target_col="label",
                            query_id="vec_id", k=5, weights="distance", task="regression")
-    return round_all(test.select("vec_id", "label").join(pred, "vec_id"))
+    return round_all(test.select("vec_id", "label").join(pred, "vec_id", "left"))
 
 
 # ------------------------------------------------------------------- Spark ML models
