@@ -59,3 +59,28 @@ def test_running_totals_match_prefix_sums(spark, keys, desc):
         acc += c
         want[k] = acc
     assert got == want
+
+
+@pytest.fixture()
+def many_small_ranges(monkeypatch):
+    """Binary-search range ids, broadcast offsets and recursive range refinement."""
+    monkeypatch.setattr(ordered, "_CASE_TREE_BOUNDS", 3)
+    monkeypatch.setattr(ordered, "MAX_RANGES", 5)
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 6)
+    monkeypatch.setattr(ordered, "_SELECT_ROWS_PER_RANGE", 4)
+
+
+@SETTINGS
+@given(keys=st.lists(st.integers(-500, 500), min_size=1, max_size=90, unique=True))
+def test_deep_paths_match_definitions(spark, many_small_ranges, keys):
+    rows = [(float(k), abs(k) % 5 + 1) for k in keys]
+    df = spark.createDataFrame(rows, "k double, c long")
+    got = {r.k: r.c_cum for r in ordered.running_totals(df, "k", ["c"]).collect()}
+    acc, want = 0, {}
+    for k, c in sorted(rows):
+        acc += c
+        want[k] = acc
+    assert got == want
+    expanded = sorted(k for k, c in rows for _ in range(c))
+    ranks = sorted({0, len(expanded) // 3, len(expanded) // 2, len(expanded) - 1})
+    assert ordered.select_ranks(df, "k", "c", ranks, len(rows)) == {r: expanded[r] for r in ranks}
