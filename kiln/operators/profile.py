@@ -138,10 +138,20 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
     if not cols:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(NO_MISSING).alias("pattern"), "n_rows")
-    label = F.concat_ws(", ", *[F.when(qcol(c).isNull(), F.lit(c)) for c in cols])
-    pattern = F.when(label == "", F.lit(NO_MISSING)).otherwise(label)
-    return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows")) \
-        .orderBy(F.desc("n_rows"), "pattern")
+    if len(cols) > 62:
+        label = F.concat_ws(", ", *[F.when(qcol(c).isNull(), F.lit(c)) for c in cols])
+        pattern = F.when(label == "", F.lit(NO_MISSING)).otherwise(label)
+        return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows")) \
+            .orderBy(F.desc("n_rows"), "pattern")
+    # Group on a bitmask of null flags (one long per row); build the text label only for
+    # the few aggregated patterns.
+    mask = sum((F.when(qcol(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+                for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    counts = df.groupBy(mask.alias("_mask")).agg(F.count(F.lit(1)).alias("n_rows"))
+    label = F.concat_ws(", ", *[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c))
+                                for i, c in enumerate(cols)])
+    return counts.select(F.when(F.col("_mask") == 0, F.lit(NO_MISSING)).otherwise(label).alias("pattern"),
+                         "n_rows").orderBy(F.desc("n_rows"), "pattern")
 
 
 def _bytes_expr(f: T.StructField):
