@@ -242,77 +242,137 @@ def fit_pipeline(df: DataFrame, steps: list[Step | dict]) -> tuple[list[Rule], D
 
 # --------------------------------------------------------------------------- apply
 
-def _replace(df: DataFrame, column: str, expr: Column) -> DataFrame:
-    return df.select(*[(expr.alias(c) if c == column else qcol(c)) for c in df.columns])
+_PROJECTIONS = ("fill", "standard", "minmax", "robust", "label", "onehot")
 
 
-def _x(column: str) -> Column:
-    return qcol(column).cast("double")
-
-
-def apply_rule(df: DataFrame, r: Rule) -> DataFrame:
+def _projection(r: Rule, e: Column, dtype: T.DataType) -> list[tuple[str, Column, T.DataType]] | None:
+    """Output columns of a projection rule applied to the expression ``e`` of its column
+    (None: the rule leaves the column unchanged).  One-hot returns its new columns."""
     p, c = r.params, r.column
+    x = e.cast("double")
     if r.kind == "fill":
         v = p["fill_value"]
         if v is None:
-            return df
-        dt = _types(df)[c]
-        if isinstance(dt, T.NumericType):
-            return _replace(df, c, F.coalesce(_x(c), F.lit(float(v))))
-        return _replace(df, c, F.coalesce(qcol(c), F.lit(str(v))))
+            return None
+        if isinstance(dtype, T.NumericType):
+            return [(c, F.coalesce(x, F.lit(float(v))), T.DoubleType())]
+        return [(c, F.coalesce(e, F.lit(str(v))), dtype)]
     if r.kind == "standard":
-        return _replace(df, c, (_x(c) - F.lit(p["mean"])) / F.lit(p["std"]))
+        return [(c, (x - F.lit(p["mean"])) / F.lit(p["std"]), T.DoubleType())]
     if r.kind == "minmax":
-        return _replace(df, c, (_x(c) - F.lit(p["data_min"])) / F.lit(p["data_range"]))
+        return [(c, (x - F.lit(p["data_min"])) / F.lit(p["data_range"]), T.DoubleType())]
     if r.kind == "robust":
-        return _replace(df, c, (_x(c) - F.lit(p["center"])) / F.lit(p["scale"]))
+        return [(c, (x - F.lit(p["center"])) / F.lit(p["scale"]), T.DoubleType())]
     if r.kind == "label":
-        key = _label_key(qcol(c))
-        if "values" in p:
-            kv = []
-            for k, v in sorted(p["values"].items(), key=lambda t: t[1]):
-                kv += [F.lit(k), F.lit(int(v))]
-            m = F.create_map(*kv) if kv else F.create_map().cast("map<string,int>")
-            return _replace(df, c, F.try_element_at(m, key).cast("int"))
-        table = df.sparkSession.read.parquet(p["table"]).select(
-            F.col("value").alias("_lbl_value"), F.col("code").alias("_lbl_code"))
-        if p.get("n_values", BROADCAST_LABELS + 1) <= BROADCAST_LABELS:
-            table = F.broadcast(table)
-        joined = df.withColumn("_lbl_key", key).join(
-            table, F.col("_lbl_key") == F.col("_lbl_value"), "left")
-        return joined.select(*[(F.col("_lbl_code").cast("int").alias(x) if x == c else qcol(x))
-                               for x in df.columns])
+        kv = []
+        for k, v in sorted(p["values"].items(), key=lambda t: t[1]):
+            kv += [F.lit(k), F.lit(int(v))]
+        m = F.create_map(*kv) if kv else F.create_map().cast("map<string,int>")
+        return [(c, F.try_element_at(m, _label_key(e)).cast("int"), T.IntegerType())]
     if r.kind == "onehot":
-        cats = p["categories"]
-        keep = [qcol(x) for x in df.columns if x != c]
-        new = []
-        for v, name in zip(cats, p["encoded_columns"]):
+        out = []
+        for v, name in zip(p["categories"], p["encoded_columns"]):
             if v == NAN_LABEL and p.get("null_category"):
-                cond = qcol(c).isNull()
+                cond = e.isNull()
             else:
-                cond = F.coalesce(qcol(c).cast("string") == F.lit(v), F.lit(False))
-            new.append(cond.cast("double").alias(name))
-        return df.select(*keep, *new)
+                cond = F.coalesce(e.cast("string") == F.lit(v), F.lit(False))
+            out.append((name, cond.cast("double"), T.DoubleType()))
+        return out
+    raise ValueError(f"not a projection rule: {r.kind}")
+
+
+def _keep(r: Rule, e: Column) -> Column | None:
+    """Row condition of an outlier rule over the expression ``e`` of its column."""
+    p = r.params
+    x = e.cast("double")
     if r.kind == "zscore":
         mean, std, thr = p["mean"], p["std"], p["threshold"]
         if std is None or std == 0:
-            return df.where(qcol(c).isNotNull())
-        return df.where(F.abs((_x(c) - F.lit(mean)) / F.lit(std)) < F.lit(thr))
+            return e.isNotNull()
+        return F.abs((x - F.lit(mean)) / F.lit(std)) < F.lit(thr)
     if r.kind == "iqr":
         q1, q3, iqr, k = p["Q1"], p["Q3"], p["IQR"], p.get("k", 1.5)
         if q1 is None:
-            return df
-        x = _x(c)
+            return None
         out = (x < F.lit(q1 - k * iqr)) | (x > F.lit(q3 + k * iqr))
-        return df.where(qcol(c).isNull() | ~out)
-    raise ValueError(f"unknown rule kind: {r.kind}")
+        return e.isNull() | ~out
+    raise ValueError(f"not a filter rule: {r.kind}")
+
+
+def _label_join(df: DataFrame, r: Rule) -> DataFrame:
+    """Label codes from a written code table: a left join, broadcast when its size allows."""
+    p, c = r.params, r.column
+    table = df.sparkSession.read.parquet(p["table"]).select(
+        F.col("value").alias("_lbl_value"), F.col("code").alias("_lbl_code"))
+    if p.get("n_values", BROADCAST_LABELS + 1) <= BROADCAST_LABELS:
+        table = F.broadcast(table)
+    joined = df.withColumn("_lbl_key", _label_key(qcol(c))).join(
+        table, F.col("_lbl_key") == F.col("_lbl_value"), "left")
+    return joined.select(*[(F.col("_lbl_code").cast("int").alias(x) if x == c else qcol(x))
+                           for x in df.columns])
+
+
+def apply_rule(df: DataFrame, r: Rule) -> DataFrame:
+    return apply_rules(df, [r])
 
 
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Replay fitted rules in their recorded order (projections and filters only)."""
+    """Replay fitted rules in their recorded order (projections and filters only).
+
+    Consecutive projection rules are composed into ONE select (expressions substituted into
+    each other), so a wide table with many rules is analysed once per run, not once per
+    rule; an outlier rule becomes a filter over the composed expressions.
+    """
+    cols = list(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    exprs = {c: qcol(c) for c in cols}
+    cur = df
+    dirty = False
+
+    def flush():
+        nonlocal cur, exprs, dirty
+        if dirty:
+            cur = cur.select(*[exprs[c].alias(c) for c in cols])
+            exprs = {c: qcol(c) for c in cols}
+            dirty = False
+
     for r in rules:
-        df = apply_rule(df, r)
-    return df
+        if r.column not in exprs:
+            raise ValueError(f"rule for unknown column {r.column!r}")
+        if r.kind in ("zscore", "iqr"):
+            flush()
+            cond = _keep(r, exprs[r.column])
+            if cond is not None:
+                cur = cur.where(cond)
+            continue
+        if r.kind == "label" and "values" not in r.params:
+            flush()
+            cur = _label_join(cur, r)
+            types[r.column] = T.IntegerType()
+            continue
+        if r.kind not in _PROJECTIONS:
+            raise ValueError(f"unknown rule kind: {r.kind}")
+        out = _projection(r, exprs[r.column], types[r.column])
+        if out is None:
+            continue
+        if r.kind == "onehot":
+            pos = cols.index(r.column)
+            del cols[pos]
+            exprs.pop(r.column)
+            types.pop(r.column)
+            for name, e, t in out:
+                if name in exprs:
+                    cols.remove(name)
+                cols.append(name)
+                exprs[name] = e
+                types[name] = t
+        else:
+            name, e, t = out[0]
+            exprs[name] = e
+            types[name] = t
+        dirty = True
+    flush()
+    return cur
 
 
 def rules_to_json(rules: list[Rule]) -> str:

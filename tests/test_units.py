@@ -335,3 +335,24 @@ def test_label_fit_survives_low_estimate(spark, monkeypatch):
     assert "table" in rules["big"].params and rules["small"].params["values"] == {"a": 0, "b": 1}
     got = {r.id: (r.big, r.small) for r in prep.apply_rules(df, list(rules.values())).collect()}
     assert got == {i: (i % 60, i % 2) for i in range(300)}
+
+
+def test_fused_replay_equals_rule_by_rule(spark):
+    from functools import reduce
+    rnd = random.Random(23)
+    rows = [(i, rnd.choice([None, rnd.gauss(5, 2)]), rnd.choice([None, "u", "v", "w"]), rnd.randint(0, 9))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, k int")
+    steps = [{"operation": "missing_values", "strategy": "median", "columns": ["x"]},
+             {"operation": "normalization", "method": "minmax", "columns": ["x", "k"]},
+             {"operation": "outliers", "method": "iqr", "columns": ["x"]},
+             {"operation": "normalization", "method": "standard", "columns": ["x"]},
+             {"operation": "encoding", "method": "onehot", "columns": ["c"]},
+             {"operation": "outliers", "method": "zscore", "threshold": 1.5, "columns": ["k"]}]
+    rules, fitted = prep.fit_pipeline(df, steps)
+    fused = prep.apply_rules(df, rules)
+    one_by_one = reduce(prep.apply_rule, rules, df)
+    assert fused.columns == one_by_one.columns == fitted.columns
+    key = lambda t: t[0]
+    assert sorted(map(tuple, fused.collect()), key=key) == sorted(map(tuple, one_by_one.collect()), key=key)
+    assert sorted(map(tuple, fused.collect()), key=key) == sorted(map(tuple, fitted.collect()), key=key)
