@@ -49,10 +49,23 @@ def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], cols: list[str])
 
 
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every pair in one aggregate; ``corr`` skips rows where either value is null."""
+    """Every pair in one aggregate (``corr`` skips rows where either value is null),
+    unpivoted to the full long matrix; the diagonal is 1, or NULL for a constant column."""
     pairs = list(combinations(columns, 2))
-    vals, diag = _pearson_pairs(df, pairs, columns)
-    return _long_matrix(df.sparkSession, columns, vals, diag)
+    idx = {p: i for i, p in enumerate(pairs)}
+    wide = df.agg(*[F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"p{i}")
+                    for i, (a, b) in enumerate(pairs)],
+                  *[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
+    cells = []
+    for ia, a in enumerate(columns):
+        for b in columns:
+            if a == b:
+                v = F.when(F.col(f"s{ia}") > 0, F.lit(1.0))
+            else:
+                v = _clean(F.col(f"p{idx.get((a, b), idx.get((b, a)))}"))
+            cells.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+                                  v.cast("double").alias("corr")))
+    return wide.select(F.explode(F.array(*cells)).alias("m")).select("m.column_a", "m.column_b", "m.corr")
 
 
 def average_ranks(df: DataFrame, column: str, rank_col: str = "rank",

@@ -80,22 +80,40 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
                      approx: bool = False) -> DataFrame:
     """A2: count, mean, sample std, min, quartiles, max per numeric column (long form).
 
-    Pass 1 is one aggregate for all moments and distinct-count estimates; pass 2 takes
-    the exact quartiles (or ``percentile_approx`` with ``approx=True``).
+    The returned plan is one aggregate over the table (moments, and ``percentile`` for the
+    low-cardinality columns) unpivoted to one row per column.  Before it, one cheap
+    distinct-count pass picks the quantile method; quartiles of high-cardinality columns
+    come from the ranged exact pass and enter the plan as literals.  ``approx=True`` uses
+    ``percentile_approx`` inside the aggregate instead.
     """
-    spark = df.sparkSession
     cols = columns or numeric_columns(df)
-    mom = stats.moments(df, cols, distinct=not approx)
     probs = [0.25, 0.5, 0.75]
+    parr = F.array(*[F.lit(p) for p in probs])
     if approx:
-        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), probs, 10000).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).collect()[0]
-        qs = {c: list(row[f"q{i}"] or [None] * 3) for i, c in enumerate(cols)}
+        small, big, ranged = [], [], {}
     else:
-        qs = stats.quantiles(df, cols, probs, {c: mom[c]["approx_distinct"] for c in cols})
-    rows = [(c, mom[c]["count"], mom[c]["mean"], mom[c]["std"], mom[c]["min"],
-             qs[c][0], qs[c][1], qs[c][2], mom[c]["max"]) for c in cols]
-    return spark.createDataFrame(rows, DESCRIBE_SCHEMA)
+        r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
+        small, big = stats.percentile_split(cols, {c: r[f"d{i}"] for i, c in enumerate(cols)})
+        ranged = stats.exact_quantiles_ranged(df, big, probs) if big else {}
+    aggs = []
+    for i, c in enumerate(cols):
+        x = qcol(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if approx:
+            aggs.append(F.percentile_approx(x, probs, 10000).alias(f"q{i}"))
+        elif c in small:
+            aggs.append(F.percentile(x, parr).alias(f"q{i}"))
+        else:
+            aggs.append(F.array(*[F.lit(v).cast("double") for v in ranged[c]]).alias(f"q{i}"))
+    wide = df.agg(*aggs)
+    long = wide.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+        F.element_at(F.col(f"q{i}"), 1).alias("q25"), F.element_at(F.col(f"q{i}"), 2).alias("q50"),
+        F.element_at(F.col(f"q{i}"), 3).alias("q75"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(cols)])).alias("r"))
+    return long.select(*[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in DESCRIBE_SCHEMA.fields])
 
 
 def value_counts_all(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

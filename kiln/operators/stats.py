@@ -116,13 +116,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
         r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}")
                      for i, c in enumerate(columns)]).collect()[0]
         approx_distinct = {c: r[f"d{i}"] for i, c in enumerate(columns)}
-    small, used = [], 0
-    for c in sorted(columns, key=lambda c: approx_distinct.get(c, 0)):
-        d = approx_distinct.get(c, 0)
-        if d <= map_limit and used + d <= max(map_limit, PERCENTILE_MAP_BUDGET):
-            small.append(c)
-            used += d
-    big = [c for c in columns if c not in small]
+    small, big = percentile_split(columns, approx_distinct, map_limit)
     out: dict[str, list] = {}
     if small:
         parr = F.array(*[F.lit(float(p)) for p in probs])
@@ -135,6 +129,18 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return out
 
 
+def percentile_split(columns: list[str], approx_distinct: dict[str, int],
+                     map_limit: int = PERCENTILE_MAP_LIMIT) -> tuple[list[str], list[str]]:
+    """(columns for the built-in ``percentile`` aggregate, columns for the ranged path)."""
+    small, used = [], 0
+    for c in sorted(columns, key=lambda c: approx_distinct.get(c, 0)):
+        d = approx_distinct.get(c, 0)
+        if d <= map_limit and used + d <= max(map_limit, PERCENTILE_MAP_BUDGET):
+            small.append(c)
+            used += d
+    return [c for c in columns if c in small], [c for c in columns if c not in small]
+
+
 def unpivot(df: DataFrame, columns: list[str], cast: str | None = None,
             name_col: str = "column", value_col: str = "value") -> DataFrame:
     """Long form (column name, value) of several columns; a narrow Expand, no shuffle."""
