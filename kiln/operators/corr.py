@@ -106,7 +106,12 @@ def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataF
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson of average ranks, ranks retaken per pair on its complete rows."""
+    """Pearson of average ranks, ranks retaken per pair on its complete rows.
+
+    Null-free columns are ranked once and share one aggregate; every pair involving a
+    column with nulls is ranked on its own complete rows.  The result is one union of those
+    aggregates, so Spark schedules all pairs within a single job.
+    """
     spark = df.sparkSession
     pre = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)],
                  *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)],
@@ -115,28 +120,34 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     has_null = {c: bool(pre[f"n{i}"]) for i, c in enumerate(columns)}
     approx = {c: int(pre[f"d{i}"]) for i, c in enumerate(columns)}
     clean = [c for c in columns if not has_null[c]]
-    vals: dict = {}
-    diag: dict = {}
+
+    def both_ways(a, b, v):
+        return [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), _clean(v).alias("corr")),
+                F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), _clean(v).alias("corr"))]
+
+    parts = []
+    diag = [(c, 1.0 if pre[f"s{i}"] else None) for i, c in enumerate(columns)]
+    parts.append(spark.createDataFrame(diag, "column_a string, corr double")
+                 .select("column_a", F.col("column_a").alias("column_b"), "corr"))
+    done = set()
     if len(clean) >= 2:
         ranked = _with_ranks(df, clean, approx)
         pairs = list(combinations(range(len(clean)), 2))
-        aggs = [F.corr(f"_r{a}", f"_r{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-        aggs += [F.stddev_pop(f"_r{i}").alias(f"s{i}") for i in range(len(clean))]
-        r = ranked.agg(*aggs).collect()[0] if aggs else None
+        wide = ranked.agg(*[F.corr(f"_r{a}", f"_r{b}").alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+        cells = []
         for k, (a, b) in enumerate(pairs):
-            vals[(clean[a], clean[b])] = r[f"p{k}"]
-        for i, c in enumerate(clean):
-            diag[c] = 1.0 if r[f"s{i}"] else None
-    todo = [(a, b) for a, b in combinations(columns, 2) if (a, b) not in vals]
-
-    def one(pair):
-        return _with_ranks(df, list(pair), approx).agg(F.corr("_r0", "_r1").alias("p")).collect()[0]["p"]
-    for pair, v in zip(todo, run_concurrently(one, todo)):
-        vals[pair] = v
-    for i, c in enumerate(columns):
-        if c not in diag:
-            diag[c] = 1.0 if pre[f"s{i}"] else None
-    return _long_matrix(spark, columns, vals, diag)
+            cells += both_ways(clean[a], clean[b], F.col(f"p{k}"))
+            done.add((clean[a], clean[b]))
+        parts.append(wide.select(F.explode(F.array(*cells)).alias("m")).select("m.*"))
+    for a, b in combinations(columns, 2):
+        if (a, b) in done:
+            continue
+        one = _with_ranks(df, [a, b], approx).agg(F.corr("_r0", "_r1").alias("p"))
+        parts.append(one.select(F.explode(F.array(*both_ways(a, b, F.col("p")))).alias("m")).select("m.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _kendall_pairs(ranked: DataFrame, levels: int, bounds: list):

@@ -76,26 +76,29 @@ def kde_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
 
 
 def box_stats(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool = False) -> DataFrame:
-    """D3: quartiles (exact), whiskers (extreme values inside Q1-k·IQR, Q3+k·IQR), outlier count."""
-    spark = df.sparkSession
+    """D3: quartiles (exact), whiskers (extreme values inside Q1-k·IQR, Q3+k·IQR), outlier count.
+
+    The quartiles are computed first (they define the fences); the returned plan is one
+    aggregate over the table for whiskers and outlier counts, unpivoted per column.
+    """
     q = stats.quantiles(df, columns, [0.25, 0.5, 0.75], approx=approx)
-    aggs = []
+    aggs, cells = [], []
     for i, c in enumerate(columns):
         q1, med, q3 = q[c]
+        x = qcol(c).cast("double")
         if q1 is None:
             aggs += [F.lit(None).cast("double").alias(f"wl{i}"), F.lit(None).cast("double").alias(f"wh{i}"),
                      F.lit(0).cast("long").alias(f"no{i}")]
-            continue
-        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        x = qcol(c).cast("double")
-        aggs += [F.min(F.when(x >= F.lit(lo), x)).alias(f"wl{i}"),
-                 F.max(F.when(x <= F.lit(hi), x)).alias(f"wh{i}"),
-                 F.count(F.when((x < F.lit(lo)) | (x > F.lit(hi)), x)).alias(f"no{i}")]
-    r = df.agg(*aggs).collect()[0]
-    rows = [(c, q[c][0], q[c][1], q[c][2], r[f"wl{i}"], r[f"wh{i}"], r[f"no{i}"])
-            for i, c in enumerate(columns)]
-    return spark.createDataFrame(rows, "column string, q1 double, median double, q3 double, "
-                                       "whisker_low double, whisker_high double, n_outliers bigint")
+        else:
+            lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+            aggs += [F.min(F.when(x >= F.lit(lo), x)).alias(f"wl{i}"),
+                     F.max(F.when(x <= F.lit(hi), x)).alias(f"wh{i}"),
+                     F.count(F.when((x < F.lit(lo)) | (x > F.lit(hi)), x)).alias(f"no{i}")]
+        cells.append(F.struct(F.lit(c).alias("column"), F.lit(q1).cast("double").alias("q1"),
+                              F.lit(med).cast("double").alias("median"), F.lit(q3).cast("double").alias("q3"),
+                              F.col(f"wl{i}").alias("whisker_low"), F.col(f"wh{i}").alias("whisker_high"),
+                              F.col(f"no{i}").cast("long").alias("n_outliers")))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("b")).select("b.*")
 
 
 def violin(df: DataFrame, column: str, points: int = 100) -> tuple[DataFrame, DataFrame]:
