@@ -381,3 +381,28 @@ def rules_to_json(rules: list[Rule]) -> str:
 
 def rules_from_json(text: str) -> list[Rule]:
     return [Rule.from_dict(d) for d in sorted(json.loads(text), key=lambda d: d["seq"])]
+
+
+# ------------------------------------------------------------ reference-style entry points
+def handle_missing_values(df: DataFrame, strategy: str = "mean", columns: list[str] | None = None,
+                          fill_value=None) -> tuple[DataFrame, list[Rule]]:
+    rules = fit_impute(df, strategy, columns, fill_value)
+    return apply_rules(df, rules), rules
+
+
+def normalize_data(df: DataFrame, method: str = "standard",
+                   columns: list[str] | None = None) -> tuple[DataFrame, list[Rule]]:
+    rules = fit_scale(df, method, columns)
+    return apply_rules(df, rules), rules
+
+
+def encode_categorical(df: DataFrame, method: str = "label",
+                       columns: list[str] | None = None) -> tuple[DataFrame, list[Rule]]:
+    rules = fit_encode(df, method, columns)
+    return apply_rules(df, rules), rules
+
+
+def remove_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
+                    columns: list[str] | None = None) -> tuple[DataFrame, list[Rule]]:
+    rules, out = fit_outliers(df, method, threshold, columns)
+    return out, rules

@@ -356,3 +356,16 @@ def test_fused_replay_equals_rule_by_rule(spark):
     key = lambda t: t[0]
     assert sorted(map(tuple, fused.collect()), key=key) == sorted(map(tuple, one_by_one.collect()), key=key)
     assert sorted(map(tuple, fused.collect()), key=key) == sorted(map(tuple, fitted.collect()), key=key)
+
+
+def test_reference_style_entry_points(tiny_nulls):
+    df = nan_to_null(tiny_nulls)
+    out, rules = prep.handle_missing_values(df, "median", ["a"])
+    assert rules[0].params["fill_value"] == 5.5 and out.where(F.col("a").isNull()).count() == 0
+    out, rules = prep.normalize_data(out, "minmax", ["a"])
+    assert {r.a for r in out.collect()} <= {i / 7 for i in range(8)} | {4.5 / 7}
+    out, rules = prep.encode_categorical(out, "onehot", ["c"])
+    assert "c_nan" in out.columns
+    out, rules = prep.remove_outliers(out, "iqr", columns=["a"])
+    # scaled a: 0, 2/7, 4/7, 4.5/7 (x2), 5/7, 6/7, 1 -> Q1 0.5, Q3 0.75, lower fence 0.125: 0 goes
+    assert out.count() == 7 and rules[0].kind == "iqr" and 0.0 not in {r.a for r in out.collect()}
