@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from kiln.functions.columns import qcol
+from kiln.session import checkpoint_dir
 
 # One window task sorts at most about this many rows before we split the order into ranges.
 ROWS_PER_RANGE = 2_000_000
@@ -97,6 +98,10 @@ def running_totals(df: DataFrame, order_col: str, measures: list[str], *,
         w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(m).over(w).alias(m + suffix) for m in measures])
 
+    # The input is read three times below (sample, range totals, windows); on this path it
+    # is large, so write it once to the shared checkpoint folder instead of recomputing it.
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     bounds = sample_bounds(df, order_col, n_ranges, n)
     rng = range_of(F.col(order_col), bounds)
     if descending:
