@@ -18,6 +18,11 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def num(name: str) -> Column:
+    """A numeric column as double with NaN read as NULL (one missing-value form, as pandas has)."""
+    return F.nanvl(qcol(name).cast("double"), F.lit(None).cast("double"))
+
+
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 

@@ -11,7 +11,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.functions.columns import qcol
+from kiln.functions.columns import num, qcol
 from kiln.session import run_concurrently
 from kiln.operators.ordered import ROWS_PER_RANGE, dense_codes, range_of, ranges_for, running_totals, \
     sample_bounds
@@ -39,9 +39,9 @@ def _long_matrix(spark, cols: list[str], pair_vals: dict[tuple[str, str], float
 
 def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], cols: list[str]):
     """corr for all pairs and a 1.0/null diagonal (null for constant columns), one aggregate."""
-    aggs = [F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"p{i}")
+    aggs = [F.corr(num(a), num(b)).alias(f"p{i}")
             for i, (a, b) in enumerate(pairs)]
-    aggs += [F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    aggs += [F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(cols)]
     r = df.agg(*aggs).collect()[0]
     vals = {p: r[f"p{i}"] for i, p in enumerate(pairs)}
     diag = {c: (1.0 if r[f"s{i}"] else None) for i, c in enumerate(cols)}
@@ -53,9 +53,9 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     unpivoted to the full long matrix; the diagonal is 1, or NULL for a constant column."""
     pairs = list(combinations(columns, 2))
     idx = {p: i for i, p in enumerate(pairs)}
-    wide = df.agg(*[F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"p{i}")
+    wide = df.agg(*[F.corr(num(a), num(b)).alias(f"p{i}")
                     for i, (a, b) in enumerate(pairs)],
-                  *[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
+                  *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(columns)])
     cells = []
     for ia, a in enumerate(columns):
         for b in columns:
@@ -74,7 +74,7 @@ def average_ranks(df: DataFrame, column: str, rank_col: str = "rank",
 
     Collapse to (value, count), running counts by value range, rank = before + (count+1)/2.
     """
-    v = df.select(qcol(column).alias("value")).where(F.col("value").isNotNull())
+    v = df.select(num(column).alias("value")).where(F.col("value").isNotNull())
     vc = v.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
     rt = running_totals(vc, "value", ["c"], n_rows=n_distinct)
     return rt.select("value", (F.col("c_cum") - F.col("c") + (F.col("c") + 1) / 2.0).alias(rank_col),
@@ -93,7 +93,7 @@ def _maybe_broadcast(df: DataFrame, approx_rows: int) -> DataFrame:
 
 def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataFrame:
     """Add ``_r<i>`` average-rank columns (rows where all ``cols`` are non-null)."""
-    cur = df.select(*[qcol(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    cur = df.select(*[num(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     for i in range(len(cols)):
         cur = cur.where(F.col(f"_v{i}").isNotNull())
     base = cur
@@ -115,7 +115,7 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     spark = df.sparkSession
     pre = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)],
                  *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-                 *[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
+                 *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(columns)]
                  ).collect()[0]
     has_null = {c: bool(pre[f"n{i}"]) for i, c in enumerate(columns)}
     approx = {c: int(pre[f"d{i}"]) for i, c in enumerate(columns)}
@@ -189,7 +189,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None =
     the bit depth (extra top levels contribute nothing); the depth is verified exactly in
     the final aggregate and raised if an estimate was too low.
     """
-    base = df.select(qcol(x).cast("double").alias("x"), qcol(y).cast("double").alias("y")) \
+    base = df.select(num(x).alias("x"), num(y).alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if approx is None:
         approx = _approx_distinct(base, ["x", "y"])
@@ -230,7 +230,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None =
 
 
 def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    r = df.agg(*[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
+    r = df.agg(*[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(columns)],
                *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
     approx = {c: int(r[f"d{i}"]) for i, c in enumerate(columns)}
     pairs = list(combinations(columns, 2))

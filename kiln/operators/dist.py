@@ -6,12 +6,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.functions.columns import qcol
+from kiln.functions.columns import num, qcol
 from kiln.operators import stats
 
 
 def _range(df: DataFrame, column: str):
-    x = qcol(column).cast("double")
+    x = num(column)
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
                F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("p"), F.avg(x).alias("m"),
                F.approx_count_distinct(x).alias("d")).collect()[0]
@@ -32,7 +32,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     if hi == lo:
         bins = 1
     w = (hi - lo) / bins if hi > lo else 1.0
-    x = qcol(column).cast("double")
+    x = num(column)
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("int")
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -60,7 +60,7 @@ def kde_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     h = s * n ** (-1.0 / 5.0)
     step = (hi - lo) / (points - 1)
     grid = F.array(*[F.lit(float(i)) for i in range(points)])
-    x = qcol(column).cast("double")
+    x = num(column)
     if r["d"] < 0.8 * n:        # each row saved avoids `points` exp() calls; a shuffled row is cheaper
         vc = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     else:
@@ -85,7 +85,7 @@ def box_stats(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool =
     aggs, cells = [], []
     for i, c in enumerate(columns):
         q1, med, q3 = q[c]
-        x = qcol(c).cast("double")
+        x = num(c)
         if q1 is None:
             aggs += [F.lit(None).cast("double").alias(f"wl{i}"), F.lit(None).cast("double").alias(f"wh{i}"),
                      F.lit(0).cast("long").alias(f"no{i}")]
@@ -109,7 +109,7 @@ def violin(df: DataFrame, column: str, points: int = 100) -> tuple[DataFrame, Da
 def outlier_flag_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
     """Rows with a value, their z-score (population std) and ``is_outlier`` = |z| > threshold."""
     r = _range(df, column)
-    x = qcol(column).cast("double")
+    x = num(column)
     std = r["p"] or 0.0
     z = (x - F.lit(r["m"])) / F.lit(std) if std else F.lit(0.0)
     return df.where(x.isNotNull()).select("*", z.alias("zscore"),
@@ -119,7 +119,7 @@ def outlier_flag_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> D
 def outlier_flag_iqr(df: DataFrame, column: str, threshold: float = 1.5, approx: bool = False) -> DataFrame:
     """Rows with a value and ``is_outlier`` outside [Q1 - t·IQR, Q3 + t·IQR]."""
     q1, q3 = stats.quantiles(df, [column], [0.25, 0.75], approx=approx)[column]
-    x = qcol(column).cast("double")
+    x = num(column)
     if q1 is None:
         return df.where(F.lit(False)).select("*", F.lit(False).alias("is_outlier"))
     iqr = q3 - q1

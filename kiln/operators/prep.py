@@ -249,7 +249,7 @@ def _projection(r: Rule, e: Column, dtype: T.DataType) -> list[tuple[str, Column
     """Output columns of a projection rule applied to the expression ``e`` of its column
     (None: the rule leaves the column unchanged).  One-hot returns its new columns."""
     p, c = r.params, r.column
-    x = e.cast("double")
+    x = F.nanvl(e.cast("double"), F.lit(None).cast("double"))     # NaN is missing, like NULL
     if r.kind == "fill":
         v = p["fill_value"]
         if v is None:
@@ -284,7 +284,7 @@ def _projection(r: Rule, e: Column, dtype: T.DataType) -> list[tuple[str, Column
 def _keep(r: Rule, e: Column) -> Column | None:
     """Row condition of an outlier rule over the expression ``e`` of its column."""
     p = r.params
-    x = e.cast("double")
+    x = F.nanvl(e.cast("double"), F.lit(None).cast("double"))
     if r.kind == "zscore":
         mean, std, thr = p["mean"], p["std"], p["threshold"]
         if std is None or std == 0:

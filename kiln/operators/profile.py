@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from kiln.functions.columns import (categorical_columns, fixed_width, key_hash, numeric_columns,
+from kiln.functions.columns import (categorical_columns, fixed_width, key_hash, num, numeric_columns,
                                     qcol)
 from kiln.operators import stats
 
@@ -97,7 +97,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
         ranged = stats.exact_quantiles_ranged(df, big, probs) if big else {}
     aggs = []
     for i, c in enumerate(cols):
-        x = qcol(c).cast("double")
+        x = num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if approx:

@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kiln.functions.columns import qcol
+from kiln.functions.columns import num, qcol
 from kiln.operators.ordered import select_ranks
 
 # Largest approximate distinct count for which the built-in exact ``percentile`` is used.
@@ -31,7 +31,7 @@ def moments(df: DataFrame, columns: list[str], distinct: bool = False) -> dict[s
         return {}
     aggs = []
     for i, c in enumerate(columns):
-        x = qcol(c).cast("double")
+        x = num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.stddev_pop(x).alias(f"p{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
@@ -65,7 +65,7 @@ def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str,
     single = isinstance(columns, str)
     cols = [columns] if single else list(columns)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ci"), qcol(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+        F.struct(F.lit(i).alias("ci"), num(c).alias("v")) for i, c in enumerate(cols)]))
         .alias("s")).select("s.ci", "s.v").where(F.col("v").isNotNull())
     vc = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("c")).persist()
     try:
@@ -108,19 +108,19 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if not columns:
         return {}
     if approx:
-        row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), list(map(float, probs)), accuracy)
+        row = df.agg(*[F.percentile_approx(num(c), list(map(float, probs)), accuracy)
                        .alias(f"q{i}") for i, c in enumerate(columns)]).collect()[0]
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(columns)}
     if approx_distinct is None:
-        r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}")
+        r = df.agg(*[F.approx_count_distinct(num(c)).alias(f"d{i}")
                      for i, c in enumerate(columns)]).collect()[0]
         approx_distinct = {c: r[f"d{i}"] for i, c in enumerate(columns)}
     small, big = percentile_split(columns, approx_distinct, map_limit)
     out: dict[str, list] = {}
     if small:
         parr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(qcol(c).cast("double"), parr).alias(f"q{i}")
+        row = df.agg(*[F.percentile(num(c), parr).alias(f"q{i}")
                        for i, c in enumerate(small)]).collect()[0]
         for i, c in enumerate(small):
             out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
@@ -167,6 +167,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
         if not cols:
             continue
         long = unpivot(df, cols, cast).where(F.col("value").isNotNull())
+        if cast == "double":
+            long = long.where(~F.isnan("value"))
         counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         picks = counts.groupBy("column").agg(
             F.min_by("value", F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))).alias("mode"))

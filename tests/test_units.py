@@ -369,3 +369,14 @@ def test_reference_style_entry_points(tiny_nulls):
     out, rules = prep.remove_outliers(out, "iqr", columns=["a"])
     # scaled a: 0, 2/7, 4/7, 4.5/7 (x2), 5/7, 6/7, 1 -> Q1 0.5, Q3 0.75, lower fence 0.125: 0 goes
     assert out.count() == 7 and rules[0].kind == "iqr" and 0.0 not in {r.a for r in out.collect()}
+
+
+def test_nan_counts_as_missing_everywhere(spark):
+    rows = [(1, 1.0), (2, float("nan")), (3, 3.0), (4, None), (5, 5.0)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    d = profile.describe_numeric(df, ["x"]).collect()[0]
+    assert d["count"] == 3 and d["mean"] == 3.0 and d["q50"] == 3.0 and d["max"] == 5.0
+    out = prep.apply_rules(df, prep.fit_impute(df, "median", ["x"]))
+    assert sorted(r.x for r in out.collect()) == [1.0, 3.0, 3.0, 3.0, 5.0]
+    assert stats.quantiles(df, ["x"], [0.5], map_limit=0)["x"] == [3.0]
+    assert dist.outlier_flag_iqr(df, "x").count() == 3
