@@ -57,6 +57,11 @@ class TrainedModel:
         out = self.pipeline.transform(df)
         if "probability" in out.columns and self.problem == "binary":
             out = out.withColumn("p1", F.element_at(vector_to_array("probability"), 2))
+        classes = self.params.get("_classes")
+        if classes is not None:
+            # predictions are class indices; give back the original class values
+            arr = F.array(*[F.lit(float(c)) for c in classes])
+            out = out.withColumn("prediction", F.element_at(arr, F.col("prediction").cast("int") + 1))
         return out
 
 
@@ -133,6 +138,19 @@ def _label(df: DataFrame, target: str, problem: str):
     return t.cast("int").cast("double") if problem != "regression" else t.cast("double")
 
 
+MAX_CLASSES = 10_000
+
+
+def _class_index(data: DataFrame, target: str) -> list[int] | None:
+    """Sorted class values when they are not already 0..k-1 (Spark's classifiers need that)."""
+    vals = [r[0] for r in data.select(qcol(target).cast("int")).distinct()
+            .limit(MAX_CLASSES + 1).collect() if r[0] is not None]
+    if len(vals) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {target!r}")
+    vals.sort()
+    return None if vals == list(range(len(vals))) else vals
+
+
 def train_model(df: DataFrame, features: list[str], target: str, model_type: str, problem: str,
                 **params) -> TrainedModel:
     """Fit on ``df`` (already the training rows).  Features must be numeric (checked on the schema)."""
@@ -146,6 +164,15 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
         tr = tr.checkpoint(eager=True)
         return TrainedModel("knn", problem, list(features), target,
                             knn_train=tr.withColumnRenamed("_id", "_row_id"), params=params)
+    # k-NN votes on the class values themselves; Spark's classifiers need indices 0..k-1
+    if problem != "regression":
+        classes = _class_index(data, target)
+        if problem == "binary" and len(classes or [0, 1]) > 2:
+            raise ValueError(f"binary problem but {len(classes)} classes in {target!r}")
+        if classes is not None:
+            idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
+            data = data.withColumn("label", F.try_element_at(idx, qcol(target).cast("int")))
+            params = {**params, "_classes": classes}
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"),
                      F.max("label").alias("m"),
                      *[F.sum(qcol(c).isNull().cast("long")).alias(f"null{i}") for i, c in enumerate(features)]
@@ -155,7 +182,8 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
         raise ValueError("features hold missing values (impute them first): " + ", ".join(missing))
     est = create_estimator(model_type, problem, n_rows=stats["n"], label_std=stats["s"],
                            n_features=len(features),
-                           n_classes=int(stats["m"]) + 1 if problem != "regression" else None, **params)
+                           n_classes=int(stats["m"]) + 1 if problem != "regression" else None,
+                           **{k: v for k, v in params.items() if not k.startswith("_")})
     # "error": a row with a missing feature fails loudly at scoring instead of being dropped
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     pm = Pipeline(stages=[asm, est]).fit(data)

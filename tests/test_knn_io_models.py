@@ -180,3 +180,15 @@ def test_missing_features_are_reported(spark):
     df = spark.createDataFrame([(1.0, 0), (None, 1), (2.0, 0)], "f double, y int")
     with pytest.raises(ValueError, match="missing values"):
         ml.train_model(df, ["f"], "y", "decision_tree", "binary")
+
+
+def test_classes_need_not_start_at_zero(spark, blobs):
+    df = blobs.withColumn("y", F.col("y") * 5 + 1)          # classes 1, 6, 11
+    m = ml.train_model(df, ["f1", "f2"], "y", "logistic_regression", "multiclass")
+    pred = m.transform(df)
+    assert {r.prediction for r in pred.select("prediction").distinct().collect()} <= {1.0, 6.0, 11.0}
+    acc = pred.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).collect()[0][0]
+    assert acc > 0.85
+    b = blobs.withColumn("y", F.when(F.col("y") > 0, 7).otherwise(3))
+    mb = ml.train_model(b, ["f1", "f2"], "y", "gradient_boosting", "binary", n_estimators=5)
+    assert {r.prediction for r in mb.transform(b).select("prediction").distinct().collect()} <= {3.0, 7.0}
