@@ -36,8 +36,10 @@ def sample_bounds(df: DataFrame, col: str, n_ranges: int, n_rows: int, seed: int
         return []
     want = min(n_ranges * _SAMPLE_PER_RANGE, _MAX_SAMPLE)
     frac = min(1.0, want / n_rows)
+    # hard cap: an estimate that is far too low cannot flood the driver (a capped sample only
+    # makes the ranges less even; results stay exact)
     vals = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull())
-                  .sample(False, frac, seed).collect())
+                  .sample(False, frac, seed).limit(4 * want).collect())
     if not vals:
         return []
     bounds = []
