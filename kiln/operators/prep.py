@@ -128,62 +128,62 @@ def _label_key(c: Column) -> Column:
 
 
 def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None = None) -> list[Rule]:
-    """Sorted category lists.  Small lists are collected — the collect is capped and
-    checked, so an optimistic distinct-count estimate cannot flood the driver; a large label
-    list becomes a code table computed by range-partitioned ranking."""
+    """Sorted category lists.
+
+    One capped collect of the distinct (column, value) pairs: below the cap every list is
+    complete.  If the cap is hit, exact per-column counts decide which lists are small
+    enough to collect; a larger label list becomes a code table computed by range-partitioned
+    ranking, and a larger one-hot list is refused (it would add that many columns).
+    """
     cols = list(columns) if columns else categorical_columns(df)
     if not cols:
         return []
-    row = df.agg(*[F.approx_count_distinct(_label_key(qcol(c))).alias(f"d{i}")
-                   for i, c in enumerate(cols)]).collect()[0]
-    approx = {c: row[f"d{i}"] for i, c in enumerate(cols)}
     limit = INLINE_LABELS if method == "label" else MAX_ONEHOT
-    small = [c for c in cols if approx[c] <= limit * 0.9]
+    long = stats.unpivot(df, cols, "string")
+    if method == "label":
+        long = long.select("column", _label_key(F.col("value")).alias("value"))
+    distinct = long.distinct()
+    cap = len(cols) * (limit + 1)
+    pairs = distinct.limit(cap).collect()               # hard bound on what reaches the driver
+    per: dict[str, list] = {c: [] for c in cols}
+    for r in pairs:
+        per[r["column"]].append(r["value"])
+    counts = {c: len(v) for c, v in per.items()}
+    if len(pairs) == cap:
+        # some list may be cut short: count exactly, then collect only the small ones again
+        counts = {r["column"]: r["n"] for r in distinct.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        small = [c for c in cols if counts.get(c, 0) <= limit]
+        per = {c: [] for c in small}
+        if small:
+            for r in distinct.where(F.col("column").isin(small)).collect():   # <= len(small) * limit
+                per[r["column"]].append(r["value"])
     rules: dict[str, Rule] = {}
-    if small:
-        long = stats.unpivot(df, small, "string")
+    for c in cols:
+        if counts.get(c, 0) > limit:
+            continue
+        vals = per[c]
         if method == "label":
-            long = long.select("column", _label_key(F.col("value")).alias("value"))
-        cap = len(small) * (limit + 1)
-        pairs = long.distinct().limit(cap).collect()     # hard bound on what reaches the driver
-        per: dict[str, list] = {c: [] for c in small}
-        for r in pairs:
-            per[r["column"]].append(r["value"])
-        if len(pairs) == cap:
-            # the estimate was low somewhere: count exactly and move oversized columns on
-            exact = {r["column"]: r["n"] for r in long.distinct().groupBy("column")
-                     .agg(F.count(F.lit(1)).alias("n")).collect()}
-            small = [c for c in small if exact.get(c, 0) <= limit]
-            per = {c: [] for c in small}
-            if small:   # the capped result may have cut these lists short: collect them again
-                for r in long.where(F.col("column").isin(small)).distinct().collect():
-                    per[r["column"]].append(r["value"])
-        for c in small:
-            vals = per[c]
-            if method == "label":
-                ordered = sorted(vals)
-                rules[c] = Rule("label", c, {"values": {v: i for i, v in enumerate(ordered)}})
-            elif method == "onehot":
-                has_null = any(v is None for v in vals)
-                cats = sorted(v for v in vals if v is not None) + ([NAN_LABEL] if has_null else [])
-                if len(cats) > MAX_ONEHOT:
-                    raise ValueError(f"one-hot of {c!r} would add {len(cats)} columns (> {MAX_ONEHOT})")
-                rules[c] = Rule("onehot", c, {"categories": cats, "null_category": has_null,
-                                              "encoded_columns": [f"{c}_{v}" for v in cats]})
-            else:
-                raise ValueError(f"unknown encoding method: {method}")
+            ordered = sorted(vals)
+            rules[c] = Rule("label", c, {"values": {v: i for i, v in enumerate(ordered)}})
+        elif method == "onehot":
+            has_null = any(v is None for v in vals)
+            cats = sorted(v for v in vals if v is not None) + ([NAN_LABEL] if has_null else [])
+            rules[c] = Rule("onehot", c, {"categories": cats, "null_category": has_null,
+                                          "encoded_columns": [f"{c}_{v}" for v in cats]})
+        else:
+            raise ValueError(f"unknown encoding method: {method}")
     for c in cols:
         if c in rules:
             continue
         if method == "onehot":
-            raise ValueError(f"one-hot of {c!r} would add about {approx[c]} columns (> {MAX_ONEHOT})")
+            raise ValueError(f"one-hot of {c!r} would add {counts[c]} columns (> {MAX_ONEHOT})")
         spark = df.sparkSession
         keys = df.select(_label_key(qcol(c)).alias("value"))
-        codes = dense_codes(keys, "value")
+        codes = dense_codes(keys, "value", n_rows=counts[c])
         path = scratch_path(spark, "labels")
         codes.write.mode("overwrite").parquet(path)
-        n = spark.read.parquet(path).count()
-        rules[c] = Rule("label", c, {"table": path, "n_values": n})
+        rules[c] = Rule("label", c, {"table": path, "n_values": int(counts[c])})
     return [rules[c] for c in cols]
 
 
