@@ -80,21 +80,15 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
                      approx: bool = False) -> DataFrame:
     """A2: count, mean, sample std, min, quartiles, max per numeric column (long form).
 
-    The returned plan is one aggregate over the table (moments, and ``percentile`` for the
-    low-cardinality columns) unpivoted to one row per column.  Before it, one cheap
-    distinct-count pass picks the quantile method; quartiles of high-cardinality columns
-    come from the ranged exact pass and enter the plan as literals.  ``approx=True`` uses
-    ``percentile_approx`` inside the aggregate instead.
+    Quartiles come first from one exact pass (``stats.quantiles``: a (column, value) count
+    shuffle, small columns finished from their pairs, large ones by rank selection) and
+    enter the plan as literals; the returned plan is one aggregate over the table for the
+    moments, unpivoted to one row per column.  ``approx=True`` puts ``percentile_approx``
+    into that aggregate instead.
     """
     cols = columns or numeric_columns(df)
     probs = [0.25, 0.5, 0.75]
-    parr = F.array(*[F.lit(p) for p in probs])
-    if approx:
-        small, big, ranged = [], [], {}
-    else:
-        r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
-        small, big = stats.percentile_split(cols, {c: r[f"d{i}"] for i, c in enumerate(cols)})
-        ranged = stats.exact_quantiles_ranged(df, big, probs) if big else {}
+    q = {} if approx else stats.quantiles(df, cols, probs)
     aggs = []
     for i, c in enumerate(cols):
         x = num(c)
@@ -102,10 +96,8 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None,
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if approx:
             aggs.append(F.percentile_approx(x, probs, 10000).alias(f"q{i}"))
-        elif c in small:
-            aggs.append(F.percentile(x, parr).alias(f"q{i}"))
         else:
-            aggs.append(F.array(*[F.lit(v).cast("double") for v in ranged[c]]).alias(f"q{i}"))
+            aggs.append(F.array(*[F.lit(v).cast("double") for v in q[c]]).alias(f"q{i}"))
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),

@@ -1,10 +1,10 @@
 """Fused column statistics: moments, exact quantiles, modes.
 
-Each function touches all requested columns in one aggregate (one scan, partial
-aggregation before the shuffle).  Exact quantiles use Spark's ``percentile`` only when a
-cheap distinct-count pass shows the columns are low-cardinality (its per-task maps all
-meet in one final task); otherwise one ranged pass handles all columns: (column, value)
-counts shuffled over every reducer, then rank selection (``ordered.select_ranks``).
+Each function touches all requested columns in one scan (partial aggregation before the
+shuffle).  Exact quantiles never use Spark's global ``percentile`` aggregate, whose per-task
+maps all meet in one final task: one (column, value) -> count shuffle spreads the work over
+every reducer, small columns finish on the driver from at most a few thousand pairs, and
+large ones by rank selection over value ranges (``ordered.select_ranks``).
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from kiln.functions.columns import num, qcol
 from kiln.operators.ordered import select_ranks
 
-# Largest approximate distinct count for which the built-in exact ``percentile`` is used.
-# It is a global aggregate: every map task ships its partial (value -> count) map to ONE
-# final task, so the map must stay as small as a sketch buffer.  Larger columns take the
-# ranged path, whose (value, count) shuffle spreads over all reducers.
+# A column with at most this many distinct values finishes on the driver from its
+# (value, count) pairs; all such columns of one call together send at most
+# PERCENTILE_MAP_BUDGET pairs.  Larger columns use rank selection.
 PERCENTILE_MAP_LIMIT = 2_000
-# ... and all columns of one ``percentile`` aggregate together at most this many entries.
 PERCENTILE_MAP_BUDGET = 20_000
 
 
@@ -54,14 +52,40 @@ def _interpolate(sorted_at, n: int, p: float) -> float:
     return a + (pos - lo) * (b - a)
 
 
-def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str,
-                           probs: list[float]) -> dict[str, list[float | None]] | list[float | None]:
-    """Exact linear-interpolated quantiles for any number of distinct values, all columns at once.
-
-    Rows collapse to (column index, value, count); running counts follow the order of the key
-    ``struct(column index, value)`` across value ranges, so no task holds a whole column.
-    Only the rows holding the wanted ranks (two per probability and column) are fetched.
+def _quantiles_from_pairs(pairs: list[tuple[float, int]], probs: list[float]) -> list[float | None]:
+    """Exact linear-interpolated quantiles from sorted (value, count) pairs of one column."""
+    n = sum(c for _, c in pairs)
+    if n == 0:
+        return [None] * len(probs)
+    cum, starts = 0, []
+    for v, c in pairs:
+        starts.append(cum)
+        cum += c
+
+    def at(r):
+        lo, hi = 0, len(pairs) - 1
+        while lo < hi:                       # last pair whose first rank is <= r
+            mid = (lo + hi + 1) // 2
+            if starts[mid] <= r:
+                lo = mid
+            else:
+                hi = mid - 1
+        return pairs[lo][0]
+    return [_interpolate(at, n, p) for p in probs]
+
+
+def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str, probs: list[float],
+                           small_values: int | None = None
+                           ) -> dict[str, list[float | None]] | list[float | None]:
+    """Exact linear-interpolated quantiles of several columns from ONE scan.
+
+    Rows collapse to (column index, value, count) — a shuffle spread over all reducers, with a
+    hot value pre-combined per task.  Columns with at most ``small_values`` distinct values
+    (and at most PERCENTILE_MAP_BUDGET pairs in total) send their pairs to the driver, where
+    the quantiles are interpolated; the others use rank selection over value ranges
+    (``ordered.select_ranks``), which fetches only the rows at the wanted ranks.
     """
+    small_values = PERCENTILE_MAP_LIMIT if small_values is None else small_values
     single = isinstance(columns, str)
     cols = [columns] if single else list(columns)
     long = df.select(F.explode(F.array(*[
@@ -71,26 +95,34 @@ def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str,
     try:
         per = {r["ci"]: (r["n"], r["nd"]) for r in vc.groupBy("ci").agg(
             F.sum("c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()}     # one row per column
-        out: dict[str, list] = {}
-        offset, wanted = 0, {}
-        offsets = {}
-        for i, c in enumerate(cols):
-            offsets[i] = offset
-            n = per.get(i, (0, 0))[0]
-            if n:
+        small, used = [], 0
+        for i in sorted(per, key=lambda i: per[i][1]):
+            if per[i][1] <= small_values and used + per[i][1] <= max(small_values, PERCENTILE_MAP_BUDGET):
+                small.append(i)
+                used += per[i][1]
+        out: dict[str, list] = {c: [None] * len(probs) for c in cols}
+        if small:
+            pairs: dict[int, list] = {i: [] for i in small}
+            for r in vc.where(F.col("ci").isin(small)).collect():          # <= PERCENTILE_MAP_BUDGET rows
+                pairs[r["ci"]].append((r["v"], r["c"]))
+            for i in small:
+                out[cols[i]] = _quantiles_from_pairs(sorted(pairs[i]), probs)
+        big = sorted(i for i in per if i not in small)
+        if big:
+            # ranks over the key struct(ci, v), restricted to the big columns
+            offset, wanted, offsets = 0, set(), {}
+            for i in big:
+                offsets[i] = offset
+                n = per[i][0]
                 for p in probs:
                     pos = p * (n - 1)
-                    for r in {math.floor(pos), math.ceil(pos)}:
-                        wanted[offset + r] = (i, r)
-            offset += n
-        keyed = vc.select(F.struct("ci", "v").alias("k"), "c")
-        found = select_ranks(keyed, "k", "c", list(wanted), sum(nd for _, nd in per.values()))
-
-        def at(i, r):
-            return found[offsets[i] + r]["v"]
-        for i, c in enumerate(cols):
-            n = per.get(i, (0, 0))[0]
-            out[c] = [_interpolate(lambda r: at(i, r), n, p) for p in probs] if n else [None] * len(probs)
+                    wanted.update({offset + math.floor(pos), offset + math.ceil(pos)})
+                offset += n
+            keyed = vc.where(F.col("ci").isin(big)).select(F.struct("ci", "v").alias("k"), "c")
+            found = select_ranks(keyed, "k", "c", sorted(wanted), sum(per[i][1] for i in big))
+            for i in big:
+                out[cols[i]] = [_interpolate(lambda r, i=i: found[offsets[i] + r]["v"], per[i][0], p)
+                                for p in probs]
         return out[cols[0]] if single else out
     finally:
         vc.unpersist()
@@ -100,10 +132,11 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
               approx_distinct: dict[str, int] | None = None,
               map_limit: int = PERCENTILE_MAP_LIMIT, approx: bool = False,
               accuracy: int = 10000) -> dict[str, list[float | None]]:
-    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns.
+    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns, one scan.
 
     ``approx=True`` takes one ``percentile_approx`` pass instead (rank error <= n/accuracy,
-    values are actual data points, no interpolation).
+    values are actual data points, no interpolation).  ``approx_distinct`` is accepted for
+    compatibility and not needed.
     """
     if not columns:
         return {}
@@ -112,33 +145,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
                        .alias(f"q{i}") for i, c in enumerate(columns)]).collect()[0]
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(columns)}
-    if approx_distinct is None:
-        r = df.agg(*[F.approx_count_distinct(num(c)).alias(f"d{i}")
-                     for i, c in enumerate(columns)]).collect()[0]
-        approx_distinct = {c: r[f"d{i}"] for i, c in enumerate(columns)}
-    small, big = percentile_split(columns, approx_distinct, map_limit)
-    out: dict[str, list] = {}
-    if small:
-        parr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(num(c), parr).alias(f"q{i}")
-                       for i, c in enumerate(small)]).collect()[0]
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    if big:
-        out.update(exact_quantiles_ranged(df, big, probs))
-    return out
-
-
-def percentile_split(columns: list[str], approx_distinct: dict[str, int],
-                     map_limit: int = PERCENTILE_MAP_LIMIT) -> tuple[list[str], list[str]]:
-    """(columns for the built-in ``percentile`` aggregate, columns for the ranged path)."""
-    small, used = [], 0
-    for c in sorted(columns, key=lambda c: approx_distinct.get(c, 0)):
-        d = approx_distinct.get(c, 0)
-        if d <= map_limit and used + d <= max(map_limit, PERCENTILE_MAP_BUDGET):
-            small.append(c)
-            used += d
-    return [c for c in columns if c in small], [c for c in columns if c not in small]
+    return exact_quantiles_ranged(df, list(columns), probs, small_values=map_limit)
 
 
 def unpivot(df: DataFrame, columns: list[str], cast: str | None = None,
