@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kiln.functions.columns import num, qcol
 from kiln.session import run_concurrently
-from kiln.operators.ordered import ROWS_PER_RANGE, dense_codes, range_of, ranges_for, running_totals, \
+from kiln.operators.ordered import dense_codes, range_of, ranges_for, running_totals, \
     sample_bounds
 
 # A rank or code table is broadcast below this many rows; above, the join shuffles.
@@ -250,4 +250,4 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
 
 
 __all__ = ["pearson_matrix", "spearman_matrix", "kendall_matrix", "kendall_tau_b",
-           "average_ranks", "correlation_matrix", "ROWS_PER_RANGE"]
+           "average_ranks", "correlation_matrix"]

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.functions.columns import num, qcol
+from kiln.functions.columns import num
 from kiln.operators import stats
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kiln.functions.columns import round_all
 from kiln.operators import profile
 from kiln.plans.registry import query
