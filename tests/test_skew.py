@@ -93,3 +93,17 @@ def test_knn_hot_cell_is_split(spark, monkeypatch):
     for qid, qv in queries:
         want = [t for _, t in sorted((math.dist(qv, v), t) for t, v, _ in train)[:5]]
         assert [t for _, t in sorted(got[qid])] == want
+
+
+def test_stream_replay_with_label_table(spark, monkeypatch, tmp_path):
+    from kiln.streaming.replay import stream_apply_rules
+    monkeypatch.setattr(prep, "INLINE_LABELS", 5)
+    df = spark.createDataFrame([(i, f"k{i % 40:02d}", float(i)) for i in range(400)], "id long, s string, x double")
+    rules, _ = prep.fit_pipeline(df, [{"operation": "encoding", "method": "label", "columns": ["s"]},
+                                      {"operation": "normalization", "method": "standard", "columns": ["x"]}])
+    assert "table" in rules[0].params
+    src = str(tmp_path / "src")
+    df.repartition(4).write.parquet(src)
+    got = {r.id: (r.s, round(r.x, 9)) for r in stream_apply_rules(spark, src, df.schema, rules).collect()}
+    want = {r.id: (r.s, round(r.x, 9)) for r in prep.apply_rules(df, rules).collect()}
+    assert got == want and got[3] == (3, got[3][1])
