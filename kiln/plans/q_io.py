@@ -55,12 +55,15 @@ def q_multi_file_rows(spark, sf):
     return per_file.groupBy(folder.alias("folder")).agg(F.sum("n_rows").alias("n_rows"))
 
 
-@query("file_listing")
+@query("file_listing", "SELECT 'c_mktsegment=' || c_mktsegment AS folder, 'data' AS format, '.csv' AS extension, "
+       "CAST(1 AS BIGINT) AS n_files FROM customer GROUP BY c_mktsegment")
 def q_file_listing(spark, sf):
-    """Recursive listing of the files written from customer, by format and folder."""
+    """Recursive listing of the CSV folder written from customer (each segment is one
+    shuffle partition, so one file per folder), summarised per folder."""
     path = _segment_files(spark, sf)
     ls = list_files(spark, path)
-    return ls.select("relative_path", "extension", "format", "length")
+    folder = F.element_at(F.split("relative_path", "/"), 1)
+    return ls.groupBy(folder.alias("folder"), "format", "extension").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("stream_replay_rules", _PIPE_SQL)
