@@ -54,7 +54,7 @@ def q_knn_regress(spark, sf):
 # ------------------------------------------------------------------- Spark ML models
 from kiln.operators import models as ml  # noqa: E402
 from kiln.operators import prep  # noqa: E402
-from kiln.plans.tables import lineitem_nulls  # noqa: E402
+from kiln.plans.tables import LI_SQL, lineitem_nulls  # noqa: E402
 from kiln.session import scratch_path  # noqa: E402
 
 EMB_DIMS = 64
@@ -246,3 +246,33 @@ def q_model_lasso_closed_form(spark, sf):
     out = m.transform(p.where(F.col("split") == "test"))
     return out.select("p_partkey", F.col("p_retailprice").alias("actual"),
                       F.round("prediction", 4).alias("prediction"))
+
+
+BATCH_STEPS_1 = [
+    {"operation": "missing_values", "strategy": "median", "columns": ["l_quantity"]},
+    {"operation": "normalization", "method": "standard", "columns": ["l_quantity"]},
+]
+
+_LI_SPLIT_SQL = ("(SELECT li.*, (('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) "
+                 "% 10000 AS b FROM li)")
+
+
+@query("batch_score_linear", f"""WITH li AS {LI_SQL}, sp AS {_LI_SPLIT_SQL},
+tr AS (SELECT * FROM sp WHERE b >= 3600),
+f1 AS (SELECT quantile_cont(l_quantity, 0.5) AS med FROM tr),
+t1 AS (SELECT tr.* REPLACE (coalesce(l_quantity, med) AS l_quantity) FROM tr, f1),
+f2 AS (SELECT avg(l_quantity) AS m, CASE WHEN stddev_pop(l_quantity) = 0 THEN 1.0 ELSE stddev_pop(l_quantity) END AS s FROM t1),
+t2 AS (SELECT t1.* REPLACE ((l_quantity - m) / s AS l_quantity) FROM t1, f2),
+c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS w, regr_intercept(l_extendedprice, l_quantity) AS i FROM t2)
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       round(i + w * ((coalesce(l_quantity, med) - m) / s), 4) AS prediction
+FROM sp, f1, f2, c WHERE b < 3600""")
+def q_batch_score_linear(spark, sf):
+    """E15 with a value check: rules and a one-feature OLS fitted on the train split, both
+    replayed on the other rows."""
+    df = split_three_way(lineitem_nulls(spark, sf), "l_orderkey")
+    rules, prepared = prep.fit_pipeline(df.where(F.col("split") == "train"), BATCH_STEPS_1)
+    m = ml.train_model(prepared, ["l_quantity"], "l_extendedprice", "linear_regression", "regression")
+    scored = ml.batch_score(df.where(F.col("split") != "train"), rules, m)
+    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice",
+                         F.round("prediction", 4).alias("prediction"))
