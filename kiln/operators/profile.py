@@ -55,15 +55,18 @@ def head_preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
 
 
 def table_summary(df: DataFrame) -> DataFrame:
-    """A1: rows, columns, numeric / categorical column counts, null cells — one aggregate."""
-    num, cat = numeric_columns(df), categorical_columns(df)
+    """A1: rows, columns, numeric / categorical column counts, columns per type ("type:count"
+    joined by ', ', types sorted) and null cells — one aggregate."""
+    num_cols, cat = numeric_columns(df), categorical_columns(df)
+    per_type = ", ".join(f"{t}:{n}" for t, n in sorted(columns_per_type(df).items()))
     nulls = [F.sum(qcol(c).isNull().cast("long")) for c in df.columns]
     total_nulls = nulls[0] if len(nulls) == 1 else sum(nulls[1:], nulls[0])
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).cast("long").alias("n_columns"),
-        F.lit(len(num)).cast("long").alias("n_numeric"),
+        F.lit(len(num_cols)).cast("long").alias("n_numeric"),
         F.lit(len(cat)).cast("long").alias("n_categorical"),
+        F.lit(per_type).alias("column_types"),
         F.coalesce(total_nulls, F.lit(0)).cast("long").alias("n_missing_cells"),
     )
 

@@ -40,7 +40,8 @@ def q_null_columns(spark, sf):
 
 @query("table_summary",
        f"SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns, CAST(8 AS BIGINT) AS n_numeric, "
-       f"CAST(2 AS BIGINT) AS n_categorical, CAST(sum(" +
+       f"CAST(2 AS BIGINT) AS n_categorical, 'bigint:3, double:4, int:1, string:2' AS column_types, "
+       f"CAST(sum(" +
        " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in LI_COLS) +
        f") AS BIGINT) AS n_missing_cells FROM {LI_SQL} t")
 def q_table_summary(spark, sf):
