@@ -105,7 +105,6 @@ _register_model("model_logistic_multiclass", "logistic_regression", "multiclass"
 _register_model("model_svm_binary", "svm", "binary", C=1.0, kernel="linear")
 _register_model("model_svm_multiclass", "svm", "multiclass", C=1.0, kernel="linear")
 _register_model("model_neural_network", "neural_network", "multiclass", hidden_dims=[32, 16], max_iter=50)
-_register_model("model_knn", "knn", "multiclass", n_neighbors=5)
 
 _PART_SPLIT = ("(SELECT *, (('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b "
                "FROM part)")
@@ -276,3 +275,14 @@ def q_batch_score_linear(spark, sf):
     scored = ml.batch_score(df.where(F.col("split") != "train"), rules, m)
     return scored.select("l_orderkey", "l_linenumber", "l_extendedprice",
                          F.round("prediction", 4).alias("prediction"))
+
+
+
+@query("model_knn", _EMB_SQL + """,
+v AS (SELECT qid, tl, count(*) AS n FROM top GROUP BY qid, tl),
+p AS (SELECT qid, tl AS pred, row_number() OVER (PARTITION BY qid ORDER BY n DESC, tl) AS rk FROM v)
+SELECT te.vec_id, te.label AS actual, CAST(p.pred AS DOUBLE) AS prediction
+FROM te LEFT JOIN p ON p.qid = te.vec_id AND p.rk = 1""")
+def q_model_knn(spark, sf):
+    """L9 through the model interface: the 64 embedding entries as feature columns, k = 5."""
+    return _fit_predict(spark, sf, "knn", "multiclass", n_neighbors=5)
