@@ -175,7 +175,24 @@ BATCH_STEPS = [
 ]
 
 
-@query("batch_score")
+_LI_SPLIT_SQL = ("(SELECT li.*, (('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) "
+                 "% 10000 AS b FROM li)")
+
+
+_BATCH3_SQL = f"""WITH li AS {LI_SQL}, sp AS {_LI_SPLIT_SQL},
+tr AS (SELECT * FROM sp WHERE b >= 3600),
+f1 AS (SELECT quantile_cont(l_quantity, 0.5) AS m_q, quantile_cont(l_discount, 0.5) AS m_d, quantile_cont(l_tax, 0.5) AS m_t FROM tr),
+t1 AS (SELECT tr.* REPLACE (coalesce(l_quantity, m_q) AS l_quantity, coalesce(l_discount, m_d) AS l_discount, coalesce(l_tax, m_t) AS l_tax) FROM tr, f1),
+f2 AS (SELECT avg(l_quantity) AS a_q, CASE WHEN stddev_pop(l_quantity) = 0 THEN 1.0 ELSE stddev_pop(l_quantity) END AS s_q, avg(l_discount) AS a_d, CASE WHEN stddev_pop(l_discount) = 0 THEN 1.0 ELSE stddev_pop(l_discount) END AS s_d, avg(l_tax) AS a_t, CASE WHEN stddev_pop(l_tax) = 0 THEN 1.0 ELSE stddev_pop(l_tax) END AS s_t FROM t1),
+t2 AS (SELECT t1.* REPLACE ((l_quantity - a_q) / s_q AS l_quantity, (l_discount - a_d) / s_d AS l_discount, (l_tax - a_t) / s_t AS l_tax) FROM t1, f2),
+m AS (SELECT avg(l_quantity) AS x1, avg(l_discount) AS x2, avg(l_tax) AS x3, avg(l_extendedprice) AS ym FROM t2),
+c AS (SELECT sum((l_quantity - x1) * (l_quantity - x1)) AS a11, sum((l_quantity - x1) * (l_discount - x2)) AS a12, sum((l_quantity - x1) * (l_tax - x3)) AS a13, sum((l_quantity - x1) * (l_extendedprice - ym)) AS b1, sum((l_discount - x2) * (l_discount - x2)) AS a22, sum((l_discount - x2) * (l_tax - x3)) AS a23, sum((l_discount - x2) * (l_extendedprice - ym)) AS b2, sum((l_tax - x3) * (l_tax - x3)) AS a33, sum((l_tax - x3) * (l_extendedprice - ym)) AS b3, any_value(x1) AS x1, any_value(x2) AS x2, any_value(x3) AS x3, any_value(ym) AS ym FROM t2, m),
+w AS (SELECT (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / (a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13)) AS w1, (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / (a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13)) AS w2, (a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / (a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13)) AS w3, x1, x2, x3, ym FROM c)
+SELECT l_orderkey, l_linenumber, l_extendedprice, round(ym + w1 * ((coalesce(l_quantity, m_q) - a_q) / s_q - x1) + w2 * ((coalesce(l_discount, m_d) - a_d) / s_d - x2) + w3 * ((coalesce(l_tax, m_t) - a_t) / s_t - x3), 4) AS prediction
+FROM sp, f1, f2, w WHERE b < 3600"""
+
+
+@query("batch_score", _BATCH3_SQL)
 def q_batch_score(spark, sf):
     """Rules and a model fitted on the train split, replayed on the other rows."""
     df = split_three_way(lineitem_nulls(spark, sf), "l_orderkey")
@@ -184,7 +201,8 @@ def q_batch_score(spark, sf):
     m = ml.train_model(prepared, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
                        "linear_regression", "regression")
     scored = ml.batch_score(df.where(F.col("split") != "train"), rules, m)
-    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+    return scored.select("l_orderkey", "l_linenumber", "l_extendedprice",
+                         F.round("prediction", 4).alias("prediction"))
 
 
 _OLS_SQL = f"""WITH p AS {_PART_SPLIT},
@@ -252,9 +270,6 @@ BATCH_STEPS_1 = [
     {"operation": "normalization", "method": "standard", "columns": ["l_quantity"]},
 ]
 
-_LI_SPLIT_SQL = ("(SELECT li.*, (('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) "
-                 "% 10000 AS b FROM li)")
-
 
 @query("batch_score_linear", f"""WITH li AS {LI_SQL}, sp AS {_LI_SPLIT_SQL},
 tr AS (SELECT * FROM sp WHERE b >= 3600),
