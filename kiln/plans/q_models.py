@@ -301,3 +301,24 @@ FROM te LEFT JOIN p ON p.qid = te.vec_id AND p.rk = 1""")
 def q_model_knn(spark, sf):
     """L9 through the model interface: the 64 embedding entries as feature columns, k = 5."""
     return _fit_predict(spark, sf, "knn", "multiclass", n_neighbors=5)
+
+
+@query("train_val_scores_knn", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+        (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b FROM embeddings),
+tr AS (SELECT * FROM e WHERE b >= 3600),
+q AS (SELECT *, CASE WHEN b >= 3600 THEN 'train' ELSE 'validation' END AS split FROM e WHERE b >= 2000),
+d AS (SELECT q.vec_id AS qid, q.split, q.label AS ql, tr.vec_id AS tid, tr.label AS tl,
+             sqrt(list_sum(list_transform(list_zip(q.v, tr.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+      FROM q, tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+v AS (SELECT qid, split, ql, tl, count(*) AS n FROM r WHERE rn <= 5 GROUP BY qid, split, ql, tl),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, tl) AS rk FROM v)
+SELECT 'knn' AS model, split, round(avg(CAST(tl = ql AS DOUBLE)), 6) AS accuracy,
+       round(1 - avg(CAST(tl = ql AS DOUBLE)), 6) AS loss
+FROM p WHERE rk = 1 GROUP BY split""")
+def q_train_val_scores_knn(spark, sf):
+    """E13 for a classifier with a value check: exact k-NN accuracy and 1 - accuracy per split."""
+    e = _emb_features(spark, sf)
+    m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "knn", "multiclass", n_neighbors=5)
+    s = ml.train_val_scores(m, e.where(F.col("split") != "test"))
+    return s.select("model", "split", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
