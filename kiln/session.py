@@ -86,8 +86,12 @@ def run_concurrently(fn, items, max_workers: int = 4) -> list:
     if len(items) <= 1:
         return [fn(x) for x in items]
     from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    # worker threads keep the caller's job group, description and scheduler pool
+    run = inheritable_thread_target(fn)
     with ThreadPoolExecutor(max_workers=min(max_workers, len(items))) as pool:
-        return list(pool.map(fn, items))
+        return list(pool.map(run, items))
 
 
 __all__ = ["get_spark", "checkpoint_dir", "scratch_path", "default_parallelism", "run_concurrently"]
