@@ -88,8 +88,9 @@ def run_concurrently(fn, items, max_workers: int = 4) -> list:
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
-    # worker threads keep the caller's job group, description and scheduler pool
-    run = inheritable_thread_target(fn)
+    # worker threads keep the caller's job group, tags, description and scheduler pool
+    active = SparkSession.getActiveSession()
+    run = inheritable_thread_target(active)(fn) if active is not None else inheritable_thread_target(fn)
     with ThreadPoolExecutor(max_workers=min(max_workers, len(items))) as pool:
         return list(pool.map(run, items))
 
