@@ -158,19 +158,28 @@ def _kendall_pairs(ranked: DataFrame, levels: int, bounds: list):
     g = ex.groupBy("b", "pre", "x").agg(
         F.sum(F.col("c") * (1 - F.col("bit"))).alias("n0"),
         F.sum(F.col("c") * F.col("bit")).alias("n1"))
-    g = g.withColumn("xr", range_of(F.col("x"), bounds) if bounds else F.lit(0))
-    grp = ["b", "pre"]
-    # per (group, x-range) totals -> offsets of earlier ranges and group totals
-    t = g.groupBy("b", "pre", "xr").agg(F.sum("n0").alias("s0"))
-    wg = Window.partitionBy(*grp).orderBy("xr")
-    t = t.select("b", "pre", "xr",
-                 F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)).alias("off0"),
-                 F.sum("s0").over(Window.partitionBy(*grp)).alias("tot0"))
-    w = Window.partitionBy("b", "pre", "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    g2 = g.select("b", "pre", "xr", "x", "n0", "n1",
-                  F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"))
-    j = g2.join(t, ["b", "pre", "xr"])
+    if not bounds:
+        # one x range: the group total is a window sum over the same partitioning, so no
+        # per-range offset table and no join are needed
+        part = Window.partitionBy("b", "pre")
+        w = part.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        j = g.select("b", "pre", "x", "n0", "n1",
+                     F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"),
+                     F.lit(0).cast("long").alias("off0"), F.sum("n0").over(part).alias("tot0"))
+    else:
+        g = g.withColumn("xr", range_of(F.col("x"), bounds))
+        grp = ["b", "pre"]
+        # per (group, x-range) totals -> offsets of earlier ranges and group totals
+        t = g.groupBy("b", "pre", "xr").agg(F.sum("n0").alias("s0"))
+        wg = Window.partitionBy(*grp).orderBy("xr")
+        t = t.select("b", "pre", "xr",
+                     F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0)).alias("off0"),
+                     F.sum("s0").over(Window.partitionBy(*grp)).alias("tot0"))
+        w = Window.partitionBy("b", "pre", "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        g2 = g.select("b", "pre", "xr", "x", "n0", "n1",
+                      F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"))
+        j = g2.join(t, ["b", "pre", "xr"])
     below = F.col("below_in_range") + F.col("off0")
     return j.agg(F.sum(F.col("n1") * below).alias("C"),
                  F.sum(F.col("n1") * (F.col("tot0") - below - F.col("n0"))).alias("D"),
