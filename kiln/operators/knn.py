@@ -3,11 +3,12 @@
 1. Cells: KMeans centres fitted on a bounded sample of the training vectors; every
    training row is assigned to its nearest centre (JVM-side model transform).
 2. Per cell: row count and radius (largest distance of a member to its centre) — a
-   P-row aggregate.
-3. Per query, from its distances to the P centres (higher-order functions over a literal
-   centre array): an upper bound U on its k-th neighbour distance (cells ordered by
-   d + r until k rows are covered) and the candidate cells with d - r <= U.  By the
-   triangle inequality no true neighbour lies outside them, so the answer is exact.
+   P-row aggregate (distances by a vectorised pandas UDF with the P centres in its closure).
+3. Per query, from its distances to the P centres (``mapInPandas``, numpy over Arrow
+   batches): an upper bound U on its k-th neighbour distance (cells ordered by d + r until
+   k rows are covered) and the candidate cells with d - r <= U (plus a rounding margin that
+   only adds candidates).  By the triangle inequality no true neighbour lies outside them,
+   so the answer is exact.
 4. Blocks: a cell is cut into sub-blocks of at most T_BLOCK training rows (so a cell holding
    a third of the data is still many bounded groups) and the queries into blocks of at most
    Q_BLOCK rows.  Each (query block, cell, sub-block) group is one cogroup; a vectorised
