@@ -2,8 +2,9 @@
 
 Kinds of rule (one per column): ``fill``, ``standard``, ``minmax``, ``robust``, ``label``,
 ``onehot``, ``zscore``, ``iqr``.  A fitted pipeline is an ordered list of rules and is
-replayed in that order with :func:`apply_rules` — narrow operators only, so the replay is
-one stage and works on a streaming DataFrame as well.
+replayed in that order with :func:`apply_rules` — projections and filters, so the replay is
+one stage (a label list above INLINE_LABELS adds a join with its code table) and works on a
+streaming DataFrame as well.
 """
 
 from __future__ import annotations
