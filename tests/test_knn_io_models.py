@@ -192,3 +192,23 @@ def test_classes_need_not_start_at_zero(spark, blobs):
     b = blobs.withColumn("y", F.when(F.col("y") > 0, 7).otherwise(3))
     mb = ml.train_model(b, ["f1", "f2"], "y", "gradient_boosting", "binary", n_estimators=5)
     assert {r.prediction for r in mb.transform(b).select("prediction").distinct().collect()} <= {3.0, 7.0}
+
+
+def test_workflow_files_and_nan_reader(spark):
+    from kiln.session import scratch_path
+    from kiln.sources.tables import read_table
+    from kiln.workflow import apply_rules_file, prepare_file
+    d = tempfile.mkdtemp(prefix="kiln-wf-")
+    open(os.path.join(d, "a.csv"), "w").write("x,c\n1.0,u\nNA,v\n3.0,u\n5.0,NaN\n")
+    os.makedirs(os.path.join(d, "b"))
+    open(os.path.join(d, "b", "b.csv"), "w").write("x,c\n2.0,v\n,w\n")
+    steps = [{"operation": "missing_values", "strategy": "mean", "columns": ["x"]},
+             {"operation": "encoding", "method": "label", "columns": ["c"]}]
+    rules_path = scratch_path(spark, "wf-rules")
+    first = prepare_file(spark, os.path.join(d, "a.csv"), steps, rules_path)
+    assert sorted(map(tuple, first.collect())) == [(1.0, 1), (3.0, 1), (3.0, 2), (5.0, 0)]
+    other = apply_rules_file(spark, os.path.join(d, "b"), rules_path)
+    assert sorted(map(tuple, other.collect()), key=str) == [(2.0, 2), (3.0, None)]
+    pq = os.path.join(d, "nan.parquet")
+    spark.createDataFrame([(1.0,), (float("nan"),)], "v double").write.parquet(pq)
+    assert read_table(spark, pq).where("v IS NULL").count() == 1
