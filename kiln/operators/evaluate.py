@@ -15,6 +15,8 @@ from kiln.operators.ordered import running_totals
 
 # Confusion matrices are k x k; refuse label sets that make the table unreasonably wide.
 MAX_CLASSES = 10_000
+# Up to this many classes (10^6 cells) the cell counts are broadcast into the grid join.
+BROADCAST_CLASSES = 1_000
 
 
 # ----------------------------------------------------------------------- predictions
@@ -59,7 +61,9 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
     lab = F.array(*[F.lit(v) for v in labels])
     grid = df.sparkSession.range(1).select(F.explode(lab).alias("y_true")) \
         .select("y_true", F.explode(lab).alias("y_pred"))
-    out = grid.join(F.broadcast(counts), ["y_true", "y_pred"], "left")
+    # the non-zero cells are at most k^2 rows: broadcast only while that is bounded
+    counts = F.broadcast(counts) if len(labels) <= BROADCAST_CLASSES else counts
+    out = grid.join(counts, ["y_true", "y_pred"], "left")
     return out.select("y_true", "y_pred", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
