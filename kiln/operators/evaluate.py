@@ -59,7 +59,10 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
     counts = df.groupBy(qcol(y).alias("y_true"), qcol(yhat).alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("count"))
     lab = F.array(*[F.lit(v) for v in labels])
-    grid = df.sparkSession.range(1).select(F.explode(lab).alias("y_true")) \
+    k = len(labels)
+    # the k x k grid is generated in slices: about 100 true labels (100 k rows) per task
+    grid = df.sparkSession.range(0, k, 1, max(1, k // 100)).select(
+        F.element_at(lab, F.col("id").cast("int") + 1).alias("y_true")) \
         .select("y_true", F.explode(lab).alias("y_pred"))
     # the non-zero cells are at most k^2 rows: broadcast only while that is bounded
     counts = F.broadcast(counts) if len(labels) <= BROADCAST_CLASSES else counts
