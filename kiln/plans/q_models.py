@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kiln.functions.columns import round_all
 from kiln.operators import knn
 from kiln.operators.split import split_three_way
-from kiln.plans.registry import query
+from kiln.plans.registry import ORACLE, query
 from kiln.plans.tables import table
 
 
@@ -322,3 +322,29 @@ def q_train_val_scores_knn(spark, sf):
     m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "knn", "multiclass", n_neighbors=5)
     s = ml.train_val_scores(m, e.where(F.col("split") != "test"))
     return s.select("model", "split", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
+
+
+
+def _stream_batch_score_sql():
+    return ORACLE["batch_score_linear"]
+
+
+@query("stream_batch_score", _stream_batch_score_sql())
+def q_stream_batch_score(spark, sf):
+    """E15 on a stream: rules and a one-feature OLS fitted in batch on the train split score the
+    held-out lineitem rows arriving through Structured Streaming (file source -> split ->
+    rules -> model -> parquet sink)."""
+    from kiln.plans.tables import inject_li_nulls
+    from kiln.streaming.replay import stream_apply_rules
+    df = split_three_way(lineitem_nulls(spark, sf), "l_orderkey")
+    rules, prepared = prep.fit_pipeline(df.where(F.col("split") == "train"), BATCH_STEPS_1)
+    m = ml.train_model(prepared, ["l_quantity"], "l_extendedprice", "linear_regression", "regression")
+    src = table(spark, sf, "lineitem")
+
+    def held_out(stream):
+        s = split_three_way(inject_li_nulls(stream), "l_orderkey")
+        return s.where(F.col("split") != "train").drop("split")
+    out = stream_apply_rules(spark, f"{sf.rstrip('/')}/lineitem*.parquet", src.schema, rules,
+                             prepare=held_out, model=m)
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice",
+                      F.round("prediction", 4).alias("prediction"))
