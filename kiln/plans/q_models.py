@@ -324,7 +324,6 @@ def q_train_val_scores_knn(spark, sf):
     return s.select("model", "split", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
 
 
-
 def _stream_batch_score_sql():
     return ORACLE["batch_score_linear"]
 
