@@ -212,3 +212,15 @@ def test_workflow_files_and_nan_reader(spark):
     pq = os.path.join(d, "nan.parquet")
     spark.createDataFrame([(1.0,), (float("nan"),)], "v double").write.parquet(pq)
     assert read_table(spark, pq).where("v IS NULL").count() == 1
+
+
+def test_saved_model_keeps_class_values(spark, blobs):
+    from kiln.session import scratch_path
+    df = blobs.withColumn("y", F.col("y") * 10 + 2)           # classes 2, 12, 22
+    m = ml.train_model(df, ["f1", "f2"], "y", "decision_tree", "multiclass")
+    path = scratch_path(spark, "model-classes")
+    ml.save_model(m, path)
+    back = ml.load_model(spark, path)
+    a = {r.id: r.prediction for r in m.transform(df).select("id", "prediction").collect()}
+    b = {r.id: r.prediction for r in back.transform(df).select("id", "prediction").collect()}
+    assert a == b and set(a.values()) <= {2.0, 12.0, 22.0}
