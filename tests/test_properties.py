@@ -126,3 +126,42 @@ def test_fused_replay_matches_rule_by_rule(spark, steps, seed):
                       for r in d.collect())
     assert fused.columns == one_by_one.columns == fitted.columns
     assert norm(fused) == norm(one_by_one) == norm(fitted)
+
+
+@SETTINGS
+@given(pairs=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), min_size=1, max_size=60))
+def test_report_matches_definition(spark, pairs):
+    from kiln.operators import evaluate as ev
+    df = spark.createDataFrame(pairs, "y int, p int")
+    labels = sorted({a for a, _ in pairs} | {b for _, b in pairs})
+    cm = {(r.y_true, r.y_pred): r["count"] for r in ev.confusion_matrix(df, "y", "p").collect()}
+    assert set(cm) == {(a, b) for a in labels for b in labels}
+    assert all(cm[(a, b)] == sum(1 for t in pairs if t == (a, b)) for a in labels for b in labels)
+    rep = {r.label: r for r in ev.classification_report(df, "y", "p").collect()}
+    for c in labels:
+        tp = sum(1 for a, b in pairs if a == b == c)
+        pred = sum(1 for _, b in pairs if b == c)
+        sup = sum(1 for a, _ in pairs if a == c)
+        prec = tp / pred if pred else 0.0
+        rec = tp / sup if sup else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+        r = rep[str(c)]
+        assert (r.precision, r.recall, r.f1_score, r.support) == pytest.approx((prec, rec, f1, sup))
+    assert rep["accuracy"].f1_score == pytest.approx(sum(a == b for a, b in pairs) / len(pairs))
+
+
+@SETTINGS
+@given(vals=st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=80),
+       bins=st.integers(1, 12))
+def test_histogram_counts_every_value_once(spark, vals, bins):
+    from kiln.operators import dist
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    h = dist.histogram(df, "x", bins).collect()
+    assert sum(r["count"] for r in h) == len(vals)
+    lo, hi = min(vals), max(vals)
+    if hi > lo:
+        w = (hi - lo) / bins
+        want = [0] * bins
+        for v in vals:
+            want[min(math.floor((v - lo) / w), bins - 1)] += 1
+        assert [r["count"] for r in sorted(h, key=lambda r: r["bin"])] == want
