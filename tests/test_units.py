@@ -379,3 +379,17 @@ def test_nan_counts_as_missing_everywhere(spark):
     assert sorted(r.x for r in out.collect()) == [1.0, 3.0, 3.0, 3.0, 5.0]
     assert stats.quantiles(df, ["x"], [0.5], map_limit=0)["x"] == [3.0]
     assert dist.outlier_flag_iqr(df, "x").count() == 3
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+def test_correlation_matrix_symmetric_with_unit_diagonal(spark, method):
+    rnd = random.Random(31)
+    rows = [(rnd.gauss(0, 1), rnd.choice([None, rnd.randint(0, 5)]), rnd.random()) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a double, b int, c double")
+    m = {(r.column_a, r.column_b): r.corr for r in corr.correlation_matrix(df, ["a", "b", "c"], method).collect()}
+    assert len(m) == 9
+    for x in "abc":
+        assert m[(x, x)] == 1.0
+        for y in "abc":
+            assert m[(x, y)] == pytest.approx(m[(y, x)], abs=1e-12)
+            assert -1.0 - 1e-12 <= m[(x, y)] <= 1.0 + 1e-12
