@@ -48,7 +48,10 @@ class TrainedModel:
             # Row ids must not change between the jobs below: freeze them with a checkpoint.
             q = df if "_row_id" in df.columns else \
                 df.withColumn("_row_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-            qv = q.select("_row_id", F.array(*[qcol(c).cast("double") for c in self.features]).alias("_fv"))
+            arr = F.array(*[qcol(c).cast("double") for c in self.features])
+            # a row with a missing feature has no vector: it keeps a NULL prediction
+            qv = q.select("_row_id", F.when(F.exists(arr, lambda v: v.isNull()), F.lit(None))
+                          .otherwise(arr).alias("_fv"))
             pred = knn_op.knn_predict(
                 self.knn_train, qv, id_col="_row_id", vec_col="_fv", target_col="_y", query_id="_row_id",
                 k=int(self.params.get("n_neighbors", 5)), weights=self.params.get("weights", "uniform"),
@@ -156,6 +159,11 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
     """Fit on ``df`` (already the training rows).  Features must be numeric (checked on the schema)."""
     data = feature_target(df, target, features).where(qcol(target).isNotNull())
     data = data.withColumn("label", _label(data, target, problem))
+    nulls = data.agg(*[F.sum(qcol(c).isNull().cast("long")).alias(f"null{i}")
+                       for i, c in enumerate(features)]).collect()[0]
+    missing = [c for i, c in enumerate(features) if nulls[f"null{i}"]]
+    if missing:
+        raise ValueError("features hold missing values (impute them first): " + ", ".join(missing))
     if model_type == "knn":
         tr = data.select(F.monotonically_increasing_id().alias("_id"),
                          F.array(*[qcol(c).cast("double") for c in features]).alias("_fv"),
@@ -174,12 +182,7 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
             data = data.withColumn("label", F.try_element_at(idx, qcol(target).cast("int")))
             params = {**params, "_classes": classes}
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"),
-                     F.max("label").alias("m"),
-                     *[F.sum(qcol(c).isNull().cast("long")).alias(f"null{i}") for i, c in enumerate(features)]
-                     ).collect()[0]
-    missing = [c for i, c in enumerate(features) if stats[f"null{i}"]]
-    if missing:
-        raise ValueError("features hold missing values (impute them first): " + ", ".join(missing))
+                     F.max("label").alias("m")).collect()[0]
     est = create_estimator(model_type, problem, n_rows=stats["n"], label_std=stats["s"],
                            n_features=len(features),
                            n_classes=int(stats["m"]) + 1 if problem != "regression" else None,

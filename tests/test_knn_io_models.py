@@ -224,3 +224,15 @@ def test_saved_model_keeps_class_values(spark, blobs):
     a = {r.id: r.prediction for r in m.transform(df).select("id", "prediction").collect()}
     b = {r.id: r.prediction for r in back.transform(df).select("id", "prediction").collect()}
     assert a == b and set(a.values()) <= {2.0, 12.0, 22.0}
+
+
+def test_knn_model_missing_features(spark):
+    df = spark.createDataFrame([(0, 1.0, 0.0, 0), (1, 1.1, 0.1, 0), (2, 5.0, 5.0, 1), (3, 5.1, 4.9, 1)],
+                               "id long, a double, b double, y int")
+    m = ml.train_model(df, ["a", "b"], "y", "knn", "binary", n_neighbors=1)
+    q = spark.createDataFrame([(10, 1.05, 0.05), (11, None, 5.0)], "id long, a double, b double")
+    got = {r.id: r.prediction for r in m.transform(q).collect()}
+    assert got == {10: 0, 11: None}
+    bad = df.withColumn("a", F.when(F.col("id") == 1, None).otherwise(F.col("a")))
+    with pytest.raises(ValueError, match="missing values"):
+        ml.train_model(bad, ["a", "b"], "y", "knn", "binary")
