@@ -187,10 +187,12 @@ def test_label_codes_large_path(spark, small_ranges, monkeypatch):
     assert got == want
 
 
-def test_split_depends_only_on_key(spark):
+@pytest.mark.parametrize("hash_kind", ["md5", "xxhash64"])
+def test_split_depends_only_on_key(spark, hash_kind):
     df = spark.range(5000).withColumnRenamed("id", "k")
-    a = {r.k: r.split for r in split_three_way(df, "k").collect()}
-    b = {r.k: r.split for r in split_three_way(df.repartition(7).orderBy(F.rand(1)), "k").collect()}
+    a = {r.k: r.split for r in split_three_way(df, "k", hash=hash_kind).collect()}
+    b = {r.k: r.split for r in split_three_way(df.repartition(7).orderBy(F.rand(1)), "k",
+                                                 hash=hash_kind).collect()}
     assert a == b
     share = sum(v == "test" for v in a.values()) / len(a)
     assert 0.17 < share < 0.23
