@@ -33,7 +33,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def rows_per_file(spark: SparkSession, root: str) -> DataFrame:
     """S3 for same-schema CSV files: one scan of all of them, rows counted per source file."""
     df = (spark.read.option("header", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.csv").csv(root))
+          .option("pathGlobFilter", "*.[cC][sS][vV]").csv(root))
     return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 

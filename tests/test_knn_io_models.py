@@ -236,3 +236,14 @@ def test_knn_model_missing_features(spark):
     bad = df.withColumn("a", F.when(F.col("id") == 1, None).otherwise(F.col("a")))
     with pytest.raises(ValueError, match="missing values"):
         ml.train_model(bad, ["a", "b"], "y", "knn", "binary")
+
+
+def test_rows_per_file_any_case(spark):
+    from kiln.sources.files import rows_per_file
+    d = tempfile.mkdtemp(prefix="kiln-rpf-")
+    os.makedirs(os.path.join(d, "s"))
+    open(os.path.join(d, "a.csv"), "w").write("x\n1\n2\n")
+    open(os.path.join(d, "s", "b.CSV"), "w").write("x\n3\n")
+    open(os.path.join(d, "s", "c.txt"), "w").write("x\n4\n")
+    got = {os.path.basename(r.path): r.n_rows for r in rows_per_file(spark, d).collect()}
+    assert got == {"a.csv": 2, "b.CSV": 1}
