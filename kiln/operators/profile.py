@@ -141,13 +141,15 @@ def missing_by_column(df: DataFrame, columns: list[str] | None = None) -> DataFr
 NO_MISSING = "No missing values"
 
 
-def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def missing_patterns(df: DataFrame, columns: list[str] | None = None,
+                     columns_have_nulls: bool = False) -> DataFrame:
     """A5: one row per distinct null pattern over the columns that have nulls.
 
     ``pattern`` joins the names of the missing columns with ', ' (or says there are none);
-    ``n_rows`` counts rows with that pattern.
+    ``n_rows`` counts rows with that pattern.  With ``columns_have_nulls=True`` the given
+    columns are taken as the null-holding ones (no extra pass to find them).
     """
-    cols = columns_with_nulls(df, columns)
+    cols = list(columns or []) if columns_have_nulls else columns_with_nulls(df, columns)
     if not cols:
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(NO_MISSING).alias("pattern"), "n_rows")
@@ -263,12 +265,46 @@ def session_of(df: DataFrame) -> SparkSession:
 def profile_table(df: DataFrame, correlation: str = "pearson",
                   numeric: list[str] | None = None) -> dict[str, DataFrame]:
     """The analysis page in one call: summary, describe, value counts, missing values,
-    missing patterns, data bytes and a correlation matrix (all small result tables)."""
+    missing patterns, data bytes and a correlation matrix (all small result tables).
+
+    Summary, missing counts, data bytes and the describe moments come from ONE fused
+    aggregate (its single row is collected once); the quantile pass, value counts, missing
+    patterns and the correlation add one scan each — instead of a scan per table.
+    """
     from kiln.operators.corr import correlation_matrix
-    num = numeric or numeric_columns(df)
-    out = {"summary": table_summary(df), "describe": describe_numeric(df, num),
-           "value_counts": value_counts_all(df), "missing": missing_by_column(df),
-           "missing_patterns": missing_patterns(df), "bytes": column_bytes(df)}
-    if len(num) >= 2:
-        out["correlation"] = correlation_matrix(df, num, correlation)
+    spark = df.sparkSession
+    cols = df.columns
+    num_cols = numeric or numeric_columns(df)
+    cat = categorical_columns(df)
+    fields = [f for f in df.schema.fields if _bytes_expr(f) is not None]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.sum(qcol(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(cols)]
+    aggs += [F.coalesce(_bytes_expr(f), F.lit(0)).cast("long").alias(f"b{i}") for i, f in enumerate(fields)]
+    for i, c in enumerate(num_cols):
+        x = num(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs).collect()[0]                      # one row: a few values per column
+    n = row["_n"]
+    nulls = {c: row[f"z{i}"] or 0 for i, c in enumerate(cols)}
+    per_type = ", ".join(f"{t}:{k}" for t, k in sorted(columns_per_type(df).items()))
+    summary = spark.createDataFrame(
+        [(n, len(cols), len(numeric_columns(df)), len(cat), per_type, sum(nulls.values()))],
+        "n_rows bigint, n_columns bigint, n_numeric bigint, n_categorical bigint, column_types string, "
+        "n_missing_cells bigint")
+    missing = spark.createDataFrame(
+        [(c, nulls[c], (nulls[c] * 100.0 / n) if n else None) for c in cols],
+        "column string, n_missing bigint, pct_missing double").orderBy(F.desc("pct_missing"), "column")
+    bytes_ = spark.createDataFrame([(f.name, row[f"b{i}"]) for i, f in enumerate(fields)],
+                                   "column string, n_bytes bigint")
+    q = stats.quantiles(df, num_cols, [0.25, 0.5, 0.75]) if num_cols else {}
+    describe = spark.createDataFrame(
+        [(c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], *q[c], row[f"hi{i}"])
+         for i, c in enumerate(num_cols)], DESCRIBE_SCHEMA)
+    out = {"summary": summary, "describe": describe, "value_counts": value_counts_all(df),
+           "missing": missing,
+           "missing_patterns": missing_patterns(df, [c for c in cols if nulls[c]], columns_have_nulls=True),
+           "bytes": bytes_}
+    if len(num_cols) >= 2:
+        out["correlation"] = correlation_matrix(df, num_cols, correlation)
     return out

@@ -395,3 +395,18 @@ def test_correlation_matrix_symmetric_with_unit_diagonal(spark, method):
         for y in "abc":
             assert m[(x, y)] == pytest.approx(m[(y, x)], abs=1e-12)
             assert -1.0 - 1e-12 <= m[(x, y)] <= 1.0 + 1e-12
+
+
+def test_profile_table_equals_individual_profiles(spark, tiny_nulls):
+    df = nan_to_null(tiny_nulls).withColumn("d", F.col("id") * 2)
+    prof = profile.profile_table(df)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert rows(prof["summary"]) == rows(profile.table_summary(df))
+    assert rows(prof["describe"]) == rows(profile.describe_numeric(df))
+    assert rows(prof["missing"]) == rows(profile.missing_by_column(df))
+    assert rows(prof["missing_patterns"]) == rows(profile.missing_patterns(df))
+    assert rows(prof["bytes"]) == rows(profile.column_bytes(df))
+    assert rows(prof["value_counts"]) == rows(profile.value_counts_all(df))
+    assert prof["summary"].schema.simpleString() == profile.table_summary(df).schema.simpleString()
+    clean = df.select("id", "d")
+    assert rows(profile.profile_table(clean)["missing_patterns"]) == [("No missing values", 8)]
