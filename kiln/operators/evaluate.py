@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kiln.functions.columns import qcol
 from kiln.functions.scores import argmax, bce_with_logits, cross_entropy_logits, sigmoid, softmax
 from kiln.operators.ordered import running_totals
+from kiln.session import checkpoint_dir
 
 # Confusion matrices are k x k; refuse label sets that make the table unreasonably wide.
 MAX_CLASSES = 10_000
@@ -123,47 +124,66 @@ def _curve_base(df: DataFrame, y: str, score: str) -> tuple[DataFrame, int, int]
     return rt, tot["P"] or 0, tot["N"] or 0
 
 
-def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, high to low, starting at (+inf, 0, 0)."""
-    rt, P, N = _curve_base(df, y, score)
+def _roc_from(rt: DataFrame, P: int, N: int) -> DataFrame:
     # a class without rows leaves its rate undefined: NULL, not an error
     pts = rt.select("threshold", F.try_divide(F.col("neg_cum"), F.lit(float(N))).alias("fpr"),
                     F.try_divide(F.col("pos_cum"), F.lit(float(P))).alias("tpr"))
-    start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
+    start = rt.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
+def _auc_from(rt: DataFrame, P: int, N: int) -> DataFrame:
+    area = F.try_divide(F.col("neg"), F.lit(float(N))) * \
+        F.try_divide(2 * F.col("pos_cum") - F.col("pos"), F.lit(2.0 * P))
+    return rt.agg(F.sum(area).alias("auc"))
+
+
+def _precision() -> Column:
+    return F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
+
+
+def _pr_from(rt: DataFrame, P: int) -> DataFrame:
+    pts = rt.select("threshold", _precision().alias("precision"),
+                    # no positive rows: recall is 1 at every threshold (scikit-learn's rule)
+                    (F.try_divide(F.col("pos_cum"), F.lit(float(P))) if P else F.lit(1.0)).alias("recall"))
+    end = rt.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return pts.unionByName(end)
+
+
+def _pr_summary_from(rt: DataFrame, P: int) -> DataFrame:
+    prec = _precision()
+    return rt.agg(((F.sum(prec) + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(1))).alias("mean_precision"),
+                  F.sum(prec * F.try_divide(F.col("pos"), F.lit(float(P)))).alias("average_precision"))
+
+
+def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(threshold, fpr, tpr) per distinct score, high to low, starting at (+inf, 0, 0)."""
+    rt, P, N = _curve_base(df, y, score)
+    return _roc_from(rt, P, N)
+
+
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Trapezoid area under the ROC curve.
 
     Each score row adds (neg/N) × (tpr_before + tpr_after)/2; no lag window needed.
     """
     rt, P, N = _curve_base(df, y, score)
-    area = F.try_divide(F.col("neg"), F.lit(float(N))) * \
-        F.try_divide(2 * F.col("pos_cum") - F.col("pos"), F.lit(2.0 * P))
-    return rt.agg(F.sum(area).alias("auc"))
+    return _auc_from(rt, P, N)
 
 
 def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, precision, recall) per distinct score plus the end point (null, 1, 0)."""
-    rt, P, N = _curve_base(df, y, score)
-    pts = rt.select("threshold",
-                    (F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
-                    # no positive rows: recall is 1 at every threshold (scikit-learn's rule)
-                    (F.try_divide(F.col("pos_cum"), F.lit(float(P))) if P else F.lit(1.0)).alias("recall"))
-    end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end)
+    rt, P, _ = _curve_base(df, y, score)
+    return _pr_from(rt, P)
 
 
 def pr_summary(df: DataFrame, y: str, score: str) -> DataFrame:
     """``mean_precision`` = plain mean of the curve's precision column (end point
     included) and the usual step-wise ``average_precision``."""
-    rt, P, N = _curve_base(df, y, score)
-    prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
-    return rt.agg(((F.sum(prec) + F.lit(1.0)) / (F.count(F.lit(1)) + F.lit(1))).alias("mean_precision"),
-                  F.sum(prec * F.try_divide(F.col("pos"), F.lit(float(P)))).alias("average_precision"))
+    rt, P, _ = _curve_base(df, y, score)
+    return _pr_summary_from(rt, P)
 
 
 # --------------------------------------------------------------------- regression
@@ -215,8 +235,12 @@ def evaluate_classification(df: DataFrame, y: str, yhat: str, prob: str | None =
     out = {"confusion_matrix": confusion_matrix(df, y, yhat),
            "classification_report": classification_report(df, y, yhat)}
     if is_binary and prob is not None:
-        out.update({"roc": roc_curve(df, y, prob), "auc": auc(df, y, prob),
-                    "pr_curve": pr_curve(df, y, prob), "pr_summary": pr_summary(df, y, prob)})
+        # one (score -> running counts) table, written once, feeds all four curve tables
+        rt, P, N = _curve_base(df, y, prob)
+        checkpoint_dir(df.sparkSession)
+        rt = rt.checkpoint(eager=True)
+        out.update({"roc": _roc_from(rt, P, N), "auc": _auc_from(rt, P, N),
+                    "pr_curve": _pr_from(rt, P), "pr_summary": _pr_summary_from(rt, P)})
     return out
 
 
