@@ -92,16 +92,30 @@ def _maybe_broadcast(df: DataFrame, approx_rows: int) -> DataFrame:
 
 
 def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataFrame:
-    """Add ``_r<i>`` average-rank columns (rows where all ``cols`` are non-null)."""
+    """Add ``_r<i>`` average-rank columns (rows where all ``cols`` are non-null).
+
+    All columns are ranked in one pass: (column, value) counts from one shuffle, running
+    counts ordered by ``struct(column, value)`` (value ranges, no single-task window), and
+    rank = rows before the value in its column + (count + 1) / 2.  Every column has the same
+    number n of complete rows, so the rows before column i are i·n (a scalar subquery).
+    Each column then joins its slice of the one rank table back to the rows.
+    """
     cur = df.select(*[num(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     for i in range(len(cols)):
         cur = cur.where(F.col(f"_v{i}").isNotNull())
-    base = cur
-    for i in range(len(cols)):
-        est = int(approx[cols[i]] * 1.1) + 1
-        ranks = average_ranks(base.select(F.col(f"_v{i}").alias("x")), "x", f"_r{i}", est).drop("c")
-        ranks = _maybe_broadcast(ranks, est)
-        cur = cur.join(ranks, cur[f"_v{i}"] == ranks["value"], "inner").drop("value")
+    long = cur.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(f"_v{i}").alias("v")) for i in range(len(cols))])).alias("s")) \
+        .select("s.ci", "s.v")
+    vc = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("c"))
+    est = {c: int(approx[c] * 1.1) + 1 for c in cols}
+    rt = running_totals(vc.select(F.struct("ci", "v").alias("k"), "ci", "v", "c"), "k", ["c"],
+                        n_rows=sum(est.values()))
+    n = cur.select(F.count(F.lit(1))).scalar()
+    ranks = rt.select("ci", "v", (F.col("c_cum") - F.col("c") - F.col("ci") * n
+                                  + (F.col("c") + 1) / 2.0).alias("rank"))
+    for i, c in enumerate(cols):
+        r = ranks.where(F.col("ci") == i).select(F.col("v").alias(f"_k{i}"), F.col("rank").alias(f"_r{i}"))
+        cur = cur.join(_maybe_broadcast(r, est[c]), F.col(f"_v{i}") == F.col(f"_k{i}"), "inner").drop(f"_k{i}")
     return cur
 
 
