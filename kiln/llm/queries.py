@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kiln.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
+from kiln.llm import (ann, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers,
+                      toxicity, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_url_rules")
+def op1(spark, sf_dir):
+    """One row per page: host, path, fixed rule and verdict."""
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    """One row per document: its toxicity score."""
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op3_mixing")
 def op3(spark, sf_dir):
     """One row per document: what the mix takes of it."""
@@ -40,18 +53,36 @@ def op4(spark, sf_dir):
     return spans.select("doc_id", "spans", "removable", words("spans").alias("repeated_words"), words("removable").alias("removable_words"))
 
 
+@query("op5_posting_lists")
+def op5(spark, sf_dir):
+    """The 20 nearest vectors of each vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_ngram_jaccard")
 def op6(spark, sf_dir):
     """One row per document: the size of its shingle set and its near-duplicate component."""
     return ngram_join.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+@query("op7_syncmers")
+def op7(spark, sf_dir):
+    """One row per document: its fingerprint, and its likeness to an edited and to the next text."""
+    return syncmers.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 @query("op8_packing")
 def op8(spark, sf_dir):
     """One row per piece of a document: its sequence and place."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@query("op9_licences")
+def op9(spark, sf_dir):
+    """One row per paragraph that speaks of a licence: its family, or unknown."""
+    return license_scan.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     """One row per document: its quality score."""
