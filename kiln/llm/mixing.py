@@ -127,7 +127,7 @@ def mixed_blocks(docs: DataFrame, seed: int = 11, most: int = 3, block_words: in
         "row", "doc_id", "size", "src", "source_size", "target", "whole", "rest")
     keyed = stored(keyed, "mix-documents")
 
-    bits = max(0, math.ceil(math.log2(max(1, int(count.sum()) / (1 << 15)))))
+    bits = min(16, max(0, math.ceil(math.log2(max(1, int(count.sum()) / (1 << 11))))))
     cut = (keyed.where("size > 0").select("row", "doc_id", "size", "src", "whole", "rest", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
            .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
            .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))))
