@@ -8,9 +8,9 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their distin
    n-grams form prefixes; any order gives the same links.
 3. The first ``n - ceil(t*n) + 1`` n-grams of each class are dealt out by n-gram and sorted; the
    n-grams that a second class holds too are kept (one pass over a sorted stream).
-4. Links are searched where they can still join two components: first every class against the
-   class of its n-gram that shares most, then every pair of the same n-gram in two different
-   components.  Pairs pass the length filter, the positional filter and the suffix filter (an upper
+4. Links are searched where they can still join two components: each class against the hub
+   of its n-grams (the class that shares most; for long sets an eighth of the n-grams), hubs again
+   where an n-gram still lies in several components, then every pair of one n-gram in two components.  Pairs pass the length filter, the positional filter and the suffix filter (an upper
    bound of the overlap from bucketed counts), and each surviving pair is verified once on whole texts.
 
 Nulls, empty texts: no n-grams, no links.  Fewer words than n: the whole sequence is the one n-gram.
@@ -31,6 +31,7 @@ from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
 BUCKETS = 128
+HUB_SHARE, LONG_SET = 8, 512
 _ROWS = "doc_id long, cls long, n long, sig binary, slots binary, counts binary"
 _TOKENS = "token long, cls long, meta long"
 _U = np.uint64
@@ -52,8 +53,8 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Counts of the set's members by bucket; 65535 means that or more."""
-    return np.minimum(np.bincount((s >> _U(57)).astype(np.int64), minlength=BUCKETS), 65535).astype(np.uint16).tobytes()
+    """Counts of the set's members by bucket; 255 means that or more."""
+    return np.minimum(np.bincount((s >> _U(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -162,9 +163,9 @@ def _suffix_filter(percent: int):
             n1, n2 = (b.column(f).to_numpy() for f in ("n1", "n2"))
             keep = np.ones(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("s1").to_pylist(), b.column("s2").to_pylist())):
-                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
-                if x.max() < 65535 and y.max() < 65535:
-                    most = int(np.minimum(x, y).sum())
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                if x.max() < 255 and y.max() < 255:
+                    most = int(np.minimum(x, y).sum(dtype=np.int64))
                     keep[i] = 100 * most >= percent * (n1[i] + n2[i] - most)
             t = pa.RecordBatch.from_arrays([b.column(f) for f in ("a", "b")], names=["a", "b"])
             yield t.filter(pa.array(keep))
@@ -191,28 +192,62 @@ def _verify(k: int, percent: int):
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that truly link; each pair is checked once, on whole texts."""
-    sig = classes.select("cls", "n", "sig")
-    left = pairs.join(sig.toDF("a", "n1", "s1"), "a").join(sig.toDF("b", "n2", "s2"), "b")
-    likely = stored(left.mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
-    nodes = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(nodes.join(classes, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
+    ends = lambda df: df.select(F.col("a").alias("cls")).unionByName(df.select(F.col("b").alias("cls"))).distinct()
+    pairs = stored(pairs, "pairs")
+    sets, _ = split_by_ids(classes, ends(pairs), "cls")
+    sig = sets.select("cls", "n", "sig")
+    likely = stored(pairs.join(sig.toDF("a", "n1", "s1"), "a").join(sig.toDF("b", "n2", "s2"), "b")
+                    .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
+    wanted = stored(ends(likely).join(sets, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
     maybe, _ = split_by_ids(docs.select("doc_id", "text"), wanted)
-    found = maybe.join(wanted, "doc_id").mapInArrow(_texts_of_class(k), "cls long, text string").dropDuplicates(["cls"])
-    texts = stored(found, "texts")
+    found = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")
+    texts = stored(split_by_ids(found, wanted, "cls")[0], "texts")
+    hubs, _ = split_by_ids(texts, likely.select(F.col("b").alias("cls")), "cls")
     return (likely.join(texts.withColumnRenamed("cls", "a"), "a")
-            .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("hub_text")), "b")
-            .mapInArrow(_verify(k, percent), "a long, b long"))
+            .join(hubs.select(F.col("cls").alias("b"), F.col("text").alias("hub_text")), "b")
+            .mapInArrow(_verify(k, percent), "a long, b long").distinct())
 
 
 def _texts_of_class(k: int):
-    """Among rows that share a doc_id, keep those whose text is of the wanted class."""
+    """(cls, text); copies within a task give theirs once."""
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            keep = [_class_of(s) == c for s, c in zip(_sets(b, k), b.column("cls").to_pylist())]
-            yield b.select(["cls", "text"]).filter(pa.array(keep, pa.bool_()))
+            cls = [_class_of(s) for s in _sets(b, k)]
+            new = [not (c in seen or seen.add(c)) for c in cls]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), b.column("text")], names=["cls", "text"]).filter(pa.array(new, pa.bool_()))
     return run
 
 
+def _parts(rows: DataFrame, n: str, at: str) -> DataFrame:
+    """``meta`` as set size and position."""
+    return rows.withColumn(n, F.shiftright("meta", 32)).withColumn(at, F.col("meta").bitwiseAND((1 << 32) - 1)).drop("meta")
+
+
+def _edges(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for ``rows`` (token, cls, meta, root): each class with the class of each of its
+    n-grams that shares most with others, if that one is in another component."""
+    sizes = rows.groupBy("token").agg(F.count("*").alias("m"))
+    weight = rows.join(sizes, "token").groupBy("cls").agg(F.sum(F.col("m") - 1).alias("w"))
+    ranked = stored(rows.join(weight, "cls"), "ranked")
+    hub = ranked.groupBy("token").agg(F.max(F.struct("w", "cls", "meta", "root")).alias("h")).select(
+        "token", F.col("h.cls").alias("b"), F.col("h.meta").alias("meta"), F.col("h.root").alias("r2"))
+    pairs = _parts(ranked.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1").join(_parts(hub, "n2", "p2"), "token")
+    return _bounded(pairs.where("a <> b and r1 <> r2"), percent).select("a", "b").distinct()
+
+
+def _in_several(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(token, cls, meta, root) of the n-grams whose classes lie in several components."""
+    placed = (shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+              .repartition("token"))                         # the next two lines share this exchange
+    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return placed.join(mixed, "token").select("token", "cls", "meta", "root")
+
+
 def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, cls, n_shingles; roots: cls, root) for ``docs`` (doc_id, text).
 
@@ -226,31 +261,28 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple
     sketch = _sketch_sums(rows)
     tokens = docs.mapInArrow(_prefix_rows(n, percent, sketch), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
-    shared = stored(tokens.mapInArrow(_shared_tokens, _TOKENS)
-                    .join(classes.select("cls"), "cls", "left_semi"), "shared-tokens")
-    shared = shared.select("token", "cls", F.shiftright("meta", 32).alias("n"), F.col("meta").bitwiseAND((1 << 32) - 1).alias("p"))
-
-    # round 1: each class with the hub of each of its shared n-grams
-    sizes = shared.groupBy("token").agg(F.count("*").alias("m"))
-    weight = shared.join(sizes, "token").groupBy("cls").agg(F.sum(F.col("m") - 1).alias("w"))
-    ranked = stored(shared.join(weight, "cls"), "ranked")
-    hub = ranked.groupBy("token").agg(F.max(F.struct("w", "cls", "n", "p")).alias("h")).select(
-        "token", F.col("h.cls").alias("b"), F.col("h.n").alias("n2"), F.col("h.p").alias("p2"))
-    star = ranked.select("token", F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1")).join(hub, "token").where("a <> b")
-    star = stored(_bounded(star, percent).select("a", "b").distinct(), "hub-pairs")
-    links = stored(_links(docs, classes, star, n, percent), "hub-links")
-    comp = stored(components(links), "hub-components")
-
-    # round 2: all pairs of one n-gram that lie in different components and were not tried yet
-    placed = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_ = stored(placed.join(mixed, "token"), "open-tokens")
-    x = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("root").alias("r1"))
-    y = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("root").alias("r2"))
-    more = _bounded(x.join(y, "token").where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)"), percent).select("a", "b").distinct()
+    shared = stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
+
+    # round 1, on an eighth of the n-grams of long sets: each class with the hub of each of its n-grams
+    long_set = F.shiftright("meta", 32) >= LONG_SET
+    some = shared.where(~long_set | (F.pmod("token", F.lit(HUB_SHARE)) == 0)).withColumn("root", F.col("cls"))
+    star = stored(_hub_pairs(some, percent), "hub-pairs")
+    comp = stored(components(_links(docs, classes, star, n, percent)), "hub-components")
+
+    # round 2: the hubs of the n-grams that still lie in several components
+    open_ = stored(_in_several(shared, comp), "open-tokens")
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(_links(docs, classes, stored(more.join(tried, ["a", "b"], "left_anti"), "open-pairs"), n, percent), "open-links")
-    both = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    again = stored(_hub_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
+    comp = stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent))), "hub-components-2")
+
+    # round 3: all pairs of one n-gram that lie in different components and were not tried yet
+    open_ = stored(_in_several(open_.drop("root"), comp), "open-tokens-2")
+    x = _parts(open_.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1")
+    y = _parts(open_.withColumnsRenamed({"cls": "b", "root": "r2"}), "n2", "p2")
+    more = _bounded(x.join(y, "token").where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)"), percent).select("a", "b").distinct()
+    tried = tried.unionByName(again).unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = _links(docs, classes, more.join(tried, ["a", "b"], "left_anti"), n, percent)
+    both = components(_edges(comp).unionByName(rest))
     reps = classes.select("cls", "rep")
     named = both.join(reps, both.node == reps.cls)
     roots = named.groupBy("root").agg(F.min("rep").alias("doc")).join(named.select("cls", "root"), "root").select("cls", F.col("doc").alias("root"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kiln.session import checkpoint_dir, scratch_path
 
-ID_SLOTS = 1 << 18
+ID_SLOTS = 1 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def frozen(df: DataFrame) -> DataFrame:
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among ``ids``, rows whose key surely is not).
 
-    The keys are hashed to at most 2**18 slots, so the broadcast side never exceeds that many
+    The keys are hashed to at most 2**20 slots, so the broadcast side never exceeds that many
     longs; a caller joins the first part exactly.  It only keeps texts out of a shuffle."""
     slot = F.pmod(F.xxhash64(key), F.lit(ID_SLOTS))
     slots = ids.select(slot.alias("_slot")).distinct()
