@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.llm.shared import stored
+from kiln.llm.shared import renamed, stored
 from kiln.llm.words import blocks, buffers
 
 WEIGHTS = (5, 2, 1)
@@ -206,9 +206,12 @@ def _cut_blocks(block_words: int):
 def mix_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as rows of ``docs``: a row for each whole time a document is taken, and one with the
     blocks of it that the last pass takes (``n_chars``, where present, is counted anew)."""
+    docs, own_names = renamed(docs)
     _, taken = mixed_blocks(docs, seed, block_words=block_words)
     plan = taken.groupBy("row").agg(F.max(F.when(F.col("whole"), F.col("pass") + 1).otherwise(0)).alias("_whole"),
                                     F.collect_list(F.when(~F.col("whole"), F.col("block"))).alias("_blocks"))
     rows = docs.withColumn("row", F.monotonically_increasing_id()).join(plan, "row").select(*docs.columns, "_whole", "_blocks")
     out = rows.mapInArrow(_cut_blocks(block_words), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*own_names)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import components, repeated, split_by_ids, stored
+from kiln.llm.shared import components, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
@@ -299,7 +299,8 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75) ->
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` without the near duplicates: the row of the smallest doc_id of each component stays.
     Documents without words, and rows that repeat the kept doc_id, stay."""
+    docs, own_names = renamed(docs)
     comp = near_duplicate_components(docs, n, percent)
     dropped = stored(comp.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "dropped")
     maybe, sure = split_by_ids(docs, dropped)
-    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti"))
+    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*docs.columns)).toDF(*own_names)

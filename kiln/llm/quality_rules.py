@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kiln.llm.shared import split_by_ids, stored
+from kiln.llm.shared import renamed, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
 
 STATISTICS = ["n_words", "word_length", "longest_word", "distinct_words", "top_word", "same_as_previous",
@@ -188,7 +188,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; the model learns from ``docs``."""
+    docs, own_names = renamed(docs)
     learn = labels_of(labels, "quality")
     maybe, _ = split_by_ids(docs, learn)                     # quality_model joins exactly
     score = quality_model(stored(with_statistics(maybe, ["doc_id"]), "statistics"), labels).score()
-    return with_statistics(docs, [*docs.columns]).where(score >= 0.5).select(*docs.columns)
+    return with_statistics(docs, [*docs.columns]).where(score >= 0.5).select(*docs.columns).toDF(*own_names)

@@ -28,6 +28,13 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(``docs`` with plain names for all columns but those the operators read, its own names), so
+    that no further column clashes with an operator's."""
+    read = ("doc_id", "text", "source", "n_chars")
+    return docs.toDF(*[c if c in read else f"column{i}" for i, c in enumerate(docs.columns)]), docs.columns
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among ``ids``, rows whose key surely is not).
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import repeated, split_by_ids, stored
+from kiln.llm.shared import renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
 
 MIN_WORDS, HEAD = 50, 16
@@ -206,6 +206,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
 
     ``n_chars``, where present, is counted anew; a document of which nothing but white space is left
     goes.  Documents without repeats keep their text byte for byte."""
+    docs, own_names = renamed(docs)
     spans = repeated_spans(docs, min_words, head).where(F.size("removable") > 0).select("doc_id", "removable")
     maybe, sure = split_by_ids(docs, spans)
     names = docs.columns
@@ -214,4 +215,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
     cut = hit.mapInArrow(_cut, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return sure.select(*names).unionByName(plain).unionByName(cut.select(*names))
+    return sure.select(*names).unionByName(plain).unionByName(cut.select(*names)).toDF(*own_names)
