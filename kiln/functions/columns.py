@@ -23,6 +23,13 @@ def num(name: str) -> Column:
     return F.nanvl(qcol(name).cast("double"), F.lit(None).cast("double"))
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Whether a cell is missing: NULL, or NaN in a float column."""
+    c = qcol(name)
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return c.isNull() | F.isnan(c) if floating else c.isNull()
+
+
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 

@@ -37,17 +37,6 @@ def _long_matrix(spark, cols: list[str], pair_vals: dict[tuple[str, str], float
     return spark.createDataFrame(rows, "column_a string, column_b string, corr double")
 
 
-def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], cols: list[str]):
-    """corr for all pairs and a 1.0/null diagonal (null for constant columns), one aggregate."""
-    aggs = [F.corr(num(a), num(b)).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)]
-    aggs += [F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    r = df.agg(*aggs).collect()[0]
-    vals = {p: r[f"p{i}"] for i, p in enumerate(pairs)}
-    diag = {c: (1.0 if r[f"s{i}"] else None) for i, c in enumerate(cols)}
-    return vals, diag
-
-
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every pair in one aggregate (``corr`` skips rows where either value is null),
     unpivoted to the full long matrix; the diagonal is 1, or NULL for a constant column."""
@@ -127,7 +116,7 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     aggregates, so Spark schedules all pairs within a single job.
     """
     spark = df.sparkSession
-    pre = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)],
+    pre = df.agg(*[F.max(num(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)],
                  *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)],
                  *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(columns)]
                  ).collect()[0]

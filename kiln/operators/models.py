@@ -20,7 +20,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.functions.columns import qcol
+from kiln.functions.columns import is_missing, qcol
 from kiln.operators import knn as knn_op
 from kiln.operators.prep import Rule, apply_rules
 from kiln.operators.profile import feature_target
@@ -57,7 +57,7 @@ class TrainedModel:
                 k=int(self.params.get("n_neighbors", 5)), weights=self.params.get("weights", "uniform"),
                 task="regression" if self.problem == "regression" else "classification")
             return q.join(pred, "_row_id", "left").drop("_row_id")     # rows without a vector keep NULL
-        out = self.pipeline.transform(df)
+        out = self.pipeline.transform(_with_inputs(df, self.features)).drop(*_inputs(self.features))
         if "probability" in out.columns and self.problem == "binary":
             out = out.withColumn("p1", F.element_at(vector_to_array("probability"), 2))
         classes = self.params.get("_classes")
@@ -68,20 +68,45 @@ class TrainedModel:
         return out
 
 
+def _inputs(features: list[str]) -> list[str]:
+    return [f"_feature{i}" for i in range(len(features))]
+
+
+def _with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
+    """Features under plain names: Spark ML reads a dot in a column name as a nested field."""
+    return df.select("*", *[qcol(c).alias(i) for c, i in zip(features, _inputs(features))])
+
+
 def _reg_for_c(c: float, n: int) -> float:
     return 1.0 / (c * n)
 
 
+_TREE = {"max_depth", "min_samples_leaf", "min_samples_split", "random_state"}
+# The parameters each model takes; any other name is an error.
+PARAMETERS = {
+    "random_forest": _TREE | {"n_estimators", "max_bins"}, "gradient_boosting": _TREE | {"n_estimators", "learning_rate"},
+    "decision_tree": _TREE, "linear_regression": set(), "ridge": {"alpha"}, "lasso": {"alpha", "max_iter"},
+    "logistic_regression": {"C", "max_iter"}, "svm": {"C", "kernel", "max_iter"},
+    "neural_network": {"hidden_dims", "max_iter", "random_state"},
+}
+
+
 def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: float | None = None,
                      n_features: int | None = None, n_classes: int | None = None, **p):
     """Spark ML estimator for one of MODEL_TYPES with the reference's parameter names."""
     if problem not in PROBLEMS:
         raise ValueError(f"problem must be one of {PROBLEMS}")
+    unknown = set(p) - PARAMETERS.get(model_type, set(p))
+    if unknown:
+        raise ValueError(f"{model_type} has no parameter " + ", ".join(sorted(unknown)))
+    if int(p.get("min_samples_split", 2)) != 2:
+        raise ValueError("Spark's trees split any node of 2 rows; use min_samples_leaf to bound nodes")
     cls = problem != "regression"
     common = dict(featuresCol="features", labelCol="label")
     if model_type == "random_forest":
         kw = dict(numTrees=int(p.get("n_estimators", 100)),
-                  maxDepth=int(p.get("max_depth") or DEFAULT_MAX_DEPTH),
+                  maxDepth=int(p.get("max_depth") or DEFAULT_MAX_DEPTH), maxBins=int(p.get("max_bins", 32)),
+                  featureSubsetStrategy="auto" if cls else "all",
                   minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=int(p.get("random_state", 42)))
         return RandomForestClassifier(**common, **kw) if cls else RandomForestRegressor(**common, **kw)
     if model_type == "gradient_boosting":
@@ -159,7 +184,7 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
     """Fit on ``df`` (already the training rows).  Features must be numeric (checked on the schema)."""
     data = feature_target(df, target, features).where(qcol(target).isNotNull())
     data = data.withColumn("label", _label(data, target, problem))
-    nulls = data.agg(*[F.sum(qcol(c).isNull().cast("long")).alias(f"null{i}")
+    nulls = data.agg(*[F.sum(is_missing(data, c).cast("long")).alias(f"null{i}")
                        for i, c in enumerate(features)]).collect()[0]
     missing = [c for i, c in enumerate(features) if nulls[f"null{i}"]]
     if missing:
@@ -188,8 +213,8 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
                            n_classes=int(stats["m"]) + 1 if problem != "regression" else None,
                            **{k: v for k, v in params.items() if not k.startswith("_")})
     # "error": a row with a missing feature fails loudly at scoring instead of being dropped
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    pm = Pipeline(stages=[asm, est]).fit(data)
+    asm = VectorAssembler(inputCols=_inputs(features), outputCol="features", handleInvalid="error")
+    pm = Pipeline(stages=[asm, est]).fit(_with_inputs(data, features))
     return TrainedModel(model_type, problem, list(features), target, pipeline=pm, params=params)
 
 

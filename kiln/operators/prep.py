@@ -296,7 +296,7 @@ def _keep(r: Rule, e: Column) -> Column | None:
         if q1 is None:
             return None
         out = (x < F.lit(q1 - k * iqr)) | (x > F.lit(q3 + k * iqr))
-        return e.isNull() | ~out
+        return x.isNull() | ~out
     raise ValueError(f"not a filter rule: {r.kind}")
 
 
@@ -363,7 +363,7 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
             types.pop(r.column)
             for name, e, t in out:
                 if name in exprs:
-                    cols.remove(name)
+                    raise ValueError(f"one-hot of {r.column!r} would replace the column {name!r}; rename one of them")
                 cols.append(name)
                 exprs[name] = e
                 types[name] = t

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from kiln.functions.columns import (categorical_columns, fixed_width, key_hash, num, numeric_columns,
+from kiln.functions.columns import (is_missing, categorical_columns, fixed_width, key_hash, num, numeric_columns,
                                     qcol)
 from kiln.operators import stats
 
@@ -34,7 +34,7 @@ def select_categorical(df: DataFrame) -> DataFrame:
 def columns_with_nulls(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     """Columns holding at least one null (one aggregate over all columns)."""
     cols = columns or df.columns
-    row = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"c{i}")
+    row = df.agg(*[F.max(is_missing(df, c).cast("int")).alias(f"c{i}")
                    for i, c in enumerate(cols)]).collect()[0]
     return [c for i, c in enumerate(cols) if row[f"c{i}"] == 1]
 
@@ -42,7 +42,7 @@ def columns_with_nulls(df: DataFrame, columns: list[str] | None = None) -> list[
 def null_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """P2 as a table: (column) for every column holding a null — one aggregate, then unpivot."""
     cols = columns or df.columns
-    wide = df.agg(*[F.max(qcol(c).isNull().cast("int")).alias(f"c{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[F.max(is_missing(df, c).cast("int")).alias(f"c{i}") for i, c in enumerate(cols)])
     long = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("has_null")) for i, c in enumerate(cols)]))
         .alias("s"))
@@ -59,7 +59,7 @@ def table_summary(df: DataFrame) -> DataFrame:
     joined by ', ', types sorted) and null cells — one aggregate."""
     num_cols, cat = numeric_columns(df), categorical_columns(df)
     per_type = ", ".join(f"{t}:{n}" for t, n in sorted(columns_per_type(df).items()))
-    nulls = [F.sum(qcol(c).isNull().cast("long")) for c in df.columns]
+    nulls = [F.sum(is_missing(df, c).cast("long")) for c in df.columns]
     total_nulls = nulls[0] if len(nulls) == 1 else sum(nulls[1:], nulls[0])
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -128,7 +128,7 @@ def missing_by_column(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """A4: null count and percent of rows per column (one aggregate, then unpivot)."""
     cols = columns or df.columns
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.sum(qcol(c).isNull().cast("long")).alias(f"c{i}") for i, c in enumerate(cols)])
+                  *[F.sum(is_missing(df, c).cast("long")).alias(f"c{i}") for i, c in enumerate(cols)])
     long = wide.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("n_missing"))
         for i, c in enumerate(cols)])).alias("s"))
@@ -154,13 +154,13 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None,
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(NO_MISSING).alias("pattern"), "n_rows")
     if len(cols) > 62:
-        label = F.concat_ws(", ", *[F.when(qcol(c).isNull(), F.lit(c)) for c in cols])
+        label = F.concat_ws(", ", *[F.when(is_missing(df, c), F.lit(c)) for c in cols])
         pattern = F.when(label == "", F.lit(NO_MISSING)).otherwise(label)
         return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows")) \
             .orderBy(F.desc("n_rows"), "pattern")
     # Group on a bitmask of null flags (one long per row); build the text label only for
     # the few aggregated patterns.
-    mask = sum((F.when(qcol(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    mask = sum((F.when(is_missing(df, c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
                 for i, c in enumerate(cols)), F.lit(0).cast("long"))
     counts = df.groupBy(mask.alias("_mask")).agg(F.count(F.lit(1)).alias("n_rows"))
     label = F.concat_ws(", ", *[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c))
@@ -278,7 +278,7 @@ def profile_table(df: DataFrame, correlation: str = "pearson",
     cat = categorical_columns(df)
     fields = [f for f in df.schema.fields if _bytes_expr(f) is not None]
     aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(qcol(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(is_missing(df, c).cast("long")).alias(f"z{i}") for i, c in enumerate(cols)]
     aggs += [F.coalesce(_bytes_expr(f), F.lit(0)).cast("long").alias(f"b{i}") for i, f in enumerate(fields)]
     for i, c in enumerate(num_cols):
         x = num(c)

@@ -167,7 +167,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
         return out
     types = {f.name: f.dataType for f in df.schema.fields}
     families = {
-        "double": [c for c in columns if isinstance(types[c], T.NumericType)],
+        "bigint": [c for c in columns if isinstance(types[c], T.IntegralType)],      # exact beyond 2**53
+        "double": [c for c in columns if isinstance(types[c], T.NumericType) and not isinstance(types[c], T.IntegralType)],
         "string": [c for c in columns if not isinstance(types[c], T.NumericType)],
     }
     for cast, cols in families.items():

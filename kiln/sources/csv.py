@@ -30,6 +30,10 @@ def _bool(c: Column) -> Column:
     return F.when(c.isin(TRUE_TOKENS), F.lit(True)).when(c.isin(FALSE_TOKENS), F.lit(False))
 
 
+# The text that pandas reads as a number (Java's casts also take a trailing d or f).
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)$"
+
+
 def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str, str]:
     """Type per text column, from one aggregate counting which casts succeed."""
     aggs = []
@@ -37,7 +41,7 @@ def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str
         v = _clean(qcol(c), tokens)
         t = F.trim(v)
         aggs += [F.count(v).alias(f"n{i}"), F.count(t.try_cast("bigint")).alias(f"l{i}"),
-                 F.count(t.try_cast("double")).alias(f"d{i}"), F.count(_bool(t)).alias(f"b{i}")]
+                 F.count(F.when(t.rlike(_NUMBER), t.try_cast("double"))).alias(f"d{i}"), F.count(_bool(t)).alias(f"b{i}")]
     r = df.agg(*aggs).collect()[0]
     out = {}
     for i, c in enumerate(df.columns):
@@ -56,9 +60,13 @@ def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str
 
 
 def read_csv_typed(spark: SparkSession, path: str, tokens: list[str] = PANDAS_NA_TOKENS,
-                   types: dict[str, str] | None = None, **options) -> DataFrame:
-    """Read CSV with a header; missing tokens -> NULL; one type per column (see module doc)."""
+                   types: dict[str, str] | None = None, multi_line: bool = True, **options) -> DataFrame:
+    """Read CSV with a header; missing tokens -> NULL; one type per column (see module doc).
+
+    Quotes are doubled inside quoted fields (RFC 4180).  ``multi_line`` reads quoted line breaks;
+    turn it off for files known to have none, so that Spark can split large files."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", None).option("emptyValue", "").options(**options).csv(path))
     raw = raw.select(*[_clean(qcol(c), tokens).alias(c) for c in raw.columns])
     types = types or infer_types(raw, tokens)
@@ -81,5 +89,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
         F.when(qcol(f.name), F.lit("True")).when(~qcol(f.name), F.lit("False")).alias(f.name)
         if f.dataType.simpleString() == "boolean" else qcol(f.name)
         for f in df.schema.fields])
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path

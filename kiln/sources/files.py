@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kiln.session import run_concurrently
 from kiln.sources.csv import read_csv_typed
 
 # Extensions the listing keeps, and the format each stands for.
@@ -19,7 +20,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", "length", F.col("modificationTime").alias("modification_time")))
     prefix = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + prefix.replace(".", r"\.") + "/", "")
+    at = F.instr(F.col("path"), prefix + "/")            # the root is text here, not a pattern
+    rel = F.when(at > 0, F.substr(F.col("path"), at + F.lit(len(prefix) + 1))).otherwise(F.col("path"))
     name = F.element_at(F.split(rel, "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     fmt = (F.when(ext.isin(DATA_EXTENSIONS), F.lit("data"))
@@ -31,35 +33,43 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rows_per_file(spark: SparkSession, root: str) -> DataFrame:
-    """S3 for same-schema CSV files: one scan of all of them, rows counted per source file."""
-    df = (spark.read.option("header", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.[cC][sS][vV]").csv(root))
-    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-# One DataFrame per file only makes sense for a modest number of files.
-MAX_FILES = 10_000
+    """S3 for same-schema CSV files: one scan of all of them, rows counted per source file; a file
+    with a header only has 0."""
+    df = (spark.read.option("header", True).option("recursiveFileLookup", True).option("quote", '"').option("escape", '"')
+          .option("multiLine", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(root))
+    counts = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    # the listing has plain paths, the scan's metadata has URIs
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    decoded = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+    listed = list_files(spark, root).where(F.col("extension") == ".csv").select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("listed"), plain(F.col("path")).alias("_key"))
+    return (listed.join(counts.withColumn("_key", plain(decoded)), "_key", "left")
+            .select(F.coalesce("path", "listed").alias("path"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
 
 
 def load_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """S3 for files with different schemas: relative path -> lazily typed DataFrame.
 
-    Only the listing is collected (one row per file, at most MAX_FILES; same-schema
+    Only the listing is collected (one row per file, as each becomes a DataFrame; same-schema
     directories of any size go through ``rows_per_file`` / one ``read_csv_typed`` instead).
     A file that fails type inference is reported in the ``__errors__`` entry and skipped.
     """
     out: dict[str, DataFrame] = {}
     errors = {}
     listing = list_files(spark, root).where(F.col("extension") == ".csv").select(
-        "path", "relative_path").limit(MAX_FILES + 1).collect()
-    if len(listing) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} CSV files below {root}; read them as one table "
-                         "(read_csv_typed on the folder) or count them with rows_per_file")
-    for r in listing:
+        "path", "relative_path").collect()
+
+    def read(r):
         try:
-            out[r["relative_path"]] = read_csv_typed(spark, r["path"])
+            return r["relative_path"], read_csv_typed(spark, r["path"]), None
         except Exception as e:  # noqa: BLE001 — reported, not hidden
-            errors[r["relative_path"]] = str(e)[:200]
+            return r["relative_path"], None, str(e)
+
+    for name, df, error in run_concurrently(read, listing):
+        if error is None:
+            out[name] = df
+        else:
+            errors[name] = error
     if errors:
         out["__errors__"] = spark.createDataFrame(list(errors.items()), "path string, error string")
     return out
