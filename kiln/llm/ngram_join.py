@@ -228,24 +228,49 @@ def _edges(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _against_first(percent: int):
+    """(a, b): the rows of one n-gram, which follow each other, each with the n-gram's first row (its
+    hub), if both lie in different components and pass the length and positional filters."""
+    def run(batches):
+        hub = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(f).to_numpy() for f in ("token", "cls", "meta", "root")])
+            token = rows[0]
+            if hub is None or token[0] != hub[0]:
+                hub = rows[:, 0]
+            new = np.flatnonzero(token[1:] != token[:-1]) + 1
+            hubs = np.repeat(np.column_stack([hub, rows[:, new]]), np.diff(np.concatenate(([0], new, [len(token)]))), axis=1)
+            hub = hubs[:, -1]
+            n1, n2 = rows[2] >> 32, hubs[2] >> 32
+            rest = np.minimum(n1 - (rows[2] & 0xFFFFFFFF), n2 - (hubs[2] & 0xFFFFFFFF))
+            keep = ((rows[1] != hubs[1]) & (rows[3] != hubs[3]) & (rest >= -(-(n1 + n2) * percent // (100 + percent)))
+                    & (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent))
+            pairs = np.unique(np.stack([rows[1][keep], hubs[1][keep]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    return run
+
+
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for ``rows`` (token, cls, meta, root): each class with the class of each of its
-    n-grams that shares most with others, if that one is in another component."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("m"))
-    weight = rows.join(sizes, "token").groupBy("cls").agg(F.sum(F.col("m") - 1).alias("w"))
-    ranked = stored(rows.join(weight, "cls"), "ranked")
-    hub = ranked.groupBy("token").agg(F.max(F.struct("w", "cls", "meta", "root")).alias("h")).select(
-        "token", F.col("h.cls").alias("b"), F.col("h.meta").alias("meta"), F.col("h.root").alias("r2"))
-    pairs = _parts(ranked.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1").join(_parts(hub, "n2", "p2"), "token")
-    return _bounded(pairs.where("a <> b and r1 <> r2"), percent).select("a", "b").distinct()
+    return rows.select("token", "cls", "meta", "root").mapInArrow(_against_first(percent), "a long, b long").distinct()
 
 
-def _in_several(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(token, cls, meta, root) of the n-grams whose classes lie in several components."""
-    placed = (shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-              .repartition("token"))                         # the next two lines share this exchange
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return placed.join(mixed, "token").select("token", "cls", "meta", "root")
+def _placed(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """``shared`` with the component of each class."""
+    return (shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+            .select("token", "cls", "meta", F.coalesce("root", "cls").alias("root")))
+
+
+def _several_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of n-grams whose classes lie in several components, from rows sorted by (token, root)."""
+    names = ["token", "cls", "meta", "root"]
+
+    def flat(bs):
+        for b in bs:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int64))], names=[*names, "sub"])
+    for rows in repeated(flat(batches), ("token", "sub"), "root"):
+        yield pa.RecordBatch.from_arrays([pa.array(rows[f]) for f in names], names=names)
 
 
 def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -263,20 +288,23 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
     shared = stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
 
-    # round 1, on an eighth of the n-grams of long sets: each class with the hub of each of its n-grams
+    # round 1, on an eighth of the n-grams of long sets: each class with the first class of each of its
+    # n-grams.  The files hold an n-gram's rows together; a file read in two splits makes two hubs of one.
     long_set = F.shiftright("meta", 32) >= LONG_SET
     some = shared.where(~long_set | (F.pmod("token", F.lit(HUB_SHARE)) == 0)).withColumn("root", F.col("cls"))
     star = stored(_hub_pairs(some, percent), "hub-pairs")
     comp = stored(components(_links(docs, classes, star, n, percent)), "hub-components")
 
-    # round 2: the hubs of the n-grams that still lie in several components
-    open_ = stored(_in_several(shared, comp), "open-tokens")
+    # round 2: where an n-gram still lies in several components, with its class that shares most n-grams
+    weight = shared.groupBy("cls").agg(F.count("*").alias("w"))
+    ranked = _placed(shared, comp).join(weight, "cls").repartition("token").sortWithinPartitions("token", F.desc("w"), "cls")
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    again = stored(_hub_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
+    again = stored(_hub_pairs(ranked, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
     comp = stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent))), "hub-components-2")
 
     # round 3: all pairs of one n-gram that lie in different components and were not tried yet
-    open_ = stored(_in_several(open_.drop("root"), comp), "open-tokens-2")
+    placed = _placed(shared, comp).repartition("token").sortWithinPartitions("token", "root")
+    open_ = stored(placed.mapInArrow(_several_roots, _TOKENS + ", root long"), "open-tokens")
     x = _parts(open_.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1")
     y = _parts(open_.withColumnsRenamed({"cls": "b", "root": "r2"}), "n2", "p2")
     more = _bounded(x.join(y, "token").where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)"), percent).select("a", "b").distinct()
