@@ -201,7 +201,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     wanted = stored(ends(likely).join(sets, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
     maybe, _ = split_by_ids(docs.select("doc_id", "text"), wanted)
     found = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")
-    texts = stored(split_by_ids(found, wanted, "cls")[0], "texts")
+    texts, _ = split_by_ids(found, wanted, "cls")            # read once a side: cheaper than writing all texts
     hubs, _ = split_by_ids(texts, likely.select(F.col("b").alias("cls")), "cls")
     return (likely.join(texts.withColumnRenamed("cls", "a"), "a")
             .join(hubs.select(F.col("cls").alias("b"), F.col("text").alias("hub_text")), "b")
