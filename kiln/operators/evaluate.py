@@ -14,11 +14,6 @@ from kiln.functions.scores import argmax, bce_with_logits, cross_entropy_logits,
 from kiln.operators.ordered import running_totals
 from kiln.session import checkpoint_dir
 
-# Confusion matrices are k x k; refuse label sets that make the table unreasonably wide.
-MAX_CLASSES = 10_000
-# Up to this many classes (10^6 cells) the cell counts are broadcast into the grid join.
-BROADCAST_CLASSES = 1_000
-
 
 # ----------------------------------------------------------------------- predictions
 def predict_binary(z: Column) -> Column:
@@ -42,31 +37,22 @@ def accuracy(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.agg(F.avg((qcol(y) == qcol(yhat)).cast("double")).alias("accuracy"))
 
 
-def _labels(df: DataFrame, y: str, yhat: str) -> list:
-    labels = (df.select(qcol(y).alias("l")).union(df.select(qcol(yhat).alias("l")))
-              .where(F.col("l").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct labels")
-    return sorted(r[0] for r in labels)
+def _cells(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """Counts of the (y_true, y_pred) cells that occur."""
+    return df.groupBy(qcol(y).alias("y_true"), qcol(yhat).alias("y_pred")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """(y_true, y_pred, count) over the sorted union of labels, zero cells included.
 
-    Counting is one partially aggregated shuffle; the k x k zero grid is generated from the
-    (bounded) label list, not joined.
+    Counting is one partially aggregated shuffle.  Each label's row of the k x k zero grid is
+    generated from one sorted array of all labels, in the task that holds the label.
     """
-    labels = _labels(df, y, yhat)
-    counts = df.groupBy(qcol(y).alias("y_true"), qcol(yhat).alias("y_pred")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    lab = F.array(*[F.lit(v) for v in labels])
-    k = len(labels)
-    # the k x k grid is generated in slices: about 100 true labels (100 k rows) per task
-    grid = df.sparkSession.range(0, k, 1, max(1, k // 100)).select(
-        F.element_at(lab, F.col("id").cast("int") + 1).alias("y_true")) \
-        .select("y_true", F.explode(lab).alias("y_pred"))
-    # the non-zero cells are at most k^2 rows: broadcast only while that is bounded
-    counts = F.broadcast(counts) if len(labels) <= BROADCAST_CLASSES else counts
+    counts = _cells(df, y, yhat)
+    labels = (counts.select(F.col("y_true").alias("l")).union(counts.select(F.col("y_pred").alias("l")))
+              .where(F.col("l").isNotNull()).distinct())
+    every = labels.agg(F.array_sort(F.collect_set("l"))).scalar()
+    grid = labels.withColumn("all", every).select(F.col("l").alias("y_true"), F.explode("all").alias("y_pred"))
     out = grid.join(counts, ["y_true", "y_pred"], "left")
     return out.select("y_true", "y_pred", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
@@ -76,12 +62,15 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
     0/0 is 0.  Class rows are labelled by the class value as text.
     """
-    cm = confusion_matrix(df, y, yhat)
-    per = cm.groupBy(F.col("y_true").alias("c")).agg(
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum("count").alias("support"))
-    pred = cm.groupBy(F.col("y_pred").alias("c")).agg(F.sum("count").alias("npred"))
-    t = per.join(pred, "c")
+    counts = _cells(df, y, yhat)
+    # a row with one label missing names a class but is not counted
+    seen = F.when(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull(), F.col("count")).otherwise(F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), seen).otherwise(none)
+    t = (counts.select(F.col("y_true").alias("c"), hit.alias("tp"), seen.alias("support"), none.alias("npred"))
+         .union(counts.select(F.col("y_pred").alias("c"), none.alias("tp"), none.alias("support"), seen.alias("npred")))
+         .where(F.col("c").isNotNull()).groupBy("c")
+         .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("npred").alias("npred")))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     t = t.select(F.col("c").cast("string").alias("label"), prec.alias("precision"), rec.alias("recall"),

@@ -166,15 +166,9 @@ def _label(df: DataFrame, target: str, problem: str):
     return t.cast("int").cast("double") if problem != "regression" else t.cast("double")
 
 
-MAX_CLASSES = 10_000
-
-
 def _class_index(data: DataFrame, target: str) -> list[int] | None:
-    """Sorted class values when they are not already 0..k-1 (Spark's classifiers need that)."""
-    vals = [r[0] for r in data.select(qcol(target).cast("int")).distinct()
-            .limit(MAX_CLASSES + 1).collect() if r[0] is not None]
-    if len(vals) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {target!r}")
+    """Sorted class values (a model holds parameters for each) when they are not already 0..k-1 (Spark's classifiers need that)."""
+    vals = [r[0] for r in data.select(qcol(target).cast("int")).distinct().collect() if r[0] is not None]
     vals.sort()
     return None if vals == list(range(len(vals))) else vals
 

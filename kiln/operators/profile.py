@@ -225,12 +225,10 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
 def scatter_sample(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
     """``n`` rows chosen by md5(key#seed) order — exact size, stable under repartition.
 
-    A top-k per task and one bounded merge; ``n=None`` or 0 keeps every row.
+    A top-k per task and one merge of n rows a task; ``n=None`` or 0 keeps every row.
     """
     if not n:
         return df
-    if n > 5_000_000:
-        raise ValueError("scatter_sample is a bounded top-k; n must be <= 5,000,000")
     h = key_hash(qcol(key), seed)
     return df.orderBy(h, qcol(key)).limit(n)
 

@@ -92,11 +92,11 @@ def _register_model(name, model_type, problem, **params):
 
 
 # L1-L3 (classification and regression), L4-L8, L10 — rows-only checks (iterative fits).
-_register_model("model_random_forest_cls", "random_forest", "multiclass", n_estimators=20)
-_register_model("model_random_forest_reg", "random_forest", "regression", n_estimators=20)
-_register_model("model_gbt_binary", "gradient_boosting", "binary", n_estimators=20)
+_register_model("model_random_forest_cls", "random_forest", "multiclass", n_estimators=100)
+_register_model("model_random_forest_reg", "random_forest", "regression", n_estimators=100)
+_register_model("model_gbt_binary", "gradient_boosting", "binary", n_estimators=100)
 _register_model("model_gbt_multiclass", "gradient_boosting", "multiclass", n_estimators=10)
-_register_model("model_gbt_reg", "gradient_boosting", "regression", n_estimators=20)
+_register_model("model_gbt_reg", "gradient_boosting", "regression", n_estimators=100)
 _register_model("model_decision_tree_cls", "decision_tree", "multiclass")
 _register_model("model_decision_tree_reg", "decision_tree", "regression")
 _register_model("model_lasso", "lasso", "regression", alpha=1.0)
@@ -104,7 +104,7 @@ _register_model("model_logistic_binary", "logistic_regression", "binary", C=1.0)
 _register_model("model_logistic_multiclass", "logistic_regression", "multiclass", C=1.0)
 _register_model("model_svm_binary", "svm", "binary", C=1.0, kernel="linear")
 _register_model("model_svm_multiclass", "svm", "multiclass", C=1.0, kernel="linear")
-_register_model("model_neural_network", "neural_network", "multiclass", hidden_dims=[32, 16], max_iter=50)
+_register_model("model_neural_network", "neural_network", "multiclass", hidden_dims=[64, 32])
 
 _PART_SPLIT = ("(SELECT *, (('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b "
                "FROM part)")
@@ -145,7 +145,7 @@ def q_train_val_scores(spark, sf):
     """Accuracy and loss per split for a random forest on embeddings."""
     e = _emb_features(spark, sf)
     m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "random_forest", "multiclass",
-                       n_estimators=20)
+                       n_estimators=100)
     return ml.train_val_scores(m, e.where(F.col("split") != "test"))
 
 
@@ -154,7 +154,7 @@ def q_feature_importance(spark, sf):
     """Impurity importance of a random forest predicting part prices."""
     p = split_three_way(table(spark, sf, "part"), "p_partkey")
     m = ml.train_model(p.where(F.col("split") == "train"), ["p_size", "p_partkey"], "p_retailprice",
-                       "random_forest", "regression", n_estimators=20)
+                       "random_forest", "regression", n_estimators=100)
     return ml.feature_importance(m)
 
 

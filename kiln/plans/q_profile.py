@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kiln.functions.columns import round_all
 from kiln.operators import profile
 from kiln.plans.registry import query
@@ -135,19 +137,17 @@ def q_category_share(spark, sf):
 
 
 @query("head_preview",
-       "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority "
-       "FROM orders ORDER BY o_orderkey LIMIT 5")
+       "SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_head_preview(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                          "o_totalprice", "o_orderpriority")
-    return profile.head_preview(o, ["o_orderkey"])
+    o = table(spark, sf, "orders")
+    return profile.head_preview(o, ["o_orderkey"]).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("scatter_sample",
-       "SELECT event_id, user_id, value FROM events ORDER BY "
+       "SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM events ORDER BY "
        "('0x' || substr(md5(CAST(event_id AS VARCHAR) || '#42'), 1, 8))::BIGINT, event_id LIMIT 1000")
 def q_scatter_sample(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "user_id", "value")
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("string"))
     return profile.scatter_sample(e, "event_id", 1000)
 
 
