@@ -9,8 +9,8 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their distin
 3. The first ``n - ceil(t*n) + 1`` n-grams of each class are dealt out by n-gram and sorted; the
    n-grams that a second class holds too are kept (one pass over a sorted stream).
 4. Links are searched where they can still join two components: each class against the hub
-   of its n-grams (the class that shares most; for long sets an eighth of the n-grams), hubs again
-   where an n-gram still lies in several components, then every pair of one n-gram in two components.  Pairs pass the length filter, the positional filter and the suffix filter (an upper
+   of its n-grams (their first class; for long sets an eighth of the n-grams), then against the class
+   that shares most where an n-gram still lies in several components, then every pair of one n-gram in two components.  Pairs pass the length filter, the positional filter and the suffix filter (an upper
    bound of the overlap from bucketed counts), and each surviving pair is verified once on whole texts.
 
 Nulls, empty texts: no n-grams, no links.  Fewer words than n: the whole sequence is the one n-gram.
