@@ -30,7 +30,7 @@ from kiln.llm.shared import components, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
-BUCKETS = 128
+LEAST_BITS, FULL = 4, 15
 HUB_SHARE, LONG_SET = 8, 512
 _ROWS = "doc_id long, cls long, n long, sig binary, slots binary, counts binary"
 _TOKENS = "token long, cls long, meta long"
@@ -53,8 +53,24 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Counts of the set's members by bucket; 255 means that or more."""
-    return np.minimum(np.bincount((s >> _U(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """Counts of the set's members by bucket, four bits each (15: that or more).  The buckets grow with
+    the set, one or two members each on average, so that long sets are told apart as well as short ones."""
+    bits = max(LEAST_BITS, (len(s) - 1).bit_length() - 1)
+    c = np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8)
+    return (c[0::2] << 4 | c[1::2]).tobytes()
+
+
+def _bucket_counts(sig: bytes) -> np.ndarray:
+    x = np.frombuffer(sig, np.uint8)
+    return np.column_stack((x >> 4, x & 15)).ravel()
+
+
+def _most_shared(x: np.ndarray, y: np.ndarray) -> int | None:
+    """The most members that two sets with these bucket counts can share; None if a count is cut."""
+    if x.max() == FULL or y.max() == FULL:
+        return None
+    n = min(len(x), len(y))                  # buckets are leading bits: neighbours add up to wider ones
+    return int(np.minimum(*(c.reshape(n, -1).sum(axis=1, dtype=np.int64) for c in (x, y))).sum())
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -163,10 +179,8 @@ def _suffix_filter(percent: int):
             n1, n2 = (b.column(f).to_numpy() for f in ("n1", "n2"))
             keep = np.ones(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("s1").to_pylist(), b.column("s2").to_pylist())):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                if x.max() < 255 and y.max() < 255:
-                    most = int(np.minimum(x, y).sum(dtype=np.int64))
-                    keep[i] = 100 * most >= percent * (n1[i] + n2[i] - most)
+                most = _most_shared(_bucket_counts(x), _bucket_counts(y))
+                keep[i] = most is None or 100 * most >= percent * (n1[i] + n2[i] - most)
             t = pa.RecordBatch.from_arrays([b.column(f) for f in ("a", "b")], names=["a", "b"])
             yield t.filter(pa.array(keep))
     return run
