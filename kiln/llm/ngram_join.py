@@ -20,13 +20,13 @@ names a component unless the whole component has none.  Extra columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import components, renamed, repeated, split_by_ids, stored
+from kiln.llm.shared import Scratch, components, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
@@ -204,15 +204,15 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, own: Scratch) -> DataFrame:
     """The pairs (a, b) of classes that truly link; each pair is checked once, on whole texts."""
     ends = lambda df: df.select(F.col("a").alias("cls")).unionByName(df.select(F.col("b").alias("cls"))).distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = own.stored(pairs, "pairs")
     sets, _ = split_by_ids(classes, ends(pairs), "cls")
     sig = sets.select("cls", "n", "sig")
-    likely = stored(pairs.join(sig.toDF("a", "n1", "s1"), "a").join(sig.toDF("b", "n2", "s2"), "b")
-                    .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
-    wanted = stored(ends(likely).join(sets, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
+    likely = own.stored(pairs.join(sig.toDF("a", "n1", "s1"), "a").join(sig.toDF("b", "n2", "s2"), "b")
+                        .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
+    wanted = own.stored(ends(likely).join(sets, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
     maybe, _ = split_by_ids(docs.select("doc_id", "text"), wanted)
     found = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")
     texts, _ = split_by_ids(found, wanted, "cls")            # read once a side: cheaper than writing all texts
@@ -287,54 +287,59 @@ def _several_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(rows[f]) for f in names], names=names)
 
 
-def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
+                        put: Callable[[DataFrame, str], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, cls, n_shingles; roots: cls, root) for ``docs`` (doc_id, text).
 
     ``cls`` names the document's n-gram set (0: empty); ``root`` is the smallest doc_id that links
-    reach from the class, for classes that link with another."""
+    reach from the class, for classes that link with another.  ``put`` writes the tables that these two
+    frames read; all other written tables are gone on return."""
+    own = Scratch()
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(_class_rows(n), _ROWS), "classes")
+    rows = put(docs.mapInArrow(_class_rows(n), _ROWS), "classes")
     ids = rows.where("slots is null").select("doc_id", "cls", "n")
-    classes = stored(rows.where("slots is null and cls <> 0").groupBy("cls").agg(
+    classes = own.stored(rows.where("slots is null and cls <> 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")).where("rep is not null"), "class-sets")
     sketch = _sketch_sums(rows)
     tokens = docs.mapInArrow(_prefix_rows(n, percent, sketch), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
-    shared = stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
+    shared = own.stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
 
     # round 1, on an eighth of the n-grams of long sets: each class with the first class of each of its
     # n-grams.  The files hold an n-gram's rows together; a file read in two splits makes two hubs of one.
     long_set = F.shiftright("meta", 32) >= LONG_SET
     some = shared.where(~long_set | (F.pmod("token", F.lit(HUB_SHARE)) == 0)).withColumn("root", F.col("cls"))
-    star = stored(_hub_pairs(some, percent), "hub-pairs")
-    comp = stored(components(_links(docs, classes, star, n, percent)), "hub-components")
+    star = own.stored(_hub_pairs(some, percent), "hub-pairs")
+    comp = own.stored(components(_links(docs, classes, star, n, percent, own)), "hub-components")
 
     # round 2: where an n-gram still lies in several components, with its class that shares most n-grams
     weight = shared.groupBy("cls").agg(F.count("*").alias("w"))
     ranked = _placed(shared, comp).join(weight, "cls").repartition("token").sortWithinPartitions("token", F.desc("w"), "cls")
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    again = stored(_hub_pairs(ranked, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
-    comp = stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent))), "hub-components-2")
+    again = own.stored(_hub_pairs(ranked, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
+    comp = own.stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent, own))), "hub-components-2")
 
     # round 3: all pairs of one n-gram that lie in different components and were not tried yet
     placed = _placed(shared, comp).repartition("token").sortWithinPartitions("token", "root")
-    open_ = stored(placed.mapInArrow(_several_roots, _TOKENS + ", root long"), "open-tokens")
+    open_ = own.stored(placed.mapInArrow(_several_roots, _TOKENS + ", root long"), "open-tokens")
     x = _parts(open_.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1")
     y = _parts(open_.withColumnsRenamed({"cls": "b", "root": "r2"}), "n2", "p2")
     more = _bounded(x.join(y, "token").where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)"), percent).select("a", "b").distinct()
     tried = tried.unionByName(again).unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = _links(docs, classes, more.join(tried, ["a", "b"], "left_anti"), n, percent)
+    rest = _links(docs, classes, more.join(tried, ["a", "b"], "left_anti"), n, percent, own)
     both = components(_edges(comp).unionByName(rest))
     reps = classes.select("cls", "rep")
     named = both.join(reps, both.node == reps.cls)
     roots = named.groupBy("root").agg(F.min("rep").alias("doc")).join(named.select("cls", "root"), "root").select("cls", F.col("doc").alias("root"))
-    return (ids.withColumnRenamed("n", "n_shingles"),
-            stored(classes.select("cls", "rep").join(roots, "cls", "left").select("cls", F.coalesce("root", "rep").alias("root")), "roots"))
+    roots = put(classes.select("cls", "rep").join(roots, "cls", "left").select("cls", F.coalesce("root", "rep").alias("root")), "roots")
+    own.clear()
+    return ids.withColumnRenamed("n", "n_shingles"), roots
 
 
-def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row."""
-    ids, roots = ngram_jaccard_links(docs, n, percent)
+def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75,
+                              put: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per input row; ``put`` writes the tables it reads."""
+    ids, roots = ngram_jaccard_links(docs, n, percent, put)
     return ids.join(roots, "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
@@ -342,7 +347,9 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> Da
     """``docs`` without the near duplicates: the row of the smallest doc_id of each component stays.
     Documents without words, and rows that repeat the kept doc_id, stay."""
     docs, own_names = renamed(docs)
-    comp = near_duplicate_components(docs, n, percent)
+    own = Scratch()
+    comp = near_duplicate_components(docs, n, percent, own.stored)
     dropped = stored(comp.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    own.clear()
     maybe, sure = split_by_ids(docs, dropped)
     return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*docs.columns)).toDF(*own_names)

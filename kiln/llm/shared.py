@@ -6,20 +6,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kiln.session import checkpoint_dir, scratch_path
 
 ID_SLOTS = 1 << 20
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: a result that survives lost
     executors and is computed once."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables of one operator, deleted together once a later written table holds what is
+    needed of them.  After a failure they stay, like all written tables, below ``spark.checkpoint.dir``."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, name)
+        self.paths.append((df.sparkSession, path))
+        return _written(df, path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = []
 
 
 def frozen(df: DataFrame) -> DataFrame:

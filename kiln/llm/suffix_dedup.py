@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import renamed, repeated, split_by_ids, stored
+from kiln.llm.shared import Scratch, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
 
 MIN_WORDS, HEAD = 50, 16
@@ -146,7 +146,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
     kind = "doc_id long, pos long, len long, first long"
     rows = docs.mapInArrow(_suffixes(head, min_words), "key long, sub long, doc_id long, pos long, len long")
     rows = rows.repartition("key").sortWithinPartitions("key", "sub", "doc_id")
-    hits = stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
+    own = Scratch()
+    hits = own.stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
 
     chains = hits.groupBy("key", "sub").agg(F.count("*").alias("chains"))
     heads = chains.groupBy("key").agg(F.sum("chains").alias("heads"))
@@ -157,7 +158,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
     ends = maybe.join(marked, "doc_id").mapInArrow(_ends(head, min_words), "key long, sub long, doc_id long, pos long")
     ends = ends.repartition("key").sortWithinPartitions("key", "sub", "doc_id")
     spans = hits.where("len > 0").select("doc_id", "pos", "len", "first").unionByName(ends.mapInArrow(_windows(min_words), kind)).distinct()
-    return stored(spans.groupBy("doc_id").applyInArrow(_union_spans, "doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
+    merged = stored(spans.groupBy("doc_id").applyInArrow(_union_spans, "doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
+    own.clear()
+    return merged
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> list[dict]:

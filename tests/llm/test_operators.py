@@ -296,3 +296,15 @@ def test_repeated_rows_and_null_ids(spark, corpus, tmp_path):
     assert {r.doc_id for r in suffix_dedup.repeated_spans(docs).collect()} == {1, 2}
     assert mixing.mix_sources(docs).count() == syncmers.fingerprint_documents(docs).count() == 5
     assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {1, 2, None}
+
+
+def test_shared_bound_is_never_too_low():
+    """The suffix filter's bound holds for sets of any sizes, and says nothing where a count is cut."""
+    rng = np.random.default_rng(5)
+    for n1, n2 in [(1, 1), (3, 4), (40, 31), (600, 800), (5000, 9000)]:
+        both = rng.integers(0, 1 << 64, min(n1, n2) * 2 // 3, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate((both, rng.integers(0, 1 << 64, n - len(both), dtype=np.uint64)))) for n in (n1, n2))
+        bound = ngram_join._most_shared(*(ngram_join._bucket_counts(ngram_join._signature(s)) for s in (x, y)))
+        assert len(np.intersect1d(x, y)) <= bound <= min(n1, n2)
+    one_bucket = ngram_join._bucket_counts(ngram_join._signature(np.arange(20, dtype=np.uint64)))
+    assert ngram_join._most_shared(one_bucket, one_bucket) is None
