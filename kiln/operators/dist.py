@@ -13,8 +13,7 @@ from kiln.operators import stats
 def _range(df: DataFrame, column: str):
     x = num(column)
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
-               F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("p"), F.avg(x).alias("m"),
-               F.approx_count_distinct(x).alias("d")).collect()[0]
+               F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("p"), F.avg(x).alias("m")).collect()[0]
     return r
 
 
@@ -46,11 +45,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 def kde_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     """Gaussian KDE on ``points`` evenly spaced points from min to max.
 
-    Bandwidth is Scott's rule (n^(-1/5) × sample std).  Each value adds its kernel to every
-    grid point through a generator over a literal grid array (no join); the per-point sums
-    are partially aggregated in the scan stage, so only ``points`` rows per task shuffle.
-    Values are first collapsed to (value, count) when that removes at least a fifth of rows; for
-    continuous data the collapse would be an extra full shuffle.
+    Bandwidth is Scott's rule (n^(-1/5) × sample std).  One aggregate holds a kernel sum per grid
+    point, so no row is copied and each task shuffles one row of ``points`` sums.
     """
     spark = df.sparkSession
     r = _range(df, column)
@@ -59,20 +55,15 @@ def kde_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
         return spark.createDataFrame([], "point int, x double, density double")
     h = s * n ** (-1.0 / 5.0)
     step = (hi - lo) / (points - 1)
-    grid = F.array(*[F.lit(float(i)) for i in range(points)])
-    x = num(column)
-    if r["d"] < 0.8 * n:        # each row saved avoids `points` exp() calls; a shuffled row is cheaper
-        vc = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    else:
-        vc = df.where(x.isNotNull()).select(x.alias("v"), F.lit(1).alias("c"))
-    g = vc.select("v", "c", F.posexplode(grid).alias("point", "fi"))
-    gx = F.lit(lo) + F.col("fi") * F.lit(step)
-    k = F.col("c") * F.exp(F.lit(-0.5) * F.pow((gx - F.col("v")) / F.lit(h), 2))
-    sums = g.groupBy("point").agg(F.sum(k).alias("k"))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    return sums.select(F.col("point").cast("int").alias("point"),
-                       (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"),
-                       (F.col("k") * F.lit(norm)).alias("density"))
+    grid = [lo + i * step for i in range(points)]
+    aggs = []
+    for i, g in enumerate(grid):
+        z = (F.lit(g) - F.col("v")) / F.lit(h)
+        aggs.append((F.sum(F.exp(F.lit(-0.5) * z * z)) * F.lit(norm)).alias(f"k{i}"))
+    sums = df.select(num(column).alias("v")).where("v is not null").agg(*aggs)
+    cells = [F.struct(F.lit(i).alias("point"), F.lit(g).alias("x"), F.col(f"k{i}").alias("density")) for i, g in enumerate(grid)]
+    return sums.select(F.inline(F.array(*cells)))
 
 
 def box_stats(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool = False) -> DataFrame:
@@ -106,6 +97,15 @@ def violin(df: DataFrame, column: str, points: int = 100) -> tuple[DataFrame, Da
     return kde_curve(df, column, points), box_stats(df, [column])
 
 
+def violin_table(df: DataFrame, column: str, points: int = 100) -> DataFrame:
+    """D4 as one table (part, name, x, density): the curve's points, then the box's positions."""
+    curve, box = violin(df, column, points)
+    names = ["q1", "median", "q3", "whisker_low", "whisker_high"]
+    lines = box.select(F.inline(F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("x")) for s in names])))
+    return (curve.select(F.lit("curve").alias("part"), F.col("point").cast("string").alias("name"), "x", "density")
+            .unionByName(lines.select(F.lit("box").alias("part"), "name", "x", F.lit(None).cast("double").alias("density"))))
+
+
 def outlier_flag_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
     """Rows with a value, their z-score (population std) and ``is_outlier`` = |z| > threshold."""
     r = _range(df, column)
@@ -125,8 +125,3 @@ def outlier_flag_iqr(df: DataFrame, column: str, threshold: float = 1.5, approx:
     iqr = q3 - q1
     flag = (x < F.lit(q1 - threshold * iqr)) | (x > F.lit(q3 + threshold * iqr))
     return df.where(x.isNotNull()).select("*", flag.alias("is_outlier"))
-
-
-def outlier_summary(flagged: DataFrame) -> DataFrame:
-    """Counts of flagged and unflagged rows."""
-    return flagged.groupBy("is_outlier").agg(F.count(F.lit(1)).alias("n_rows"))

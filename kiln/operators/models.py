@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
@@ -226,20 +227,24 @@ def train_val_scores(model: TrainedModel, df: DataFrame, split_col: str = "split
                     (1 - F.col("accuracy")).alias("loss"))
 
 
-def feature_importance(model: TrainedModel) -> DataFrame:
-    """(feature, importance) sorted descending — impurity importance for trees,
-    mean |coefficient| over classes for linear models."""
-    last = model.pipeline.stages[-1]
-    vals = None
-    if hasattr(last, "featureImportances"):
-        vals = list(last.featureImportances.toArray())
-    elif hasattr(last, "coefficientMatrix") and last.numClasses > 2:
-        m = last.coefficientMatrix.toArray()
-        vals = [float(abs(m[:, j]).mean()) for j in range(m.shape[1])]
-    elif hasattr(last, "coefficients"):
-        vals = [abs(float(v)) for v in last.coefficients.toArray()]
+def _importances(fitted) -> np.ndarray | None:
+    if hasattr(fitted, "models"):                       # one-vs-rest: the mean over the classes
+        each = [_importances(m) for m in fitted.models]
+        return None if any(v is None for v in each) else np.mean(each, axis=0)
+    if hasattr(fitted, "featureImportances"):
+        return fitted.featureImportances.toArray()
+    if hasattr(fitted, "coefficientMatrix") and fitted.numClasses > 2:
+        return np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0)
+    return np.abs(fitted.coefficients.toArray()) if hasattr(fitted, "coefficients") else None
+
+
+def feature_importance(model: TrainedModel) -> DataFrame | None:
+    """(feature, importance) sorted descending — impurity importance for trees, mean
+    |coefficient| over classes for linear models, the mean over the classes for one-vs-rest; None
+    for models that have neither (k-NN, the perceptron)."""
+    vals = None if model.pipeline is None else _importances(model.pipeline.stages[-1])
     if vals is None:
-        raise ValueError(f"{model.model_type} has no feature importance")
+        return None
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     rows = [(f, float(v)) for f, v in zip(model.features, vals)]

@@ -6,7 +6,7 @@ quantiles in ``describe_numeric``); results are small tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kiln.functions.columns import (is_missing, categorical_columns, fixed_width, key_hash, num, numeric_columns,
                                     qcol)
@@ -209,6 +209,12 @@ def dataset_totals(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def batch_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of datasets, rows and logical bytes over all of them."""
+    return dataset_totals(tables).agg(F.count(F.lit(1)).alias("n_datasets"), F.sum("n_rows").alias("n_rows"),
+                                      F.sum("n_bytes").alias("n_bytes"))
+
+
 def category_share(df: DataFrame, column: str) -> DataFrame:
     """Count and share of all non-null values per category.
 
@@ -256,10 +262,6 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(t.cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def profile_table(df: DataFrame, correlation: str = "pearson",
                   numeric: list[str] | None = None) -> dict[str, DataFrame]:
     """The analysis page in one call: summary, describe, value counts, missing values,

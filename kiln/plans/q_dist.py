@@ -28,12 +28,15 @@ def q_histogram_density(spark, sf):
     return round_all(dist.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 50))
 
 
-@query("kde_curve", """WITH s AS (SELECT min(value) lo, max(value) hi, count(value) n, stddev_samp(value) sd FROM events),
+_KDE = """WITH s AS (SELECT min(value) lo, max(value) hi, count(value) n, stddev_samp(value) sd FROM events),
 p AS (SELECT lo, (hi - lo) / 99 AS step, n, sd * pow(n, -0.2) AS h FROM s),
 g AS (SELECT CAST(range AS INTEGER) AS point, lo + range * step AS x, n, h FROM range(100), p)
 SELECT point, round(x, 6) AS x,
        round(sum(exp(-0.5 * pow((x - e.value) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
-FROM g, events e WHERE e.value IS NOT NULL GROUP BY point, x, n, h""")
+FROM g, events e WHERE e.value IS NOT NULL GROUP BY point, x, n, h"""
+
+
+@query("kde_curve", _KDE)
 def q_kde_curve(spark, sf):
     return round_all(dist.kde_curve(table(spark, sf, "events"), "value", 100))
 
@@ -52,6 +55,16 @@ def q_box_stats(spark, sf):
     return round_all(dist.box_stats(table(spark, sf, "events"), ["value", "user_id"]))
 
 
+_BOX_LINES = "\nUNION ALL\n".join(
+    f"SELECT 'box' AS part, '{c}' AS name, {c} AS x, CAST(NULL AS DOUBLE) AS density FROM ({_box_sql('value', 'events')}) b"
+    for c in ("q1", "median", "q3", "whisker_low", "whisker_high"))
+
+
+@query("violin", f"SELECT 'curve' AS part, CAST(point AS VARCHAR) AS name, x, density FROM ({_KDE}) k\nUNION ALL\n{_BOX_LINES}")
+def q_violin(spark, sf):
+    return round_all(dist.violin_table(table(spark, sf, "events"), "value", 100))
+
+
 @query("outlier_flag_zscore", """SELECT event_id, value, round((value - m) / s, 6) AS zscore,
   abs((value - m) / s) > 3 AS is_outlier
 FROM events, (SELECT avg(value) m, stddev_pop(value) s FROM events) st WHERE value IS NOT NULL""")

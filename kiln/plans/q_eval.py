@@ -179,6 +179,11 @@ def q_cross_entropy_loss(spark, sf):
     return round_all(ev.cross_entropy_loss(_logits(spark, sf), "z", "label"))
 
 
+@query("mse_loss", f"SELECT round(avg((y - yhat) * (y - yhat)), 6) AS loss FROM {_PRICED_SQL} t")
+def q_mse_loss(spark, sf):
+    return round_all(ev.mse_loss(_priced(spark, sf), "p_retailprice", "yhat"))
+
+
 @query("split_three_way", "SELECT o_orderkey, CASE WHEN b < 2000 THEN 'test' WHEN b < 3600 THEN 'validation' "
        "ELSE 'train' END AS split FROM (SELECT o_orderkey, "
        "(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b FROM orders)")

@@ -100,11 +100,6 @@ def q_scale_robust(spark, sf):
 ENC = ["l_returnflag", "l_linestatus"]
 
 
-def _label_sql(c: str, src: str = "li") -> str:
-    return (f"(SELECT CAST(count(DISTINCT coalesce(t2.{c}, 'nan')) AS INTEGER) FROM {src} t2 "
-            f"WHERE coalesce(t2.{c}, 'nan') < coalesce(t.{c}, 'nan'))")
-
-
 @query("encode_label", f"WITH li AS {LI_SQL}, "
        + ", ".join(f"k_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
                    f"FROM (SELECT DISTINCT coalesce({c}, 'nan') AS v FROM li))" for c in ENC)

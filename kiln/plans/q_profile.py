@@ -120,14 +120,23 @@ def _bytes_sql(c, kind):
     return f"count({c}) * {kind}"
 
 
-@query("dataset_totals", "\nUNION ALL\n".join(
+_TOTALS_SQL = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS dataset, count(*) AS n_rows, CAST({len(cols)} AS BIGINT) AS n_columns, "
     f"CAST(" + " + ".join(_bytes_sql(c, k) for c, k in cols) + f" AS BIGINT) AS n_bytes FROM {t}"
-    for t, cols in _TABLE_LAYOUT.items()))
+    for t, cols in _TABLE_LAYOUT.items())
+
+
+@query("dataset_totals", _TOTALS_SQL)
 def q_dataset_totals(spark, sf):
     return profile.dataset_totals({t: table(spark, sf, t) for t in _TABLE_LAYOUT})
 
 
+@query("batch_totals", f"SELECT count(*) AS n_datasets, CAST(sum(n_rows) AS BIGINT) AS n_rows, "
+       f"CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM ({_TOTALS_SQL}) t")
+def q_batch_totals(spark, sf):
+    return profile.batch_totals({t: table(spark, sf, t) for t in _TABLE_LAYOUT})
+
+
 @query("category_share",
        "SELECT c_mktsegment AS category, count(*) AS count, "
        "round(count(*) / (SELECT count(*) FROM customer WHERE c_mktsegment IS NOT NULL), 6) AS share "
