@@ -247,3 +247,18 @@ def test_rows_per_file_any_case(spark):
     open(os.path.join(d, "s", "c.txt"), "w").write("x\n4\n")
     got = {os.path.basename(r.path): r.n_rows for r in rows_per_file(spark, d).collect()}
     assert got == {"a.csv": 2, "b.CSV": 1}
+
+
+def test_importance_of_one_vs_rest_and_none(spark):
+    """One-vs-rest averages its classes' importances; a model without a pipeline (k-NN) has none."""
+    from types import SimpleNamespace
+
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense(float(i % 9), float(i % 2)), float(i % 9 // 3)) for i in range(90)], ["features", "label"])
+    fitted = OneVsRest(classifier=LinearSVC(maxIter=3)).fit(df.coalesce(1))
+    model = SimpleNamespace(pipeline=SimpleNamespace(stages=[fitted]), features=["a", "b"])
+    imp = {r["feature"]: r["importance"] for r in ml.feature_importance(model).collect()}
+    each = [abs(m.coefficients.toArray()) for m in fitted.models]
+    assert imp == pytest.approx({"a": sum(c[0] for c in each) / 3, "b": sum(c[1] for c in each) / 3})
+    assert ml.feature_importance(SimpleNamespace(pipeline=None, features=["a"])) is None
