@@ -410,3 +410,19 @@ def test_profile_table_equals_individual_profiles(spark, tiny_nulls):
     assert prof["summary"].schema.simpleString() == profile.table_summary(df).schema.simpleString()
     clean = df.select("id", "d")
     assert rows(profile.profile_table(clean)["missing_patterns"]) == [("No missing values", 8)]
+
+
+def test_density_curve_against_its_formula(spark):
+    """Nulls and NaN are left out; a constant column has no curve; the violin holds curve and box."""
+    from statistics import stdev
+    values = [0.0, 1.0, 1.0, 2.5, 7.0]
+    df = spark.createDataFrame([(v, 3.0) for v in [*values, None, math.nan]], "v double, same double")
+    n, h = len(values), stdev(values) * len(values) ** -0.2
+    rows = dist.kde_curve(df, "v", 8).collect()
+    assert [r["x"] for r in rows] == pytest.approx([i for i in range(8)])
+    for r in rows:
+        want = sum(math.exp(-0.5 * ((r["x"] - v) / h) ** 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert r["density"] == pytest.approx(want)
+    assert dist.kde_curve(df, "same", 8).count() == 0
+    parts = [r["part"] for r in dist.violin_table(df, "v", 8).collect()]
+    assert (parts.count("curve"), parts.count("box")) == (8, 5)
