@@ -4,9 +4,9 @@ Equal vectors are one point that keeps its smallest ids, as many as a result can
 sample of points is halved again and again into equal leaves, whose means are the list centroids.
 Inner product becomes distance by one more coordinate that makes all points equally long.  Every
 point is listed under its nearest centroid, and under further ones nearly as near (boundary
-points), unless a chosen centroid lies between.  Queries walk a neighbour graph of the centroids,
-held in memory, and search the lists within a ratio of the nearest centroid's distance; the ratio is
-set on the sample so that ``aim`` of its true neighbours lie in the searched lists.
+points), unless a chosen centroid lies between.  Queries are compared with all centroids (at most
+LISTS, held in memory) and search the lists within a ratio of the nearest centroid's distance; the
+ratio is set on the sample so that ``aim`` of its true neighbours lie in the searched lists.
 
 Lists are cut into blocks of at most ``BLOCK`` points and their queries into blocks as well, so no
 task grows with a list; duplicates never meet as pairs.  Scores are in double precision on the
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kiln.llm.shared import stored
 
 SAMPLE, TRIALS, LISTS, BLOCK = 20_000, 300, 2048, 4096
-REPLICAS, BOUNDARY, DEGREE, AIM = 4, 0.10, 16, 0.975
+REPLICAS, BOUNDARY, AIM = 4, 0.10, 0.975
 
 
 def clean_vectors(table: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -58,14 +58,10 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids, their neighbour graph and the search ratio: bounded by LISTS rows."""
+    """Centroids and the search ratio: bounded by LISTS rows."""
 
     def __init__(self, centroids: np.ndarray, longest: float):
         self.c, self.longest, self.ratio = centroids.astype(np.float32), longest, 1.0
-        d = _distances(self.c, self.c)
-        k = min(DEGREE, len(self.c))
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        self.graph = np.hstack([near, (np.arange(len(self.c))[:, None] + 1) % len(self.c)])   # a ring keeps it connected
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         """Points with the coordinate that makes all equally long."""
@@ -85,24 +81,13 @@ class Index:
             out.append(np.array(chosen))
         return out
 
+    def to_centroids(self, q: np.ndarray) -> np.ndarray:
+        """Distances of queries to all centroids."""
+        return _distances(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), self.c)
+
     def searched(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists of each query: a best-first walk over the graph, until the next centroid is
-        beyond ``ratio`` times the nearest."""
-        q = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
-        exact = _distances(q, self.c)
-        n, m = exact.shape
-        known, done = np.full((n, m), np.inf, np.float32), np.zeros((n, m), bool)
-        known[:, 0] = exact[:, 0]
-        live = np.arange(n)
-        while len(live):
-            open_ = np.where(done[live], np.inf, known[live])
-            nxt = open_.argmin(1)
-            go = open_[np.arange(len(live)), nxt] <= np.maximum(self.ratio, 1.05) * known[live].min(1)
-            live, nxt = live[go], nxt[go]
-            done[live, nxt] = True
-            for col in self.graph[nxt].T:
-                known[live, col] = exact[live, col]
-        return [np.flatnonzero(r <= self.ratio * r.min() + 1e-6) for r in known]
+        """The lists of each query: all within ``ratio`` times the nearest."""
+        return [np.flatnonzero(r <= self.ratio * r.min() + 1e-6) for r in self.to_centroids(q)]
 
     def calibrate(self, sample: np.ndarray, k: int, aim: float, rng: np.random.Generator) -> None:
         """The least ratio at which the searched lists hold ``aim`` of the sample's neighbours."""
@@ -114,7 +99,7 @@ class Index:
             return
         true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         flat = self.listed(sample[true.ravel()])
-        d = _distances(np.hstack([sample[pick], np.zeros((len(pick), 1))]).astype(np.float32), self.c)
+        d = self.to_centroids(sample[pick])
         d /= np.maximum(d.min(1, keepdims=True), 1e-9)
         need = np.sort([d[i // k, lists].min() for i, lists in enumerate(flat)])
         self.ratio = float(need[min(len(need) - 1, math.ceil(aim * len(need)) - 1)]) + 1e-4

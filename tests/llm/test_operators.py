@@ -214,6 +214,25 @@ def test_nearest(spark, tmp_path):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_searched_lists_on_clusters():
+    """Clusters of more centroids than a neighbour graph has edges: every query finds its own lists."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(20, 16))
+    x = np.vstack([m + 0.05 * rng.normal(size=(600, 16)) for m in middle])
+    longest = float(np.sqrt((x * x).sum(1).max()))
+    lift = np.hstack([x, np.sqrt(np.maximum(0, longest ** 2 - (x * x).sum(1)))[:, None]])
+    index = ann.Index(ann.halved(lift, 600, rng), longest)
+    index.calibrate(x, 20, ann.AIM, rng)
+    pick = rng.choice(len(x), 200, replace=False)
+    scores = x[pick] @ x.T
+    scores[np.arange(200), pick] = -np.inf
+    true = np.argpartition(-scores, 19, axis=1)[:, :20]
+    lists, hit = index.listed(x[true.ravel()]), 0
+    for i, searched in enumerate(index.searched(x[pick])):
+        hit += sum(bool(set(searched) & set(at)) for at in lists[i * 20:i * 20 + 20])
+    assert hit / (20 * 200) >= 0.95
+
+
 def test_quality_and_toxicity_learn(spark, tmp_path):
     rng = random.Random(1)
     base = [f"v{i}" for i in range(400)]
