@@ -32,8 +32,9 @@ from kiln.llm.words import blocks, buffers, mix, shingles
 SKETCH_BITS = 18
 LEAST_BITS, FULL = 4, 15
 HUB_SHARE, LONG_SET = 8, 512
-_ROWS = "doc_id long, cls long, n long, sig binary, slots binary, counts binary"
+_ROWS = "doc_id long, key long, cls long, n long, sig binary, slots binary, counts binary"
 _TOKENS = "token long, cls long, meta long"
+_HAS_WORD = r"[^\x20\x09-\x0D]"
 _U = np.uint64
 
 
@@ -79,7 +80,7 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 def _class_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()),
                             ("sig", pa.binary()), ("slots", pa.binary()), ("counts", pa.binary())])
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -91,12 +92,12 @@ def _class_rows(k: int):
                 slots.append(_slot(s))
             sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
             none = pa.nulls(len(cls), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(cls, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("key"), pa.array(cls, pa.int64()),
                                               pa.array(n, pa.int64()), pa.array(sig, pa.binary()), none, none], schema=schema)
         used = np.flatnonzero(sketch)
         if len(used):
             one = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()),
+            yield pa.RecordBatch.from_arrays([one, one, one, one, pa.nulls(1, pa.binary()),
                                               pa.array([used.astype("<i4").tobytes()], pa.binary()),
                                               pa.array([sketch[used].astype("<i8").tobytes()], pa.binary())], schema=schema)
     return run
@@ -212,8 +213,8 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     sig = sets.select("cls", "n", "sig")
     likely = own.stored(pairs.join(sig.toDF("a", "n1", "s1"), "a").join(sig.toDF("b", "n2", "s2"), "b")
                         .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
-    wanted = own.stored(ends(likely).join(sets, "cls").select("cls", F.col("rep").alias("doc_id")), "wanted")
-    maybe, _ = split_by_ids(docs.select("doc_id", "text"), wanted)
+    wanted = own.stored(ends(likely).join(sets, "cls").select("cls", F.col("low.key").alias("key")), "wanted")
+    maybe, _ = split_by_ids(docs.select("key", "text"), wanted, "key")
     found = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")
     texts, _ = split_by_ids(found, wanted, "cls")            # read once a side: cheaper than writing all texts
     hubs, _ = split_by_ids(texts, likely.select(F.col("b").alias("cls")), "cls")
@@ -233,6 +234,12 @@ def _texts_of_class(k: int):
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, the hash of (doc_id, text): it tells apart texts that share a doc_id, and
+    names a row by its content, so that it stays the same however the table is read."""
+    return docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+
 def _parts(rows: DataFrame, n: str, at: str) -> DataFrame:
     """``meta`` as set size and position."""
     return rows.withColumn(n, F.shiftright("meta", 32)).withColumn(at, F.col("meta").bitwiseAND((1 << 32) - 1)).drop("meta")
@@ -289,17 +296,18 @@ def _several_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
                         put: Callable[[DataFrame, str], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
-    """(classes: doc_id, cls, n_shingles; roots: cls, root) for ``docs`` (doc_id, text).
+    """(classes: doc_id, key, cls, n_shingles; roots: cls, root, kept) for ``docs`` (doc_id, text).
 
     ``cls`` names the document's n-gram set (0: empty); ``root`` is the smallest doc_id that links
-    reach from the class, for classes that link with another.  ``put`` writes the tables that these two
+    reach from the class, ``kept`` the key of a row that has it.  ``put`` writes the tables that these two
     frames read; all other written tables are gone on return."""
     own = Scratch()
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs.select("doc_id", "text"))
     rows = put(docs.mapInArrow(_class_rows(n), _ROWS), "classes")
-    ids = rows.where("slots is null").select("doc_id", "cls", "n")
+    ids = rows.where("slots is null").select("doc_id", "key", "cls", "n")
+    low = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")       # null ids come last
     classes = own.stored(rows.where("slots is null and cls <> 0").groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")).where("rep is not null"), "class-sets")
+        F.min(low).alias("low"), F.max("n").alias("n"), F.first("sig").alias("sig")).where("low.doc_id is not null"), "class-sets")
     sketch = _sketch_sums(rows)
     tokens = docs.mapInArrow(_prefix_rows(n, percent, sketch), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
@@ -328,10 +336,11 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     tried = tried.unionByName(again).unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = _links(docs, classes, more.join(tried, ["a", "b"], "left_anti"), n, percent, own)
     both = components(_edges(comp).unionByName(rest))
-    reps = classes.select("cls", "rep")
-    named = both.join(reps, both.node == reps.cls)
-    roots = named.groupBy("root").agg(F.min("rep").alias("doc")).join(named.select("cls", "root"), "root").select("cls", F.col("doc").alias("root"))
-    roots = put(classes.select("cls", "rep").join(roots, "cls", "left").select("cls", F.coalesce("root", "rep").alias("root")), "roots")
+    lows = classes.select("cls", "low")
+    named = both.join(lows, both.node == lows.cls)
+    least = named.groupBy("root").agg(F.min("low").alias("least")).join(named.select("cls", "root"), "root").select("cls", "least")
+    least = lows.join(least, "cls", "left").select("cls", F.coalesce("least", "low").alias("low"))
+    roots = put(least.select("cls", F.col("low.doc_id").alias("root"), F.col("low.key").alias("kept")), "roots")
     own.clear()
     return ids.withColumnRenamed("n", "n_shingles"), roots
 
@@ -344,12 +353,24 @@ def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75,
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` without the near duplicates: the row of the smallest doc_id of each component stays.
-    Documents without words, and rows that repeat the kept doc_id, stay."""
+    """``docs`` without the near duplicates: one row of each component stays, a row of its smallest
+    doc_id (null ids come last).  Rows without words all stay."""
     docs, own_names = renamed(docs)
     own = Scratch()
-    comp = near_duplicate_components(docs, n, percent, own.stored)
-    dropped = stored(comp.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    ids, roots = ngram_jaccard_links(docs, n, percent, own.stored)
+    ids = ids.where("n_shingles > 0")
+    dropped = stored(ids.join(roots, "cls").where("key <> kept").select("key").distinct(), "dropped")
+    again = stored(ids.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated-rows")
     own.clear()
-    maybe, sure = split_by_ids(docs, dropped)
-    return sure.unionByName(maybe.join(dropped, "doc_id", "left_anti").select(*docs.columns)).toDF(*own_names)
+    names = docs.columns
+    docs = keyed(docs)
+    has_words = F.coalesce(F.col("text").rlike(_HAS_WORD), F.lit(False))
+    wordless, rows = docs.where(~has_words), docs.where(has_words)
+    if not again.isEmpty():                                  # rows of one id and text become one before any shuffle of texts
+        repeats, rows = split_by_ids(rows, again, "key")
+        plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        one = repeats.groupBy("key").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("row"))
+        rows = rows.unionByName(one.select("row.*", "key"))
+    maybe, sure = split_by_ids(rows, dropped, "key")
+    kept = sure.unionByName(maybe.join(dropped, "key", "left_anti")).unionByName(wordless)
+    return kept.select(*names).toDF(*own_names)

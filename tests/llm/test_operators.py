@@ -92,6 +92,17 @@ def test_jaccard_components(docs, corpus):
     assert kept == {d for d in sets if root[d] == d}
 
 
+def test_one_row_of_each_component_stays(spark, corpus, tmp_path):
+    """Repeated rows, and different texts under one doc_id."""
+    rows = [(1, corpus[30])] * 4 + [(2, corpus[3]), (2, corpus[31]), (2, None), (2, " "), (2, " "), (3, corpus[9]), (3, corpus[9]), (4, corpus[9])]
+    rows += [(5, corpus[21]), (5, corpus[21] + " end")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "o"))
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one_per_component(spark.read.parquet(str(tmp_path / "o"))).collect()]
+    five = [t for d, t in got if d == 5]
+    assert len(five) == 1 and five[0].startswith(corpus[21])
+    assert sorted((d, t or "") for d, t in got if d != 5) == sorted([(1, corpus[30]), (2, corpus[3]), (2, ""), (2, " "), (2, " "), (3, corpus[9])])
+
+
 def test_repeated_spans(docs, corpus):
     where = collections.defaultdict(set)
     for d, t in corpus.items():
