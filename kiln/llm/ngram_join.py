@@ -307,7 +307,7 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     ids = rows.where("slots is null").select("doc_id", "key", "cls", "n")
     low = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")       # null ids come last
     classes = own.stored(rows.where("slots is null and cls <> 0").groupBy("cls").agg(
-        F.min(low).alias("low"), F.max("n").alias("n"), F.first("sig").alias("sig")).where("low.doc_id is not null"), "class-sets")
+        F.min(low).alias("low"), F.max("n").alias("n"), F.first("sig").alias("sig")), "class-sets")
     sketch = _sketch_sums(rows)
     tokens = docs.mapInArrow(_prefix_rows(n, percent, sketch), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")

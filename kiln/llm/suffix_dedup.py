@@ -16,7 +16,8 @@ two documents is found whole, wherever it lies:
 Spans are in words, half open, and merged per document.  ``first_doc`` is the smallest doc_id that
 holds the passage, so ``first_doc < doc_id`` marks what a removal takes out.  Repeats inside one
 document only are not reported.  Null or empty texts, and texts below ``min_words`` words, have no
-spans; rows with a null doc_id are not compared; rows that share a doc_id are one document.
+spans; rows that share a doc_id are one document, and so are rows without doc_id that share a text.
+The latter are compared like all others, come after all ids in order, and have no row of spans.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kiln.llm.shared import Scratch, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
@@ -139,10 +140,23 @@ def _windows(min_words: int):
     return run
 
 
+def _owner() -> Column:
+    """The doc_id; for a null one, 62 bits of the text's hash above 2**62, so that it comes last."""
+    unnamed = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
     """(doc_id, spans, removable): per document with passages that another document holds too, their
     spans, and the part of them that a document with a smaller doc_id holds."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    spans = _owner_spans(docs, min_words, head)
+    unnamed = docs.where("doc_id is null").select(_owner().alias("doc_id")).distinct()
+    return spans.join(unnamed, "doc_id", "left_anti")
+
+
+def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
+    """``repeated_spans`` with the owner as doc_id, also of rows without one."""
+    docs = docs.select(_owner().alias("doc_id"), "text")
     kind = "doc_id long, pos long, len long, first long"
     rows = docs.mapInArrow(_suffixes(head, min_words), "key long, sub long, doc_id long, pos long, len long")
     rows = rows.repartition("key").sortWithinPartitions("key", "sub", "doc_id")
@@ -205,16 +219,16 @@ def _cut(batches):
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
-    """``docs`` with every repeated passage left only in the document of smallest doc_id.
+    """``docs`` with every repeated passage left only in the document of smallest doc_id (null last).
 
     ``n_chars``, where present, is counted anew; a document of which nothing but white space is left
     goes.  Documents without repeats keep their text byte for byte."""
     docs, own_names = renamed(docs)
-    spans = repeated_spans(docs, min_words, head).where(F.size("removable") > 0).select("doc_id", "removable")
-    maybe, sure = split_by_ids(docs, spans)
+    spans = _owner_spans(docs, min_words, head).where(F.size("removable") > 0).select(F.col("doc_id").alias("owner"), "removable")
     names = docs.columns
-    hit = maybe.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id")).select(*names, "removable")
-    plain = maybe.join(spans, "doc_id", "left_anti").select(*names)
+    maybe, sure = split_by_ids(docs.withColumn("owner", _owner()), spans, "owner")
+    hit = maybe.join(spans, "owner").select(*names, "removable")
+    plain = maybe.join(spans, "owner", "left_anti").select(*names)
     cut = hit.mapInArrow(_cut, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

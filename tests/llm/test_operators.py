@@ -103,6 +103,27 @@ def test_one_row_of_each_component_stays(spark, corpus, tmp_path):
     assert sorted((d, t or "") for d, t in got if d != 5) == sorted([(1, corpus[30]), (2, corpus[3]), (2, ""), (2, " "), (2, " "), (3, corpus[9])])
 
 
+def test_null_ids_take_part(spark, corpus, tmp_path):
+    """A near copy, a bridge between two documents and shared passages in rows without doc_id."""
+    rng = random.Random(8)
+    w = [f"v{i}" for i in range(130)]
+    far = w[:12] + [f"q{i}" for i in range(6)] + w[18:]           # links with 9 only through the whole ``w``
+    passage = rng.choices(w, k=60)
+    rows = [(7, " ".join(far)), (None, " ".join(w)), (9, " ".join(w[:-18] + [f"r{i}" for i in range(6)] + w[-12:])),
+            (None, " ".join(passage + ["own", "tail"])), (11, " ".join(["head", "here"] + passage)), (None, " ".join(["other"] * 5 + passage))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "n"))
+    docs = spark.read.parquet(str(tmp_path / "n"))
+    comp = collections.Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(docs, percent=80).collect())
+    assert comp == {(7, 7): 1, (None, 7): 1, (9, 7): 1, (11, 11): 1, (None, 11): 2}
+    kept = collections.Counter(r.doc_id for r in ngram_join.keep_one_per_component(docs, percent=80).collect())
+    assert kept == {7: 1, 11: 1}
+    tails = spark.createDataFrame(rows[3:], "doc_id long, text string")
+    spans = suffix_dedup.repeated_spans(tails).collect()
+    assert [(r.doc_id, r.spans[0].start, r.spans[0].end, r.removable) for r in spans] == [(11, 2, 62, [])]
+    left_over = sorted(r.text for r in suffix_dedup.remove_repeats(tails).collect())
+    assert left_over == sorted([rows[4][1], "own tail", "other other other other other "])
+
+
 def test_repeated_spans(docs, corpus):
     where = collections.defaultdict(set)
     for d, t in corpus.items():
