@@ -327,6 +327,29 @@ def test_licences(spark, docs, tmp_path):
         assert cue.search(t) and bare and len(w) >= 3
 
 
+def test_wrapped_licences(spark, docs, tmp_path):
+    """Notices on one line, wrapped, wrapped in comments, and inside a long paragraph; odd blanks."""
+    import textwrap
+    notices = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    rows, lines = [], "\n".join(f"u{i} v{i} w{i} x{i}" for i in range(40))
+    for i, (_, t) in enumerate(notices):
+        wrapped = textwrap.fill(t, 40)
+        rows += [(i, t), (100 + i, wrapped), (200 + i, textwrap.indent(wrapped, " * ")), (300 + i, f"{lines}\n{wrapped}\n{lines}")]
+    rows += [(400, "All\nrights\nreserved."), (401, "All rights\treserved."), (402, "All rights\u00a0reserved."),
+             (403, "Released under the MIT License.\nLicensed under the GNU Lesser General Public License, version 2.1.")]
+    rows.append((404, "This program is free software: you can redistribute it and/or modify\n"
+                      "it under the terms of the GNU General Public License as published by\n"
+                      "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."))
+    plain = docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")
+    spark.createDataFrame(rows, "doc_id long, text string").unionByName(plain).write.parquet(str(tmp_path / "w"))
+    got = {(r.doc_id, r.family) for r in license_scan.scan_licences(spark.read.parquet(str(tmp_path / "w"))).collect() if r.confirmed}
+    share = [sum((at + i, f) in got for i, (f, _) in enumerate(notices)) / len(notices) for at in (0, 100, 200, 300)]
+    print("share found", share, [(at, t) for at in (0, 100, 200, 300) for i, (f, t) in enumerate(notices) if (at + i, f) not in got])
+    assert not any(d >= 1000 for d, _ in got)
+    assert share[0] == share[1] == share[2] == 1
+    assert {(400, "Proprietary"), (401, "Proprietary"), (402, "Proprietary"), (403, "MIT"), (403, "LGPL"), (404, "GPL-3.0")} <= got
+
+
 def test_empty_tables(spark, empty, labels):
     assert ngram_join.near_duplicate_components(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
