@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kiln.llm import (ann, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers,
+from kiln.llm import (ann, impact_search, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers,
                       toxicity, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,25 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """One row per document: its quality score."""
     return quality_rules.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_norm_buckets", f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf
+       FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+found AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM found WHERE score > 0)
+WHERE rank <= 50""")
+def op11(spark, sf_dir):
+    """The 50 best documents of each benchmark item."""
+    return impact_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
