@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kiln.llm import (ann, impact_search, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers,
+from kiln.llm import (ann, impact_search, license_scan, mixing, ngram_join, packing, quality_rules, resampling, suffix_dedup, syncmers,
                       toxicity, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,31 @@ WHERE rank <= 50""")
 def op11(spark, sf_dir):
     """The 50 best documents of each benchmark item."""
     return impact_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_BYTES = "list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)"
+
+
+@query("op13_resampling", f"""
+WITH tbl AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) t(i)),
+d AS (SELECT doc_id, unnest({_TERMS}) AS word FROM documents),
+q AS (SELECT unnest({_TERMS}) AS word FROM benchmark),
+words AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+          FROM (SELECT word FROM d UNION SELECT word FROM q), tbl),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN words USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM q JOIN words USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+         FROM s LEFT JOIN t USING (bucket), sums),
+w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS g FROM d JOIN words USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+             floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+           FROM documents LEFT JOIN w USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, weight + noise AS score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM placed) THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)""")
+def op13(spark, sf_dir):
+    """One row per document: its weight towards the benchmark texts, its score, and its rank if drawn."""
+    return resampling.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("key")
