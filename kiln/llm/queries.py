@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kiln.llm import (ann, impact_search, license_scan, mixing, ngram_join, packing, quality_rules, resampling, suffix_dedup, syncmers,
+from kiln.llm import (ann, disclosure, impact_search, license_scan, mixing, ngram_join, packing, quality_rules, resampling, suffix_dedup, syncmers,
                       toxicity, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,12 @@ def op11(spark, sf_dir):
     return impact_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_disclosure")
+def op12(spark, sf_dir):
+    """One row per document: its personal data, and the terms that reveal some."""
+    return disclosure.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 _BYTES = "list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)"
 
 
