@@ -294,6 +294,22 @@ def _several_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(rows[f]) for f in names], names=names)
 
 
+def _open_pairs(rows: DataFrame, percent: int, own: Scratch) -> DataFrame:
+    """(a, b): all pairs of one n-gram in different components that pass the length and positional filters.
+
+    Rows with one (n-gram, size, position) are a cell.  The filters read nothing else, so they are put to pairs of
+    cells first, and only cells that pass are joined: a line that many short documents share makes few cells."""
+    rows = _parts(rows, "n", "p")
+    cell = ["token", "n", "p"]
+    cells = own.stored(rows.groupBy(*cell).agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "cells")
+    x, y = (cells.withColumnsRenamed({"n": f"n{i}", "p": f"p{i}", "lo": f"lo{i}", "hi": f"hi{i}"}) for i in (1, 2))
+    fits = _bounded(x.join(y, "token").where("n1 <= n2 and (lo1 <> lo2 or hi1 <> hi2 or lo1 <> hi1)"), percent)
+    x = rows.withColumnsRenamed({"cls": "a", "root": "r1", "n": "n1", "p": "p1"})
+    y = rows.withColumnsRenamed({"cls": "b", "root": "r2", "n": "n2", "p": "p2"})
+    pairs = x.join(fits.select("token", "n1", "p1", "n2", "p2"), ["token", "n1", "p1"]).join(y, ["token", "n2", "p2"])
+    return pairs.where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)").select("a", "b").distinct()
+
+
 def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
                         put: Callable[[DataFrame, str], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """(classes: doc_id, key, cls, n_shingles; roots: cls, root, kept) for ``docs`` (doc_id, text).
@@ -325,19 +341,18 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     ranked = _placed(shared, comp).join(weight, "cls").repartition("token").sortWithinPartitions("token", F.desc("w"), "cls")
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     again = own.stored(_hub_pairs(ranked, percent).join(tried, ["a", "b"], "left_anti"), "hub-pairs-2")
-    comp = own.stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent, own))), "hub-components-2")
+    if not again.isEmpty():
+        comp = own.stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent, own))), "hub-components-2")
 
-    # round 3: all pairs of one n-gram that lie in different components and were not tried yet
+    # round 3: pairs of one n-gram that lie in different components and were not tried yet
     placed = _placed(shared, comp).repartition("token").sortWithinPartitions("token", "root")
     open_ = own.stored(placed.mapInArrow(_several_roots, _TOKENS + ", root long"), "open-tokens")
-    x = _parts(open_.withColumnsRenamed({"cls": "a", "root": "r1"}), "n1", "p1")
-    y = _parts(open_.withColumnsRenamed({"cls": "b", "root": "r2"}), "n2", "p2")
-    more = _bounded(x.join(y, "token").where("r1 <> r2 and (n1 < n2 or n1 = n2 and a < b)"), percent).select("a", "b").distinct()
     tried = tried.unionByName(again).unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = _links(docs, classes, more.join(tried, ["a", "b"], "left_anti"), n, percent, own)
-    both = components(_edges(comp).unionByName(rest))
+    more = own.stored(_open_pairs(open_, percent, own).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    if not more.isEmpty():
+        comp = components(_edges(comp).unionByName(_links(docs, classes, more, n, percent, own)))
     lows = classes.select("cls", "low")
-    named = both.join(lows, both.node == lows.cls)
+    named = comp.join(lows, comp.node == lows.cls)
     least = named.groupBy("root").agg(F.min("low").alias("least")).join(named.select("cls", "root"), "root").select("cls", "least")
     least = lows.join(least, "cls", "left").select("cls", F.coalesce("least", "low").alias("low"))
     roots = put(least.select("cls", F.col("low.doc_id").alias("root"), F.col("low.key").alias("kept")), "roots")

@@ -94,13 +94,16 @@ def _statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of ``docs`` and a double column ``stat_<name>`` for each of STATISTICS."""
+    sent = keep if "text" in keep else [*keep, "text"]           # whole texts go to Python once
+    at = sent.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = _statistics(*buffers(b.column(b.num_columns - 1)))
+            s = _statistics(*buffers(b.column(at)))
             cols = [b.column(i) for i in range(len(keep))] + [pa.array(s[:, k]) for k in range(s.shape[1])]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in sent])
     kinds = [docs.schema[c].dataType.simpleString() for c in keep] + ["double"] * len(STATISTICS)
     names = [*keep, *(f"stat_{s}" for s in STATISTICS)]
     return src.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)

@@ -120,15 +120,40 @@ def repeated(batches: Iterator[pa.RecordBatch], levels: tuple[str, str], owner:
             yield done
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of a task's edges with the smallest node that those edges reach from it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, ends = np.unique(np.concatenate([batch.column(f).to_numpy() for f in ("a", "b")]), return_inverse=True)
+        x, y = ends[:batch.num_rows], ends[batch.num_rows:]
+        root = np.arange(len(nodes))
+        while True:                                          # hook roots to smaller ones, then halve all paths
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, root[y], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that ``edges`` (a, b) reach from each node in an edge.
 
-    Alternating large-star and small-star rounds: each hooks neighbours to the smallest one, so
-    the rounds grow with the logarithm of a component's size.  Every minimum is partially
-    aggregated before its shuffle; a hub's neighbours meet it again in a join that can split."""
-    e = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    The edges of a batch become stars first.  Then alternating large-star and small-star rounds: each
+    hooks neighbours to the smallest one, so the rounds grow with the logarithm of a component's size.  Every
+    minimum is partially aggregated before its shuffle; a hub's neighbours meet it again in a join that can split."""
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    e = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+               .mapInArrow(_stars, "a long, b long"))
+    now, before = state(e), None
+    while now != before and now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (both.join(low, F.col("a") == F.col("u")).where("b > a")
@@ -138,9 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, F.col("a") == F.col("u")).where("b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        e = frozen(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return (e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-                    .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
-        before = now
+        e, before = frozen(small), now
+        now = state(e)
+    return (e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+            .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
