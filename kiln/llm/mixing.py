@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -88,21 +87,24 @@ def splitting_tree(spark, quotas: np.ndarray, shards: int, seed: int) -> DataFra
     while len(nodes) * 2 * max(1, len(quotas)) <= 1 << 17 and any(b - a > 64 for a, b, *_ in nodes):
         nodes = [c for n in nodes for c in (_children(n, shards, total, seed) if n[1] - n[0] > 64 else [n])]
 
-    def grow(frames):
-        for f in frames:
-            for a, b, counts, offsets in zip(f["a"], f["b"], f["counts"], f["offsets"]):
-                todo = [(int(a), int(b), np.array(counts, np.int64), np.array(offsets, np.int64))]
+    def grow(batches):
+        for batch in batches:
+            out = []
+            for a, b, counts, offsets in zip(*(batch.column(f).to_pylist() for f in ("a", "b", "counts", "offsets"))):
+                todo = [(a, b, np.array(counts, np.int64), np.array(offsets, np.int64))]
                 while todo:
                     n = todo.pop()
                     if n[1] - n[0] > 1:
                         todo += _children(n, shards, total, seed)
                         continue
                     some = np.flatnonzero(n[2])
-                    yield pd.DataFrame({"src": some, "shard": n[0], "lo": n[3][some], "hi": n[3][some] + n[2][some]})
+                    out.append(np.stack((some, np.full(len(some), n[0]), n[3][some], n[3][some] + n[2][some])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["src", "shard", "lo", "hi"])
 
     rows = [(a, b, c.tolist(), o.tolist()) for a, b, c, o in nodes]
     top = spark.createDataFrame(rows, "a long, b long, counts array<long>, offsets array<long>")
-    return top.repartition(min(len(rows), 64), "a").mapInPandas(grow, "src long, shard long, lo long, hi long")
+    return top.repartition(min(len(rows), 64), "a").mapInArrow(grow, "src long, shard long, lo long, hi long")
 
 
 def mixed_blocks(docs: DataFrame, seed: int = 11, most: int = 3, block_words: int = BLOCK_WORDS,

@@ -34,7 +34,7 @@ ROOM, END_ID = 1024, 2
 SHARD_PIECES, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 4, 4
 FULL_ENOUGH = 0.99
-_CACHE = 300_000
+_CACHE = 100_000
 _PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, ids array<long>"
 
 
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, with
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        enc.clear()                                          # a reused worker holds no words between tasks
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
@@ -215,16 +216,18 @@ def pack(items: DataFrame, room: int = ROOM, shard_pieces: int = SHARD_PIECES, i
                      F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("elites")))
 
     def epoch(number: int):
-        def run(frames):
-            for f in frames:
-                out = [evolve(s, [e for e in el], room, [seed, int(h), int(i), number])
-                       for s, el, h, i in zip(f["sizes"], f["elites"], f["shard"], f["island"])]
-                yield f.assign(elites=[[x.tolist()] for x in out])
+        def run(batches):
+            names = ["shard", "items", "sizes", "island", "elites"]
+            for b in batches:
+                shard, island, elites = (b.column(f).to_pylist() for f in ("shard", "island", "elites"))
+                out = [[evolve(s.values.to_numpy(), el, room, [seed, h, i, number]).tolist()]
+                       for s, el, h, i in zip(b.column("sizes"), elites, shard, island)]
+                yield pa.RecordBatch.from_arrays([*(b.column(f) for f in names[:4]), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=names)
         return run
 
     kind = "shard long, items array<long>, sizes array<long>, island int, elites array<array<int>>"
     for e in range(epochs):
-        state = state.repartition(min(shards * islands, 4096), "shard", "island").mapInPandas(epoch(e), kind)
+        state = state.repartition(min(shards * islands, 4096), "shard", "island").mapInArrow(epoch(e), kind)
         state = stored(state, f"epoch-{e}")
         if e + 1 < epochs:                                  # ring migration: each island also gets its neighbour's elite
             guest = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("elites").alias("guest"))

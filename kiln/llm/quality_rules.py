@@ -20,8 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kiln.llm.shared import renamed, split_by_ids, stored
@@ -148,6 +146,10 @@ def tree_rules(text: str) -> list[tuple[tuple[str, bool, float], ...]]:
 
 def fit_rules(labelled: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleModel:
     """Fit on ``labelled`` (stat_* columns and ``label`` 0/1), all its rows."""
+    # imported here, on the driver: Python workers that compute statistics have no use for them
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
     mean, n = labelled.agg(F.avg("label"), F.count("*")).first()
     if not n or mean in (0.0, 1.0):
         p = min(max(0.5 if mean is None else mean, 1e-6), 1 - 1e-6)
