@@ -68,18 +68,22 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[
             with_slot.join(F.broadcast(slots), "_slot", "left_anti").drop("_slot"))
 
 
-def repeated(batches: Iterator[pa.RecordBatch], levels: tuple[str, str], owner: str) -> Iterator[dict]:
+_LAST = np.iinfo(np.int64).max
+
+
+def repeated(batches: Iterator[pa.RecordBatch], levels: tuple[str, str], owner: str, order: str | None = None) -> Iterator[dict]:
     """Rows whose key also occurs with another owner, from rows sorted by (key, sub, owner).
 
     Yields column arrays plus ``same_sub`` (another owner has the same sub-key as well) and
-    ``first`` (the smallest owner of the sub-key).  The stream keeps at most one owner's rows
+    ``first`` (the smallest owner of the sub-key).  With ``order``, ``first`` is the smallest order of the sub-key and
+    ``first_owner`` the smallest owner that has it.  The stream keeps at most one owner's rows
     between batches, so a key of any size passes in bounded memory."""
     key, sub = levels
     kept: dict[str, np.ndarray] | None = None
 
-    def out(cols: dict, a: int, b: int, both: np.ndarray, first: np.ndarray, multi: np.ndarray) -> dict:
+    def out(cols: dict, a: int, b: int, both: np.ndarray, multi: np.ndarray, **first: np.ndarray) -> dict:
         take = np.flatnonzero(multi[a:b] & ~cols["_seen"][a:b]) + a
-        return {k: v[take] for k, v in cols.items() if k != "_seen"} | {"same_sub": both[take], "first": first[take]}
+        return {k: v[take] for k, v in cols.items() if k != "_seen"} | {"same_sub": both[take]} | {k: v[take] for k, v in first.items()}
 
     def settle(cols: dict, final: bool) -> tuple[dict | None, dict | None]:
         n = len(cols[key])
@@ -91,20 +95,30 @@ def repeated(batches: Iterator[pa.RecordBatch], levels: tuple[str, str], owner:
         kn, sn = np.diff(np.append(k0, n)), np.diff(np.append(s0, n))
         lo, hi = np.minimum.reduceat(cols[owner], k0), np.maximum.reduceat(cols[owner], k0)
         s_lo, s_hi = np.minimum.reduceat(cols[owner], s0), np.maximum.reduceat(cols[owner], s0)
-        multi, both, first = np.repeat(lo != hi, kn), np.repeat(s_lo != s_hi, sn), np.repeat(s_lo, sn)
+        multi, both = np.repeat(lo != hi, kn), np.repeat(s_lo != s_hi, sn)
+        if order is None:
+            least = s_lo
+            first = {"first": np.repeat(s_lo, sn)}
+        else:
+            least = np.minimum.reduceat(cols[order], s0)
+            at_least = cols[order] == np.repeat(least, sn)
+            who = np.minimum.reduceat(np.where(at_least, cols[owner], _LAST), s0)
+            first = {"first": np.repeat(least, sn), "first_owner": np.repeat(who, sn)}
         if final:
-            return out(cols, 0, n, both, first, multi), None
+            return out(cols, 0, n, both, multi, **first), None
         if lo[-1] == hi[-1]:                     # one owner so far: wait for the next batch
             a = k0[-1]
-            return out(cols, 0, a, both, first, multi), {c: v[a:] for c, v in cols.items()}
+            return out(cols, 0, a, both, multi, **first), {c: v[a:] for c, v in cols.items()}
         a = n if s_lo[-1] != s_hi[-1] else s0[-1]
-        marks = {c: np.repeat(v[-1:], 4) for c, v in cols.items()}      # seen rows that keep the state
-        marks["_seen"] = np.ones(4, bool)
-        marks[owner] = np.array([lo[-1], hi[-1], s_lo[-1], s_hi[-1]], cols[owner].dtype)
+        marks = {c: np.repeat(v[-1:], 5) for c, v in cols.items()}      # seen rows that keep the state
+        marks["_seen"] = np.ones(5, bool)
+        marks[owner] = np.array([lo[-1], hi[-1], s_lo[-1], s_hi[-1], s_lo[-1] if order is None else who[-1]], cols[owner].dtype)
+        if order is not None:
+            marks[order] = np.array([_LAST] * 4 + [least[-1]], np.int64)
         marks[sub] = marks[sub].copy()
         marks[sub][:2] = ~marks[sub][2]          # another sub-key: only the key is the same
-        rest = {c: np.concatenate((marks[c][:4 if a == n else 2], v[a:])) for c, v in cols.items()}
-        return out(cols, 0, a, both, first, multi), rest
+        rest = {c: np.concatenate((marks[c][:5 if a == n else 2], v[a:])) for c, v in cols.items()}
+        return out(cols, 0, a, both, multi, **first), rest
 
     for batch in batches:
         cols = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema.names)}

@@ -10,14 +10,14 @@ two documents is found whole, wherever it lies:
    one pass over the sorted stream.  A group of any size passes in bounded memory.
 3. Matches are extended: to the right over the chain of kept positions that agree, and left and
    right of its ends word by word, by comparing the ``min_words`` windows there in the same sorted
-   way.  A window is left out of this only if every occurrence of its kept position lies in
+   way, equal if two 64-bit hashes are.  A window is left out of this only if every occurrence of its kept position lies in
    the same chain, which then covers it everywhere, so no repeat is lost.
 
-Spans are in words, half open, and merged per document.  ``first_doc`` is the smallest doc_id that
-holds the passage, so ``first_doc < doc_id`` marks what a removal takes out.  Repeats inside one
+Spans are in words, half open, and merged per document.  A document is a (doc_id, text): different texts under
+one doc_id are different documents, rows that repeat both are one.  Documents are in order of doc_id, null last, and
+of a hash of their content; ``removable`` is what an earlier document holds.  Repeats inside one
 document only are not reported.  Null or empty texts, and texts below ``min_words`` words, have no
-spans; rows that share a doc_id are one document, and so are rows without doc_id that share a text.
-The latter are compared like all others, come after all ids in order, and have no row of spans.
+spans.  Rows without doc_id (or with the largest 64-bit one) are compared like all others and have no row of spans.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kiln.llm.shared import Scratch, renamed, repeated, split_by_ids, stored
-from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
+from kiln.llm.words import blocks, buffers, mix, prefix_hash, span_hash
 
 MIN_WORDS, HEAD = 50, 16
 _U = np.uint64
 _I = np.int64
 _PLACE = 28            # bits of a position inside a block of words
+_NO_ID = np.iinfo(_I).max
+_SECOND = _U(0xA0761D6478BD642F)
 
 
 def _batch(**cols) -> pa.RecordBatch:
@@ -77,10 +79,18 @@ def _chains(words, kept: np.ndarray, head: int, min_words: int) -> np.ndarray:
     return np.where(ok, to + head, 0)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each owner in a task."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [not (o in seen or seen.add(o)) for o in b.column("owner").to_pylist()]
+        yield b if all(new) else b.filter(pa.array(new, pa.bool_()))
+
+
 def _suffixes(head: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(_I)
+        for batch in _once(batches):
+            owner, order = batch.column("owner").to_numpy(), batch.column("doc_id").to_numpy()
             data, off = buffers(batch.column("text"))
             for i, j, words in blocks(data, off):
                 pre, _, place = _minimisers(words, head, min_words)
@@ -91,15 +101,28 @@ def _suffixes(head: int, min_words: int):
                 key = span_hash(pre, kept, kept + head).view(_I)
                 sub = np.where(end > 0, span_hash(pre, kept, np.maximum(end, kept)).view(_I), 0)
                 doc = np.searchsorted(words.ptr, kept, "right") - 1
-                yield _batch(key=key, sub=sub, doc_id=ids[i:j][doc], pos=kept - words.ptr[doc], len=np.where(end > 0, end - kept, 0))
+                yield _batch(key=key, sub=sub, owner=owner[i:j][doc], doc_id=order[i:j][doc], pos=kept - words.ptr[doc], len=np.where(end > 0, end - kept, 0))
     return run
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """``repeated`` without rows that repeat the one before (tasks repeat an owner)."""
+    last = None
+    for r in repeated(batches, ("key", "sub"), "owner", "doc_id"):
+        same = np.ones(len(r["key"]), bool)
+        for f in ("key", "sub", "owner", "pos"):
+            same[1:] &= r[f][1:] == r[f][:-1]
+        same[0] = last == tuple(r[f][0] for f in ("key", "sub", "owner", "pos"))
+        last = tuple(r[f][-1] for f in ("key", "sub", "owner", "pos"))
+        yield {k: v[~same] for k, v in r.items()}
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes that share their head with another document; ``len`` > 0 if the chain as well."""
-    for r in repeated(batches, ("key", "sub"), "doc_id"):
+    for r in _shared_rows(batches):
         both = r["same_sub"] & (r["len"] > 0)
-        yield _batch(key=r["key"], sub=r["sub"], doc_id=r["doc_id"], pos=r["pos"], len=np.where(both, r["len"], 0), first=r["first"])
+        yield _batch(key=r["key"], sub=r["sub"], owner=r["owner"], doc_id=r["doc_id"], pos=r["pos"], len=np.where(both, r["len"], 0),
+                     first=r["first"], first_owner=r["first_owner"])
 
 
 def _ends(head: int, min_words: int):
@@ -108,7 +131,7 @@ def _ends(head: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
-            marks, ids = batch.column("marks"), batch.column("doc_id").to_numpy()
+            marks, owner, order = batch.column("marks"), batch.column("owner").to_numpy(), batch.column("doc_id").to_numpy()
             flat, mo = marks.flatten(), marks.offsets.to_numpy()
             mo = mo - mo[0]
             pos, heads, chains = (flat.field(f).to_numpy() for f in ("pos", "heads", "chains"))
@@ -118,9 +141,8 @@ def _ends(head: int, min_words: int):
                     continue
                 base = np.repeat(words.ptr[:-1], np.diff(mo[i:j + 1]))
                 p = pos[mo[i]:mo[j]] + base
-                fits = p < len(words.h)                       # another text under the same doc_id
                 n_heads, n_chains = np.zeros((2, len(words.h) + 1), _I)
-                n_heads[p[fits]], n_chains[p[fits]] = heads[mo[i]:mo[j]][fits], chains[mo[i]:mo[j]][fits]
+                n_heads[p], n_chains[p] = heads[mo[i]:mo[j]], chains[mo[i]:mo[j]]
                 kept = np.unique(place)
                 before = np.searchsorted(kept, starts, "right") - 1
                 chain = np.where(before >= 0, n_chains[kept[np.maximum(before, 0)]], 0)
@@ -129,50 +151,51 @@ def _ends(head: int, min_words: int):
                     continue
                 doc = np.searchsorted(words.ptr, take, "right") - 1
                 key = span_hash(pre, take, take + min_words).view(_I)
-                yield _batch(key=key, sub=np.zeros(len(take), _I), doc_id=ids[i:j][doc], pos=take - words.ptr[doc])
+                sub = span_hash(prefix_hash(mix(words.h ^ _SECOND)), take, take + min_words).view(_I)
+                yield _batch(key=key, sub=sub, owner=owner[i:j][doc], doc_id=order[i:j][doc], pos=take - words.ptr[doc])
     return run
 
 
 def _windows(min_words: int):
     def run(batches):
-        for r in repeated(batches, ("key", "sub"), "doc_id"):
-            yield _batch(doc_id=r["doc_id"], pos=r["pos"], len=np.full(len(r["pos"]), min_words, _I), first=r["first"])
+        for r in _shared_rows(batches):
+            r = {k: v[r["same_sub"]] for k, v in r.items()}
+            yield _batch(owner=r["owner"], doc_id=r["doc_id"], pos=r["pos"], len=np.full(len(r["pos"]), min_words, _I),
+                         first=r["first"], first_owner=r["first_owner"])
     return run
 
 
-def _owner() -> Column:
-    """The doc_id; for a null one, 62 bits of the text's hash above 2**62, so that it comes last."""
-    unnamed = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+def _owned(docs: DataFrame) -> DataFrame:
+    """(owner, doc_id, text): ``owner`` names a document by its content, ``doc_id`` gives its order."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("owner"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID))).alias("doc_id"), "text")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
     """(doc_id, spans, removable): per document with passages that another document holds too, their
-    spans, and the part of them that a document with a smaller doc_id holds."""
-    spans = _owner_spans(docs, min_words, head)
-    unnamed = docs.where("doc_id is null").select(_owner().alias("doc_id")).distinct()
-    return spans.join(unnamed, "doc_id", "left_anti")
+    spans, and the part of them that an earlier document holds."""
+    return _owner_spans(docs, min_words, head).where(F.col("doc_id") != int(_NO_ID)).drop("owner")
 
 
 def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
-    """``repeated_spans`` with the owner as doc_id, also of rows without one."""
-    docs = docs.select(_owner().alias("doc_id"), "text")
-    kind = "doc_id long, pos long, len long, first long"
-    rows = docs.mapInArrow(_suffixes(head, min_words), "key long, sub long, doc_id long, pos long, len long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "sub", "doc_id")
+    """``repeated_spans`` with the owner, also of rows without doc_id."""
+    docs = _owned(docs)
+    kind = "owner long, doc_id long, pos long, len long, first long, first_owner long"
+    rows = docs.mapInArrow(_suffixes(head, min_words), "key long, sub long, owner long, doc_id long, pos long, len long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
     own = Scratch()
     hits = own.stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
 
     chains = hits.groupBy("key", "sub").agg(F.count("*").alias("chains"))
     heads = chains.groupBy("key").agg(F.sum("chains").alias("heads"))
     counted = hits.join(chains, ["key", "sub"]).join(heads, "key")
-    marked = counted.groupBy("doc_id").agg(F.collect_list(F.struct(
+    marked = counted.groupBy("owner").agg(F.collect_list(F.struct(
         "pos", "heads", F.when(F.col("len") > 0, F.col("chains")).otherwise(0).alias("chains"))).alias("marks"))
-    maybe, _ = split_by_ids(docs, hits.select("doc_id").distinct())
-    ends = maybe.join(marked, "doc_id").mapInArrow(_ends(head, min_words), "key long, sub long, doc_id long, pos long")
-    ends = ends.repartition("key").sortWithinPartitions("key", "sub", "doc_id")
-    spans = hits.where("len > 0").select("doc_id", "pos", "len", "first").unionByName(ends.mapInArrow(_windows(min_words), kind)).distinct()
-    merged = stored(spans.groupBy("doc_id").applyInArrow(_union_spans, "doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
+    maybe, _ = split_by_ids(docs, hits.select("owner").distinct(), "owner")
+    ends = maybe.mapInArrow(_once, maybe.schema).join(marked, "owner").mapInArrow(_ends(head, min_words), "key long, sub long, owner long, doc_id long, pos long")
+    ends = ends.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
+    spans = hits.where("len > 0").drop("key", "sub").unionByName(ends.mapInArrow(_windows(min_words), kind)).distinct()
+    merged = stored(spans.groupBy("owner").applyInArrow(_union_spans, "owner long, doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
     own.clear()
     return merged
 
@@ -187,10 +210,10 @@ def _union(a: np.ndarray, b: np.ndarray) -> list[dict]:
 
 
 def _union_spans(table: pa.Table) -> pa.Table:
-    doc, pos, ln, first = (table.column(c).to_numpy() for c in ("doc_id", "pos", "len", "first"))
-    later = first < doc
+    owner, doc, pos, ln, first, first_owner = (table.column(c).to_numpy() for c in ("owner", "doc_id", "pos", "len", "first", "first_owner"))
+    later = (first < doc) | (first == doc) & (first_owner < owner)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": pa.array(doc[:1]), "spans": pa.array([_union(pos, pos + ln)], kind),
+    return pa.table({"owner": pa.array(owner[:1]), "doc_id": pa.array(doc[:1]), "spans": pa.array([_union(pos, pos + ln)], kind),
                      "removable": pa.array([_union(pos[later], (pos + ln)[later])], kind)})
 
 
@@ -219,17 +242,17 @@ def _cut(batches):
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
-    """``docs`` with every repeated passage left only in the document of smallest doc_id (null last).
+    """``docs`` with every repeated passage left only in the first document that holds it.
 
     ``n_chars``, where present, is counted anew; a document of which nothing but white space is left
     goes.  Documents without repeats keep their text byte for byte."""
     docs, own_names = renamed(docs)
-    spans = _owner_spans(docs, min_words, head).where(F.size("removable") > 0).select(F.col("doc_id").alias("owner"), "removable")
+    spans = _owner_spans(docs, min_words, head).where(F.size("removable") > 0).select("owner", "removable")
     names = docs.columns
-    maybe, sure = split_by_ids(docs.withColumn("owner", _owner()), spans, "owner")
-    hit = maybe.join(spans, "owner").select(*names, "removable")
-    plain = maybe.join(spans, "owner", "left_anti").select(*names)
-    cut = hit.mapInArrow(_cut, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
+    maybe, sure = split_by_ids(docs.withColumn("owner", F.xxhash64(F.col("doc_id").cast("long"), "text")), spans, "owner")
+    both = maybe.join(spans, "owner", "left").select(*names, "removable")
+    cut = both.where("removable is not null").mapInArrow(_cut, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    plain = both.where("removable is null").select(*names)
     return sure.select(*names).unionByName(plain).unionByName(cut.select(*names)).toDF(*own_names)

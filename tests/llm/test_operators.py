@@ -150,6 +150,26 @@ def test_repeated_spans(docs, corpus):
         assert after.get(d, []) == left
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    """A passage is cut from the text that holds it, not from another text of that doc_id; of equal ids one text keeps it."""
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(100))
+    rows = [(1, passage), (5, passage + " two"), (5, other), (5, other), (7, "x " + other), (9, "a " + " ".join(f"z{i}" for i in range(70))),
+            (9, "b " + " ".join(f"z{i}" for i in range(70)))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "s"))
+    left = sorted((r.doc_id, r.text) for r in suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "s"))).collect())
+    assert left[:5] == [(1, passage), (5, other), (5, other), (5, "two"), (7, "x ")]
+    assert sorted(len(t.split()) for d, t in left[5:]) == [1, 71]
+
+
+def test_equal_keys_of_other_words_are_no_repeat():
+    """A forced clash of the first hash alone makes no match."""
+    import pyarrow as pa
+    rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([7, 7, 7], [1, 1, 2], [10, 11, 12], [3, 2, 1], [0, 0, 0])],
+                                      names=["key", "sub", "owner", "doc_id", "pos"])
+    out = pa.Table.from_batches(list(suffix_dedup._windows(50)(iter([rows.slice(0, 1), rows.slice(1, 1), rows.slice(2)])))).to_pylist()
+    assert [(r["owner"], r["first"], r["first_owner"]) for r in out] == [(10, 2, 11), (11, 2, 11)]
+
+
 def test_mix(docs, corpus):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(corpus) and all(0 <= r.taken <= 3 * r["size"] for r in rows)
