@@ -3,8 +3,12 @@
 Kinds of rule (one per column): ``fill``, ``standard``, ``minmax``, ``robust``, ``label``,
 ``onehot``, ``zscore``, ``iqr``.  A fitted pipeline is an ordered list of rules and is
 replayed in that order with :func:`apply_rules` — projections and filters, so the replay is
-one stage (a label list above INLINE_LABELS adds a join with its code table) and works on a
+one stage (a category list too long for the plan adds a join with its code table) and works on a
 streaming DataFrame as well.
+
+Category lists have no upper size.  A label list above INLINE_LABELS values and a one-hot list above
+MAX_ONEHOT are code tables, ranked by range and joined on replay; the one-hot codes become ONE sparse vector column
+``<column>_onehot`` in place of a column per category.
 """
 
 from __future__ import annotations
@@ -22,9 +26,7 @@ from kiln.session import scratch_path
 # Label maps up to this many values travel inside the plan as a literal map; larger
 # ones are written as a table and joined.
 INLINE_LABELS = 1000
-# A written label table is broadcast only below this many rows (else a shuffle join).
-BROADCAST_LABELS = 1_000_000
-# One-hot adds one column per category; wider outputs are refused (schema width, not data).
+# Up to this many categories one-hot adds a column for each; above, one sparse vector column.
 MAX_ONEHOT = 1000
 NAN_LABEL = "nan"
 
@@ -70,73 +72,136 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def fit_impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = None,
-               fill_value=None, approx: bool = False) -> list[Rule]:
-    """Fill values for mean / median / most_frequent / constant (fused per strategy)."""
+def _impute_columns(df: DataFrame, strategy: str, columns) -> list[str]:
     cols = list(columns) if columns else numeric_columns(df)
+    if strategy not in ("mean", "median", "most_frequent", "constant"):
+        raise ValueError(f"unknown imputation strategy: {strategy}")
     types = _types(df)
-    num = [c for c in cols if isinstance(types[c], T.NumericType)]
-    if strategy in ("mean", "median") and len(num) != len(cols):
-        bad = [c for c in cols if c not in num]
+    bad = [c for c in cols if not isinstance(types[c], T.NumericType)]
+    if strategy in ("mean", "median") and bad:
         raise ValueError(f"strategy {strategy!r} needs numeric columns, got: {', '.join(bad)}")
+    return cols
+
+
+def fit_impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = None,
+               fill_value=None, approx: bool = False) -> list[Rule]:
+    """Fill values for mean / median / most_frequent / constant (fused per strategy)."""
+    return _fit_together(df, [Step("missing_values", strategy=strategy, columns=tuple(columns) if columns else None,
+                                   fill_value=fill_value, approx=approx)])
+
+
+def fit_scale(df: DataFrame, method: str = "standard", columns: list[str] | None = None,
+              approx: bool = False) -> list[Rule]:
+    """Scaling statistics for all columns at once."""
+    return _fit_together(df, [Step("normalization", method=method, columns=tuple(columns) if columns else None, approx=approx)])
+
+
+def _impute_rule(c: str, dtype: T.DataType, step: Step, found: "_Found") -> Rule:
+    strategy = step.strategy or "mean"
     if strategy == "mean":
-        m = stats.moments(df, cols)
-        vals = {c: m[c]["mean"] for c in cols}
+        value = found.moments[c]["mean"]
     elif strategy == "median":
-        q = stats.quantiles(df, cols, [0.5], approx=approx)
-        vals = {c: q[c][0] for c in cols}
+        value = found.quartiles[step.approx][c][1]
     elif strategy == "most_frequent":
-        vals = stats.modes(df, cols)
-        vals = {c: vals.get(c) for c in cols}
-    elif strategy == "constant":
-        vals = {c: (fill_value if fill_value is not None else
-                    (0.0 if isinstance(types[c], T.NumericType) else "missing_value")) for c in cols}
+        value = found.modes.get(c)
+    elif step.fill_value is not None:
+        value = step.fill_value
     else:
-        raise ValueError(f"unknown imputation strategy: {strategy}")
-    return [Rule("fill", c, {"strategy": strategy, "fill_value": vals[c]}) for c in cols]
+        value = 0.0 if isinstance(dtype, T.NumericType) else "missing_value"
+    return Rule("fill", c, {"strategy": strategy, "fill_value": value})
 
 
-def fit_scale(df: DataFrame, method: str = "standard", columns: list[str] | None = None,
-              approx: bool = False) -> list[Rule]:
-    """Scaling statistics for all columns in one aggregate (two for robust)."""
-    cols = list(columns) if columns else numeric_columns(df)
+def _scale_rule(c: str, step: Step, found: "_Found") -> Rule:
+    method = step.method or "standard"
     if method == "standard":
-        m = stats.moments(df, cols)
-        return [Rule("standard", c, {"mean": m[c]["mean"],
-                                     "std": (m[c]["std_pop"] or 1.0) if m[c]["std_pop"] != 0 else 1.0})
-                for c in cols]
+        m = found.moments[c]
+        return Rule("standard", c, {"mean": m["mean"], "std": m["std_pop"] or 1.0})
     if method == "minmax":
-        m = stats.moments(df, cols)
-        out = []
-        for c in cols:
-            lo, hi = m[c]["min"], m[c]["max"]
-            rng = (hi - lo) if lo is not None else None
-            out.append(Rule("minmax", c, {"data_min": lo, "data_range": rng if rng else 1.0}))
-        return out
-    if method == "robust":
-        q = stats.quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
-        out = []
-        for c in cols:
-            q1, med, q3 = q[c]
-            iqr = (q3 - q1) if q1 is not None else None
-            out.append(Rule("robust", c, {"center": med, "scale": iqr if iqr else 1.0}))
-        return out
-    raise ValueError(f"Unknown normalization method: {method}")
+        lo, hi = found.moments[c]["min"], found.moments[c]["max"]
+        return Rule("minmax", c, {"data_min": lo, "data_range": ((hi - lo) if lo is not None else None) or 1.0})
+    q1, med, q3 = found.quartiles[step.approx][c]
+    return Rule("robust", c, {"center": med, "scale": ((q3 - q1) if q1 is not None else None) or 1.0})
+
+
+@dataclass
+class _Found:
+    """Statistics of one input that several steps read."""
+    moments: dict = field(default_factory=dict)
+    quartiles: dict = field(default_factory=dict)          # by the step's ``approx``
+    modes: dict = field(default_factory=dict)
+    encodings: dict = field(default_factory=dict)          # by method
+
+
+def _columns_of(df: DataFrame, step: Step) -> list[str]:
+    if step.op == "missing_values":
+        return _impute_columns(df, step.strategy or "mean", step.columns)
+    if step.op == "normalization":
+        if (step.method or "standard") not in ("standard", "minmax", "robust"):
+            raise ValueError(f"Unknown normalization method: {step.method}")
+        return list(step.columns) if step.columns else numeric_columns(df)
+    if step.op == "encoding":
+        if (step.method or "label") not in ("label", "onehot"):
+            raise ValueError(f"unknown encoding method: {step.method}")
+        return list(step.columns) if step.columns else categorical_columns(df)
+    if step.op == "outliers":
+        return list(step.columns) if step.columns else numeric_columns(df)
+    raise ValueError(f"unknown operation: {step.op}")
+
+
+def _fit_together(df: DataFrame, steps: list[Step]) -> list[Rule]:
+    """Rules of steps that all read ``df`` itself: each kind of statistic is taken once, for all their columns."""
+    cols = [_columns_of(df, s) for s in steps]
+    types = _types(df)
+
+    def union(wants) -> list[str]:
+        return list(dict.fromkeys(c for s, cs in zip(steps, cols) if wants(s) for c in cs))
+
+    def impute(*names):
+        return lambda s: s.op == "missing_values" and (s.strategy or "mean") in names
+
+    def scale(*names):
+        return lambda s: s.op == "normalization" and (s.method or "standard") in names
+
+    found = _Found()
+    found.moments = stats.moments(df, union(lambda s: impute("mean")(s) or scale("standard", "minmax")(s)))
+    for approx in (False, True):
+        found.quartiles[approx] = stats.quantiles(
+            df, union(lambda s: s.approx is approx and (impute("median")(s) or scale("robust")(s))), [0.25, 0.5, 0.75], approx=approx)
+    found.modes = stats.modes(df, union(impute("most_frequent")))
+    for method in ("label", "onehot"):
+        found.encodings[method] = {r.column: r for r in _encodings(df, method, union(
+            lambda s: s.op == "encoding" and (s.method or "label") == method))}
+    rules: list[Rule] = []
+    for s, cs in zip(steps, cols):
+        for c in cs:
+            if s.op == "missing_values":
+                rules.append(_impute_rule(c, types[c], s, found))
+            elif s.op == "normalization":
+                rules.append(_scale_rule(c, s, found))
+            else:
+                rules.append(found.encodings[s.method or "label"][c])
+    return rules
 
 
 def _label_key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NAN_LABEL))
 
 
+def _onehot_key(c: Column) -> Column:
+    """Text that tells NULL from every category."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None = None) -> list[Rule]:
-    """Sorted category lists.
+    """Sorted category lists."""
+    return _fit_together(df, [Step("encoding", method=method, columns=tuple(columns) if columns else None)])
 
-    One capped collect of the distinct (column, value) pairs: below the cap every list is
+
+def _encodings(df: DataFrame, method: str, cols: list[str]) -> list[Rule]:
+    """One capped collect of the distinct (column, value) pairs: below the cap every list is
     complete.  If the cap is hit, exact per-column counts decide which lists are small
-    enough to collect; a larger label list becomes a code table computed by range-partitioned
-    ranking, and a larger one-hot list is refused (it would add that many columns).
+    enough to collect; a longer list becomes a code table computed by range-partitioned ranking.
     """
-    cols = list(columns) if columns else categorical_columns(df)
     if not cols:
         return []
     limit = INLINE_LABELS if method == "label" else MAX_ONEHOT
@@ -159,33 +224,34 @@ def fit_encode(df: DataFrame, method: str = "label", columns: list[str] | None =
         if small:
             for r in distinct.where(F.col("column").isin(small)).collect():   # <= len(small) * limit
                 per[r["column"]].append(r["value"])
-    rules: dict[str, Rule] = {}
-    for c in cols:
-        if counts.get(c, 0) > limit:
-            continue
-        vals = per[c]
-        if method == "label":
-            ordered = sorted(vals)
-            rules[c] = Rule("label", c, {"values": {v: i for i, v in enumerate(ordered)}})
-        elif method == "onehot":
-            has_null = any(v is None for v in vals)
-            cats = sorted(v for v in vals if v is not None) + ([NAN_LABEL] if has_null else [])
-            rules[c] = Rule("onehot", c, {"categories": cats, "null_category": has_null,
-                                          "encoded_columns": [f"{c}_{v}" for v in cats]})
-        else:
-            raise ValueError(f"unknown encoding method: {method}")
-    for c in cols:
-        if c in rules:
-            continue
-        if method == "onehot":
-            raise ValueError(f"one-hot of {c!r} would add {counts[c]} columns (> {MAX_ONEHOT})")
-        spark = df.sparkSession
-        keys = df.select(_label_key(qcol(c)).alias("value"))
-        codes = dense_codes(keys, "value", n_rows=counts[c])
-        path = scratch_path(spark, "labels")
-        codes.write.mode("overwrite").parquet(path)
-        rules[c] = Rule("label", c, {"table": path, "n_values": int(counts[c])})
-    return [rules[c] for c in cols]
+    return [_code_table(df, method, c, counts[c]) if counts.get(c, 0) > limit else _inline_codes(method, c, per[c]) for c in cols]
+
+
+def _inline_codes(method: str, c: str, values: list) -> Rule:
+    if method == "label":
+        return Rule("label", c, {"values": {v: i for i, v in enumerate(sorted(values))}})
+    named = sorted(v for v in values if v is not None)
+    has_null = len(named) < len(values)
+    names = [f"{c}_{v}" for v in named]
+    if has_null:                                          # the NULL column comes last, beside a text 'nan' under another name
+        label = NAN_LABEL
+        while f"{c}_{label}" in names:
+            label += "_null"
+        names.append(f"{c}_{label}")
+    return Rule("onehot", c, {"categories": named + [NAN_LABEL] * has_null, "null_category": has_null, "encoded_columns": names})
+
+
+def _code_table(df: DataFrame, method: str, c: str, n: int) -> Rule:
+    """A rule whose codes are a table (``value``, ``code``) below the shared checkpoint folder; ``save_rules`` takes it along."""
+    path = scratch_path(df.sparkSession, f"{method}-codes")
+    if method == "label":
+        dense_codes(df.select(_label_key(qcol(c)).alias("value")), "value", n_rows=n).write.parquet(path)
+        return Rule("label", c, {"table": path, "n_values": int(n)})
+    key = _onehot_key(qcol(c)).alias("value")
+    codes = dense_codes(df.where(qcol(c).isNotNull()).select(key), "value", n_rows=n)
+    last = df.where(qcol(c).isNull()).select(key).limit(1).withColumn("code", F.lit(n - 1))       # NULL comes last
+    codes.unionByName(last).write.parquet(path)
+    return Rule("onehot", c, {"table": path, "n_values": int(n), "vector": f"{c}_onehot"})
 
 
 def fit_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
@@ -215,29 +281,47 @@ def fit_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0,
 
 
 def fit_step(df: DataFrame, step: Step) -> tuple[list[Rule], DataFrame]:
-    cols = list(step.columns) if step.columns else None
-    if step.op == "missing_values":
-        rules = fit_impute(df, step.strategy or "mean", cols, step.fill_value, approx=step.approx)
-    elif step.op == "normalization":
-        rules = fit_scale(df, step.method or "standard", cols, approx=step.approx)
-    elif step.op == "encoding":
-        rules = fit_encode(df, step.method or "label", cols)
-    elif step.op == "outliers":
-        return fit_outliers(df, step.method or "zscore",
-                            3.0 if step.threshold is None else step.threshold, cols, approx=step.approx)
-    else:
-        raise ValueError(f"unknown operation: {step.op}")
+    if step.op == "outliers":
+        return fit_outliers(df, step.method or "zscore", 3.0 if step.threshold is None else step.threshold,
+                            list(step.columns) if step.columns else None, approx=step.approx)
+    rules = _fit_together(df, [step])
     return rules, apply_rules(df, rules)
 
 
 def fit_pipeline(df: DataFrame, steps: list[Step | dict]) -> tuple[list[Rule], DataFrame]:
-    """Fit the steps in order; each sees the output of the previous ones."""
+    """Fit the steps in order; each sees the output of the previous ones.
+
+    A step whose columns no earlier step of its run has touched would see them unchanged, so such neighbours are fitted
+    together, on the same input and in the same scans.  A run ends at an outlier step, which removes rows for all that
+    follow, at a step that shares a column with the run, and at one that means "all columns" after an
+    encoding, which changes what these are."""
     rules: list[Rule] = []
     cur = df
+    run: list[Step] = []
+    used: set[str] = set()
+
+    def finish() -> None:
+        nonlocal cur, run, used
+        if run:
+            new = _fit_together(cur, run)
+            cur = apply_rules(cur, new)
+            rules.extend(new)
+            run, used = [], set()
+
     for s in steps:
         s = s if isinstance(s, Step) else Step.from_dict(s)
-        new, cur = fit_step(cur, s)
-        rules += new
+        if s.op == "outliers" or (not s.columns and any(r.op == "encoding" for r in run)):
+            finish()
+        known = set(cur.columns)
+        if run and (not set(s.columns or ()) <= known or used & set(_columns_of(cur, s))):
+            finish()
+        if s.op == "outliers":
+            new, cur = fit_step(cur, s)
+            rules.extend(new)
+            continue
+        used |= set(_columns_of(cur, s))
+        run.append(s)
+    finish()
     return rules, cur
 
 
@@ -271,14 +355,9 @@ def _projection(r: Rule, e: Column, dtype: T.DataType) -> list[tuple[str, Column
         m = F.create_map(*kv) if kv else F.create_map().cast("map<string,int>")
         return [(c, F.try_element_at(m, _label_key(e)).cast("int"), T.IntegerType())]
     if r.kind == "onehot":
-        out = []
-        for v, name in zip(p["categories"], p["encoded_columns"]):
-            if v == NAN_LABEL and p.get("null_category"):
-                cond = e.isNull()
-            else:
-                cond = F.coalesce(e.cast("string") == F.lit(v), F.lit(False))
-            out.append((name, cond.cast("double"), T.DoubleType()))
-        return out
+        at_null = max((i for i, v in enumerate(p["categories"]) if v == NAN_LABEL), default=-1) if p.get("null_category") else -1
+        return [(name, (e.isNull() if i == at_null else F.coalesce(e.cast("string") == F.lit(v), F.lit(False))).cast("double"), T.DoubleType())
+                for i, (v, name) in enumerate(zip(p["categories"], p["encoded_columns"]))]
     raise ValueError(f"not a projection rule: {r.kind}")
 
 
@@ -300,17 +379,34 @@ def _keep(r: Rule, e: Column) -> Column | None:
     raise ValueError(f"not a filter rule: {r.kind}")
 
 
+def _coded(df: DataFrame, r: Rule, key: Column) -> DataFrame:
+    """``df`` with ``_code`` from the rule's code table: a left join, which Spark broadcasts by the table's bytes or splits
+    where a key is hot."""
+    table = df.sparkSession.read.parquet(r.params["table"]).select(F.col("value").alias("_key"), F.col("code").alias("_code"))
+    return df.withColumn("_key", key).join(table, "_key", "left").drop("_key")
+
+
 def _label_join(df: DataFrame, r: Rule) -> DataFrame:
-    """Label codes from a written code table: a left join, broadcast when its size allows."""
-    p, c = r.params, r.column
-    table = df.sparkSession.read.parquet(p["table"]).select(
-        F.col("value").alias("_lbl_value"), F.col("code").alias("_lbl_code"))
-    if p.get("n_values", BROADCAST_LABELS + 1) <= BROADCAST_LABELS:
-        table = F.broadcast(table)
-    joined = df.withColumn("_lbl_key", _label_key(qcol(c))).join(
-        table, F.col("_lbl_key") == F.col("_lbl_value"), "left")
-    return joined.select(*[(F.col("_lbl_code").cast("int").alias(x) if x == c else qcol(x))
-                           for x in df.columns])
+    joined = _coded(df, r, _label_key(qcol(r.column)))
+    return joined.select(*[(F.col("_code").cast("int").alias(x) if x == r.column else qcol(x)) for x in df.columns])
+
+
+def _onehot_join(df: DataFrame, r: Rule) -> DataFrame:
+    """One sparse vector column in place of ``r.column``; a category that the fit did not see is all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    n, name = r.params["n_values"], r.params["vector"]
+    if name in df.columns:
+        raise ValueError(f"one-hot of {r.column!r} would replace the column {name!r}; rename one of them")
+    encoder = OneHotEncoder(inputCols=["_code"], outputCols=["_vector"], dropLast=True, handleInvalid="keep")
+    model = encoder.fit(df.sparkSession.createDataFrame([(float(n - 1),)], "_code double"))
+    coded = _coded(df, r, _onehot_key(qcol(r.column))).withColumn("_code", F.coalesce(F.col("_code").cast("double"), F.lit(float(n))))
+    return model.transform(coded).select(*[qcol(x) for x in df.columns if x != r.column], F.col("_vector").alias(name))
+
+
+def vector_entries(vector: Column) -> Column:
+    """The struct (size, indices, values) of a sparse vector column, without leaving the JVM."""
+    return F.from_json(F.to_json(F.struct(vector.alias("v"))), "v struct<size:int,indices:array<int>,values:array<double>>").getField("v")
 
 
 def apply_rule(df: DataFrame, r: Rule) -> DataFrame:
@@ -346,10 +442,11 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
             if cond is not None:
                 cur = cur.where(cond)
             continue
-        if r.kind == "label" and "values" not in r.params:
+        if "table" in r.params:
             flush()
-            cur = _label_join(cur, r)
-            types[r.column] = T.IntegerType()
+            cur = (_label_join if r.kind == "label" else _onehot_join)(cur, r)
+            cols, types = list(cur.columns), {f.name: f.dataType for f in cur.schema.fields}
+            exprs = {c: qcol(c) for c in cols}
             continue
         if r.kind not in _PROJECTIONS:
             raise ValueError(f"unknown rule kind: {r.kind}")

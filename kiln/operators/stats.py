@@ -1,26 +1,25 @@
 """Fused column statistics: moments, exact quantiles, modes.
 
 Each function touches all requested columns in one scan (partial aggregation before the
-shuffle).  Exact quantiles never use Spark's global ``percentile`` aggregate, whose per-task
-maps all meet in one final task: one (column, value) -> count shuffle spreads the work over
-every reducer, small columns finish on the driver from at most a few thousand pairs, and
-large ones by rank selection over value ranges (``ordered.select_ranks``).
+shuffle).  Exact quantiles are selected by bracket and count: a few scans of the columns in which every
+task only counts its values in the sub-brackets of each wanted rank's bracket, so neither values
+nor (value, count) pairs are shuffled, whatever the number of distinct values.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kiln.functions.columns import num, qcol
-from kiln.operators.ordered import select_ranks
 
-# A column with at most this many distinct values finishes on the driver from its
-# (value, count) pairs; all such columns of one call together send at most
-# PERCENTILE_MAP_BUDGET pairs.  Larger columns use rank selection.
-PERCENTILE_MAP_LIMIT = 2_000
-PERCENTILE_MAP_BUDGET = 20_000
+# Sub-brackets per bracket and pass (a power of two): a pass narrows a bracket at least so many times.
+SUB_BRACKET_BITS = 11
 
 
 def moments(df: DataFrame, columns: list[str], distinct: bool = False) -> dict[str, dict]:
@@ -52,91 +51,120 @@ def _interpolate(sorted_at, n: int, p: float) -> float:
     return a + (pos - lo) * (b - a)
 
 
-def _quantiles_from_pairs(pairs: list[tuple[float, int]], probs: list[float]) -> list[float | None]:
-    """Exact linear-interpolated quantiles from sorted (value, count) pairs of one column."""
-    n = sum(c for _, c in pairs)
-    if n == 0:
-        return [None] * len(probs)
-    cum, starts = 0, []
-    for v, c in pairs:
-        starts.append(cum)
-        cum += c
-
-    def at(r):
-        lo, hi = 0, len(pairs) - 1
-        while lo < hi:                       # last pair whose first rank is <= r
-            mid = (lo + hi + 1) // 2
-            if starts[mid] <= r:
-                lo = mid
-            else:
-                hi = mid - 1
-        return pairs[lo][0]
-    return [_interpolate(at, n, p) for p in probs]
-
-
-def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str, probs: list[float],
-                           small_values: int | None = None
+_SIGN = np.uint64(1 << 63)
+
+
+def _order_keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles ``x`` (no NaN; -0.0 equals 0.0)."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def _value_of(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+@dataclass
+class _Bracket:
+    """Keys lo..hi of column ``ci`` with ``below`` rows under them, and the ranks to be found there."""
+
+    ci: int
+    lo: int
+    hi: int
+    below: int
+    ranks: set[int] = field(default_factory=set)
+
+    @property
+    def shift(self) -> int:
+        return max(0, (self.hi - self.lo).bit_length() - SUB_BRACKET_BITS)
+
+
+def _count_in(brackets: list[_Bracket]):
+    """Rows, least and greatest key (as signed longs) by bracket and sub-bracket, for the doubles of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = [((b.hi - b.lo) >> b.shift) + 1 for b in brackets]
+        rows = [np.zeros(n, np.int64) for n in size]
+        low = [np.full(n, np.iinfo(np.uint64).max, np.uint64) for n in size]
+        high = [np.zeros(n, np.uint64) for n in size]
+        for batch in batches:
+            keys: dict[int, np.ndarray] = {}
+            for i, b in enumerate(brackets):
+                if b.ci not in keys:
+                    keys[b.ci] = _order_keys(batch.column(b.ci).drop_null().to_numpy(zero_copy_only=False))
+                k = keys[b.ci]
+                k = k[(k >= np.uint64(b.lo)) & (k <= np.uint64(b.hi))]
+                at = ((k - np.uint64(b.lo)) >> np.uint64(b.shift)).astype(np.int64)
+                rows[i] += np.bincount(at, minlength=size[i])
+                np.minimum.at(low[i], at, k)
+                np.maximum.at(high[i], at, k)
+        for i in range(len(brackets)):
+            used = np.flatnonzero(rows[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(used), i)), pa.array(used), pa.array(rows[i][used]),
+                 *(pa.array((x[i][used] ^ _SIGN).view(np.int64)) for x in (low, high))], names=["bracket", "sub", "n", "lo", "hi"])
+    return run
+
+
+def select_by_count(df: DataFrame, columns: list[str], probs: list[float]) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """(rows by column index, value by (column index, rank)) for the ranks that ``probs`` fall between.
+
+    The first scan takes count, minimum and maximum; each further one counts rows in at most
+    2**SUB_BRACKET_BITS sub-brackets of each open bracket, and a sub-bracket is cut to the least and greatest value seen in it.  At
+    most 64 / SUB_BRACKET_BITS scans follow, as brackets halve the bits of doubles, not their values; two or three
+    usually do.  The driver gets the counts, the tasks' shuffle as well."""
+    x = [num(c) for c in columns]
+    first = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    n = {i: first[f"n{i}"] for i in range(len(columns))}
+    open_: list[_Bracket] = []
+    for i in range(len(columns)):
+        if n[i]:
+            at = [p * (n[i] - 1) for p in probs]
+            lo, hi = (int(_order_keys(np.array([first[f"{k}{i}"]], np.float64))[0]) for k in ("lo", "hi"))
+            open_.append(_Bracket(i, lo, hi, 0, {f(r) for r in at for f in (math.floor, math.ceil)}))
+    found: dict[tuple[int, int], float] = {}
+    while True:
+        for b in open_:
+            if b.lo == b.hi:
+                found |= {(b.ci, r): _value_of(b.lo) for r in b.ranks}
+        open_ = [b for b in open_ if b.lo != b.hi]
+        if not open_:
+            return n, found
+        wanted = sorted({b.ci for b in open_})
+        place = {ci: k for k, ci in enumerate(wanted)}
+        asked = [_Bracket(place[b.ci], b.lo, b.hi, b.below) for b in open_]
+        counts = (df.select(*[x[ci].alias(f"c{ci}") for ci in wanted]).mapInArrow(_count_in(asked), "bracket long, sub long, n long, lo long, hi long")
+                  .groupBy("bracket", "sub").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())
+        subs: dict[int, list] = {}
+        for r in sorted(counts, key=lambda r: (r["bracket"], r["sub"])):
+            subs.setdefault(r["bracket"], []).append(r)
+        narrower: list[_Bracket] = []
+        for i, b in enumerate(open_):
+            below = b.below
+            for r in subs[i]:
+                inside = {k for k in b.ranks if below <= k < below + r["n"]}
+                if inside:
+                    narrower.append(_Bracket(b.ci, r["lo"] + (1 << 63), r["hi"] + (1 << 63), below, inside))
+                below += r["n"]
+        open_ = narrower
+
+
+def exact_quantiles_ranged(df: DataFrame, columns: list[str] | str, probs: list[float]
                            ) -> dict[str, list[float | None]] | list[float | None]:
-    """Exact linear-interpolated quantiles of several columns from ONE scan.
-
-    Rows collapse to (column index, value, count) — a shuffle spread over all reducers, with a
-    hot value pre-combined per task.  Columns with at most ``small_values`` distinct values
-    (and at most PERCENTILE_MAP_BUDGET pairs in total) send their pairs to the driver, where
-    the quantiles are interpolated; the others use rank selection over value ranges
-    (``ordered.select_ranks``), which fetches only the rows at the wanted ranks.
-    """
-    small_values = PERCENTILE_MAP_LIMIT if small_values is None else small_values
+    """Exact linear-interpolated quantiles of several columns (or one), NULL and NaN left out."""
     single = isinstance(columns, str)
     cols = [columns] if single else list(columns)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ci"), num(c).alias("v")) for i, c in enumerate(cols)]))
-        .alias("s")).select("s.ci", "s.v").where(F.col("v").isNotNull())
-    vc = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("c")).persist()
-    try:
-        per = {r["ci"]: (r["n"], r["nd"]) for r in vc.groupBy("ci").agg(
-            F.sum("c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()}     # one row per column
-        small, used = [], 0
-        for i in sorted(per, key=lambda i: per[i][1]):
-            if per[i][1] <= small_values and used + per[i][1] <= max(small_values, PERCENTILE_MAP_BUDGET):
-                small.append(i)
-                used += per[i][1]
-        out: dict[str, list] = {c: [None] * len(probs) for c in cols}
-        if small:
-            pairs: dict[int, list] = {i: [] for i in small}
-            for r in vc.where(F.col("ci").isin(small)).collect():          # <= PERCENTILE_MAP_BUDGET rows
-                pairs[r["ci"]].append((r["v"], r["c"]))
-            for i in small:
-                out[cols[i]] = _quantiles_from_pairs(sorted(pairs[i]), probs)
-        big = sorted(i for i in per if i not in small)
-        if big:
-            # ranks over the key struct(ci, v), restricted to the big columns
-            offset, wanted, offsets = 0, set(), {}
-            for i in big:
-                offsets[i] = offset
-                n = per[i][0]
-                for p in probs:
-                    pos = p * (n - 1)
-                    wanted.update({offset + math.floor(pos), offset + math.ceil(pos)})
-                offset += n
-            keyed = vc.where(F.col("ci").isin(big)).select(F.struct("ci", "v").alias("k"), "c")
-            found = select_ranks(keyed, "k", "c", sorted(wanted), sum(per[i][1] for i in big))
-            for i in big:
-                out[cols[i]] = [_interpolate(lambda r, i=i: found[offsets[i] + r]["v"], per[i][0], p)
-                                for p in probs]
-        return out[cols[0]] if single else out
-    finally:
-        vc.unpersist()
-
-
-def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              approx_distinct: dict[str, int] | None = None,
-              map_limit: int = PERCENTILE_MAP_LIMIT, approx: bool = False,
+    n, found = select_by_count(df, cols, probs)
+    out = {c: [_interpolate(lambda r, i=i: found[i, r], n[i], p) if n[i] else None for p in probs] for i, c in enumerate(cols)}
+    return out[cols[0]] if single else out
+
+
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False,
               accuracy: int = 10000) -> dict[str, list[float | None]]:
-    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns, one scan.
+    """Exact quantiles (pandas/DuckDB ``quantile_cont`` rule) for several columns at once.
 
     ``approx=True`` takes one ``percentile_approx`` pass instead (rank error <= n/accuracy,
-    values are actual data points, no interpolation).  ``approx_distinct`` is accepted for
-    compatibility and not needed.
+    values are actual data points, no interpolation).
     """
     if not columns:
         return {}
@@ -145,7 +173,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
                        .alias(f"q{i}") for i, c in enumerate(columns)]).collect()[0]
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(columns)}
-    return exact_quantiles_ranged(df, list(columns), probs, small_values=map_limit)
+    return exact_quantiles_ranged(df, list(columns), probs)
 
 
 def unpivot(df: DataFrame, columns: list[str], cast: str | None = None,

@@ -214,3 +214,39 @@ def q_rules_roundtrip(spark, sf):
     path = scratch_path(spark, "rules")
     save_rules(spark, rules, path)
     return round_all(prep.apply_rules(df, load_rules(spark, path)))
+
+
+# ------------------------------------------------- category lists that are tables, not columns
+# The order key as text, with gaps and a text 'nan' beside them: many more categories than MAX_ONEHOT.
+_KEY = "CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 1009 = 1 THEN 'nan' ELSE CAST(l_orderkey AS VARCHAR) END"
+
+
+def _with_key(spark, sf):
+    k = F.col("l_orderkey")
+    return lineitem_nulls(spark, sf).withColumn("key", F.when(k % 7 == 0, None).when(k % 1009 == 1, "nan").otherwise(k.cast("string")))
+
+
+@query("encode_onehot_wide", f"""WITH li AS (SELECT *, {_KEY} AS key FROM lineitem),
+k AS (SELECT key, CAST(row_number() OVER (ORDER BY key NULLS LAST) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT key FROM li))
+SELECT l_orderkey, l_linenumber, (SELECT CAST(count(*) AS INTEGER) FROM k) AS width, k.code, 1.0::DOUBLE AS value
+FROM li JOIN k ON li.key IS NOT DISTINCT FROM k.key""")
+def q_encode_onehot_wide(spark, sf):
+    """One-hot of a column with thousands of categories: position and value of each row's entry in its sparse vector."""
+    df = _with_key(spark, sf)
+    out = prep.apply_rules(df, prep.fit_encode(df, "onehot", ["key"]))
+    v = prep.vector_entries(F.col("key_onehot"))
+    raw = out.select("l_orderkey", "l_linenumber", v.alias("v"))
+    return raw.select("l_orderkey", "l_linenumber", F.col("v.size").alias("width"), F.col("v.indices")[0].alias("code"), F.col("v.values")[0].alias("value"))
+
+
+@query("rules_bundle", f"""WITH li AS (SELECT *, coalesce({_KEY}, 'nan') AS label FROM {LI_SQL}),
+k AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT label FROM li)),
+s AS (SELECT avg(l_tax) AS m, stddev_pop(l_tax) AS d FROM li)
+SELECT l_orderkey, l_linenumber, code AS key, round((l_tax - m) / d, 6) AS l_tax FROM li JOIN k USING (label), s""")
+def q_rules_bundle(spark, sf):
+    """Rules with a code table of thousands of labels, saved as a folder, loaded and replayed."""
+    df = _with_key(spark, sf).select("l_orderkey", "l_linenumber", "key", "l_tax")
+    rules, _ = prep.fit_pipeline(df, [{"operation": "encoding", "method": "label", "columns": ["key"]},
+                                      {"operation": "normalization", "method": "standard", "columns": ["l_tax"]}])
+    path = save_rules(spark, rules, scratch_path(spark, "rules"))
+    return round_all(prep.apply_rules(df, load_rules(spark, path)))

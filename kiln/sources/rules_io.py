@@ -1,7 +1,14 @@
-"""Fitted rules saved and loaded as JSON through Spark (any shared file system)."""
+"""Fitted rules saved and loaded as a folder (any shared file system).
+
+``manifest`` is the rule list as JSON; ``tables-<id>`` holds the code tables of long category lists as Parquet, one folder
+each, named in the manifest relative to the rule folder.  So a saved folder needs nothing outside itself and can be moved.
+"""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import SparkSession, types as T
 
 from kiln.operators.prep import Rule
@@ -14,17 +21,45 @@ RULES_SCHEMA = T.StructType([
 ])
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def save_rules(spark: SparkSession, rules: list[Rule], path: str, mode: str = "overwrite") -> str:
-    """Write the rule list (one small JSON file) to ``path``."""
-    rows = [tuple(r.to_dict(i).values()) for i, r in enumerate(rules)]
-    spark.createDataFrame(rows, RULES_SCHEMA).coalesce(1).write.mode(mode).json(path)
+    """Write the rules and their code tables below ``path``.
+
+    The manifest comes last and names fresh tables, so rules loaded from ``path`` can be saved there again; tables
+    that it no longer names go afterwards."""
+    path = path.rstrip("/")
+    if mode not in ("overwrite", "error", "errorifexists"):
+        raise ValueError(f"rules are saved with mode overwrite or error, not {mode!r}")
+    fs, root = _fs(spark, path)
+    if mode != "overwrite" and fs.exists(root):
+        raise ValueError(f"{path} exists")
+    tables = f"tables-{uuid.uuid4().hex[:12]}"
+    out = []
+    for i, r in enumerate(rules):
+        if "table" in r.params:
+            spark.read.parquet(r.params["table"]).write.parquet(f"{path}/{tables}/{i}")
+            r = replace(r, params={**r.params, "table": f"{tables}/{i}"})
+        out.append(tuple(r.to_dict(i).values()))
+    spark.createDataFrame(out, RULES_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("tables-") and name != tables:
+            fs.delete(f.getPath(), True)
     return path
 
 
 def load_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Read rules back, ordered by their sequence number."""
-    rows = spark.read.schema(RULES_SCHEMA).json(path).orderBy("seq").collect()
-    return [Rule.from_dict(r.asDict()) for r in rows]
+    """Read rules back, ordered by their sequence number (also from a folder of bare JSON rules)."""
+    path = path.rstrip("/")
+    fs, manifest = _fs(spark, f"{path}/manifest")
+    rows = spark.read.schema(RULES_SCHEMA).json(f"{path}/manifest" if fs.exists(manifest) else path).orderBy("seq").collect()
+    rules = [Rule.from_dict(r.asDict()) for r in rows]
+    return [replace(r, params={**r.params, "table": f"{path}/{r.params['table']}"})
+            if str(r.params.get("table", "")).startswith("tables-") else r for r in rules]
 
 
 def rules_from_reference_state(state: dict) -> list[Rule]:

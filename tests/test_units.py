@@ -164,7 +164,7 @@ def test_quantiles_ranged_equal_percentile(spark, small_ranges):
     df = spark.createDataFrame(rows, "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     exact = stats.quantiles(df, ["x"], probs)["x"]
-    ranged = stats.quantiles(df, ["x"], probs, map_limit=0)["x"]
+    ranged = stats.quantiles(df, ["x"], probs)["x"]
     assert ranged == pytest.approx(exact, abs=1e-9)
 
 
@@ -379,7 +379,7 @@ def test_nan_counts_as_missing_everywhere(spark):
     assert d["count"] == 3 and d["mean"] == 3.0 and d["q50"] == 3.0 and d["max"] == 5.0
     out = prep.apply_rules(df, prep.fit_impute(df, "median", ["x"]))
     assert sorted(r.x for r in out.collect()) == [1.0, 3.0, 3.0, 3.0, 5.0]
-    assert stats.quantiles(df, ["x"], [0.5], map_limit=0)["x"] == [3.0]
+    assert stats.quantiles(df, ["x"], [0.5])["x"] == [3.0]
     assert dist.outlier_flag_iqr(df, "x").count() == 3
 
 
