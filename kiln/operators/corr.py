@@ -12,13 +12,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kiln.functions.columns import num, qcol
-from kiln.session import run_concurrently
+from kiln.session import checkpoint_dir, default_parallelism
 from kiln.operators.ordered import dense_codes, range_of, ranges_for, running_totals, \
     sample_bounds
 
-# A rank or code table is broadcast below this many rows; above, the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
 
 def _clean(c):
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
@@ -70,16 +67,6 @@ def average_ranks(df: DataFrame, column: str, rank_col: str = "rank",
                      "c")
 
 
-def _approx_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    r = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)]).collect()[0]
-    return {c: int(r[f"d{i}"]) for i, c in enumerate(cols)}
-
-
-def _maybe_broadcast(df: DataFrame, approx_rows: int) -> DataFrame:
-    # approx_count_distinct errs by a few percent; keep a margin below the limit
-    return F.broadcast(df) if approx_rows * 1.2 <= BROADCAST_ROWS else df
-
-
 def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataFrame:
     """Add ``_r<i>`` average-rank columns (rows where all ``cols`` are non-null).
 
@@ -87,7 +74,7 @@ def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataF
     counts ordered by ``struct(column, value)`` (value ranges, no single-task window), and
     rank = rows before the value in its column + (count + 1) / 2.  Every column has the same
     number n of complete rows, so the rows before column i are i·n (a scalar subquery).
-    Each column then joins its slice of the one rank table back to the rows.
+    Each column then joins its slice of the one rank table, which is written once, back to the rows.
     """
     cur = df.select(*[num(c).alias(f"_v{i}") for i, c in enumerate(cols)])
     for i in range(len(cols)):
@@ -96,15 +83,17 @@ def _with_ranks(df: DataFrame, cols: list[str], approx: dict[str, int]) -> DataF
         F.struct(F.lit(i).alias("ci"), F.col(f"_v{i}").alias("v")) for i in range(len(cols))])).alias("s")) \
         .select("s.ci", "s.v")
     vc = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("c"))
-    est = {c: int(approx[c] * 1.1) + 1 for c in cols}
+    est = sum(int(approx[c] * 1.1) + 1 for c in cols)
     rt = running_totals(vc.select(F.struct("ci", "v").alias("k"), "ci", "v", "c"), "k", ["c"],
-                        n_rows=sum(est.values()))
+                        n_rows=est, least_ranges=default_parallelism(df.sparkSession))
     n = cur.select(F.count(F.lit(1))).scalar()
     ranks = rt.select("ci", "v", (F.col("c_cum") - F.col("c") - F.col("ci") * n
                                   + (F.col("c") + 1) / 2.0).alias("rank"))
-    for i, c in enumerate(cols):
+    checkpoint_dir(df.sparkSession)
+    ranks = ranks.checkpoint()                    # read by every column below
+    for i in range(len(cols)):
         r = ranks.where(F.col("ci") == i).select(F.col("v").alias(f"_k{i}"), F.col("rank").alias(f"_r{i}"))
-        cur = cur.join(_maybe_broadcast(r, est[c]), F.col(f"_v{i}") == F.col(f"_k{i}"), "inner").drop(f"_k{i}")
+        cur = cur.join(r, F.col(f"_v{i}") == F.col(f"_k{i}"), "inner").drop(f"_k{i}")
     return cur
 
 
@@ -153,92 +142,94 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def _kendall_pairs(ranked: DataFrame, levels: int, bounds: list):
-    """Concordant (C) and discordant (D) pair counts of (x, y-rank, count) rows."""
-    ex = ranked.select("x", "c", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
-    ex = ex.select("b", F.expr("shiftright(ry, b + 1)").alias("pre"),
+def _concordance(ranked: DataFrame, levels: int, bounds: list) -> DataFrame:
+    """Concordant (C) and discordant (D) counts by pair ``p``, from (p, x, y-rank, count) rows."""
+    ex = ranked.select("p", "x", "c", "ry", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("b"))
+    ex = ex.select("p", "b", F.expr("shiftright(ry, b + 1)").alias("pre"),
                    F.expr("shiftright(ry, b) & 1").alias("bit"), "x", "c")
-    g = ex.groupBy("b", "pre", "x").agg(
+    g = ex.groupBy("p", "b", "pre", "x").agg(
         F.sum(F.col("c") * (1 - F.col("bit"))).alias("n0"),
         F.sum(F.col("c") * F.col("bit")).alias("n1"))
+    group = ["p", "b", "pre"]
     if not bounds:
         # one x range: the group total is a window sum over the same partitioning, so no
         # per-range offset table and no join are needed
-        part = Window.partitionBy("b", "pre")
+        part = Window.partitionBy(*group)
         w = part.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        j = g.select("b", "pre", "x", "n0", "n1",
-                     F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"),
-                     F.lit(0).cast("long").alias("off0"), F.sum("n0").over(part).alias("tot0"))
+        j = g.select("p", "n0", "n1", F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below"), F.sum("n0").over(part).alias("total"))
     else:
-        g = g.withColumn("xr", range_of(F.col("x"), bounds))
-        grp = ["b", "pre"]
+        g = g.withColumn("xr", range_of(F.struct("p", "x"), bounds))
         # per (group, x-range) totals -> offsets of earlier ranges and group totals
-        t = g.groupBy("b", "pre", "xr").agg(F.sum("n0").alias("s0"))
-        wg = Window.partitionBy(*grp).orderBy("xr")
-        t = t.select("b", "pre", "xr",
-                     F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("off0"),
-                     F.sum("s0").over(Window.partitionBy(*grp)).alias("tot0"))
-        w = Window.partitionBy("b", "pre", "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        g2 = g.select("b", "pre", "xr", "x", "n0", "n1",
-                      F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("below_in_range"))
-        j = g2.join(t, ["b", "pre", "xr"])
-    below = F.col("below_in_range") + F.col("off0")
-    return j.agg(F.sum(F.col("n1") * below).alias("C"),
-                 F.sum(F.col("n1") * (F.col("tot0") - below - F.col("n0"))).alias("D"),
-                 F.max(F.when(F.col("b") == levels - 1, F.col("pre"))).alias("top_pre")).collect()[0]
-
-
-def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None = None) -> float | None:
-    """Kendall tau-b with ties, O(n log n) rows of work, no pair enumeration.
-
-    Distinct (x, y, count) rows get the dense rank of y.  Two rows with different y are
+        wg = Window.partitionBy(*group).orderBy("xr")
+        t = g.groupBy(*group, "xr").agg(F.sum("n0").alias("s0")).select(
+            *group, "xr", F.coalesce(F.sum("s0").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.sum("s0").over(Window.partitionBy(*group)).alias("total"))
+        w = Window.partitionBy(*group, "xr").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        g = g.select(*group, "xr", "n0", "n1", F.coalesce(F.sum("n0").over(w), F.lit(0)).alias("inside"))
+        j = g.join(t, [*group, "xr"]).withColumn("below", F.col("inside") + F.col("before"))
+    return j.groupBy("p").agg(F.sum(F.col("n1") * F.col("below")).alias("C"),
+                              F.sum(F.col("n1") * (F.col("total") - F.col("below") - F.col("n0"))).alias("D"))
+
+
+def kendall_taus(df: DataFrame, pairs: list[tuple[str, str]], approx: dict[str, int] | None = None) -> list[float | None]:
+    """Kendall tau-b with ties of every pair of columns, all pairs in the same few jobs.
+
+    Work is O(n log n) rows a pair, with no row pair ever formed.  Distinct (pair, x, y, count) rows get the dense rank of y
+    within their pair.  Two rows with different y are
     compared once, at the highest bit where their y-ranks differ: inside a group sharing
-    the higher bits, rows with bit 0 have the smaller y.  Concordant pairs are then
+    pair and higher bits, rows with bit 0 have the smaller y.  Concordant pairs are then
     ``n1(x) × (# bit-0 rows with smaller x)`` summed over the group, found with running
     sums ordered by x.  A group larger than one task's share is split by x range, with
-    per-range offsets from a small aggregate.  Distinct-count estimates size the ranges and
-    the bit depth (extra top levels contribute nothing); the depth is verified exactly in
-    the final aggregate and raised if an estimate was too low.
+    per-range offsets from a small aggregate.  Distinct-count estimates only size the ranges.
     """
-    base = df.select(num(x).alias("x"), num(y).alias("y")) \
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if not pairs:
+        return []
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("p"), num(x).alias("x"), num(y).alias("y")) for i, (x, y) in enumerate(pairs)])).alias("s")) \
+        .select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if approx is None:
-        approx = _approx_distinct(base, ["x", "y"])
-        ax, ay = approx["x"], approx["y"]
-    else:
-        ax, ay = approx[x], approx[y]
-    ax, ay = int(ax * 1.1) + 2, int(ay * 1.1) + 2            # margins over the HLL estimate
-    xy = base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).persist()
+        names = sorted({c for p in pairs for c in p})
+        row = df.agg(*[F.approx_count_distinct(num(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+        approx = {c: int(row[f"d{i}"]) for i, c in enumerate(names)}
+    n_x, n_y = (sum(int(approx[p[k]] * 1.1) + 2 for p in pairs) for k in (0, 1))
+    xy = long.groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("c")).persist()
     try:
-        codes = _maybe_broadcast(dense_codes(xy, "y", n_rows=ay), ay)
-        ranked = xy.join(codes, "y").select("x", "c", F.col("code").alias("ry"))
-        levels = max(1, math.ceil(math.log2(ay)))
-        n_ranges = ranges_for(ax)
-        bounds = sample_bounds(xy.select("x").distinct(), "x", n_ranges, ax) if n_ranges > 1 else []
-        while True:
-            res = _kendall_pairs(ranked, levels, bounds)
-            # Exact check of the estimate-based depth: at the top level every row must share
-            # prefix 0, or some pairs were never compared.  Retry deeper (rare).
-            if not res["top_pre"]:
-                break
-            levels += 4
-        # tie sums for x and y in one job: one shuffle over (axis, value)
-        both = xy.select(F.explode(F.array(
+        codes = dense_codes(xy.select(F.struct("p", "y").alias("k")), "k", n_rows=n_y).select("k.p", "k.y", "code").persist()
+        try:
+            spans = {r["p"]: (r["lo"], r["hi"]) for r in codes.groupBy("p").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).collect()}
+            if not spans:
+                return [None] * len(pairs)
+            first = F.create_map(*[F.lit(v) for p, (lo, _) in spans.items() for v in (p, lo)])
+            ranked = xy.join(codes, ["p", "y"]).select("p", "x", "c", (F.col("code") - F.element_at(first, F.col("p"))).alias("ry"))
+            levels = max(1, max((hi - lo).bit_length() for lo, hi in spans.values()))
+            n_ranges = ranges_for(n_x)
+            keys = xy.select(F.struct("p", "x").alias("k")).distinct()
+            bounds = sample_bounds(keys, "k", n_ranges, n_x) if n_ranges > 1 else []
+            counts = {r["p"]: r for r in _concordance(ranked, levels, bounds).collect()}          # one row a pair
+        finally:
+            codes.unpersist()
+        both = xy.select("p", F.explode(F.array(
             F.struct(F.lit("x").alias("a"), F.col("x").alias("v"), F.col("c").alias("c")),
             F.struct(F.lit("y").alias("a"), F.col("y").alias("v"), F.col("c").alias("c")))).alias("s"))
-        ties = {r["a"]: r for r in both.groupBy("s.a", "s.v").agg(F.sum("s.c").alias("t")).groupBy("a").agg(
+        ties = {(r["p"], r["a"]): r for r in both.groupBy("p", "s.a", "s.v").agg(F.sum("s.c").alias("t")).groupBy("p", "a").agg(
             F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ties"), F.sum("t").alias("n")).collect()}
-        if not ties:
-            return None
-        n = ties["x"]["n"]
-        n0 = n * (n - 1) / 2
-        den = (n0 - ties["x"]["ties"]) * (n0 - ties["y"]["ties"])
-        if den <= 0:
-            return None
-        return float((res["C"] or 0) - (res["D"] or 0)) / math.sqrt(den)
     finally:
         xy.unpersist()
+    out: list[float | None] = []
+    for p in range(len(pairs)):
+        if p not in counts:
+            out.append(None)
+            continue
+        n = ties[p, "x"]["n"]
+        n0 = n * (n - 1) / 2
+        den = (n0 - ties[p, "x"]["ties"]) * (n0 - ties[p, "y"]["ties"])
+        out.append(float((counts[p]["C"] or 0) - (counts[p]["D"] or 0)) / math.sqrt(den) if den > 0 else None)
+    return out
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, approx: dict[str, int] | None = None) -> float | None:
+    """``kendall_taus`` of one pair."""
+    return kendall_taus(df, [(x, y)], approx)[0]
 
 
 def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -246,7 +237,7 @@ def kendall_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
                *[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
     approx = {c: int(r[f"d{i}"]) for i, c in enumerate(columns)}
     pairs = list(combinations(columns, 2))
-    vals = dict(zip(pairs, run_concurrently(lambda p: kendall_tau_b(df, p[0], p[1], approx), pairs)))
+    vals = dict(zip(pairs, kendall_taus(df, pairs, approx)))
     diag = {c: (1.0 if r[f"s{i}"] else None) for i, c in enumerate(columns)}
     return _long_matrix(df.sparkSession, columns, vals, diag)
 
@@ -261,5 +252,5 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
     raise ValueError(f"unknown correlation method: {method}")
 
 
-__all__ = ["pearson_matrix", "spearman_matrix", "kendall_matrix", "kendall_tau_b",
+__all__ = ["pearson_matrix", "spearman_matrix", "kendall_matrix", "kendall_taus", "kendall_tau_b",
            "average_ranks", "correlation_matrix"]

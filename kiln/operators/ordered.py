@@ -86,14 +86,15 @@ def range_of(c: Column, bounds: list) -> Column:
 
 def running_totals(df: DataFrame, order_col: str, measures: list[str], *,
                    descending: bool = False, n_rows: int | None = None,
-                   suffix: str = "_cum") -> DataFrame:
+                   suffix: str = "_cum", least_ranges: int = 1) -> DataFrame:
     """Add inclusive running sums ``<m><suffix>`` of ``measures`` in ``order_col`` order.
 
     ``order_col`` must be unique per row (collapse duplicates first) and non-null.
     ``n_rows`` may be an estimate (e.g. ``approx_count_distinct``): it only sizes the ranges.
+    ``least_ranges`` above 1 spreads small inputs over tasks as well.
     """
     n = df.count() if n_rows is None else n_rows
-    n_ranges = ranges_for(n)
+    n_ranges = max(ranges_for(n), least_ranges)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     if n_ranges <= 1:
         # Bounded: at most ROWS_PER_RANGE rows go to the single window task.

@@ -137,3 +137,22 @@ def _kendall_pair(a, b):
 @query("corr_kendall", _matrix_sql(KENDALL, _kendall_pair, lambda a: _diag(a, "part")))
 def q_corr_kendall(spark, sf):
     return round_all(corr.kendall_matrix(table(spark, sf, "part"), KENDALL))
+
+
+# Each pair of lineitem columns with gaps, on its own complete rows.  In SQL the table is collapsed to distinct (x, y) with
+# their counts before the self-join.
+KENDALL_WIDE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _kendall_counted(a, b):
+    t = f"(SELECT {a} AS x, {b} AS y, count(*) AS k FROM {LI_SQL} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)"
+    ties = lambda c: f"(SELECT sum(k * (k - 1) / 2) FROM (SELECT {c}, sum(k) AS k FROM {t} GROUP BY {c}))"
+    return (f"(SELECT round(s / sqrt((n0 - {ties('x')}) * (n0 - {ties('y')})), 6) FROM "
+            f"(SELECT sum(sign(t1.x - t2.x) * sign(t1.y - t2.y) * t1.k * t2.k) / 2 AS s FROM {t} t1, {t} t2), "
+            f"(SELECT sum(k) * (sum(k) - 1) / 2 AS n0 FROM {t}))")
+
+
+@query("corr_kendall_lineitem", _matrix_sql(KENDALL_WIDE, _kendall_counted, lambda a: _diag(a, LI_SQL)))
+def q_corr_kendall_lineitem(spark, sf):
+    """Kendall's tau-b of six column pairs with gaps, in the same jobs."""
+    return round_all(corr.kendall_matrix(lineitem_nulls(spark, sf), KENDALL_WIDE))
