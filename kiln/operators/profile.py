@@ -229,14 +229,32 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, key: str, n: int | None, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by md5(key#seed) order — exact size, stable under repartition.
+    """The ``n`` rows of smallest (md5(key#seed), key) — exact size, stable under repartition.
 
-    A top-k per task and one merge of n rows a task; ``n=None`` or 0 keeps every row.
-    """
+    Counts by the upper and then the lower half of the 32-bit hash (2**16 numbers each) give the hash at which the
+    sample ends.  Rows below it are filtered where they lie; only rows that share that one hash are put in
+    order.  ``n=None`` or 0 keeps every row, in no order."""
     if not n:
         return df
     h = key_hash(qcol(key), seed)
-    return df.orderBy(h, qcol(key)).limit(n)
+    upper, lower = F.shiftright(h, 16), h.bitwiseAND(0xFFFF)
+
+    def cut(rows: DataFrame, half, want: int) -> tuple[int | None, int]:
+        """(the half at which ``want`` rows are reached, rows before it); None if there are fewer."""
+        before = 0
+        for r in sorted(rows.groupBy(half.alias("h")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: r["h"]):
+            if before + r["c"] >= want:
+                return r["h"], before
+            before += r["c"]
+        return None, before
+
+    hashed = df.where(qcol(key).isNotNull())
+    top, before = cut(hashed, upper, n)
+    if top is None:                                       # fewer hashed rows than asked for: rows without a key make up
+        return hashed.unionByName(df.where(qcol(key).isNull()).limit(n - before))
+    low, more = cut(hashed.where(upper == top), lower, n - before)
+    last = (top << 16) + low
+    return hashed.where(h < last).unionByName(hashed.where(h == last).orderBy(qcol(key)).limit(n - before - more))
 
 
 class FeatureTypeError(ValueError):

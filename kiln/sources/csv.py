@@ -8,7 +8,7 @@ make the whole column a string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kiln.functions.columns import qcol
 
@@ -59,27 +59,72 @@ def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str
     return out
 
 
+SURPLUS, RECORD = "_surplus", "_record"
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
+    """Every field as text under the header's names, plus SURPLUS (the first field beyond the header unless
+    empty, else NULL) and RECORD (the
+    line of a row whose fields do not match the header's, in number; else NULL)."""
+    reader = (spark.read.option("header", True).option("inferSchema", False)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("emptyValue", "").options(**options))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, SURPLUS, RECORD]])
+    return reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(path)
+
+
+def ragged_rows(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
+    """(path, record) of the rows with more fields than the header: what ``read_csv_typed`` refuses, drops or rescues."""
+    raw = read_csv_text(spark, path, multi_line, **options)
+    # a row with exactly one field too many fits the widened schema, so its line is put together from its fields
+    fields = F.concat_ws(",", *[F.coalesce(_quoted(qcol(c)), F.lit("")) for c in raw.columns if c != RECORD])
+    return raw.select("*", F.col("_metadata.file_path").alias("path")).where(F.col(SURPLUS).isNotNull()).select(
+        "path", F.coalesce(F.col(RECORD), fields).alias("record"))
+
+
+def _quoted(c: Column) -> Column:
+    needs = c.rlike('[",\n\r]')
+    return F.when(needs, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def read_csv_typed(spark: SparkSession, path: str, tokens: list[str] = PANDAS_NA_TOKENS,
-                   types: dict[str, str] | None = None, multi_line: bool = True, **options) -> DataFrame:
+                   types: dict[str, str] | None = None, multi_line: bool = True, ragged: str = "error", **options) -> DataFrame:
     """Read CSV with a header; missing tokens -> NULL; one type per column (see module doc).
 
+    A row with fewer fields than the header ends in NULLs.  One with more is never cut in silence: ``ragged`` is ``error`` (the
+    default: raise, naming how many and some of them), ``drop`` (leave such rows out) or ``rescue`` (keep
+    the fields of the header and the whole line in a column RECORD); ``ragged_rows`` lists them.
+
     Quotes are doubled inside quoted fields (RFC 4180).  ``multi_line`` reads quoted line breaks;
     turn it off for files known to have none, so that Spark can split large files."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-           .option("nullValue", None).option("emptyValue", "").options(**options).csv(path))
-    raw = raw.select(*[_clean(qcol(c), tokens).alias(c) for c in raw.columns])
-    types = types or infer_types(raw, tokens)
+    if ragged not in ("error", "drop", "rescue"):
+        raise ValueError(f"ragged must be error, drop or rescue, not {ragged!r}")
+    raw = read_csv_text(spark, path, multi_line, **options)
+    names = [c for c in raw.columns if c not in (SURPLUS, RECORD)]
+    too_long = F.col(SURPLUS).isNotNull()
+    if ragged == "error":
+        first = raw.where(too_long).limit(3).count()
+        if first:
+            n, some = raw.where(too_long).count(), [r["record"] for r in ragged_rows(spark, path, multi_line, **options).limit(3).collect()]
+            raise ValueError(f"{n} rows of {path} have more than {len(names)} fields, such as {some}")
+    elif ragged == "drop":
+        raw = raw.where(~too_long)
+    text = raw.select(*[_clean(qcol(c), tokens).alias(c) for c in names])
+    types = types or infer_types(text, tokens)
     sel = []
-    for c in raw.columns:
+    for c in names:
         t = types[c]
-        v = qcol(c)
+        v = _clean(qcol(c), tokens)
         if t == "boolean":
             sel.append(_bool(F.trim(v)).alias(c))
         elif t == "string":
             sel.append(v.alias(c))
         else:
             sel.append(F.trim(v).cast(t).alias(c))
+    if ragged == "rescue":
+        fields = F.concat_ws(",", *[F.coalesce(_quoted(qcol(c)), F.lit("")) for c in [*names, SURPLUS]])
+        sel.append(F.when(too_long, F.coalesce(F.col(RECORD), fields)).alias(RECORD))
     return raw.select(*sel)
 
 
