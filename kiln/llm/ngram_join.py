@@ -215,8 +215,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
                         .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
     wanted = own.stored(ends(likely).join(sets, "cls").select("cls", F.col("low.key").alias("key")), "wanted")
     maybe, _ = split_by_ids(docs.select("key", "text"), wanted, "key")
-    found = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")
-    texts, _ = split_by_ids(found, wanted, "cls")            # read once a side: cheaper than writing all texts
+    texts = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")       # read once a side: cheaper than writing all texts
     hubs, _ = split_by_ids(texts, likely.select(F.col("b").alias("cls")), "cls")
     return (likely.join(texts.withColumnRenamed("cls", "a"), "a")
             .join(hubs.select(F.col("cls").alias("b"), F.col("text").alias("hub_text")), "b")

@@ -134,40 +134,58 @@ def repeated(batches: Iterator[pa.RecordBatch], levels: tuple[str, str], owner:
             yield done
 
 
+EDGES_AT_ONCE = 1 << 20
+
+
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges, but for the roots, with the smallest node that the edges reach from it."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(nodes))
+    while True:                                              # hook roots to smaller ones, then halve all paths
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): each node of a task's edges with the smallest node that those edges reach from it."""
+    """A task's edges as stars, EDGES_AT_ONCE at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        nodes, ends = np.unique(np.concatenate([batch.column(f).to_numpy() for f in ("a", "b")]), return_inverse=True)
-        x, y = ends[:batch.num_rows], ends[batch.num_rows:]
-        root = np.arange(len(nodes))
-        while True:                                          # hook roots to smaller ones, then halve all paths
-            low = np.minimum(root[x], root[y])
-            new = root.copy()
-            np.minimum.at(new, root[x], low)
-            np.minimum.at(new, root[y], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        if sum(len(a) for a, _ in held) >= EDGES_AT_ONCE:
+            held = [_contracted(*map(np.concatenate, zip(*held)))]
+            if len(held[0][0]) >= EDGES_AT_ONCE // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["a", "b"])
+                held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _contracted(*map(np.concatenate, zip(*held)))], names=["a", "b"])
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node of the edges (a, b) is either a root or has one, and no root has a root."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")),
+                                      F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("s")).select("s.*")
+    per = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return per.where("leaf > 1 or leaf = 1 and root = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that ``edges`` (a, b) reach from each node in an edge.
 
-    The edges of a batch become stars first.  Then alternating large-star and small-star rounds: each
+    The edges of a task become stars first.  Then alternating large-star and small-star rounds, until only stars are left: each
     hooks neighbours to the smallest one, so the rounds grow with the logarithm of a component's size.  Every
     minimum is partially aggregated before its shuffle; a hub's neighbours meet it again in a join that can split."""
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
     e = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
                .mapInArrow(_stars, "a long, b long"))
-    now, before = state(e), None
-    while now != before and now[0]:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (both.join(low, F.col("a") == F.col("u")).where("b > a")
@@ -177,7 +195,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, F.col("a") == F.col("u")).where("b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
-        e, before = frozen(small), now
-        now = state(e)
-    return (e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        e = frozen(small.mapInArrow(_stars, "a long, b long").distinct())
+    return (e.withColumnsRenamed({"a": "node", "b": "root"})
             .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

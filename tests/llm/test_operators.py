@@ -402,3 +402,26 @@ def test_shared_bound_is_never_too_low():
         assert len(np.intersect1d(x, y)) <= bound <= min(n1, n2)
     one_bucket = ngram_join._bucket_counts(ngram_join._signature(np.arange(20, dtype=np.uint64)))
     assert ngram_join._most_shared(one_bucket, one_bucket) is None
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 64])
+def test_components_of_any_shape(spark, monkeypatch, at_once):
+    """Chains, stars, cycles and random graphs over several partitions, against a search on the driver."""
+    from kiln.llm import shared
+    monkeypatch.setattr(shared, "EDGES_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    edges = [(i, i + 1) for i in range(1000, 1200)] + [(5, i) for i in range(2000, 2100)] + [(3000 + i, 3000 + (i + 1) % 30) for i in range(30)]
+    edges += [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(260)] + [(7, 7), (-3, 9), (9, -3)]
+    root = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                changed = True
+    got = shared.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    alone = {7} | {v for v in root if all(a == b for a, b in edges if v in (a, b))}
+    assert {r.node: r.root for r in got} == {v: r for v, r in root.items() if v not in alone} and len(got) == len(root) - len(alone)
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
