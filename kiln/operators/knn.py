@@ -22,6 +22,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd  # noqa: F401 — resolves the pandas UDF type hints below
 from pyspark.ml.clustering import KMeans
@@ -163,11 +164,18 @@ def _query_cells(centers, radii, counts, subs, k: int, id_type: str):
     return run
 
 
-def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,
-                   query_id: str, k: int = 5, target_col: str | None = None,
-                   seed: int = 42) -> DataFrame:
-    """(_qid, _tid, _y, _d): for each query, the k nearest rows within each of its candidate
-    blocks — a superset of its k nearest neighbours."""
+@dataclass
+class KnnIndex:
+    """Training rows (``_tid``, ``_vec``, ``_y``, ``_cell``) in cells, with each cell's centre, row count and radius."""
+
+    rows: DataFrame
+    centers: list[list[float]]
+    counts: list[int]
+    radii: list[float]
+    path: str | None = None
+
+
+def _index(train: DataFrame, id_col: str, vec_col: str, target_col: str | None, seed: int) -> KnnIndex:
     tr = train.select(qcol(id_col).alias("_tid"), _as_double_array(qcol(vec_col)).alias("_vec"),
                       (qcol(target_col) if target_col else F.lit(None).cast("int")).alias("_y")) \
         .where(F.col("_vec").isNotNull())
@@ -175,13 +183,42 @@ def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col
     if n_train == 0:
         raise ValueError("empty training set")
     assign, centers = _cells(tr, n_train, seed)
-    n_cells = len(centers)
     assigned = assign(tr)
     stats = {r["_cell"]: (r["n"], r["r"]) for r in assigned.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(_center_distance(centers)(F.col("_vec"), F.col("_cell"))).alias("r")).collect()}  # <= P rows
-    counts = [int(stats.get(i, (0, 0.0))[0]) for i in range(n_cells)]
-    radii = [float(stats.get(i, (0, 0.0))[1] or 0.0) for i in range(n_cells)]
+    at = range(len(centers))
+    return KnnIndex(assigned, centers, [int(stats.get(i, (0, 0.0))[0]) for i in at], [float(stats.get(i, (0, 0.0))[1] or 0.0) for i in at])
+
+
+def save_index(train: DataFrame | KnnIndex, path: str, *, id_col: str, vec_col: str, target_col: str | None = None, seed: int = 42) -> str:
+    """The index of ``train`` at ``path``: its rows, a folder a cell, and its cells."""
+    index = train if isinstance(train, KnnIndex) else _index(train, id_col, vec_col, target_col, seed)
+    if index.path == path:
+        return path
+    # a cell's rows are dealt over as many files as it has blocks, so a hot cell is not one task's
+    blocks = F.array(*[F.lit(max(1, math.ceil(c / T_BLOCK))) for c in index.counts])
+    rows = index.rows.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.element_at(blocks, F.col("_cell") + 1)))
+    rows.repartition("_cell", "_sub").drop("_sub").write.mode("overwrite").partitionBy("_cell").parquet(f"{path}/rows")
+    spark = index.rows.sparkSession
+    cells = [(i, c, n, r) for i, (c, n, r) in enumerate(zip(index.centers, index.counts, index.radii))]
+    spark.createDataFrame(cells, "cell int, center array<double>, n long, radius double").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    return path
+
+
+def load_index(spark, path: str) -> KnnIndex:
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+    rows = spark.read.parquet(f"{path}/rows").withColumn("_cell", F.col("_cell").cast("int"))
+    return KnnIndex(rows, [list(r["center"]) for r in cells], [r["n"] for r in cells], [r["radius"] for r in cells], path)
+
+
+def candidate_topk(train: DataFrame | KnnIndex, queries: DataFrame, *, id_col: str, vec_col: str,
+                   query_id: str, k: int = 5, target_col: str | None = None,
+                   seed: int = 42) -> DataFrame:
+    """(_qid, _tid, _y, _d): for each query, the k nearest rows within each of its candidate
+    blocks — a superset of its k nearest neighbours."""
+    index = train if isinstance(train, KnnIndex) else _index(train, id_col, vec_col, target_col, seed)
+    assigned, centers, counts, radii = index.rows, index.centers, index.counts, index.radii
     subs = [max(1, math.ceil(c / T_BLOCK)) for c in counts]
     sub_arr = F.array(*[F.lit(v) for v in subs])
 
@@ -199,6 +236,9 @@ def candidate_topk(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col
     # fresh column ids: these keys come from the query side, which is cogrouped below
     need = qx.select(F.col("_qb").alias("_nqb"), F.col("_cell").alias("_ncell"),
                      F.col("_sub").alias("_nsub")).distinct()
+    if index.path:                                          # a saved index: only the folders of wanted cells are read
+        cells = [r["_ncell"] for r in need.select("_ncell").distinct().collect()]          # <= P numbers
+        tsub = tsub.where(F.col("_cell").isin(cells))
     trep = tsub.join(need, (tsub["_cell"] == need["_ncell"]) & (tsub["_sub"] == need["_nsub"])) \
         .select(F.col("_nqb").alias("_qb"), F.col("_ncell").alias("_cell"), F.col("_nsub").alias("_sub"),
                 "_tid", "_vec", "_y")
@@ -225,10 +265,11 @@ def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col:
 
 def knn_predict(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str, target_col: str,
                 query_id: str, k: int = 5, weights: str = "uniform", task: str = "classification",
-                seed: int = 42) -> DataFrame:
-    """Predict ``target_col`` for each query from its k nearest training rows.
+                seed: int = 42, shares: bool = False) -> DataFrame:
+    """Predict ``target_col`` for each query from its k nearest training rows (``train`` may be a saved index).
 
-    Returns (query id, ``prediction``).  Exact for any data; the cells only prune work.
+    Returns (query id, ``prediction``) and, if asked for, ``shares``: each class's part of the votes, the classifier's
+    probabilities.  Exact for any data; the cells only prune work.
     """
     if weights not in ("uniform", "distance"):
         raise ValueError("weights must be 'uniform' or 'distance'")
@@ -243,8 +284,11 @@ def knn_predict(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: s
                              .otherwise(1.0 / F.col("distance")))
     if task == "classification":
         votes = top.groupBy(qid.alias("_q"), F.col("target").alias("_y")).agg(F.sum("_w").alias("_s"))
-        pred = votes.groupBy("_q").agg(
-            F.min_by("_y", F.struct((-F.col("_s")).alias("s"), F.col("_y").alias("y"))).alias("prediction"))
+        best = F.min_by("_y", F.struct((-F.col("_s")).alias("s"), F.col("_y").alias("y"))).alias("prediction")
+        pred = votes.groupBy("_q").agg(best, F.map_from_entries(F.collect_list(F.struct("_y", "_s"))).alias("_votes"),   # k classes at most
+                                       F.sum("_s").alias("_all"))
+        share = F.transform_values("_votes", lambda _, v: v / F.col("_all"))
+        pred = pred.select("_q", "prediction", *([share.alias("shares")] if shares else []))
     elif task == "regression":
         pred = top.groupBy(qid.alias("_q")).agg(
             (F.sum(F.col("_w") * F.col("target").cast("double")) / F.sum("_w")).alias("prediction"))

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, functions as F
@@ -27,10 +27,11 @@ from kiln.operators.prep import Rule, apply_rules
 from kiln.operators.profile import feature_target
 
 PROBLEMS = ("binary", "multiclass", "regression")
+_MARGINS = "rawPrediction"                              # also of one-vs-rest: a margin a class
 MODEL_TYPES = ("random_forest", "gradient_boosting", "decision_tree", "linear_regression", "ridge",
                "lasso", "logistic_regression", "svm", "knn", "neural_network")
-# Spark trees cannot be deeper than 30; "no limit" in the reference becomes this default.
-DEFAULT_MAX_DEPTH = 10
+# "No limit" is the deepest that Spark's trees go.
+DEFAULT_MAX_DEPTH = 30
 
 
 @dataclass
@@ -44,22 +45,21 @@ class TrainedModel:
     params: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` (and ``probability``/``p1`` for classifiers with probabilities)."""
+        """Add ``prediction``; for classifiers also ``probability`` (a vector or array by class) and, for two classes, ``p1``."""
         if self.model_type == "knn":
-            # Row ids must not change between the jobs below: freeze them with a checkpoint.
-            q = df if "_row_id" in df.columns else \
-                df.withColumn("_row_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-            arr = F.array(*[qcol(c).cast("double") for c in self.features])
-            # a row with a missing feature has no vector: it keeps a NULL prediction
-            qv = q.select("_row_id", F.when(F.exists(arr, lambda v: v.isNull()), F.lit(None))
-                          .otherwise(arr).alias("_fv"))
-            pred = knn_op.knn_predict(
-                self.knn_train, qv, id_col="_row_id", vec_col="_fv", target_col="_y", query_id="_row_id",
-                k=int(self.params.get("n_neighbors", 5)), weights=self.params.get("weights", "uniform"),
-                task="regression" if self.problem == "regression" else "classification")
-            return q.join(pred, "_row_id", "left").drop("_row_id")     # rows without a vector keep NULL
+            return self._neighbours_vote(df)
         out = self.pipeline.transform(_with_inputs(df, self.features)).drop(*_inputs(self.features))
-        if "probability" in out.columns and self.problem == "binary":
+        margins = self.params.get("_margin_scale")
+        if margins is not None:                            # margins -> probabilities by the fitted logistic curves
+            raw = vector_to_array(_MARGINS)
+            if self.problem == "binary":
+                p1 = _logistic(F.element_at(raw, 2), *margins[0])
+                out = out.withColumn("probability", F.array(1 - p1, p1)).withColumn("p1", p1)
+            else:
+                each = [_logistic(F.element_at(raw, k + 1), a, b) for k, (a, b) in enumerate(margins)]
+                total = sum(each[1:], each[0])
+                out = out.withColumn("probability", F.array(*[e / total for e in each]))
+        elif "probability" in out.columns and self.problem == "binary":
             out = out.withColumn("p1", F.element_at(vector_to_array("probability"), 2))
         classes = self.params.get("_classes")
         if classes is not None:
@@ -68,6 +68,44 @@ class TrainedModel:
             out = out.withColumn("prediction", F.element_at(arr, F.col("prediction").cast("int") + 1))
         return out
 
+    def _neighbours_vote(self, df: DataFrame) -> DataFrame:
+        # Row ids must not change between the jobs below: freeze them with a checkpoint.
+        q = df if "_row_id" in df.columns else \
+            df.withColumn("_row_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+        arr = F.array(*[qcol(c).cast("double") for c in self.features])
+        # a row with a missing feature has no vector: it keeps a NULL prediction
+        qv = q.select("_row_id", F.when(F.exists(arr, lambda v: v.isNull()), F.lit(None))
+                      .otherwise(arr).alias("_fv"))
+        cls = self.problem != "regression"
+        pred = knn_op.knn_predict(
+            self.knn_train, qv, id_col="_row_id", vec_col="_fv", target_col="_y", query_id="_row_id",
+            k=int(self.params.get("n_neighbors", 5)), weights=self.params.get("weights", "uniform"),
+            task="classification" if cls else "regression", shares=cls)
+        out = q.join(pred, "_row_id", "left").drop("_row_id")     # rows without a vector keep NULL
+        if not cls:
+            return out
+        votes = [F.coalesce(F.try_element_at("shares", F.lit(float(c))), F.lit(0.0)) for c in self.params["_vote_classes"]]
+        out = out.withColumn("probability", F.when(F.col("shares").isNotNull(), F.array(*votes))).drop("shares")
+        return out.withColumn("p1", F.element_at("probability", 2)) if self.problem == "binary" and len(votes) == 2 else out
+
+
+def _logistic(margin, a: float, b: float):
+    return 1 / (1 + F.exp(-(F.lit(a) * margin + F.lit(b))))
+
+
+def _margin_scale(fitted, scored: DataFrame, problem: str, k: int) -> list[tuple[float, float]] | None:
+    """(slope, intercept) of a logistic curve over each margin of ``scored`` (fitted pipeline's output with ``label``): Platt's
+    scaling, one curve for two classes and one a class for one-vs-rest.  None for models with probabilities of their own."""
+    if "probability" in scored.columns:
+        return None
+    raw = vector_to_array(_MARGINS)
+    out = []
+    for c in ([1] if problem == "binary" else range(k)):
+        rows = scored.select(array_to_vector(F.array(F.element_at(raw, c + 1))).alias("features"), (F.col("label") == c).cast("double").alias("label"))
+        curve = LogisticRegression(regParam=1e-4, standardization=False).fit(rows)
+        out.append((float(curve.coefficients[0]), float(curve.intercept)))
+    return out
+
 
 def _inputs(features: list[str]) -> list[str]:
     return [f"_feature{i}" for i in range(len(features))]
@@ -82,19 +120,19 @@ def _reg_for_c(c: float, n: int) -> float:
     return 1.0 / (c * n)
 
 
-_TREE = {"max_depth", "min_samples_leaf", "min_samples_split", "random_state"}
+_TREE = {"max_depth", "max_bins", "min_samples_leaf", "min_samples_split", "random_state"}
 # The parameters each model takes; any other name is an error.
 PARAMETERS = {
-    "random_forest": _TREE | {"n_estimators", "max_bins"}, "gradient_boosting": _TREE | {"n_estimators", "learning_rate"},
+    "random_forest": _TREE | {"n_estimators", "bootstrap"}, "gradient_boosting": _TREE | {"n_estimators", "learning_rate"},
     "decision_tree": _TREE, "linear_regression": set(), "ridge": {"alpha"}, "lasso": {"alpha", "max_iter"},
     "logistic_regression": {"C", "max_iter"}, "svm": {"C", "kernel", "max_iter"},
-    "neural_network": {"hidden_dims", "max_iter", "random_state"},
+    "neural_network": {"hidden_dims", "max_iter", "random_state", "tol"},
 }
 
 
 def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: float | None = None,
                      n_features: int | None = None, n_classes: int | None = None, **p):
-    """Spark ML estimator for one of MODEL_TYPES with the reference's parameter names."""
+    """Spark ML estimator for one of MODEL_TYPES under the public parameter names."""
     if problem not in PROBLEMS:
         raise ValueError(f"problem must be one of {PROBLEMS}")
     unknown = set(p) - PARAMETERS.get(model_type, set(p))
@@ -107,12 +145,12 @@ def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: f
     if model_type == "random_forest":
         kw = dict(numTrees=int(p.get("n_estimators", 100)),
                   maxDepth=int(p.get("max_depth") or DEFAULT_MAX_DEPTH), maxBins=int(p.get("max_bins", 32)),
-                  featureSubsetStrategy="auto" if cls else "all",
+                  featureSubsetStrategy="auto" if cls else "all", bootstrap=bool(p.get("bootstrap", True)),
                   minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=int(p.get("random_state", 42)))
         return RandomForestClassifier(**common, **kw) if cls else RandomForestRegressor(**common, **kw)
     if model_type == "gradient_boosting":
         kw = dict(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                  maxDepth=int(p.get("max_depth") or 3), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                  maxDepth=int(p.get("max_depth") or 3), maxBins=int(p.get("max_bins", 32)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                   seed=int(p.get("random_state", 42)))
         if not cls:
             return GBTRegressor(**common, **kw)
@@ -120,7 +158,7 @@ def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: f
             return GBTClassifier(**common, **kw)
         return OneVsRest(classifier=GBTClassifier(**kw), parallelism=4, **common)
     if model_type == "decision_tree":
-        kw = dict(maxDepth=int(p.get("max_depth") or DEFAULT_MAX_DEPTH),
+        kw = dict(maxDepth=int(p.get("max_depth") or DEFAULT_MAX_DEPTH), maxBins=int(p.get("max_bins", 32)),
                   minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=int(p.get("random_state", 42)))
         return DecisionTreeClassifier(**common, **kw) if cls else DecisionTreeRegressor(**common, **kw)
     if model_type in ("linear_regression", "ridge", "lasso"):
@@ -157,12 +195,12 @@ def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: f
             raise ValueError("neural_network supports classification only")
         hidden = list(p.get("hidden_dims", [64, 32]))
         return MultilayerPerceptronClassifier(**common, layers=[n_features, *hidden, n_classes],
-                                              maxIter=int(p.get("max_iter", 100)),
+                                              maxIter=int(p.get("max_iter", 100)), tol=float(p.get("tol", 1e-6)),
                                               seed=int(p.get("random_state", 42)))
     raise ValueError(f"unknown model type: {model_type}")
 
 
-def _label(df: DataFrame, target: str, problem: str):
+def label_of(df: DataFrame, target: str, problem: str):
     t = qcol(target)
     return t.cast("int").cast("double") if problem != "regression" else t.cast("double")
 
@@ -175,10 +213,13 @@ def _class_index(data: DataFrame, target: str) -> list[int] | None:
 
 
 def train_model(df: DataFrame, features: list[str], target: str, model_type: str, problem: str,
-                **params) -> TrainedModel:
-    """Fit on ``df`` (already the training rows).  Features must be numeric (checked on the schema)."""
+                calibration: DataFrame | None = None, **params) -> TrainedModel:
+    """Fit on ``df`` (already the training rows).  Features must be numeric (checked on the schema).
+
+    Models with margins only (the SVM, one-vs-rest boosting) get probabilities from logistic curves over their margins, fitted on
+    ``calibration`` (the validation rows, say); without it on ``df`` itself, where they are too sure."""
     data = feature_target(df, target, features).where(qcol(target).isNotNull())
-    data = data.withColumn("label", _label(data, target, problem))
+    data = data.withColumn("label", label_of(data, target, problem))
     nulls = data.agg(*[F.sum(is_missing(data, c).cast("long")).alias(f"null{i}")
                        for i, c in enumerate(features)]).collect()[0]
     missing = [c for i, c in enumerate(features) if nulls[f"null{i}"]]
@@ -190,6 +231,8 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
                          F.col("label").alias("_y"))
         # Materialise the training table once so ids are stable across the prediction jobs.
         tr = tr.checkpoint(eager=True)
+        if problem != "regression":
+            params = {**params, "_vote_classes": sorted(r[0] for r in tr.select("_y").distinct().collect())}
         return TrainedModel("knn", problem, list(features), target,
                             knn_train=tr.withColumnRenamed("_id", "_row_id"), params=params)
     # k-NN votes on the class values themselves; Spark's classifiers need indices 0..k-1
@@ -198,8 +241,7 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
         if problem == "binary" and len(classes or [0, 1]) > 2:
             raise ValueError(f"binary problem but {len(classes)} classes in {target!r}")
         if classes is not None:
-            idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-            data = data.withColumn("label", F.try_element_at(idx, qcol(target).cast("int")))
+            data = data.withColumn("label", index_of(target, classes))
             params = {**params, "_classes": classes}
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"),
                      F.max("label").alias("m")).collect()[0]
@@ -210,13 +252,32 @@ def train_model(df: DataFrame, features: list[str], target: str, model_type: str
     # "error": a row with a missing feature fails loudly at scoring instead of being dropped
     asm = VectorAssembler(inputCols=_inputs(features), outputCol="features", handleInvalid="error")
     pm = Pipeline(stages=[asm, est]).fit(_with_inputs(data, features))
+    if problem != "regression" and (model_type == "svm" or (model_type, problem) == ("gradient_boosting", "multiclass")):
+        held = data if calibration is None else _labelled(calibration, features, target, params.get("_classes"))
+        scale = _margin_scale(pm.stages[-1], pm.transform(_with_inputs(held, features)), problem, int(stats["m"]) + 1)
+        if scale is not None:
+            params = {**params, "_margin_scale": scale}
     return TrainedModel(model_type, problem, list(features), target, pipeline=pm, params=params)
 
 
+def index_of(target: str, classes: list[int]):
+    idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
+    return F.try_element_at(idx, qcol(target).cast("int"))
+
+
+def _labelled(df: DataFrame, features: list[str], target: str, classes: list[int] | None) -> DataFrame:
+    """Rows with every feature and a known class, and their ``label``."""
+    data = feature_target(df, target, features)
+    data = data.withColumn("label", label_of(data, target, "binary") if classes is None else index_of(target, classes))
+    for c in features:
+        data = data.where(~is_missing(data, c))
+    return data.where(F.col("label").isNotNull())
+
+
 def train_val_scores(model: TrainedModel, df: DataFrame, split_col: str = "split") -> DataFrame:
     """Per split, accuracy and loss = 1 - accuracy (classifiers) or MSE (regression)."""
     pred = model.transform(df)
-    y = _label(pred, model.target, model.problem)
+    y = label_of(pred, model.target, model.problem)
     if model.problem == "regression":
         e = F.col("prediction") - y
         g = pred.groupBy(split_col).agg(F.avg(e * e).alias("loss"))
@@ -258,12 +319,13 @@ def batch_score(df: DataFrame, rules: list[Rule], model: TrainedModel) -> DataFr
 
 
 def save_model(model: TrainedModel, path: str) -> str:
-    """Spark ML pipeline plus a small JSON of type, problem, features and target."""
-    if model.pipeline is None:
-        raise ValueError("k-NN keeps its training table; save that table instead")
-    model.pipeline.write().overwrite().save(path + "/pipeline")
+    """The Spark ML pipeline (for k-NN the index of its training rows) plus a small JSON of type, problem, features and target."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
+    if model.pipeline is None:
+        knn_op.save_index(model.knn_train, path + "/index", id_col="_row_id", vec_col="_fv", target_col="_y")
+    else:
+        model.pipeline.write().overwrite().save(path + "/pipeline")
     meta = json.dumps({"model_type": model.model_type, "problem": model.problem,
                        "features": model.features, "target": model.target, "params": model.params})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(path + "/meta")
@@ -272,9 +334,10 @@ def save_model(model: TrainedModel, path: str) -> str:
 
 def load_model(spark, path: str) -> TrainedModel:
     meta = json.loads(spark.read.text(path + "/meta").collect()[0][0])
-    pm = PipelineModel.load(path + "/pipeline")
-    return TrainedModel(meta["model_type"], meta["problem"], meta["features"], meta["target"],
-                        pipeline=pm, params=meta.get("params", {}))
+    own = (meta["model_type"], meta["problem"], meta["features"], meta["target"])
+    if meta["model_type"] == "knn":
+        return TrainedModel(*own, knn_train=knn_op.load_index(spark, path + "/index"), params=meta.get("params", {}))
+    return TrainedModel(*own, pipeline=PipelineModel.load(path + "/pipeline"), params=meta.get("params", {}))
 
 
 def prepare_data(df: DataFrame, target: str, problem: str, key: str, test_size: float = 0.2,

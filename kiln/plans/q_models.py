@@ -54,6 +54,7 @@ def q_knn_regress(spark, sf):
 # ------------------------------------------------------------------- Spark ML models
 from kiln.operators import models as ml  # noqa: E402
 from kiln.operators import prep  # noqa: E402
+from kiln.operators.history import training_history  # noqa: E402
 from kiln.plans.tables import LI_SQL, lineitem_nulls  # noqa: E402
 from kiln.session import scratch_path  # noqa: E402
 
@@ -347,3 +348,145 @@ def q_stream_batch_score(spark, sf):
                              prepare=held_out, model=m)
     return out.select("l_orderkey", "l_linenumber", "l_extendedprice",
                       F.round("prediction", 4).alias("prediction"))
+
+
+# ------------------------------------------ models against closed forms
+# One feature, one split: the best threshold of a stump in SQL, with all thresholds tried.
+_STUMP_SQL = f"""WITH p AS {_PART_SPLIT},
+tr AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM p WHERE b >= 3600),
+t AS (SELECT DISTINCT x, lead(x) OVER (ORDER BY x) AS nx FROM (SELECT DISTINCT x FROM tr)),
+g AS (SELECT (t.x + nx) / 2 AS cut, avg(y) FILTER (tr.x <= t.x) AS lo, avg(y) FILTER (tr.x > t.x) AS hi,
+             count(*) FILTER (tr.x <= t.x) AS nl, count(*) FILTER (tr.x > t.x) AS nh
+      FROM t, tr WHERE nx IS NOT NULL GROUP BY t.x, nx),
+best AS (SELECT * FROM g ORDER BY nl * lo * lo + nh * hi * hi DESC LIMIT 1)"""
+_STUMP_OUT = """
+SELECT p_partkey, p_retailprice AS actual, round(CASE WHEN p_size <= cut THEN lo ELSE hi END, 4) AS prediction FROM p, best WHERE b < 2000"""
+_BINS = 64                                       # more than the 50 sizes, so that every threshold is tried
+
+
+def _part_prediction(spark, sf, model_type, **params):
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", model_type, "regression", **params)
+    return m.transform(p.where(F.col("split") == "test")).select(
+        "p_partkey", F.col("p_retailprice").alias("actual"), F.round("prediction", 4).alias("prediction"))
+
+
+@query("model_decision_tree_stump", _STUMP_SQL + _STUMP_OUT)
+def q_model_decision_tree_stump(spark, sf):
+    """L3: a tree of one split, checked against the best of all thresholds."""
+    return _part_prediction(spark, sf, "decision_tree", max_depth=1, max_bins=_BINS)
+
+
+@query("model_random_forest_stump", _STUMP_SQL + _STUMP_OUT)
+def q_model_random_forest_stump(spark, sf):
+    """L1: a forest of one tree of one split (without resampling it takes every row)."""
+    return _part_prediction(spark, sf, "random_forest", n_estimators=1, max_depth=1, max_bins=_BINS, bootstrap=False)
+
+
+@query("model_gbt_two_stumps", _STUMP_SQL + """,
+r AS (SELECT x, 2 * (y - CASE WHEN x <= cut THEN lo ELSE hi END) AS y FROM tr, best),
+g2 AS (SELECT (t.x + nx) / 2 AS cut, avg(y) FILTER (r.x <= t.x) AS lo, avg(y) FILTER (r.x > t.x) AS hi,
+              count(*) FILTER (r.x <= t.x) AS nl, count(*) FILTER (r.x > t.x) AS nh
+       FROM t, r WHERE nx IS NOT NULL GROUP BY t.x, nx),
+best2 AS (SELECT * FROM g2 ORDER BY nl * lo * lo + nh * hi * hi DESC LIMIT 1)
+SELECT p_partkey, p_retailprice AS actual,
+       round(CASE WHEN p_size <= best.cut THEN best.lo ELSE best.hi END
+             + 0.1 * CASE WHEN p_size <= best2.cut THEN best2.lo ELSE best2.hi END, 4) AS prediction
+FROM p, best, best2 WHERE b < 2000""")
+def q_model_gbt_two_stumps(spark, sf):
+    """L2: two rounds of boosting with stumps; the second fits the loss's gradient at the first."""
+    return _part_prediction(spark, sf, "gradient_boosting", n_estimators=2, learning_rate=0.1, max_depth=1, max_bins=_BINS)
+
+
+# One feature of two values: the optimum of a classifier is each group's own class shares.
+_GROUP_SQL = """WITH e AS (SELECT vec_id, CAST(embedding[1] > 0 AS INTEGER) AS x, {y} AS y,
+        (('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '#42'), 1, 8))::BIGINT) % 10000 AS b FROM embeddings),
+g AS (SELECT x, avg(y) AS p FROM e WHERE b >= 3600 GROUP BY x)"""
+_HALF = "CAST(label >= 5 AS INTEGER)"
+
+
+def _group_model(spark, sf, model_type, target, **params):
+    e = _emb_split(spark, sf).select("vec_id", "split", (F.col("embedding")[0] > 0).cast("int").alias("x"), target.cast("int").alias("y"))
+    m = ml.train_model(e.where(F.col("split") == "train"), ["x"], "y", model_type, "binary", **params)
+    return m.transform(e.where(F.col("split") == "test"))
+
+
+@query("model_logistic_saturated", _GROUP_SQL.format(y=_HALF) + """
+SELECT vec_id, e.x, round(p, 3) AS p1, CAST(p > 0.5 AS DOUBLE) AS prediction FROM e JOIN g USING (x) WHERE b < 2000""")
+def q_model_logistic_saturated(spark, sf):
+    """With one two-valued feature and next to no penalty the probabilities are the class shares."""
+    out = _group_model(spark, sf, "logistic_regression", F.col("label") >= 5, C=1e9)
+    return out.select("vec_id", "x", F.round("p1", 3).alias("p1"), "prediction")
+
+
+@query("model_perceptron_saturated", _GROUP_SQL.format(y=_HALF) + """
+SELECT vec_id, e.x, round(p, 3) AS p1, CAST(p > 0.5 AS DOUBLE) AS prediction FROM e JOIN g USING (x) WHERE b < 2000""")
+def q_model_perceptron_saturated(spark, sf):
+    """Without hidden units the network's zero-gradient point is the same class shares."""
+    out = _group_model(spark, sf, "neural_network", F.col("label") >= 5, hidden_dims=[], max_iter=1000, tol=1e-12)
+    return out.select("vec_id", "x", F.round("p1", 3).alias("p1"), "prediction")
+
+
+# A target that mostly follows the feature: the hinge loss is least at margins -1 and 1.
+_MOSTLY = "CASE WHEN vec_id % 10 = 0 THEN 1 - CAST(embedding[1] > 0 AS INTEGER) ELSE CAST(embedding[1] > 0 AS INTEGER) END"
+
+
+@query("model_svm_two_points", _GROUP_SQL.format(y=_MOSTLY) + """
+SELECT vec_id, x, CAST(2 * x - 1 AS DOUBLE) AS margin, CAST(x AS DOUBLE) AS prediction FROM e WHERE b < 2000""")
+def q_model_svm_two_points(spark, sf):
+    """With one two-valued feature and next to no penalty the separating line has margins -1 and 1."""
+    from pyspark.ml.functions import vector_to_array
+    x = (F.col("embedding")[0] > 0).cast("int")
+    out = _group_model(spark, sf, "svm", F.when(F.col("vec_id") % 10 == 0, 1 - x).otherwise(x), C=100.0, max_iter=500)
+    return out.select("vec_id", "x", F.round(vector_to_array("rawPrediction")[1], 1).alias("margin"), "prediction")
+
+
+# ------------------------------------------ probabilities, history, saved neighbours
+@query("knn_probability", _EMB_SQL + """
+SELECT te.vec_id, CAST(te.label >= 5 AS INTEGER) AS label, round(avg(CAST(tl >= 5 AS DOUBLE)), 6) AS p1
+FROM te JOIN top ON top.qid = te.vec_id GROUP BY te.vec_id, te.label""")
+def q_knn_probability(spark, sf):
+    """E2 for k-NN: the share of the five neighbours that are of class 1."""
+    p = _emb_features(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
+    m = ml.train_model(p.where(F.col("split") == "train"), FEATS, "label", "knn", "binary", n_neighbors=5)
+    return m.transform(p.where(F.col("split") == "test")).select("vec_id", "label", F.round("p1", 6).alias("p1"))
+
+
+@query("model_roundtrip_knn", ORACLE["model_knn"])
+def q_model_roundtrip_knn(spark, sf):
+    """S6 for k-NN: the index saved by cell, loaded, and probed for the test rows."""
+    e = _emb_features(spark, sf)
+    m = ml.train_model(e.where(F.col("split") == "train"), FEATS, "label", "knn", "multiclass", n_neighbors=5)
+    path = ml.save_model(m, scratch_path(spark, "knn"))
+    out = ml.load_model(spark, path).transform(e.where(F.col("split") == "test"))
+    return out.select("vec_id", F.col("label").alias("actual"), F.col("prediction").cast("double").alias("prediction"))
+
+
+@query("svm_probability")
+def q_svm_probability(spark, sf):
+    """E2 for the SVM: probabilities from a logistic curve over margins, fitted on the validation rows."""
+    p = _emb_features(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
+    part = lambda s: p.where(F.col("split") == s)
+    m = ml.train_model(part("train"), FEATS, "label", "svm", "binary", calibration=part("validation"))
+    return m.transform(part("test")).select("vec_id", "label", "p1", "prediction")
+
+
+@query("training_history_gbt", _STUMP_SQL + """,
+r AS (SELECT x, 2 * (y - CASE WHEN x <= cut THEN lo ELSE hi END) AS y FROM tr, best),
+g2 AS (SELECT (t.x + nx) / 2 AS cut, avg(y) FILTER (r.x <= t.x) AS lo, avg(y) FILTER (r.x > t.x) AS hi,
+              count(*) FILTER (r.x <= t.x) AS nl, count(*) FILTER (r.x > t.x) AS nh
+       FROM t, r WHERE nx IS NOT NULL GROUP BY t.x, nx),
+best2 AS (SELECT * FROM g2 ORDER BY nl * lo * lo + nh * hi * hi DESC LIMIT 1),
+s AS (SELECT CASE WHEN b >= 3600 THEN 'train' ELSE 'validation' END AS split, p_retailprice AS y,
+             CASE WHEN p_size <= best.cut THEN best.lo ELSE best.hi END AS f1,
+             0.1 * CASE WHEN p_size <= best2.cut THEN best2.lo ELSE best2.hi END AS f2 FROM p, best, best2 WHERE b >= 2000)
+SELECT 'gradient_boosting' AS model, split, round, 'loss' AS metric, round(value, 4) AS value
+FROM (SELECT split, 1 AS round, avg((y - f1) * (y - f1)) AS value FROM s GROUP BY split
+      UNION ALL SELECT split, 2, avg((y - f1 - f2) * (y - f1 - f2)) FROM s GROUP BY split)""")
+def q_training_history_gbt(spark, sf):
+    """E13 by round: the loss of two boosting rounds on the training and validation rows."""
+    p = split_three_way(table(spark, sf, "part"), "p_partkey")
+    m = ml.train_model(p.where(F.col("split") == "train"), ["p_size"], "p_retailprice", "gradient_boosting", "regression",
+                       n_estimators=2, learning_rate=0.1, max_depth=1, max_bins=_BINS)
+    h = training_history(m, p.where(F.col("split") != "test"))
+    return h.select("model", "split", "round", "metric", F.round("value", 4).alias("value"))
