@@ -4,14 +4,17 @@ Equal vectors are one point that keeps its smallest ids, as many as a result can
 sample of points is halved again and again into equal leaves, whose means are the list centroids.
 Inner product becomes distance by one more coordinate that makes all points equally long.  Every
 point is listed under its nearest centroid, and under further ones nearly as near (boundary
-points), unless a chosen centroid lies between.  Queries are compared with all centroids (at most
-LISTS, held in memory) and search the lists within a ratio of the nearest centroid's distance; the
-ratio is set on the sample so that ``aim`` of its true neighbours lie in the searched lists.
+points), unless a chosen centroid lies between.  A query walks an in-memory graph of the centroids: each is joined, both ways, with its
+nearest ones and with those 1, 2, 4, ... places off in the order of the halving, which connects the graph and
+gives it long edges.  The walk starts at spread entries and expands the best ``beam`` centroids seen.  The query searches the
+lists seen within a ratio of the nearest one's distance.  Beam and ratio are set on the sample, through the same
+walk, so that ``aim`` of its true neighbours lie in the searched lists.
 
 Lists are cut into blocks of at most ``BLOCK`` points and their queries into blocks as well, so no
 task grows with a list; duplicates never meet as pairs.  Scores are in double precision on the
 original vectors.  Vectors that are null, zero, or hold null or non-finite components take no part,
-nor do vectors of another length than the most common.  Rows repeated whole count once.  An empty
+nor do vectors of another length than the most common.  Every row is a point of its own: a repeated row, or another row of the
+query's vec_id, is a candidate like all others.  An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kiln.llm.shared import stored
 
-SAMPLE, TRIALS, LISTS, BLOCK = 20_000, 300, 2048, 4096
+SAMPLE, TRIALS, BLOCK = 20_000, 300, 4096
+EDGES, ENTRIES, BEAM = 16, 16, 32
 REPLICAS, BOUNDARY, AIM = 4, 0.10, 0.975
 
 
@@ -57,11 +61,33 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T))
 
 
+def _graph(c: np.ndarray) -> np.ndarray:
+    """Neighbours of each centroid, a row each, filled up with the centroid itself."""
+    n = len(c)
+    joined: list[set[int]] = [set() for _ in range(n)]
+    for lo in range(0, n, 512):
+        near = np.argsort(_distances(c[lo:lo + 512], c), axis=1, kind="stable")[:, 1:EDGES + 1]
+        for i, row in enumerate(near.tolist()):
+            joined[lo + i].update(row)
+    for i in range(n):
+        joined[i].update(i + step for step in (1 << b for b in range(n.bit_length())) if i + step < n)
+    for i in range(n):
+        for j in list(joined[i]):
+            joined[j].add(i)
+    out = np.repeat(np.arange(n)[:, None], max(1, max(len(j - {i}) for i, j in enumerate(joined))), axis=1)
+    for i, j in enumerate(joined):
+        own = sorted(j - {i})
+        out[i, :len(own)] = own
+    return out
+
+
 class Index:
-    """Centroids and the search ratio: bounded by LISTS rows."""
+    """Centroids, their graph and the search ratio: bounded by the sample (an eighth of its rows)."""
 
     def __init__(self, centroids: np.ndarray, longest: float):
-        self.c, self.longest, self.ratio = centroids.astype(np.float32), longest, 1.0
+        self.c, self.longest, self.ratio, self.beam = centroids.astype(np.float32), longest, 1.0, BEAM
+        self.edges = _graph(self.c)
+        self.between = _distances(self.c, self.c)
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         """Points with the coordinate that makes all equally long."""
@@ -71,7 +97,7 @@ class Index:
         """The lists of each point: the nearest, then boundary ones that no chosen centroid hides."""
         d = _distances(self.lift(v), self.c)
         near = np.argsort(d, axis=1, kind="stable")[:, :2 * REPLICAS]
-        between = _distances(self.c, self.c)
+        between = self.between
         out = []
         for row, order in zip(d, near):
             chosen = [order[0]]
@@ -81,16 +107,40 @@ class Index:
             out.append(np.array(chosen))
         return out
 
-    def to_centroids(self, q: np.ndarray) -> np.ndarray:
-        """Distances of queries to all centroids."""
-        return _distances(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), self.c)
+    def walked(self, q: np.ndarray) -> np.ndarray:
+        """Distances of queries to the centroids that their walks see; infinite to the others.
+
+        All queries take a step at a time: each expands the best centroid that it has not, until the best
+        ``beam`` that it has seen are expanded."""
+        x = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+        n, every = len(self.c), np.arange(len(q))
+        seen = np.full((len(q), n), np.inf, np.float32)
+        done = np.zeros((len(q), n), bool)
+        start = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(int))
+        seen[:, start] = _distances(x, self.c[start])
+        width = min(self.beam, n)
+        active = every
+        while len(active):
+            d = seen[active]
+            edge = np.partition(d, width - 1, axis=1)[:, width - 1]
+            open_ = np.where(done[active] | (d > edge[:, None]), np.inf, d)
+            best = open_.argmin(axis=1)
+            go = np.isfinite(open_[np.arange(len(active)), best])
+            active, best = active[go], best[go]
+            if not len(active):
+                break
+            done[active, best] = True
+            to = self.edges[best]
+            new = np.sqrt(((self.c[to] - x[active][:, None]) ** 2).sum(axis=2))
+            seen[active[:, None], to] = new
+        return seen
 
     def searched(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists of each query: all within ``ratio`` times the nearest."""
-        return [np.flatnonzero(r <= self.ratio * r.min() + 1e-6) for r in self.to_centroids(q)]
+        """The lists of each query: all seen within ``ratio`` times the nearest."""
+        return [np.flatnonzero(r <= self.ratio * r.min() + 1e-6) for r in self.walked(q)]
 
     def calibrate(self, sample: np.ndarray, k: int, aim: float, rng: np.random.Generator) -> None:
-        """The least ratio at which the searched lists hold ``aim`` of the sample's neighbours."""
+        """The least beam (doubled from BEAM) and ratio at which the searched lists hold ``aim`` of the sample's neighbours."""
         pick = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
         scores = sample[pick] @ sample.T
         scores[np.arange(len(pick)), pick] = -np.inf
@@ -99,10 +149,15 @@ class Index:
             return
         true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         flat = self.listed(sample[true.ravel()])
-        d = self.to_centroids(sample[pick])
-        d /= np.maximum(d.min(1, keepdims=True), 1e-9)
-        need = np.sort([d[i // k, lists].min() for i, lists in enumerate(flat)])
-        self.ratio = float(need[min(len(need) - 1, math.ceil(aim * len(need)) - 1)]) + 1e-4
+        while True:
+            d = self.walked(sample[pick])
+            d /= np.maximum(d.min(1, keepdims=True), 1e-9)
+            need = np.sort([d[i // k, lists].min() for i, lists in enumerate(flat)])
+            ratio = float(need[min(len(need) - 1, math.ceil(aim * len(need)) - 1)])
+            if math.isfinite(ratio):
+                self.ratio = ratio + 1e-4
+                return
+            self.beam *= 2                                # a beam of all centroids sees all, as the graph is connected
 
 
 def build_index(points: DataFrame, k: int, aim: float = AIM, seed: int = 3) -> Index | None:
@@ -116,7 +171,7 @@ def build_index(points: DataFrame, k: int, aim: float = AIM, seed: int = 3) -> I
         rows = points.select("gid", "v").orderBy("gid").limit(100).toPandas()
     sample = np.array(rows["v"].tolist(), np.float64)
     rng = np.random.default_rng(seed)
-    lists = max(1, min(LISTS, round(2 * n ** (1 / 3)), len(sample) // 8 or 1))
+    lists = max(1, min(round(2 * n ** (1 / 3)), len(sample) // 8 or 1))
     lift = np.hstack([sample, np.sqrt(np.maximum(0, longest ** 2 - (sample * sample).sum(1)))[:, None]])
     index = Index(halved(lift, lists, rng), float(longest))
     index.calibrate(sample, k, aim, rng)
@@ -161,11 +216,12 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, aim: float = AIM) ->
     ``every``, among all others."""
     rows, _ = clean_vectors(table)
     by_vector = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
+    kept = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
     points = kept.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("low", F.element_at("ids", 1))
     points = stored(points, "points").withColumn("gid", F.monotonically_increasing_id())
     points = stored(points, "numbered-points")
-    asked = stored(rows.where(F.col("vec_id") % every == 0).distinct().join(points.select("v", "gid"), "v").select(F.col("vec_id").alias("query_id"), "gid"), "queries")
+    asked = rows.where(F.col("vec_id") % every == 0).join(points.select("v", "gid"), "v")
+    asked = stored(asked.select(F.monotonically_increasing_id().alias("ask"), F.col("vec_id").alias("query_id"), "gid"), "queries")
     index = build_index(points, k, aim)
     kind = "query_id long, rank int, vec_id long, score double"
     if index is None:
@@ -176,7 +232,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, aim: float = AIM) ->
     wanted = points.join(asked.select("gid").distinct(), "gid", "left_semi").select("gid", "v", "low")
     probes = stored(wanted.mapInPandas(_route(index, "searched"), routed), "probes")
     blocks_of = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    cut = F.broadcast(blocks_of(posts, "pb").join(blocks_of(probes, "qb"), "list"))       # at most LISTS rows
+    cut = F.broadcast(blocks_of(posts, "pb").join(blocks_of(probes, "qb"), "list"))       # one row a list: an eighth of SAMPLE at most
     block = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     p = posts.join(cut, "list").withColumn("pi", block("pb")).withColumn("qi", spread("qb")).select("list", "pi", "qi", "gid", "low", "v")
@@ -185,10 +241,15 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, aim: float = AIM) ->
     found = q.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(_search(k + 1), "q long, gid long, score double, low long")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "low")
     top = (found.dropDuplicates(["q", "gid"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-           .join(points.select("gid", "ids"), "gid").select("q", "score", F.explode("ids").alias("vec_id")))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = stored(top.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "score", "vec_id"), "found")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (asked.join(top, asked.gid == top.q).where("query_id <> vec_id")
-            .withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+           .join(points.select("gid", "ids"), "gid").select("q", "gid", "score", F.posexplode("ids").alias("at", "vec_id")))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "gid", "at")
+    top = top.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    top = stored(top.select("q", "score", "vec_id", F.col("gid").alias("point"), "at"), "found")
+    # the query's own row: the first of its vec_id at its own point
+    met = asked.join(top, asked.gid == top.q)
+    mine = Window.partitionBy("ask").orderBy((F.col("point") == F.col("gid")).desc(), (F.col("vec_id") == F.col("query_id")).desc(), "at")
+    met = met.withColumn("own", F.row_number().over(mine)).where(
+        ~((F.col("own") == 1) & (F.col("point") == F.col("gid")) & (F.col("vec_id") == F.col("query_id"))))
+    own = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id", "point", "at")
+    return (met.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -266,23 +266,48 @@ def test_nearest(spark, tmp_path):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
-def test_searched_lists_on_clusters():
-    """Clusters of more centroids than a neighbour graph has edges: every query finds its own lists."""
+@pytest.mark.parametrize("clusters,leaves,spread", [(20, 600, 0.05), (300, 900, 0.02), (3, 500, 0.3)])
+def test_searched_lists_on_clusters(clusters, leaves, spread):
+    """Clusters of more centroids than the graph has edges, and more clusters than entries: the walk finds the lists."""
     rng = np.random.default_rng(5)
-    middle = rng.normal(size=(20, 16))
-    x = np.vstack([m + 0.05 * rng.normal(size=(600, 16)) for m in middle])
+    middle = rng.normal(size=(clusters, 16))
+    x = np.vstack([m + spread * rng.normal(size=(12_000 // clusters, 16)) for m in middle])
     longest = float(np.sqrt((x * x).sum(1).max()))
     lift = np.hstack([x, np.sqrt(np.maximum(0, longest ** 2 - (x * x).sum(1)))[:, None]])
-    index = ann.Index(ann.halved(lift, 600, rng), longest)
+    index = ann.Index(ann.halved(lift, leaves, rng), longest)
     index.calibrate(x, 20, ann.AIM, rng)
     pick = rng.choice(len(x), 200, replace=False)
     scores = x[pick] @ x.T
     scores[np.arange(200), pick] = -np.inf
     true = np.argpartition(-scores, 19, axis=1)[:, :20]
-    lists, hit = index.listed(x[true.ravel()]), 0
+    lists, hit, work = index.listed(x[true.ravel()]), 0, 0
     for i, searched in enumerate(index.searched(x[pick])):
+        work += len(searched)
         hit += sum(bool(set(searched) & set(at)) for at in lists[i * 20:i * 20 + 20])
-    assert hit / (20 * 200) >= 0.95
+    assert hit / (20 * 200) >= 0.93 and work < 200 * leaves / 2
+    seen = {0}
+    todo = [0]
+    while todo:                                           # the graph is connected, and both ways
+        for j in index.edges[todo.pop()].tolist():
+            if j not in seen:
+                seen.add(j)
+                todo.append(j)
+    assert len(seen) == leaves
+    assert all(i in index.edges[j] for i in range(leaves) for j in index.edges[i].tolist())
+
+
+def test_every_row_but_the_querys_own(spark, tmp_path):
+    """Repeated rows, several vectors under one vec_id, ties, clashing columns."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.5, 0.5]), (7, [1.0, 0.0]), (7, [0.0, 2.0]), (3, [0.9, 0.1]), (40, [-1.0, 0.0])]
+    spark.createDataFrame([(i, v, 1, 2, 3.0) for i, v in rows], "vec_id long, embedding array<float>, gid int, low int, score double").write.parquet(str(tmp_path / "q"))
+    got = collections.Counter(map(tuple, ann.nearest(spark.read.parquet(str(tmp_path / "q")), k=4).collect()))
+    want = collections.Counter()
+    x = [np.array(v, np.float32).astype(float) for _, v in rows]
+    for i, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-float((x[i] * x[j]).sum()), rows[j][0]) for j in range(len(rows)) if j != i)[:4]
+            want.update((q, r + 1, v, -s) for r, (s, v) in enumerate(near))
+    assert got == want
 
 
 def test_quality_and_toxicity_learn(spark, tmp_path):
