@@ -126,7 +126,7 @@ PARAMETERS = {
     "random_forest": _TREE | {"n_estimators", "bootstrap"}, "gradient_boosting": _TREE | {"n_estimators", "learning_rate"},
     "decision_tree": _TREE, "linear_regression": set(), "ridge": {"alpha"}, "lasso": {"alpha", "max_iter"},
     "logistic_regression": {"C", "max_iter"}, "svm": {"C", "kernel", "max_iter"},
-    "neural_network": {"hidden_dims", "max_iter", "random_state", "tol"},
+    "neural_network": {"block_size", "hidden_dims", "max_iter", "random_state", "tol"},
 }
 
 
@@ -196,6 +196,7 @@ def create_estimator(model_type: str, problem: str, *, n_rows: int, label_std: f
         hidden = list(p.get("hidden_dims", [64, 32]))
         return MultilayerPerceptronClassifier(**common, layers=[n_features, *hidden, n_classes],
                                               maxIter=int(p.get("max_iter", 100)), tol=float(p.get("tol", 1e-6)),
+                                              blockSize=int(p.get("block_size", 128)),   # blocks count alike, also a partition's short last one
                                               seed=int(p.get("random_state", 42)))
     raise ValueError(f"unknown model type: {model_type}")
 

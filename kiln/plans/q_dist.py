@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from kiln.functions.columns import round_all
 from kiln.operators import corr, dist
 from kiln.plans.registry import query
@@ -65,21 +67,26 @@ def q_violin(spark, sf):
     return round_all(dist.violin_table(table(spark, sf, "events"), "value", 100))
 
 
-@query("outlier_flag_zscore", """SELECT event_id, value, round((value - m) / s, 6) AS zscore,
+_EVENT = "event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props"
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("outlier_flag_zscore", f"""SELECT {_EVENT}, round((value - m) / s, 6) AS zscore,
   abs((value - m) / s) > 3 AS is_outlier
 FROM events, (SELECT avg(value) m, stddev_pop(value) s FROM events) st WHERE value IS NOT NULL""")
 def q_outlier_flag_zscore(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "value")
-    return round_all(dist.outlier_flag_zscore(e, "value", 3.0))
+    return round_all(dist.outlier_flag_zscore(_events(spark, sf), "value", 3.0))
 
 
-@query("outlier_flag_iqr", """SELECT event_id, value,
+@query("outlier_flag_iqr", f"""SELECT {_EVENT},
   value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS is_outlier
 FROM events, (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM events) st
 WHERE value IS NOT NULL""")
 def q_outlier_flag_iqr(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "value")
-    return dist.outlier_flag_iqr(e, "value", 1.5)
+    return dist.outlier_flag_iqr(_events(spark, sf), "value", 1.5)
 
 
 PEARSON = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

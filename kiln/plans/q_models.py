@@ -423,7 +423,7 @@ def q_model_logistic_saturated(spark, sf):
 SELECT vec_id, e.x, round(p, 3) AS p1, CAST(p > 0.5 AS DOUBLE) AS prediction FROM e JOIN g USING (x) WHERE b < 2000""")
 def q_model_perceptron_saturated(spark, sf):
     """Without hidden units the network's zero-gradient point is the same class shares."""
-    out = _group_model(spark, sf, "neural_network", F.col("label") >= 5, hidden_dims=[], max_iter=1000, tol=1e-12)
+    out = _group_model(spark, sf, "neural_network", F.col("label") >= 5, hidden_dims=[], max_iter=500, tol=1e-9, block_size=1)
     return out.select("vec_id", "x", F.round("p1", 3).alias("p1"), "prediction")
 
 

@@ -9,7 +9,7 @@ from kiln.operators import profile
 from kiln.plans.registry import query
 from kiln.plans.tables import LI_COLS, LI_SQL, lineitem_nulls, table
 
-LI_NUMERIC = [c for c in LI_COLS if c not in ("l_returnflag", "l_linestatus")]
+LI_NUMERIC = [c for c in LI_COLS if c not in ("l_returnflag", "l_linestatus", "l_shipdate")]
 
 
 def _describe_sql(src: str, cols: list[str]) -> str:
@@ -41,8 +41,8 @@ def q_null_columns(spark, sf):
 
 
 @query("table_summary",
-       f"SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns, CAST(8 AS BIGINT) AS n_numeric, "
-       f"CAST(2 AS BIGINT) AS n_categorical, 'bigint:3, double:4, int:1, string:2' AS column_types, "
+       f"SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns, CAST(8 AS BIGINT) AS n_numeric, "
+       f"CAST(3 AS BIGINT) AS n_categorical, 'bigint:3, double:4, int:1, string:3' AS column_types, "
        f"CAST(sum(" +
        " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in LI_COLS) +
        f") AS BIGINT) AS n_missing_cells FROM {LI_SQL} t")
@@ -67,7 +67,7 @@ def q_missing_by_column(spark, sf):
     return round_all(profile.missing_by_column(lineitem_nulls(spark, sf)))
 
 
-_NULLABLE = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+_NULLABLE = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
 
 
 @query("missing_patterns",
