@@ -11,10 +11,10 @@ A binary tree splits all quotas among the output shards: at each node a multivar
 hypergeometric draw decides how many blocks of each source go left.  Every shard so owns
 disjoint ranges of each source's permuted blocks, and shuffles them locally.
 
-Permutations are hashes of (seed, pass, doc_id, block) and draws are seeded by tree node, so reruns
+Permutations are hashes of (seed, pass, doc_id, text, block) and draws are seeded by tree node, so reruns
 agree.  Null texts have size 0 and are never taken.  Each repeated row is a document of its own.
 Empty tables give empty results.  One row per source, and at most 2**18 tree values, reach the
-driver.  ``docs`` must be a stable table (files), as rows are numbered by their place in it.
+driver.  Rows are numbered once, as they are written.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.llm.shared import renamed, stored
+from kiln.llm.shared import Scratch, renamed, stored
 from kiln.llm.words import blocks, buffers
 
 WEIGHTS = (5, 2, 1)
@@ -54,16 +54,20 @@ def targets(sizes: np.ndarray, most: int = 3) -> np.ndarray:
 def split_counts(rng: np.random.Generator, counts: np.ndarray, left: int) -> np.ndarray:
     """How many of each source's ``counts`` are among ``left`` drawn without replacement."""
     total = int(counts.sum())
-    if total < 1_000_000_000:
+    if total < 1_000_000_000:                   # numpy's range
         return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    p = counts / total                          # beyond numpy's range: its normal limit, made exact
-    x = left * p + rng.standard_normal(len(p)) * np.sqrt(left * p * (1 - p) * (total - left) / max(1, total - 1))
-    x = np.clip(np.rint(x).astype(np.int64), 0, counts)
-    while (gap := left - int(x.sum())):
-        room = counts - x if gap > 0 else x
-        k = int(np.argmax(room))
-        x[k] += max(-int(room[k]), gap) if gap < 0 else min(int(room[k]), gap)
-    return x
+    if left <= 1000:
+        rest, x = counts.copy(), np.zeros_like(counts)
+        for _ in range(left):
+            k = int(np.searchsorted(np.cumsum(rest), rng.integers(int(rest.sum())), "right"))
+            rest[k] -= 1
+            x[k] += 1
+        return x
+    # Every one chosen by itself makes a random subset of random size; taking out (or adding) as many at random as it
+    # is off leaves one of the size wanted.  What it is off by is of the order of the root.
+    x = rng.binomial(counts, left / total)
+    off = int(x.sum()) - left
+    return x - split_counts(rng, x, off) if off > 0 else x + split_counts(rng, counts - x, -off) if off else x
 
 
 def _capacity(a: int, b: int, shards: int, total: int) -> int:
@@ -108,11 +112,13 @@ def splitting_tree(spark, quotas: np.ndarray, shards: int, seed: int) -> DataFra
 
 
 def mixed_blocks(docs: DataFrame, seed: int = 11, most: int = 3, block_words: int = BLOCK_WORDS,
-                 shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame]:
+                 shard_blocks: int = SHARD_BLOCKS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sizes: row, doc_id, size, source_size, target; blocks: row, pass, whole, block, words, shard,
-    place), the second holding every block taken, ``place`` its place in its shard."""
+    place), the second holding every block taken, ``place`` its place in its shard.  ``row`` names a written row number, if
+    ``docs`` has one."""
     spark = docs.sparkSession
-    sizes = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sizes = stored(docs.select(number.alias("row"), "doc_id", "source", F.xxhash64("text").alias("content"),
                                F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     n_blocks = F.ceil(F.col("size") / block_words).cast("long")
     per_source = (sizes.groupBy("source").agg(F.sum("size").alias("words"), F.sum(n_blocks).alias("blocks"))
@@ -126,21 +132,21 @@ def mixed_blocks(docs: DataFrame, seed: int = 11, most: int = 3, block_words: in
         [(i, r["source"], int(words[i]), float(target[i]), int(whole[i]), float(rest[i])) for i, r in enumerate(per_source)],
         "src long, source string, source_size long, target double, whole long, rest double")
     keyed = sizes.join(F.broadcast(table) if len(per_source) <= 4096 else table, sizes.source.eqNullSafe(table.source)).select(
-        "row", "doc_id", "size", "src", "source_size", "target", "whole", "rest")
+        "row", "doc_id", "content", "size", "src", "source_size", "target", "whole", "rest")
     keyed = stored(keyed, "mix-documents")
 
     bits = min(16, max(0, math.ceil(math.log2(max(1, int(count.sum()) / (1 << 11))))))
-    cut = (keyed.where("size > 0").select("row", "doc_id", "size", "src", "whole", "rest", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
+    cut = (keyed.where("size > 0").select("row", "doc_id", "content", "size", "src", "whole", "rest", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
            .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
            .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))))
            .where(F.col("pass") >= 0)
-           .withColumn("h", F.xxhash64(F.lit(seed), "pass", "doc_id", "block"))
+           .withColumn("h", F.xxhash64(F.lit(seed), "pass", "doc_id", "content", "block"))
            .withColumn("part", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")))
     key = ["src", "pass", "part"]
     parts = cut.groupBy(*key).agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     before = Window.partitionBy("src", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
-    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "block", "row")
+    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "content", "block", "row")
     ranked = (cut.withColumn("k", F.row_number().over(inside) - 1)
               .withColumn("cum", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
               .join(parts, key))
@@ -209,11 +215,16 @@ def mix_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORD
     """The mix as rows of ``docs``: a row for each whole time a document is taken, and one with the
     blocks of it that the last pass takes (``n_chars``, where present, is counted anew)."""
     docs, own_names = renamed(docs)
-    _, taken = mixed_blocks(docs, seed, block_words=block_words)
+    names = docs.columns
+    own = Scratch()
+    docs = own.stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    _, taken = mixed_blocks(docs, seed, block_words=block_words, row="row")
     plan = taken.groupBy("row").agg(F.max(F.when(F.col("whole"), F.col("pass") + 1).otherwise(0)).alias("_whole"),
                                     F.collect_list(F.when(~F.col("whole"), F.col("block"))).alias("_blocks"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(plan, "row").select(*docs.columns, "_whole", "_blocks")
-    out = rows.mapInArrow(_cut_blocks(block_words), docs.schema)
-    if "n_chars" in docs.columns:
+    rows = docs.join(plan, "row").select(*names, "_whole", "_blocks")
+    out = rows.mapInArrow(_cut_blocks(block_words), docs.select(*names).schema)
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = stored(out, "mixed-documents")
+    own.clear()
     return out.toDF(*own_names)

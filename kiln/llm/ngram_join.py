@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import Scratch, components, renamed, repeated, split_by_ids, stored
+from kiln.llm.shared import Scratch, components, release, renamed, repeated, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
@@ -335,6 +335,8 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     star = own.stored(_hub_pairs(some, percent), "hub-pairs")
     comp = own.stored(components(_links(docs, classes, star, n, percent, own)), "hub-components")
 
+    release(docs.sparkSession)
+
     # round 2: where an n-gram still lies in several components, with its class that shares most n-grams
     weight = shared.groupBy("cls").agg(F.count("*").alias("w"))
     ranked = _placed(shared, comp).join(weight, "cls").repartition("token").sortWithinPartitions("token", F.desc("w"), "cls")

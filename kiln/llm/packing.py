@@ -206,8 +206,8 @@ def evolve(sizes, elites: list, room: int, seed: list[int], population: int = PO
 
 
 def pack(items: DataFrame, room: int = ROOM, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 5) -> DataFrame:
-    """``items`` (with ``length`` up to ``room``; a stable table) with sequence_id and offset."""
-    numbered = items.withColumn("item", F.monotonically_increasing_id())
+    """``items`` (``item``, a number written with the row, ``length`` up to ``room``, ...) with sequence_id and offset."""
+    numbered = items
     n = items.where(F.col("length") < room).count()
     shards = max(1, math.ceil(n / shard_pieces))
     small = numbered.where(F.col("length") < room).select("item", "length", F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(shards)).alias("shard"))
@@ -248,6 +248,7 @@ def pack(items: DataFrame, room: int = ROOM, shard_pieces: int = SHARD_PIECES, i
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ``ids`` if asked for."""
-    cut = stored(pieces(docs, tokenizer, room, with_ids), "pieces")
+    # numbered as they are written: a number taken on each read would change with the cores at hand
+    cut = stored(pieces(docs, tokenizer, room, with_ids).withColumn("item", F.monotonically_increasing_id()), "pieces")
     out = pack(cut if with_ids else cut.drop("ids"), room)
     return out.withColumn("piece", F.col("piece").cast("int"))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kiln.llm.shared import renamed, split_by_ids, stored
+from kiln.llm.shared import release, renamed, split_by_ids, stored
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
 
 STATISTICS = ["n_words", "word_length", "longest_word", "distinct_words", "top_word", "same_as_previous",
@@ -165,6 +165,7 @@ def fit_rules(labelled: DataFrame, trees: int = 12, depth: int = 3, lasso: float
     matrix = stored(VectorAssembler(inputCols=names, outputCol="features").transform(matrix).select("label", "features"), "rules")
     fitted = LogisticRegression(regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=False).fit(matrix)
     weights = fitted.coefficients.toArray()
+    release(labelled.sparkSession)                           # every iteration of both fits left a broadcast
     return RuleModel(tuple((r, float(w)) for r, w in zip(rules, weights) if w != 0), float(fitted.intercept))
 
 

@@ -24,6 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _written(df, scratch_path(df.sparkSession, name))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the broadcast tables and shuffle files of finished jobs.
+
+    Its cleaner acts on what the driver's garbage collector has found unreachable; between the stages of
+    a long run that may be half an hour, in which both pile up."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Written tables of one operator, deleted together once a later written table holds what is
     needed of them.  After a failure they stay, like all written tables, below ``spark.checkpoint.dir``."""
@@ -40,6 +48,8 @@ class Scratch:
         for spark, path in self.paths:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if self.paths:
+            release(self.paths[0][0])
         self.paths = []
 
 

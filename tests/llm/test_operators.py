@@ -198,6 +198,37 @@ def test_targets_and_tree(spark):
     assert max(load.values()) - min(load.values()) <= 1
     big = mixing.split_counts(np.random.default_rng(0), np.array([3 * 10**9, 10**9]), 2 * 10**9)
     assert big.sum() == 2 * 10**9
+    draws = np.array([mixing.split_counts(np.random.default_rng(i), np.array([10**9, 2 * 10**9, 5]), 3 * 10**8) for i in range(200)])
+    assert (draws.sum(1) == 3 * 10**8).all() and (draws >= 0).all() and (draws[:, 2] <= 5).all()
+    assert abs(draws[:, 0].mean() - 10**8) < 4 * 7746 / 200 ** 0.5 and 0.8 < draws[:, 0].std() / 7746 < 1.25     # the hypergeometric deviation
+
+
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """Files are split otherwise while the result is read than while it was planned, as when executors come or go."""
+    rng = random.Random(3)
+    texts = [(i % 97 if i % 5 else None, " ".join(f"w{rng.randrange(800)}" for _ in range(rng.randint(1, 400))), f"s{i % 3}") for i in range(600)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(13).write.parquet(str(tmp_path / "n"))
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "40")
+        docs = spark.read.parquet(str(tmp_path / "n"))
+        packed, mixed, sizes = packing.pack_documents(docs), mixing.mix_documents(docs), mixing.mix_sources(docs)
+        spark.conf.set(key, "2")
+        load = collections.Counter()
+        for r in packed.collect():
+            load[r.sequence_id] += r.length
+        assert max(load.values()) <= 1024
+        words = collections.Counter()
+        for r in mixed.collect():
+            words[r.doc_id] += len(_words(r.text))
+        taken = collections.Counter()
+        for r in sizes.collect():
+            taken[r.doc_id] += r.taken
+        assert words == +taken
+        again = mixing.mix_sources(spark.read.parquet(str(tmp_path / "n"))).collect()
+        assert sorted(((r.doc_id or -1), r["size"], r.taken) for r in again) == sorted(((r.doc_id or -1), r["size"], r.taken) for r in sizes.collect())
+    finally:
+        spark.conf.unset(key)
 
 
 def test_packing(spark, docs, corpus):
