@@ -14,7 +14,8 @@ disjoint ranges of each source's permuted blocks, and shuffles them locally.
 Permutations are hashes of (seed, pass, doc_id, text, block) and draws are seeded by tree node, so reruns
 agree.  Null texts have size 0 and are never taken.  Each repeated row is a document of its own.
 Empty tables give empty results.  One row per source, and at most 2**18 tree values, reach the
-driver.  Rows are numbered once, as they are written.
+driver.  Rows are numbered once, as they are written, or by
+their place in a Parquet file.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.llm.shared import Scratch, renamed, stored
+from kiln.llm.shared import renamed, stored
 from kiln.llm.words import blocks, buffers
 
 WEIGHTS = (5, 2, 1)
@@ -211,13 +213,22 @@ def _cut_blocks(block_words: int):
     return run
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(``docs`` with plain names and ``row``, its own names).  A row of a Parquet file is named by its place in the file,
+    however that is split; other tables are written with numbers first."""
+    plain, own_names = renamed(docs)
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select("*", place.alias("row")).toDF(*plain.columns, "row"), own_names
+    except AnalysisException:                     # not read from files that number their rows
+        return stored(plain.withColumn("row", F.monotonically_increasing_id()), "numbered-documents"), own_names
+
+
 def mix_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as rows of ``docs``: a row for each whole time a document is taken, and one with the
     blocks of it that the last pass takes (``n_chars``, where present, is counted anew)."""
-    docs, own_names = renamed(docs)
-    names = docs.columns
-    own = Scratch()
-    docs = own.stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    docs, own_names = _numbered(docs)
+    names = [c for c in docs.columns if c != "row"]
     _, taken = mixed_blocks(docs, seed, block_words=block_words, row="row")
     plan = taken.groupBy("row").agg(F.max(F.when(F.col("whole"), F.col("pass") + 1).otherwise(0)).alias("_whole"),
                                     F.collect_list(F.when(~F.col("whole"), F.col("block"))).alias("_blocks"))
@@ -225,6 +236,4 @@ def mix_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORD
     out = rows.mapInArrow(_cut_blocks(block_words), docs.select(*names).schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    out = stored(out, "mixed-documents")
-    own.clear()
     return out.toDF(*own_names)

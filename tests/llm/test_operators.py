@@ -221,6 +221,10 @@ def test_rows_keep_their_numbers(spark, tmp_path):
         words = collections.Counter()
         for r in mixed.collect():
             words[r.doc_id] += len(_words(r.text))
+        unfiled = collections.Counter()                      # a table without files of its own
+        for r in mixing.mix_documents(docs.select("source", F.concat("text", F.lit("")).alias("text"), "doc_id").distinct()).collect():
+            unfiled[r.doc_id] += len(_words(r.text))
+        assert unfiled == words
         taken = collections.Counter()
         for r in sizes.collect():
             taken[r.doc_id] += r.taken
