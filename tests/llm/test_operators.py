@@ -389,6 +389,38 @@ def test_url_rules(spark):
     assert all(got[100 + i].verdict == ("allow" if i % 4 else "block") for i in range(80))
 
 
+def test_mined_url_rules_equal_brute_force(spark):
+    """All sets of tokens counted one by one; a url of twenty words that many pages repeat; chance rules fall."""
+    import itertools
+    import math
+    rng = random.Random(3)
+    sets = [sorted({f"path:{rng.choice('abcdef')}" for _ in range(4)}) for _ in range(300)]
+    rows = [(s, ("path:a" in s and "path:b" in s) or ("path:f" in s and rng.random() < 0.8)) for s in sets]
+    long = [f"path:word{i:02d}" for i in range(20)]
+    rows += [(sorted(["path:c", *long]), True)] * 100
+    mined, items = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    of = {r.token: r.item for r in items.collect()}
+    assert {of[w] for w in long} == {"path:word00"} and all(of[f"path:{x}"] == f"path:{x}" for x in "abcdef")
+    names, share = sorted(set(of.values())), sum(b for _, b in rows) / len(rows)
+    want = {}
+    baskets = [({of[t] for t in s}, b) for s, b in rows]
+    for k in range(1, len(names) + 1):
+        for pick in itertools.combinations(names, k):
+            hit = [b for s, b in baskets if s.issuperset(pick)]
+            n, p = len(hit), sum(hit) / max(1, len(hit))
+            if sum(hit) < url_rules.MIN_COUNT or p < url_rules.MIN_CONFIDENCE:
+                continue
+            z = url_rules.SURE
+            if (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) > share:
+                want[pick] = p
+    want = {r: p for r, p in want.items() if not any(want.get(x, -1) >= p for x in itertools.combinations(r, len(r) - 1))}
+    got = {tuple(r.needs): r.confidence for r in mined.collect()}
+    assert set(got) == set(want) and all(abs(got[r] - p) < 1e-9 for r, p in want.items())
+    assert ("path:a", "path:b") in got and ("path:word00",) in got
+    seen = url_rules.match_rules(spark.createDataFrame([(["path:a", "path:b", "x"],), (["path:word07"],), (["path:c"],)], "tokens array<string>"), mined, items)
+    assert {tuple(r.tokens) for r in seen.collect()} == {("path:a", "path:b", "x"), ("path:word07",)}
+
+
 def test_licences(spark, docs, tmp_path):
     notices = {i: t for i, t in enumerate(t for ts in license_scan.TEMPLATES.values() for t in ts)}
     family = dict(enumerate(f for f, ts in license_scan.TEMPLATES.items() for _ in ts))
@@ -399,12 +431,16 @@ def test_licences(spark, docs, tmp_path):
     hits = {r.doc_id: r.family for r in got if r.confirmed}
     assert all(r.family == "unknown" for r in got if not r.confirmed) and 100 not in hits and not any(d >= 1000 for d in hits)
     assert sum(hits.get(i) == f for i, f in family.items()) >= 0.8 * len(family)
+
+
+def test_cues_leave_out_nothing_that_could_be_confirmed():
+    """Of no notice can CONFIRM of the 3-grams be held without a cue."""
     import re
     cue = re.compile(license_scan._HAS_CUE)
-    for t in notices.values():                             # the cue words leave nothing out that could be confirmed
-        w = re.findall(r"\d+(?:\.\d+)+|\w+", t.lower())
-        bare = [cue.sub(" ", t)] if cue.search(t) else [t]
-        assert cue.search(t) and bare and len(w) >= 3
+    for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        w = re.findall(r"\d+(?:\.\d+)+|[^\W_]+", t.lower())
+        three = {" ".join(w[i:i + 3]) for i in range(len(w) - 2)}
+        assert three and sum(not cue.search(g) for g in three) < license_scan.CONFIRM * len(three), t
 
 
 def test_wrapped_licences(spark, docs, tmp_path):
