@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.llm.shared import renamed, stored
+from kiln.llm.shared import lean, renamed, stored, text_batches
 from kiln.llm.words import blocks, buffers
 
 WEIGHTS = (5, 2, 1)
@@ -233,7 +233,8 @@ def mix_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORD
     plan = taken.groupBy("row").agg(F.max(F.when(F.col("whole"), F.col("pass") + 1).otherwise(0)).alias("_whole"),
                                     F.collect_list(F.when(~F.col("whole"), F.col("block"))).alias("_blocks"))
     rows = docs.join(plan, "row").select(*names, "_whole", "_blocks")
-    out = rows.mapInArrow(_cut_blocks(block_words), docs.select(*names).schema)
+    text_batches(docs.sparkSession)
+    out = rows.mapInArrow(lean(_cut_blocks(block_words)), docs.select(*names).schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.toDF(*own_names)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import Scratch, components, release, renamed, repeated, split_by_ids, stored
+from kiln.llm.shared import Scratch, components, lean, release, renamed, repeated, split_by_ids, stored, text_batches
 from kiln.llm.words import blocks, buffers, mix, shingles
 
 SKETCH_BITS = 18
@@ -215,11 +215,11 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
                         .mapInArrow(_suffix_filter(percent), "a long, b long"), "likely-pairs")
     wanted = own.stored(ends(likely).join(sets, "cls").select("cls", F.col("low.key").alias("key")), "wanted")
     maybe, _ = split_by_ids(docs.select("key", "text"), wanted, "key")
-    texts = maybe.mapInArrow(_texts_of_class(k), "cls long, text string")       # read once a side: cheaper than writing all texts
+    texts = maybe.mapInArrow(lean(_texts_of_class(k)), "cls long, text string")       # read once a side: cheaper than writing all texts
     hubs, _ = split_by_ids(texts, likely.select(F.col("b").alias("cls")), "cls")
     return (likely.join(texts.withColumnRenamed("cls", "a"), "a")
             .join(hubs.select(F.col("cls").alias("b"), F.col("text").alias("hub_text")), "b")
-            .mapInArrow(_verify(k, percent), "a long, b long").distinct())
+            .mapInArrow(lean(_verify(k, percent)), "a long, b long").distinct())
 
 
 def _texts_of_class(k: int):
@@ -317,14 +317,15 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     reach from the class, ``kept`` the key of a row that has it.  ``put`` writes the tables that these two
     frames read; all other written tables are gone on return."""
     own = Scratch()
+    text_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", "text"))
-    rows = put(docs.mapInArrow(_class_rows(n), _ROWS), "classes")
+    rows = put(docs.mapInArrow(lean(_class_rows(n)), _ROWS), "classes")
     ids = rows.where("slots is null").select("doc_id", "key", "cls", "n")
     low = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")       # null ids come last
     classes = own.stored(rows.where("slots is null and cls <> 0").groupBy("cls").agg(
         F.min(low).alias("low"), F.max("n").alias("n"), F.first("sig").alias("sig")), "class-sets")
     sketch = _sketch_sums(rows)
-    tokens = docs.mapInArrow(_prefix_rows(n, percent, sketch), _TOKENS)
+    tokens = docs.mapInArrow(lean(_prefix_rows(n, percent, sketch)), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
     shared = own.stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kiln.llm.shared import release, renamed, split_by_ids, stored
+from kiln.llm.shared import lean, release, renamed, split_by_ids, stored, text_batches
 from kiln.llm.words import blocks, buffers, prefix_hash, span_hash
 
 STATISTICS = ["n_words", "word_length", "longest_word", "distinct_words", "top_word", "same_as_previous",
@@ -101,10 +101,11 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             cols = [b.column(i) for i in range(len(keep))] + [pa.array(s[:, k]) for k in range(s.shape[1])]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
+    text_batches(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in sent])
     kinds = [docs.schema[c].dataType.simpleString() for c in keep] + ["double"] * len(STATISTICS)
     names = [*keep, *(f"stat_{s}" for s in STATISTICS)]
-    return src.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
+    return src.mapInArrow(lean(run), ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,35 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in Arrow batches of about BATCH_BYTES, unless the session has a bound of its own.
+
+    Spark's own bound is a number of rows, whose texts may be of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at the task's end the reused worker gives its free memory back to the machine."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # other C libraries than glibc lack it
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Written tables of one operator, deleted together once a later written table holds what is
     needed of them.  After a failure they stay, like all written tables, below ``spark.checkpoint.dir``."""

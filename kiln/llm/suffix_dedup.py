@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kiln.llm.shared import Scratch, renamed, repeated, split_by_ids, stored
+from kiln.llm.shared import Scratch, lean, renamed, repeated, split_by_ids, stored, text_batches
 from kiln.llm.words import blocks, buffers, mix, prefix_hash, span_hash
 
 MIN_WORDS, HEAD = 50, 16
@@ -179,9 +179,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
 
 def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
     """``repeated_spans`` with the owner, also of rows without doc_id."""
+    text_batches(docs.sparkSession)
     docs = _owned(docs)
     kind = "owner long, doc_id long, pos long, len long, first long, first_owner long"
-    rows = docs.mapInArrow(_suffixes(head, min_words), "key long, sub long, owner long, doc_id long, pos long, len long")
+    rows = docs.mapInArrow(lean(_suffixes(head, min_words)), "key long, sub long, owner long, doc_id long, pos long, len long")
     rows = rows.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
     own = Scratch()
     hits = own.stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
@@ -192,9 +193,9 @@ def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
     marked = counted.groupBy("owner").agg(F.collect_list(F.struct(
         "pos", "heads", F.when(F.col("len") > 0, F.col("chains")).otherwise(0).alias("chains"))).alias("marks"))
     maybe, _ = split_by_ids(docs, hits.select("owner").distinct(), "owner")
-    ends = maybe.mapInArrow(_once, maybe.schema).join(marked, "owner").mapInArrow(_ends(head, min_words), "key long, sub long, owner long, doc_id long, pos long")
+    ends = maybe.mapInArrow(_once, maybe.schema).join(marked, "owner").mapInArrow(lean(_ends(head, min_words)), "key long, sub long, owner long, doc_id long, pos long")
     ends = ends.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
-    spans = hits.where("len > 0").drop("key", "sub").unionByName(ends.mapInArrow(_windows(min_words), kind)).distinct()
+    spans = hits.where("len > 0").drop("key", "sub").unionByName(ends.mapInArrow(lean(_windows(min_words)), kind)).distinct()
     merged = stored(spans.groupBy("owner").applyInArrow(_union_spans, "owner long, doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
     own.clear()
     return merged
@@ -251,7 +252,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
     names = docs.columns
     maybe, sure = split_by_ids(docs.withColumn("owner", F.xxhash64(F.col("doc_id").cast("long"), "text")), spans, "owner")
     both = maybe.join(spans, "owner", "left").select(*names, "removable")
-    cut = both.where("removable is not null").mapInArrow(_cut, docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
+    cut = both.where("removable is not null").mapInArrow(lean(_cut), docs.schema).where(r"text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     plain = both.where("removable is null").select(*names)
