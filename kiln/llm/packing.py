@@ -23,18 +23,19 @@ import math
 import re
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kiln.llm.shared import stored
+from kiln.llm.shared import lean, stored, text_batches
 
 ROOM, END_ID = 1024, 2
 SHARD_PIECES, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 4, 4
 FULL_ENOUGH = 0.99
-_CACHE = 100_000
+_CACHE = 1 << 15
 _PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, ids array<long>"
 
 
@@ -46,8 +47,7 @@ class _Encoder(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]     # fixed: bytes shown as themselves
         shown = dict(zip(map(chr, printable), printable))
@@ -58,6 +58,12 @@ class _Encoder(dict):
         self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded for the first text that spells a special token."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def of(cls, path: str) -> "_Encoder":
         if path not in cls.loaded:
@@ -112,7 +118,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM, with
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
         enc.clear()                                          # a reused worker holds no words between tasks
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    text_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _PIECES)
 
 
 class _Bins:
