@@ -328,6 +328,8 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     tokens = docs.mapInArrow(lean(_prefix_rows(n, percent, sketch)), _TOKENS)
     tokens = tokens.repartition("token").sortWithinPartitions("token", "cls")
     shared = own.stored(tokens.mapInArrow(_shared_tokens, _TOKENS), "shared-tokens")
+    del sketch, tokens                                       # its plan carries the sketch
+    release(docs.sparkSession)
 
     # round 1, on an eighth of the n-grams of long sets: each class with the first class of each of its
     # n-grams.  The files hold an n-gram's rows together; a file read in two splits makes two hubs of one.
@@ -346,6 +348,8 @@ def ngram_jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75,
     if not again.isEmpty():
         comp = own.stored(components(_edges(comp).unionByName(_links(docs, classes, again, n, percent, own))), "hub-components-2")
 
+    release(docs.sparkSession)
+
     # round 3: pairs of one n-gram that lie in different components and were not tried yet
     placed = _placed(shared, comp).repartition("token").sortWithinPartitions("token", "root")
     open_ = own.stored(placed.mapInArrow(_several_roots, _TOKENS + ", root long"), "open-tokens")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the broadcast tables and shuffle files of finished jobs.
 
     Its cleaner acts on what the driver's garbage collector has found unreachable; between the stages of
-    a long run that may be half an hour, in which both pile up."""
+    a long run that may be half an hour, in which both pile up.  The driver's Python gives its free memory back too."""
     spark._jvm.System.gc()
+    gc.collect()
+    give_back()
 
 
 BATCH_BYTES = 4 << 20
