@@ -393,15 +393,24 @@ def _label_join(df: DataFrame, r: Rule) -> DataFrame:
 
 def _onehot_join(df: DataFrame, r: Rule) -> DataFrame:
     """One sparse vector column in place of ``r.column``; a category that the fit did not see is all zeros."""
-    from pyspark.ml.feature import OneHotEncoder
-
     n, name = r.params["n_values"], r.params["vector"]
     if name in df.columns:
         raise ValueError(f"one-hot of {r.column!r} would replace the column {name!r}; rename one of them")
-    encoder = OneHotEncoder(inputCols=["_code"], outputCols=["_vector"], dropLast=True, handleInvalid="keep")
-    model = encoder.fit(df.sparkSession.createDataFrame([(float(n - 1),)], "_code double"))
-    coded = _coded(df, r, _onehot_key(qcol(r.column))).withColumn("_code", F.coalesce(F.col("_code").cast("double"), F.lit(float(n))))
-    return model.transform(coded).select(*[qcol(x) for x in df.columns if x != r.column], F.col("_vector").alias(name))
+    coded = _coded(df, r, _onehot_key(qcol(r.column)))
+    return coded.select(*[qcol(x) for x in df.columns if x != r.column], _unit_vector(F.col("_code"), n).alias(name))
+
+
+def _unit_vector(code: Column, n: int) -> Column:
+    """A sparse vector of size ``n`` with 1.0 at ``code``; all zeros where the code is NULL.
+
+    Spark ML's OneHotEncoder would name every category in the column's metadata, on the driver and in every plan."""
+    from pyspark.ml.linalg import VectorUDT
+
+    at, values = F.array(code.cast("int")), F.array(F.lit(1.0))
+    none = F.filter(at, lambda i: i.isNotNull()), F.filter(values, lambda _: code.isNotNull())
+    parts = F.struct(F.lit(0).alias("type"), F.lit(n).alias("size"), none[0].alias("indices"), none[1].alias("values"))
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema).getField("v")
 
 
 def vector_entries(vector: Column) -> Column:

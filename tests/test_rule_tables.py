@@ -176,3 +176,12 @@ def test_quantiles_take_few_scans_and_shuffle_counts_only(spark, monkeypatch):
     assert set(shuffled) == {(), ("bracket", "sub")} and jobs <= 7 * max(1, one)
     x = np.sort([r.x for r in df.select("x").collect()])
     assert got["x"] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])), rel=1e-12)
+
+
+def test_wide_onehot_keeps_no_name_per_category(spark, monkeypatch):
+    monkeypatch.setattr(prep, "MAX_ONEHOT", 10)
+    df = spark.range(5000).select("id", F.col("id").cast("string").alias("c"))
+    out = prep.apply_rules(df, prep.fit_encode(df, "onehot", ["c"]))
+    assert len(out.schema.json()) < 2000
+    v = prep.vector_entries(F.col("c_onehot"))
+    assert out.select(v["indices"][0].alias("i")).distinct().count() == 5000
