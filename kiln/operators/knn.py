@@ -4,15 +4,17 @@
    training row is assigned to its nearest centre (JVM-side model transform).
 2. Per cell: row count and radius (largest distance of a member to its centre) — a
    P-row aggregate (distances by a vectorised pandas UDF with the P centres in its closure).
-3. Per query, from its distances to the P centres (``mapInPandas``, numpy over Arrow
+3. Per query, from its distances to the P centres (``mapInArrow``, numpy over Arrow
    batches): an upper bound U on its k-th neighbour distance (cells ordered by d + r until
    k rows are covered) and the candidate cells with d - r <= U (plus a rounding margin that
    only adds candidates).  By the triangle inequality no true neighbour lies outside them,
    so the answer is exact.
 4. Blocks: a cell is cut into sub-blocks of at most T_BLOCK training rows (so a cell holding
-   a third of the data is still many bounded groups) and the queries into blocks of at most
-   Q_BLOCK rows.  Each (query block, cell, sub-block) group is one cogroup; a vectorised
-   numpy kernel computes its distance matrix in chunks and emits only a local top-k per
+   a third of the data is still many bounded groups), neighbouring small cells share a block, and
+   the queries go into blocks of at most Q_MOST rows.  A query is sent once to each block with
+   one of its candidate cells, in bounded Arrow batches.  Each (query block, block) group is one
+   cogroup; a vectorised numpy kernel computes its distances in bounded chunks, on the cells
+   that the chunk's queries want, and emits only a local top-k per
    query.  Then ``row_number() <= k`` per query, ordered by (distance, id), picks the answer
    (Spark runs it as a per-task group limit before the final sort).
 5. Vote (classification, ties to the smallest label) or mean (regression); ``weights=
@@ -24,7 +26,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd  # noqa: F401 — resolves the pandas UDF type hints below
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -60,51 +64,92 @@ def _cells(train: DataFrame, n_train: int, seed: int):
     return assign, centers
 
 
-# Bounded group sizes for the blocked distance kernel.
-Q_BLOCK = 4096
-T_BLOCK = 16384
-_CHUNK = 512
+# Bounded group sizes for the blocked distance kernel: rows of a block of training rows, of a small and of the largest block
+# of queries; small ones are used as long as there are fewer than GROUPS groups.
+T_BLOCK = 32768
+Q_BLOCK, Q_MOST = 4096, 32768
+GROUPS = 96
+# Numbers of a distance matrix, and candidates ranked at once.
+_CHUNK, _RANKED = 1 << 21, 1 << 15
+_QUERIES = 1024
+
+
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column as rows (a NULL number becomes NaN)."""
+    chunks = [c for c in getattr(column, "chunks", [column]) if len(c)]
+    if not chunks:
+        return np.empty((0, 0))
+    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks])
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors must have the same length")
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).reshape(len(sizes), int(sizes[0]))
 
 
 def _local_topk(k: int):
-    """Pandas cogroup kernel: top-k training rows per query within one block pair.
+    """Arrow cogroup kernel: top-k training rows per query within one block pair.
 
     Candidates are chosen on the BLAS form |q|^2 + |t|^2 - 2 q.t with a margin far above its
     rounding error, then re-ranked on exact direct distances, ties to the smaller id.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["_qid", "_tid", "_y", "_d"]
-        if len(qpdf) == 0 or len(tpdf) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack(qpdf["_qvec"].to_numpy()).astype(np.float64)
-        T = np.stack(tpdf["_vec"].to_numpy()).astype(np.float64)
-        tid = tpdf["_tid"].to_numpy()
-        ty = tpdf["_y"].to_numpy()
-        qid = qpdf["_qid"].to_numpy()
+    schema = ["_qid", "_tid", "_y", "_d"]
+
+    def ranked(Q, T, tid, rows, cols):
+        """The k nearest of each row's candidates (``rows`` ascending)."""
+        d = np.sqrt(((T[cols] - Q[rows]) ** 2).sum(1))
+        order = np.lexsort((tid[cols], d, rows))
+        r = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        nth = np.arange(len(r)) - np.repeat(first, np.diff(np.concatenate((first, [len(r)]))))
+        best = order[nth < k]
+        return rows[best], cols[best], d[best]
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        types = [q.schema.field("_qid").type, t.schema.field("_tid").type, t.schema.field("_y").type, pa.float64()]
+        none = pa.table([pa.array([], ty) for ty in types], names=schema)
+        if not q.num_rows or not t.num_rows:
+            return none
+        # both sides by cell, so that a chunk's queries want few runs of training rows
+        t = t.take(pa.array(np.argsort(t["_cell"].to_numpy(), kind="stable")))
+        q = q.take(pa.array(np.argsort(q["_near"].to_numpy(), kind="stable")))
+        Q, T, tid, cell = _matrix(q["_qvec"]), _matrix(t["_vec"]), t["_tid"].to_numpy(), t["_cell"].to_numpy()
+        wanted = np.stack([np.frombuffer(m, np.uint8) for m in q["_cells"].to_pylist()])
         tn = (T * T).sum(1)
-        dim = T.shape[1]
-        kk = min(k, len(T))
-        out_q, out_t, out_y, out_d = [], [], [], []
-        for s0 in range(0, len(Q), _CHUNK):
-            q = Q[s0:s0 + _CHUNK]
-            qn = (q * q).sum(1)
-            approx = qn[:, None] + tn[None, :] - 2.0 * (q @ T.T)
-            tau = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            slack = 1e-9 * dim * (qn + tn.max()) + 1e-300
-            for i in range(len(q)):
-                cand = np.nonzero(approx[i] <= tau[i] + slack[i])[0]
-                dd = np.sqrt(((T[cand] - q[i]) ** 2).sum(1))
-                order = np.lexsort((tid[cand], dd))[:kk]
-                sel = cand[order]
-                out_q.append(np.repeat(qid[s0 + i], len(sel)))
-                out_t.append(tid[sel])
-                out_y.append(ty[sel])
-                out_d.append(dd[order])
-        return pd.DataFrame({"_qid": np.concatenate(out_q), "_tid": np.concatenate(out_t),
-                             "_y": np.concatenate(out_y), "_d": np.concatenate(out_d)})
+        dim, out = T.shape[1], []
+        step = max(1, _CHUNK // len(T))
+        for s0 in range(0, len(Q), step):
+            x = Q[s0:s0 + step]
+            cells = np.unpackbits(np.bitwise_or.reduce(wanted[s0:s0 + step]))
+            at = np.flatnonzero(cells[cell])
+            if not len(at):
+                continue
+            part, pn = (T, tn) if len(at) == len(T) else (T[at], tn[at])
+            kk = min(k, len(at))
+            qn = (x * x).sum(1)
+            approx = x @ part.T
+            approx *= -2.0
+            approx += qn[:, None]
+            approx += pn[None, :]
+            # the k-th least of the minima of some runs bounds the k-th least number from above
+            run_size = max(1, len(at) // (64 * kk))
+            least = approx if run_size == 1 else np.minimum.reduceat(approx, np.arange(0, len(at), run_size), axis=1)
+            tau = np.partition(least, kk - 1, axis=1)[:, kk - 1]
+            slack = 1e-9 * dim * (qn + pn.max()) + 1e-300
+            hit = approx <= (tau + slack)[:, None]
+            ends = np.cumsum(hit.sum(1))
+            i = 0
+            while i < len(x):                              # as many queries as have _RANKED candidates, one at least
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _RANKED, "right")))
+                rows, cols = np.nonzero(hit[i:j])
+                if len(rows):
+                    r, c, d = ranked(x[i:j], part, tid[at], rows, cols)
+                    out.append((r + s0 + i, at[c], d))
+                i = j
+        if not out:
+            return none
+        r, c, d = (np.concatenate(z) for z in zip(*out))
+        c = pa.array(c)
+        cols = [q["_qid"].take(pa.array(r)), t["_tid"].take(c), t["_y"].take(c), pa.array(d)]
+        return pa.table([x.cast(ty) for x, ty in zip(cols, types)], names=schema)
     return run
 
 
@@ -125,42 +170,78 @@ def _center_distance(centers: list[list[float]]):
     return dist
 
 
-def _query_cells(centers, radii, counts, subs, k: int, id_type: str):
-    """mapInPandas kernel: for each query, the (cell, sub-block) pairs that may hold one of its
-    k nearest training rows (triangle inequality, with a generous rounding margin)."""
-    import numpy as np
-    import pandas as pd
+def _blocks(centers, counts) -> tuple[list[int], list[int], int]:
+    """(first block, number of blocks) of each cell, and the number of all blocks: a cell above T_BLOCK rows has blocks of its
+    own, smaller ones share a block with cells nearby."""
+    C = np.asarray(centers, dtype=np.float64)
+    left = [i for i, n in enumerate(counts) if n]
+    first, subs = [0] * len(counts), [1] * len(counts)
+    new, room = 0, 0                                       # blocks so far, room in the last shared one
+    at, shared = C.mean(0), 0
+    while left:                                            # a walk to the nearest cell left
+        i = min(left, key=lambda c: (float(((C[c] - at) ** 2).sum()), c))
+        left.remove(i)
+        at = C[i]
+        if counts[i] > T_BLOCK:
+            first[i], subs[i] = new, math.ceil(counts[i] / T_BLOCK)
+            new += subs[i]
+            continue
+        if counts[i] > room:
+            shared, room, new = new, T_BLOCK, new + 1
+        first[i] = shared
+        room -= counts[i]
+    return first, subs, max(1, new)
+
+
+def _query_blocks(centers, radii, counts, first, subs, k: int, keys_only: bool = False):
+    """mapInArrow kernel: for each query, the blocks that may hold one of its
+    k nearest training rows (triangle inequality, with a generous rounding margin), and the cells that may, as bits.
+    With ``keys_only`` the pairs of blocks alone."""
     C = np.asarray(centers, dtype=np.float64)
     R = np.asarray(radii, dtype=np.float64)
     N = np.asarray(counts, dtype=np.int64)
-    S = np.asarray(subs, dtype=np.int64)
+    members: dict[int, list[int]] = {}
+    for c in np.flatnonzero(N):
+        for b in range(first[c], first[c] + subs[c]):
+            members.setdefault(b, []).append(int(c))
     cn = (C * C).sum(1)
     dim = C.shape[1]
 
+    def keep_cells(Q):
+        qn = (Q * Q).sum(1)
+        D2 = np.maximum(qn[:, None] + cn[None, :] - 2.0 * (Q @ C.T), 0.0)
+        D = np.sqrt(D2)
+        # margin far above the rounding error of the BLAS form; only adds candidates
+        slack = np.sqrt(1e-9 * dim * (qn[:, None] + cn.max())) + 1e-9 * (D + R[None, :])
+        hi = D + R[None, :] + slack
+        order = np.argsort(hi, axis=1, kind="stable")
+        cum = np.cumsum(np.where(N[order] > 0, N[order], 0), axis=1)
+        reach = np.argmax(cum >= k, axis=1)
+        full = cum[:, -1] >= k
+        U = np.where(full, np.take_along_axis(hi, order, 1)[np.arange(len(Q)), reach], np.inf)
+        return (N[None, :] > 0) & (D - R[None, :] - slack <= U[:, None]), D.argmin(1)
+
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = np.stack(pdf["_qvec"].to_numpy()).astype(np.float64)
-            qn = (Q * Q).sum(1)
-            D2 = np.maximum(qn[:, None] + cn[None, :] - 2.0 * (Q @ C.T), 0.0)
-            D = np.sqrt(D2)
-            # margin far above the rounding error of the BLAS form; only adds candidates
-            slack = np.sqrt(1e-9 * dim * (qn[:, None] + cn.max())) + 1e-9 * (D + R[None, :])
-            hi = D + R[None, :] + slack
-            order = np.argsort(hi, axis=1, kind="stable")
-            cum = np.cumsum(np.where(N[order] > 0, N[order], 0), axis=1)
-            reach = np.argmax(cum >= k, axis=1)
-            full = cum[:, -1] >= k
-            U = np.where(full, np.take_along_axis(hi, order, 1)[np.arange(len(Q)), reach], np.inf)
-            keep = (N[None, :] > 0) & (D - R[None, :] - slack <= U[:, None])
-            qi, ci = np.nonzero(keep)
-            reps = S[ci]
-            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
-            sub = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], dtype=np.int64)
-            yield pd.DataFrame({"_qb": pdf["_qb"].to_numpy()[qi].astype(np.int32),
-                                "_cell": ci.astype(np.int32), "_sub": sub.astype(np.int32),
-                                "_qid": pdf["_qid"].to_numpy()[qi], "_qvec": pdf["_qvec"].to_numpy()[qi]})
+        sent = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _QUERIES):
+                part = batch.slice(at, _QUERIES)
+                keep, near = keep_cells(_matrix(part.column("_qvec")))
+                bits, qb = np.packbits(keep, axis=1), part.column("_qb").to_numpy()
+                cells = pa.array([m.tobytes() for m in bits], pa.binary())
+                for b, own in members.items():
+                    rows = np.flatnonzero(keep[:, own].any(1))
+                    if keys_only:
+                        sent |= {(int(x), b) for x in np.unique(qb[rows])}
+                    elif len(rows):
+                        i = pa.array(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(qb[rows], pa.int32()), pa.array(np.full(len(rows), b), pa.int32()), part.column("_qid").take(i),
+                             part.column("_qvec").take(i), pa.array(near[rows], pa.int32()), cells.take(i)],
+                            names=["_qb", "_block", "_qid", "_qvec", "_near", "_cells"])
+        if sent:
+            q, b = zip(*sorted(sent))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(b, pa.int32())], names=["_nqb", "_nblock"])
     return run
 
 
@@ -219,34 +300,31 @@ def candidate_topk(train: DataFrame | KnnIndex, queries: DataFrame, *, id_col: s
     blocks — a superset of its k nearest neighbours."""
     index = train if isinstance(train, KnnIndex) else _index(train, id_col, vec_col, target_col, seed)
     assigned, centers, counts, radii = index.rows, index.centers, index.counts, index.radii
-    subs = [max(1, math.ceil(c / T_BLOCK)) for c in counts]
-    sub_arr = F.array(*[F.lit(v) for v in subs])
+    first, subs, n_blocks = _blocks(centers, counts)
 
     q = queries.select(qcol(query_id).alias("_qid"), _as_double_array(qcol(vec_col)).alias("_qvec")) \
         .where(F.col("_qvec").isNotNull())
     n_q = q.count()
-    q_blocks = max(1, math.ceil(n_q / Q_BLOCK))
+    q_blocks = max(1, math.ceil(n_q / Q_MOST), min(math.ceil(n_q / Q_BLOCK), math.ceil(GROUPS / n_blocks)))
     q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int"))
     id_type = dict((f.name, f.dataType.simpleString()) for f in q.schema.fields)["_qid"]
-    qx = q.mapInPandas(_query_cells(centers, radii, counts, subs, k, id_type),
-                       f"_qb int, _cell int, _sub int, _qid {id_type}, _qvec array<double>")
-
-    tsub = assigned.withColumn("_sub", F.pmod(F.xxhash64("_tid"), F.element_at(sub_arr, F.col("_cell") + 1))
-                               .cast("int"))
-    # fresh column ids: these keys come from the query side, which is cogrouped below
-    need = qx.select(F.col("_qb").alias("_nqb"), F.col("_cell").alias("_ncell"),
-                     F.col("_sub").alias("_nsub")).distinct()
+    cells = (centers, radii, counts, first, subs, k)
+    qx = q.mapInArrow(_query_blocks(*cells), f"_qb int, _block int, _qid {id_type}, _qvec array<double>, _near int, _cells binary")
+
+    of_cell = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("_cell") + 1)
+    tsub = assigned.withColumn("_block", (of_cell(first) + F.pmod(F.xxhash64("_tid"), of_cell(subs))).cast("int"))
+    need = q.select("_qb", "_qvec").mapInArrow(_query_blocks(*cells, keys_only=True), "_nqb int, _nblock int").distinct()
     if index.path:                                          # a saved index: only the folders of wanted cells are read
-        cells = [r["_ncell"] for r in need.select("_ncell").distinct().collect()]          # <= P numbers
-        tsub = tsub.where(F.col("_cell").isin(cells))
-    trep = tsub.join(need, (tsub["_cell"] == need["_ncell"]) & (tsub["_sub"] == need["_nsub"])) \
-        .select(F.col("_nqb").alias("_qb"), F.col("_ncell").alias("_cell"), F.col("_nsub").alias("_sub"),
-                "_tid", "_vec", "_y")
+        blocks = {r["_nblock"] for r in need.select("_nblock").distinct().collect()}
+        tsub = tsub.where(F.col("_cell").isin([c for c, n in enumerate(counts) if n and blocks & set(range(first[c], first[c] + subs[c]))]))
+    if n_blocks * q_blocks <= 100_000:
+        need = F.broadcast(need)
+    trep = tsub.join(need, tsub["_block"] == need["_nblock"]).select(F.col("_nqb").alias("_qb"), "_block", "_cell", "_tid", "_vec", "_y")
 
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields + tsub.schema.fields}
     schema = f"_qid {types['_qid']}, _tid {types['_tid']}, _y {types['_y']}, _d double"
-    keys = ["_qb", "_cell", "_sub"]
-    return qx.groupBy(*keys).cogroup(trep.groupBy(*keys)).applyInPandas(_local_topk(k), schema)
+    keys = ["_qb", "_block"]
+    return qx.groupBy(*keys).cogroup(trep.groupBy(*keys)).applyInArrow(_local_topk(k), schema)
 
 
 def knn_neighbors(train: DataFrame, queries: DataFrame, *, id_col: str, vec_col: str,

@@ -107,3 +107,38 @@ def test_stream_replay_with_label_table(spark, monkeypatch, tmp_path):
     got = {r.id: (r.s, round(r.x, 9)) for r in stream_apply_rules(spark, src, df.schema, rules).collect()}
     want = {r.id: (r.s, round(r.x, 9)) for r in prep.apply_rules(df, rules).collect()}
     assert got == want and got[3] == (3, got[3][1])
+
+
+def test_knn_queries_are_sent_once_a_block():
+    """Without structure no cell is left out: a query goes to each block once, in bounded batches, whatever the number of cells."""
+    import numpy as np
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    centers, counts = r.normal(0, 0.01, (200, 8)), [50] * 200
+    first, subs, n = knn._blocks(centers.tolist(), counts)
+    assert n == 1 and set(first) == {0} and set(subs) == {1}
+    q = r.normal(0, 0.01, (5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(5000), pa.int32()), pa.array(range(5000)), pa.array(list(q))], names=["_qb", "_qid", "_qvec"])
+    got = list(knn._query_blocks(centers, [9.0] * 200, counts, first, subs, 5)(iter([batch])))
+    assert sum(b.num_rows for b in got) == 5000 and max(b.num_rows for b in got) <= knn._QUERIES
+    split = knn._blocks([[0.0], [9.0], [1.0]], [knn.T_BLOCK * 2 + 1, 10, 0])
+    assert split == ([0, 3, 0], [3, 1, 1], 4) or split == ([1, 0, 0], [3, 1, 1], 4)
+
+
+def test_knn_kernel_with_many_ties(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(knn, "_RANKED", 10)
+    monkeypatch.setattr(knn, "_CHUNK", 4000)
+    r = np.random.default_rng(4)
+    T, Q = r.integers(0, 3, (900, 2)).astype(float), r.integers(0, 3, (70, 2)).astype(float)
+    cell = r.integers(0, 16, 900)
+    t = pa.table({"_cell": pa.array(cell, pa.int32()), "_tid": r.permutation(900), "_vec": list(T), "_y": cell})
+    masks = r.integers(1, 256, (70, 2)).astype(np.uint8)
+    q = pa.table({"_qid": np.arange(70), "_qvec": list(Q), "_near": pa.array(r.integers(0, 16, 70), pa.int32()), "_cells": [bytes(m) for m in masks]})
+    got = knn._local_topk(7)(q, t).to_pandas().groupby("_qid")[["_d", "_tid"]].apply(lambda g: sorted(zip(g["_d"], g["_tid"]))[:7])
+    for i in range(70):                                    # cells that a chunk's other queries want may come along
+        own = np.unpackbits(masks[i])[cell] > 0
+        d = np.sqrt(((T - Q[i]) ** 2).sum(1))
+        assert got[i][:1] <= sorted(zip(d[own], t["_tid"].to_numpy()[own]))[:1] and len(got[i]) == 7
+        assert all(d[t["_tid"].to_numpy() == b][0] == a for a, b in got[i])
