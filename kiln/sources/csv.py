@@ -34,13 +34,17 @@ def _bool(c: Column) -> Column:
 _NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)$"
 
 
+# No text that a cast to bigint takes fails this; a cast that fails costs an exception, many times a match.
+_DIGITS = r"^[^0-9.]*[0-9]+[^0-9.]*$"
+
+
 def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str, str]:
     """Type per text column, from one aggregate counting which casts succeed."""
     aggs = []
     for i, c in enumerate(df.columns):
         v = _clean(qcol(c), tokens)
         t = F.trim(v)
-        aggs += [F.count(v).alias(f"n{i}"), F.count(t.try_cast("bigint")).alias(f"l{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), F.count(F.when(t.rlike(_DIGITS), t.try_cast("bigint"))).alias(f"l{i}"),
                  F.count(F.when(t.rlike(_NUMBER), t.try_cast("double"))).alias(f"d{i}"), F.count(_bool(t)).alias(f"b{i}")]
     r = df.agg(*aggs).collect()[0]
     out = {}
@@ -62,10 +66,20 @@ def infer_types(df: DataFrame, tokens: list[str] = PANDAS_NA_TOKENS) -> dict[str
 SURPLUS, RECORD = "_surplus", "_record"
 
 
+def _one_line_records(spark: SparkSession, path: str) -> bool:
+    """Whether every record is one line, for certain: no quote and no carriage return anywhere, nor a line of blanks, which
+    only the reader of whole files takes for a record.  One scan in splits."""
+    v = F.col("value")
+    other = v.contains('"') | v.contains("\r") | v.rlike(r"^[\x00-\x20]+$")
+    return not spark.read.option("lineSep", "\n").text(path).agg(F.max(other)).first()[0]
+
+
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
     """Every field as text under the header's names, plus SURPLUS (the first field beyond the header unless
     empty, else NULL) and RECORD (the
     line of a row whose fields do not match the header's, in number; else NULL)."""
+    # a file that may have line breaks in quotes is read by one task, whatever its size
+    multi_line = multi_line and (bool(options) or not _one_line_records(spark, path))
     reader = (spark.read.option("header", True).option("inferSchema", False)
               .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
               .option("emptyValue", "").options(**options))

@@ -66,3 +66,23 @@ def test_sample_plan_has_no_merge_of_all_rows(spark):
     """Only the rows at the last hash are ordered; the others are filtered in place."""
     plan = scatter_sample(spark.range(10_000), "id", 4000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 1 and "Union" in plan
+
+
+def test_files_without_quotes_are_read_in_splits(spark, tmp_path):
+    from kiln.sources import csv
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text("a,b\n" + "".join(f"{i},x{i % 7}\n" for i in range(20000)))
+    quoted.write_text('a,b\n1,"two\nlines"\n2,y\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = csv.read_csv_typed(spark, str(plain))
+        assert df.rdd.getNumPartitions() > 1
+        assert df.selectExpr("count(*)", "sum(a)", "count(distinct b)").first() == (20000, 199990000, 7)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in csv.read_csv_typed(spark, str(quoted)).orderBy("a").collect()] == [(1, "two\nlines"), (2, "y")]
+    for text in ("a,b\r\n1,x\r\n", "a,b\n \n1,x\n"):
+        other = tmp_path / f"other{len(text)}.csv"
+        other.write_bytes(text.encode())
+        assert not csv._one_line_records(spark, str(other))
