@@ -312,7 +312,8 @@ def candidate_topk(train: DataFrame | KnnIndex, queries: DataFrame, *, id_col: s
     qx = q.mapInArrow(_query_blocks(*cells), f"_qb int, _block int, _qid {id_type}, _qvec array<double>, _near int, _cells binary")
 
     of_cell = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("_cell") + 1)
-    tsub = assigned.withColumn("_block", (of_cell(first) + F.pmod(F.xxhash64("_tid"), of_cell(subs))).cast("int"))
+    # never NULL, or Spark would ask for that before it has left out rows without a vector
+    tsub = assigned.withColumn("_block", F.coalesce((of_cell(first) + F.pmod(F.xxhash64("_tid"), of_cell(subs))).cast("int"), F.lit(-1)))
     need = q.select("_qb", "_qvec").mapInArrow(_query_blocks(*cells, keys_only=True), "_nqb int, _nblock int").distinct()
     if index.path:                                          # a saved index: only the folders of wanted cells are read
         blocks = {r["_nblock"] for r in need.select("_nblock").distinct().collect()}

@@ -142,3 +142,15 @@ def test_knn_kernel_with_many_ties(monkeypatch):
         d = np.sqrt(((T - Q[i]) ** 2).sum(1))
         assert got[i][:1] <= sorted(zip(d[own], t["_tid"].to_numpy()[own]))[:1] and len(got[i]) == 7
         assert all(d[t["_tid"].to_numpy() == b][0] == a for a, b in got[i])
+
+
+def test_knn_leaves_out_rows_without_a_vector(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else [float(i % 17), float(i % 7)], i % 3) for i in range(300)]
+    spark.createDataFrame(rows, "id long, v array<double>, y int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = {}
+    for r in knn.knn_neighbors(df, df.where("id < 40"), id_col="id", vec_col="v", query_id="id", k=3, target_col="y").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor_id))
+    full = [(i, v) for i, v, _ in rows if v]
+    assert {i: [t for _, t in sorted(x)] for i, x in got.items()} == {
+        i: [t for _, t in sorted((math.dist(v, w), t) for t, w in full)[:3]] for i, v in full if i < 40}
