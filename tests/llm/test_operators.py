@@ -260,6 +260,16 @@ def test_token_ids(text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_whole():
+    """A call of the encoder for each rare word costs more than the text."""
+    enc, calls = packing._Encoder(packing.default_tokenizer()), []
+    fast = enc.fast
+    enc.fast = type("Counted", (), {"encode_ordinary": lambda self, text: calls.append(text) or fast.encode_ordinary(text)})()
+    text = " ".join(f"{i:x}q{i * i:x}" for i in range(5000))
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.whole.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1
+
+
 def test_fingerprints(docs, corpus):
     rows = {r.doc_id: r for r in syncmers.fingerprint_documents(docs).collect()}
     order = sorted(corpus)
