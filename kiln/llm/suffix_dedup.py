@@ -156,6 +156,18 @@ def _ends(head: int, min_words: int):
     return run
 
 
+def _marked(hits: DataFrame) -> DataFrame:
+    """(owner, marks): each shared position with the number of rows that have its head, and its chain.
+
+    A document's positions of a chain are joined as one row, so that a passage it repeats does not multiply the joined rows."""
+    places = hits.groupBy("owner", "key", "sub").agg(F.collect_list(F.struct("pos", "len")).alias("places"))
+    chains = hits.groupBy("key", "sub").agg(F.count("*").alias("chains"))
+    heads = chains.groupBy("key").agg(F.sum("chains").alias("heads"))
+    counted = places.join(chains, ["key", "sub"]).join(heads, "key").select("owner", F.transform("places", lambda p: F.struct(
+        p["pos"].alias("pos"), F.col("heads"), F.when(p["len"] > 0, F.col("chains")).otherwise(0).alias("chains"))).alias("marks"))
+    return counted.groupBy("owner").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+
 def _windows(min_words: int):
     def run(batches):
         for r in _shared_rows(batches):
@@ -187,11 +199,7 @@ def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
     own = Scratch()
     hits = own.stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
 
-    chains = hits.groupBy("key", "sub").agg(F.count("*").alias("chains"))
-    heads = chains.groupBy("key").agg(F.sum("chains").alias("heads"))
-    counted = hits.join(chains, ["key", "sub"]).join(heads, "key")
-    marked = counted.groupBy("owner").agg(F.collect_list(F.struct(
-        "pos", "heads", F.when(F.col("len") > 0, F.col("chains")).otherwise(0).alias("chains"))).alias("marks"))
+    marked = _marked(hits)
     maybe, _ = split_by_ids(docs, hits.select("owner").distinct(), "owner")
     ends = maybe.mapInArrow(_once, maybe.schema).join(marked, "owner").mapInArrow(lean(_ends(head, min_words)), "key long, sub long, owner long, doc_id long, pos long")
     ends = ends.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")

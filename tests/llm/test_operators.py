@@ -531,3 +531,29 @@ def test_components_of_any_shape(spark, monkeypatch, at_once):
     alone = {7} | {v for v in root if all(a == b for a, b in edges if v in (a, b))}
     assert {r.node: r.root for r in got} == {v: r for v, r in root.items() if v not in alone} and len(got) == len(root) - len(alone)
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _rows_of_joins(spark, df) -> list[int]:
+    """Rows that each join of ``df`` makes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        made, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().length())]
+        return made
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_repeats_inside_a_document_do_not_multiply_joined_rows(spark):
+    """One head at 400 positions of each of two documents, in two chains, and a head of its own."""
+    rows = [(o, 7, p % 2, p, 50 * (p % 2)) for o in (1, 2) for p in range(400)] + [(1, 8, 3, 900, 60), (2, 8, 3, 901, 60)]
+    hits = spark.createDataFrame(rows, "owner long, key long, sub long, pos long, len long")
+    got = {r.owner: sorted((m.pos, m.heads, m.chains) for m in r.marks) for r in suffix_dedup._marked(hits).collect()}
+    assert got == {o: [(p, 800, 400 * (p % 2)) for p in range(400)] + [(899 + o, 2, 2)] for o in (1, 2)}
+    assert max(_rows_of_joins(spark, suffix_dedup._marked(hits))) <= 6
