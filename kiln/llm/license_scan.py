@@ -3,10 +3,12 @@
 Paragraphs stand between blank lines.  Their lines, and overlapping windows of WINDOW words over their
 joined lines, are judged, so a notice of up to WINDOW / 2 words is seen whole however it is wrapped; a
 paragraph has a row for each family that one of them confirms, or one row if none does.  Multinomial logistic regression with a lasso penalty on hashed word 1- and
-2-grams names the licence family of a paragraph or calls it unknown.  It learns from notices
-(TEMPLATES, whole, in halves and set among words of the corpus) and from at most ``NEGATIVES``
-corpus paragraphs without licence words, chosen by hash.  A family is accepted above the
-probability that no left-out unknown paragraph reaches (and 0.5 at least), and confirmed if
+2-grams names the licence family of a paragraph or calls it unknown.  Its features are the grams that the notices hold; others tell no
+family.  It learns from notices
+(TEMPLATES, whole, in halves and set among words of the corpus) and from every line of the corpus without
+licence words but the quarter, by hash of its text, that is left out; lines of equal features are counted as one row with a weight, and together
+they weigh UNKNOWN_WEIGHT rows, so that the notices count alike in a corpus of any size.  A family is accepted above the
+probability that no left-out unknown line reaches (and 0.5 at least), and confirmed if
 the paragraph holds CONFIRM of the word 3-grams of one of its notices.
 
 Only paragraphs with a cue can be confirmed: of every notice less than CONFIRM of the 3-grams hold none of
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kiln.llm.shared import stored
 
@@ -50,7 +52,7 @@ CUES = ("licen[sc]e", "copyright", f"rights{_GAP}reserved", "permission", "redis
         "gnu", "apache", "mozilla", f"creative{_GAP}commons", f"cc{_GAP}by", "cc0", f"without{_GAP}modification", f"binary{_GAP}forms", f"source{_GAP}code")
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
-NEGATIVES, FEATURES, CONFIRM, LASSO = 4000, 1 << 14, 0.6, 0.0005
+UNKNOWN_WEIGHT, FEATURES, CONFIRM, LASSO = 3000.0, 1 << 14, 0.6, 0.0005
 _HAS_CUE = "(?i)(" + "|".join(CUES) + ")"
 WINDOW = 48
 
@@ -67,10 +69,25 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _notices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string")
+
+
+def notice_grams(spark: SparkSession) -> list[str]:
+    """The distinct word 1- and 2-grams of all notices."""
+    words = words_of(F.col("text"))
+    rows = _notices(spark).select(F.explode(F.concat(words, grams(words, 2))).alias("g")).distinct().collect()
+    return sorted(r["g"] for r in rows)
+
+
+def _held_grams(text: Column, known: list[str]) -> Column:
+    """The ``known`` grams that ``text`` holds, once each, sorted."""
+    words = words_of(text)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(words, grams(words, 2)), lambda g: g.isin(known))))
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
-    """Adds ``words``, ``grams`` and the sparse 0/1 ``features`` of ``text``."""
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    rows = rows.withColumn("grams", F.concat("words", grams(F.col("words"), 2)))
+    """Adds the sparse 0/1 ``features`` of ``grams``."""
     return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(rows)
 
 
@@ -97,22 +114,18 @@ def passages(docs: DataFrame) -> DataFrame:
     return blocks.select("row", "doc_id", "paragraph", F.explode(parts).alias("text")).where(F.col("text").rlike(_HAS_CUE))
 
 
-def _training_rows(docs: DataFrame) -> DataFrame:
-    """(label, text, left_out): notices in several settings, and corpus paragraphs as unknown."""
+def _training_rows(docs: DataFrame, known: list[str]) -> DataFrame:
+    """(label, grams, weight, left_out): notices in several settings, and all corpus lines without a cue as unknown."""
     spark = docs.sparkSession
     notices = spark.createDataFrame([(float(FAMILIES.index(f)), t) for f, ts in TEMPLATES.items() for t in ts], "label double, text string")
-    share = F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(16))
-    key = F.xxhash64("text", "doc_id", "paragraph")
-    plain = paragraphs(docs).where((share == 0) & ~F.col("text").rlike(_HAS_CUE))
-    # about twice as many as wanted pass the cut, so that the tasks together and not each send so many to the last one
-    part = min(1.0, 2 * NEGATIVES / max(1, plain.count()))
-    plain = (plain.where(key <= F.lit(min(2**63 - 1, int(part * 2**64) - 2**63))).distinct().orderBy(key).limit(NEGATIVES)
-             .select(F.lit(0.0).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("left_out")))
-    plain = stored(plain, "unknown-paragraphs")
+    plain = paragraphs(docs).where(~F.col("text").rlike(_HAS_CUE))
+    left_out = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    counted = stored(plain.select(_held_grams(F.col("text"), known).alias("grams"), left_out.alias("left_out"))
+                     .groupBy("grams", "left_out").agg(F.count("*").alias("n")), "unknown-lines")
+    n = counted.where("not left_out").agg(F.sum("n")).first()[0] or 1
     # each notice among the first words of 32 corpus paragraphs
-    fill = plain.where("not left_out").orderBy(F.xxhash64("text")).limit(32).select(
-        F.monotonically_increasing_id().alias("i"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("fill"))
-    fills = [r["fill"] for r in fill.collect()] or [""]
+    fill = plain.where(~left_out).select("text", F.xxhash64("text").alias("key")).orderBy("key", "text").limit(32)
+    fills = [r["fill"] for r in fill.select(F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("fill")).collect()] or [""]
     around = notices.withColumn("fill", F.explode(F.array(*[F.lit(x) for x in fills])))
     half = F.expr("array_join(slice(split(text, ' '), 1, greatest(4, cast(ceil(size(split(text, ' ')) * 0.7) as int))), ' ')")
     made = (notices.select("label", "text")
@@ -121,27 +134,28 @@ def _training_rows(docs: DataFrame) -> DataFrame:
             .unionByName(notices.select("label", half.alias("text"))))
     bare = spark.createDataFrame([(0.0, x) for x in ("The license of this dog is lost.", "You need a driving licence.", "Permission was denied.",
                                                      "The rights of the people.", "A version of the general public.", "He was permitted to leave.")], "label double, text string")
-    return made.unionByName(bare).select("label", "text", F.lit(False).alias("left_out")).unionByName(plain)
+    made = made.unionByName(bare).select("label", _held_grams(F.col("text"), known).alias("grams"), F.lit(1.0).alias("weight"), F.lit(False).alias("left_out"))
+    return made.unionByName(counted.select(F.lit(0.0).alias("label"), "grams", (F.col("n") * (UNKNOWN_WEIGHT / n)).alias("weight"), "left_out"))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of every paragraph with a cue
     word; a paragraph has several rows if several families are found in it.  ``family`` is ``unknown`` unless the classifier accepts one and a notice confirms it."""
-    rows = stored(_vectors(_training_rows(docs)).select("label", "features", "left_out"), "licence-training")
-    model = LogisticRegression(family="multinomial", regParam=LASSO, elasticNetParam=1.0, maxIter=40).fit(rows.where("not left_out"))
+    known = notice_grams(docs.sparkSession)
+    rows = stored(_vectors(_training_rows(docs, known)).select("label", "features", "weight", "left_out"), "licence-training")
+    model = LogisticRegression(family="multinomial", regParam=LASSO, elasticNetParam=1.0, maxIter=40, weightCol="weight").fit(rows.where("not left_out"))
     scored = model.transform(rows.where("left_out")).select(vector_to_array("probability").alias("p"))
     tops = scored.agg(*[F.max(F.element_at("p", i + 1)).alias(f"m{i}") for i in range(model.numClasses)]).first()
     bars = [max(0.5, tops[i] or 0.0) if i else 2.0 for i in range(model.numClasses)]
 
-    found = _vectors(passages(docs))
+    found = passages(docs).withColumn("words", words_of(F.col("text")))
+    found = _vectors(found.withColumn("grams", _held_grams(F.col("text"), known)))
     found = model.transform(found).withColumn("p", vector_to_array("probability"))
     bar = F.array(*[F.lit(float(b)) for b in bars])
     names = F.array(*[F.lit(f) for f in FAMILIES])
     found = found.withColumn("k", F.col("prediction").cast("int") + 1).withColumn("probability", F.element_at("p", F.col("k")))
     three = grams(F.col("words"), 3)
-    spark = docs.sparkSession
-    notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string")
-    kept = notices.select("family", F.array_distinct(grams(words_of(F.col("text")), 3)).alias("g")).collect()
+    kept = _notices(docs.sparkSession).select("family", F.array_distinct(grams(words_of(F.col("text")), 3)).alias("g")).collect()
     of = {f: [r["g"] for r in kept if r["family"] == f] for f in TEMPLATES}
 
     def held(gs: list[str]) -> Column:

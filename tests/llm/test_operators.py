@@ -557,3 +557,38 @@ def test_repeats_inside_a_document_do_not_multiply_joined_rows(spark):
     got = {r.owner: sorted((m.pos, m.heads, m.chains) for m in r.marks) for r in suffix_dedup._marked(hits).collect()}
     assert got == {o: [(p, 800, 400 * (p % 2)) for p in range(400)] + [(899 + o, 2, 2)] for o in (1, 2)}
     assert max(_rows_of_joins(spark, suffix_dedup._marked(hits))) <= 6
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """Also from those above 5,000 words; held-out and unlabelled ones stay out, repeated rows count each."""
+    texts = {i: " ".join(f"w{i % 7}x{k}" for k in range(5001 + i if i % 5 == 0 else 20)) for i in range(120)} | {5: None}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    blocks_ = toxicity.labelled_blocks(docs, labels).collect()
+    learnt = [i for i in [*range(100), 7] if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sum(r.docs for r in blocks_) == len(learnt)
+    assert sum(r.positives for r in blocks_) == sum(i % 3 == 0 for i in learnt)
+    sizes = np.concatenate([np.frombuffer(r["sizes"], "<i8") for r in blocks_])
+    assert sorted(sizes) == sorted(len((texts[i] or "").split()) for i in learnt)
+
+
+def test_toxicity_bar_is_the_best_f1(spark):
+    rng = random.Random(5)
+    rows = [(float(z), int(rng.random() < z / 20)) for z in (rng.randrange(20) for _ in range(300))]
+    f1 = {z: 2 * sum(t for x, t in rows if x >= z) / (sum(x >= z for x, _ in rows) + sum(t for _, t in rows)) for z, _ in rows}
+    best = max(f1, key=lambda z: (f1[z], z))
+    below = max(z for z in f1 if z < best)
+    assert toxicity._bar(spark.createDataFrame(rows, "z double, toxic long")) == (best + below) / 2
+
+
+def test_licences_learn_from_every_line_without_a_cue(spark):
+    """5,000 different lines, one of them in 200 documents more, and lines with a cue, which stay out."""
+    texts = ["\n".join(f"line {i} {k} of the text" for k in range(100)) for i in range(50)] + ["line 0 0 of the text\nAll rights reserved."] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan._training_rows(docs, license_scan.notice_grams(spark)).where("label = 0")
+    lines = spark.createDataFrame([(x,) for t in texts for x in t.split("\n") if "rights" not in x], "text string")
+    n = {r["o"]: r["n"] for r in lines.groupBy((F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("o")).agg(F.count("*").alias("n")).collect()}
+    weight = {r["left_out"]: r["w"] for r in rows.groupBy("left_out").agg(F.sum("weight").alias("w")).collect()}
+    bare = 6                                                 # lines of the module itself
+    assert abs(weight[False] - bare - license_scan.UNKNOWN_WEIGHT) < 1e-6
+    assert abs(weight[True] - license_scan.UNKNOWN_WEIGHT * n[True] / n[False]) < 1e-6
