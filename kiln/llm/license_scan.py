@@ -20,6 +20,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -62,6 +65,14 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{N}+(?:\.\p{N}+)+|[\p{L}\p{N}]+)"), F.lit(1))
 
 
+def has_cue(text: Column) -> Column:
+    """Whether ``text`` matches _HAS_CUE.  A cue is looked for only in texts that hold its literal parts, which is far cheaper."""
+    def held(low: Column) -> Column:
+        each = [reduce(and_, [low.contains(x.partition("[")[0]) for x in cue.split(_GAP)]) & text.rlike(f"(?i){cue}") for cue in CUES]
+        return reduce(or_, each)
+    return F.exists(F.array(F.lower(text)), held)
+
+
 def grams(words: Column, n: int) -> Column:
     if n == 1:
         return words
@@ -80,10 +91,16 @@ def notice_grams(spark: SparkSession) -> list[str]:
     return sorted(r["g"] for r in rows)
 
 
-def _held_grams(text: Column, known: list[str]) -> Column:
-    """The ``known`` grams that ``text`` holds, once each, sorted."""
-    words = words_of(text)
-    return F.array_sort(F.array_distinct(F.filter(F.concat(words, grams(words, 2)), lambda g: g.isin(known))))
+def _held_grams(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Adds the ``words`` of ``text``, and as ``grams`` the ``known`` grams that they hold, once each, sorted.
+
+    The words are a column of their own: within the grams' expression they would be taken from the text anew for every gram.
+    A pair can only be known if both its words are."""
+    words = F.col("words")
+    pairs = F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: p["a"].isin(known) & p["b"].isin(known))
+    both = F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    held = F.concat(F.filter(words, lambda g: g.isin(known)), F.filter(both, lambda g: g.isin(known)))
+    return rows.withColumn("words", words_of(F.col("text"))).withColumn("grams", F.array_sort(F.array_distinct(held)))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -102,25 +119,25 @@ def paragraphs(docs: DataFrame, where: str | None = None) -> DataFrame:
 
 def passages(docs: DataFrame) -> DataFrame:
     """(row, doc_id, paragraph, text): the lines and windows with a cue word, by paragraph."""
-    blocks = (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.col("text").rlike(_HAS_CUE))
+    blocks = (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(has_cue(F.col("text")))
               .select("row", "doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("paragraph", "text"))
-              .where(F.col("text").rlike(_HAS_CUE)))
+              .where(has_cue(F.col("text"))))
     tokens = F.filter(F.split("text", r"(?U)\s+"), lambda t: t.rlike(r"[\p{L}\p{N}]"))    # without comment marks
     half = WINDOW // 2
     blocks = blocks.withColumn("tokens", tokens)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("tokens") - WINDOW) / half).cast("int")))
     windows = F.transform(starts, lambda i: F.array_join(F.slice("tokens", i * half + 1, WINDOW), " "))
     parts = F.array_distinct(F.concat(F.split("text", r"\n"), windows))
-    return blocks.select("row", "doc_id", "paragraph", F.explode(parts).alias("text")).where(F.col("text").rlike(_HAS_CUE))
+    return blocks.select("row", "doc_id", "paragraph", F.explode(parts).alias("text")).where(has_cue(F.col("text")))
 
 
 def _training_rows(docs: DataFrame, known: list[str]) -> DataFrame:
     """(label, grams, weight, left_out): notices in several settings, and all corpus lines without a cue as unknown."""
     spark = docs.sparkSession
     notices = spark.createDataFrame([(float(FAMILIES.index(f)), t) for f, ts in TEMPLATES.items() for t in ts], "label double, text string")
-    plain = paragraphs(docs).where(~F.col("text").rlike(_HAS_CUE))
+    plain = paragraphs(docs).where(~has_cue(F.col("text")))
     left_out = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
-    counted = stored(plain.select(_held_grams(F.col("text"), known).alias("grams"), left_out.alias("left_out"))
+    counted = stored(_held_grams(plain.select("text", left_out.alias("left_out")), known)
                      .groupBy("grams", "left_out").agg(F.count("*").alias("n")), "unknown-lines")
     n = counted.where("not left_out").agg(F.sum("n")).first()[0] or 1
     # each notice among the first words of 32 corpus paragraphs
@@ -134,7 +151,7 @@ def _training_rows(docs: DataFrame, known: list[str]) -> DataFrame:
             .unionByName(notices.select("label", half.alias("text"))))
     bare = spark.createDataFrame([(0.0, x) for x in ("The license of this dog is lost.", "You need a driving licence.", "Permission was denied.",
                                                      "The rights of the people.", "A version of the general public.", "He was permitted to leave.")], "label double, text string")
-    made = made.unionByName(bare).select("label", _held_grams(F.col("text"), known).alias("grams"), F.lit(1.0).alias("weight"), F.lit(False).alias("left_out"))
+    made = _held_grams(made.unionByName(bare), known).select("label", "grams", F.lit(1.0).alias("weight"), F.lit(False).alias("left_out"))
     return made.unionByName(counted.select(F.lit(0.0).alias("label"), "grams", (F.col("n") * (UNKNOWN_WEIGHT / n)).alias("weight"), "left_out"))
 
 
@@ -148,8 +165,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     tops = scored.agg(*[F.max(F.element_at("p", i + 1)).alias(f"m{i}") for i in range(model.numClasses)]).first()
     bars = [max(0.5, tops[i] or 0.0) if i else 2.0 for i in range(model.numClasses)]
 
-    found = passages(docs).withColumn("words", words_of(F.col("text")))
-    found = _vectors(found.withColumn("grams", _held_grams(F.col("text"), known)))
+    found = _vectors(_held_grams(passages(docs), known))
     found = model.transform(found).withColumn("p", vector_to_array("probability"))
     bar = F.array(*[F.lit(float(b)) for b in bars])
     names = F.array(*[F.lit(f) for f in FAMILIES])

@@ -476,6 +476,25 @@ def test_wrapped_licences(spark, docs, tmp_path):
     assert {(400, "Proprietary"), (401, "Proprietary"), (402, "Proprietary"), (403, "MIT"), (403, "LGPL"), (404, "GPL-3.0")} <= got
 
 
+def test_licence_grams_of_long_lines(spark):
+    """The words of a line are taken once, not for every gram of it; cues as the expression finds them."""
+    import re
+    known = license_scan.notice_grams(spark)
+    rng = random.Random(5)
+    pool = [*{w for g in known for w in g.split()}, "dog", "2.0", "\u0130x"]
+    lines = {i: " ".join(rng.choices(pool, k=k)) for i, k in enumerate((1, 2, 3, 40, 4000))}
+    lines |= {10: "CC--by", 11: "ccby", 12: "public\n_domain", 13: "Rights are reserved", 14: "LICEN\u017fE", 15: "free soft ware", 16: None, 17: "LICENCE"}
+    rows = spark.createDataFrame(list(lines.items()), "id long, text string")
+    held = license_scan._held_grams(rows, known)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    for r in held.where("id < 10").collect():
+        words = re.findall(r"\d+(?:\.\d+)+|[^\W_]+", lines[r.id].lower())
+        assert r.grams == sorted({g for g in [*words, *map(" ".join, zip(words, words[1:]))] if g in set(known)}), r.id
+    for r in rows.select("id", "text", license_scan.has_cue(F.col("text")).alias("cue"), F.col("text").rlike(license_scan._HAS_CUE).alias("want")).collect():
+        assert r.cue == r.want, r
+
+
 def test_empty_tables(spark, empty, labels):
     assert ngram_join.near_duplicate_components(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
