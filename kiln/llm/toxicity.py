@@ -10,7 +10,7 @@ read from the text (its function words), and each language's scores are moved so
 threshold becomes 0.7.  Labels, lang, source and doc_id never enter a score.
 
 Learning takes every labelled document that is not held out, whole.  A quarter of them, by hash, calibrates; the others
-are dealt by hash to shards of about ``SHARD_BYTES`` of text.  In each epoch every shard trains the net on its own documents, a task
+are dealt by hash of their doc_id to shards of about ``SHARD_BYTES`` of text.  In each epoch every shard trains the net on its own documents, a task
 a shard, and the nets are averaged: an embedding over the shards that moved it, the rest over all.  Log-odds, thresholds and
 slope are counted over all rows by Spark; only the net (2 MB) comes to the driver.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kiln.llm.quality_rules import held_out
-from kiln.llm.shared import lean, release, stored, text_batches
+from kiln.llm.shared import lean, release, split_by_ids, stored, text_batches
 from kiln.llm.words import _BASE, _BYTE, Words, blocks, buffers, mix, powers
 from kiln.operators.ordered import running_totals
 
@@ -218,20 +218,33 @@ def _descend(net: Net, ids: np.ndarray, ptr: np.ndarray, y: np.ndarray, share: f
 _BLOCK = "shard long, learn boolean, docs long, positives long, sizes binary, toxic binary, words binary"
 
 
-def _block(table: pa.Table) -> pa.Table:
-    """The documents of one shard as one row: their labels, word counts and word ids."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    text = table.column("text").chunk(0)
-    y = table.column("toxic").to_numpy().astype(np.uint8)
-    data, off = buffers(text)
+_BLOCK_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _block(table: pa.Table, y: np.ndarray, shard: int, learn: bool) -> tuple:
+    """Documents of one shard and their labels as one row: the labels, word counts and word ids."""
+    data, off = buffers(table.column("text").combine_chunks())
     sizes, words = [], []
     for _, ids, ptr in encoded(data, off):
         sizes.append(np.diff(ptr))
         words.append(ids.astype("<u2").tobytes())
-    row = {"shard": table.column("shard")[0].as_py(), "learn": table.column("learn")[0].as_py(), "docs": len(y), "positives": int(y.sum()),
-           "sizes": np.concatenate(sizes).astype("<i8").tobytes(), "toxic": y.tobytes(), "words": b"".join(words)}
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), kinds)})
+    return shard, learn, len(y), int(y.sum()), np.concatenate(sizes).astype("<i8").tobytes(), y.tobytes(), b"".join(words)
+
+
+def _labelled(docs: pa.Table, truth: pa.Table) -> pa.Table:
+    """The blocks of one shard, from its documents and its labels."""
+    docs, truth = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")]), truth.sort_by("doc_id")
+    known, doc_id = truth.column("doc_id").to_numpy(), docs.column("doc_id").to_numpy()
+    at = np.minimum(np.searchsorted(known, doc_id), max(0, len(known) - 1))
+    found = known[at] == doc_id if len(known) else np.zeros(len(doc_id), bool)
+    learn = docs.column("learn").to_numpy(zero_copy_only=False)
+    rows = []
+    for part in (True, False):
+        take = found & (learn == part)
+        if take.any():
+            y = truth.column("toxic").to_numpy()[at[take]].astype(np.uint8)
+            rows.append(_block(docs.filter(pa.array(take)), y, docs.column("shard")[0].as_py(), part))
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(_BLOCK_TYPES), _BLOCK_TYPES)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]):
@@ -252,10 +265,13 @@ def labelled_blocks(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFr
     part = min(1.0, truth.count() / max(1, rows))
     shards = max(1, math.ceil((bytes_ or 0) * part / SHARD_BYTES))
     text_batches(docs.sparkSession)
-    dealt = own.join(truth, "doc_id").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text", (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(4)) > 0).alias("learn"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(shards)).alias("shard"))
-    return stored(dealt.repartition(2 * shards, "shard", "learn").groupBy("shard", "learn").applyInArrow(_block, _BLOCK), "toxic-blocks")
+    # a shard holds whole documents by id, so that texts meet their labels and their shard in one shuffle
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("long")), F.lit(shards)).alias("shard")
+    own, _ = split_by_ids(own.withColumn("doc_id", F.col("doc_id").cast("long")), truth.select(F.col("doc_id").cast("long").alias("doc_id")))
+    dealt = own.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(4)) > 0).alias("learn"), shard)
+    truth = truth.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", shard)
+    both = dealt.repartition(shards, "shard").groupBy("shard").cogroup(truth.repartition(shards, "shard").groupBy("shard"))
+    return stored(both.applyInArrow(_labelled, _BLOCK), "toxic-blocks")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
