@@ -117,12 +117,24 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {k: v[~same] for k, v in r.items()}
 
 
+_PLACES = "places array<struct<pos:bigint,len:bigint>>"
+
+
+def _chained(r: dict, length: np.ndarray) -> pa.RecordBatch:
+    """Rows sorted by (key, sub, owner) with a document's positions of a chain as one row."""
+    new = np.ones(len(r["key"]), bool)
+    new[1:] = np.any([r[f][1:] != r[f][:-1] for f in ("key", "sub", "owner")], axis=0)
+    at = np.flatnonzero(new)
+    flat = pa.StructArray.from_arrays([pa.array(r["pos"]), pa.array(length)], names=["pos", "len"])
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(new)), pa.int32()), flat)
+    return _batch(key=r["key"][at], sub=r["sub"][at], owner=r["owner"][at], doc_id=r["doc_id"][at], places=places, first=r["first"][at], first_owner=r["first_owner"][at])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes that share their head with another document; ``len`` > 0 if the chain as well."""
+    """Suffixes that share their head with another document, a document's of a chain as one row; ``len`` > 0 if they share the chain as well."""
     for r in _shared_rows(batches):
         both = r["same_sub"] & (r["len"] > 0)
-        yield _batch(key=r["key"], sub=r["sub"], owner=r["owner"], doc_id=r["doc_id"], pos=r["pos"], len=np.where(both, r["len"], 0),
-                     first=r["first"], first_owner=r["first_owner"])
+        yield _chained(r, np.where(both, r["len"], 0))
 
 
 def _ends(head: int, min_words: int):
@@ -159,11 +171,12 @@ def _ends(head: int, min_words: int):
 def _marked(hits: DataFrame) -> DataFrame:
     """(owner, marks): each shared position with the number of rows that have its head, and its chain.
 
-    A document's positions of a chain are joined as one row, so that a passage it repeats does not multiply the joined rows."""
-    places = hits.groupBy("owner", "key", "sub").agg(F.collect_list(F.struct("pos", "len")).alias("places"))
-    chains = hits.groupBy("key", "sub").agg(F.count("*").alias("chains"))
+    ``hits`` has a row a position, or a row for a document's ``places`` of a chain.  They are joined as one row, so that a passage it repeats does not multiply the joined rows."""
+    if "places" not in hits.columns:
+        hits = hits.groupBy("owner", "key", "sub").agg(F.collect_list(F.struct("pos", "len")).alias("places"))
+    chains = hits.groupBy("key", "sub").agg(F.sum(F.size("places")).alias("chains"))
     heads = chains.groupBy("key").agg(F.sum("chains").alias("heads"))
-    counted = places.join(chains, ["key", "sub"]).join(heads, "key").select("owner", F.transform("places", lambda p: F.struct(
+    counted = hits.select("owner", "key", "sub", "places").join(chains, ["key", "sub"]).join(heads, "key").select("owner", F.transform("places", lambda p: F.struct(
         p["pos"].alias("pos"), F.col("heads"), F.when(p["len"] > 0, F.col("chains")).otherwise(0).alias("chains"))).alias("marks"))
     return counted.groupBy("owner").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
@@ -193,17 +206,19 @@ def _owner_spans(docs: DataFrame, min_words: int, head: int) -> DataFrame:
     """``repeated_spans`` with the owner, also of rows without doc_id."""
     text_batches(docs.sparkSession)
     docs = _owned(docs)
-    kind = "owner long, doc_id long, pos long, len long, first long, first_owner long"
+    kind = "first long, first_owner long"
     rows = docs.mapInArrow(lean(_suffixes(head, min_words)), "key long, sub long, owner long, doc_id long, pos long, len long")
     rows = rows.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
     own = Scratch()
-    hits = own.stored(rows.mapInArrow(_neighbours, "key long, sub long, " + kind), "suffix-hits")
+    hits = own.stored(rows.mapInArrow(_neighbours, f"key long, sub long, owner long, doc_id long, {_PLACES}, {kind}"), "suffix-hits")
 
     marked = _marked(hits)
     maybe, _ = split_by_ids(docs, hits.select("owner").distinct(), "owner")
     ends = maybe.mapInArrow(_once, maybe.schema).join(marked, "owner").mapInArrow(lean(_ends(head, min_words)), "key long, sub long, owner long, doc_id long, pos long")
     ends = ends.repartition("key").sortWithinPartitions("key", "sub", "owner", "pos")
-    spans = hits.where("len > 0").drop("key", "sub").unionByName(ends.mapInArrow(lean(_windows(min_words)), kind)).distinct()
+    windows = ends.mapInArrow(lean(_windows(min_words)), f"owner long, doc_id long, pos long, len long, {kind}")
+    windows = windows.select("owner", "doc_id", F.array(F.struct("pos", "len")).alias("places"), "first", "first_owner")
+    spans = hits.where("exists(places, p -> p.len > 0)").drop("key", "sub").unionByName(windows)
     merged = stored(spans.groupBy("owner").applyInArrow(_union_spans, "owner long, doc_id long, spans array<struct<start:bigint,end:bigint>>, removable array<struct<start:bigint,end:bigint>>"), "spans")
     own.clear()
     return merged
@@ -219,8 +234,14 @@ def _union(a: np.ndarray, b: np.ndarray) -> list[dict]:
 
 
 def _union_spans(table: pa.Table) -> pa.Table:
-    owner, doc, pos, ln, first, first_owner = (table.column(c).to_numpy() for c in ("owner", "doc_id", "pos", "len", "first", "first_owner"))
-    later = (first < doc) | (first == doc) & (first_owner < owner)
+    table = table.combine_chunks()
+    owner, doc = table.column("owner").to_numpy(), table.column("doc_id").to_numpy()
+    places = table.column("places").chunk(0)
+    row = np.repeat(np.arange(len(owner)), np.diff(places.offsets.to_numpy()))
+    pos, ln = (places.flatten().field(f).to_numpy() for f in ("pos", "len"))
+    row, pos, ln = (v[ln > 0] for v in (row, pos, ln))
+    first, first_owner = (table.column(c).to_numpy()[row] for c in ("first", "first_owner"))
+    later = (first < doc[0]) | (first == doc[0]) & (first_owner < owner[0])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table({"owner": pa.array(owner[:1]), "doc_id": pa.array(doc[:1]), "spans": pa.array([_union(pos, pos + ln)], kind),
                      "removable": pa.array([_union(pos[later], (pos + ln)[later])], kind)})

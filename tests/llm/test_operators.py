@@ -578,6 +578,20 @@ def test_repeats_inside_a_document_do_not_multiply_joined_rows(spark):
     assert max(_rows_of_joins(spark, suffix_dedup._marked(hits))) <= 6
 
 
+def test_neighbours_have_a_row_a_document_and_chain():
+    """Positions of a chain that a document repeats make one row, in one batch or over several; a chain without another document has no length."""
+    import pyarrow as pa
+    rows = [(1, 5, 10, 100, p, 20) for p in range(30)] + [(1, 5, 11, 90, p, 20) for p in range(40)] + [(1, 6, 12, 80, 3, 20)] + [(2, 7, 10, 100, 9, 20)]
+    table = pa.table(dict(zip(("key", "sub", "owner", "doc_id", "pos", "len"), map(list, zip(*rows)))))
+    for size in (len(rows), 7):
+        out = [r for b in suffix_dedup._neighbours(iter(table.to_batches(size))) for r in b.to_pylist()]
+        places = collections.defaultdict(list)
+        for r in out:
+            places[r["key"], r["sub"], r["owner"], r["doc_id"]] += [(p["pos"], p["len"]) for p in r["places"]]
+        assert places == {(1, 5, 10, 100): [(p, 20) for p in range(30)], (1, 5, 11, 90): [(p, 20) for p in range(40)], (1, 6, 12, 80): [(3, 0)]}
+        assert len(out) == 3 if size == len(rows) else len(out) < 25
+
+
 def test_toxicity_learns_from_every_labelled_document(spark):
     """Also from those above 5,000 words; held-out and unlabelled ones stay out, repeated rows count each."""
     texts = {i: " ".join(f"w{i % 7}x{k}" for k in range(5001 + i if i % 5 == 0 else 20)) for i in range(120)} | {5: None}
@@ -591,6 +605,20 @@ def test_toxicity_learns_from_every_labelled_document(spark):
     assert sorted(sizes) == sorted(len((texts[i] or "").split()) for i in learnt)
 
 
+def test_toxicity_texts_meet_labels_and_shard_by_id(spark, monkeypatch):
+    """All texts of an id are in one shard, so that one shuffle joins and deals them; rows without a label or a text for it add nothing."""
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(ids[0], f"text {i} " * 4) for i in range(40)] + [(i, f"text of {i}") for i in ids[1:20]] + [(None, "none"), (ids[20], None)], "doc_id long, text string")
+    one = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[30], 1), (None, 1), (ids[1], None)], "doc_id long, toxic int")
+    got = toxicity.labelled_blocks(docs, one).collect()
+    assert len({r.shard for r in got}) == 1 and sum(r.docs for r in got) == sum(r.positives for r in got) == 40
+    every = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = toxicity.labelled_blocks(docs, every).collect()
+    assert len({r.shard for r in got}) > 4 and sum(r.docs for r in got) == 60
+    assert sum(r.positives for r in got) == 40 * (ids[0] % 2) + sum(i % 2 for i in ids[1:21])
+
+
 def test_toxicity_bar_is_the_best_f1(spark):
     rng = random.Random(5)
     rows = [(float(z), int(rng.random() < z / 20)) for z in (rng.randrange(20) for _ in range(300))]
