@@ -10,7 +10,7 @@ islands, each a task of its own:
   document, and best-fits the displaced documents, largest first;
 * after each epoch the best chromosome of every island migrates to the next island of its shard.
 
-A shard stops as soon as it needs no more bins than its words of room ask for.  The best island wins.
+Every island goes through its whole population and all its generations.  The best island wins.
 
 Null and empty texts are the end id alone.  Repeated rows are packed each.  Text that spells a special
 token is encoded as the tokenizer does.  Empty tables give empty results; other columns are ignored.
@@ -180,14 +180,14 @@ def evolve(sizes, elites: list, room: int, seed: list[int], population: int = PO
     """One epoch of one island: the bin of each piece in its best chromosome."""
     rng = np.random.default_rng(seed)
     s = np.asarray(sizes, np.int64)
-    sizes, least = s.tolist(), -(-int(s.sum()) // room)
+    sizes = s.tolist()
     pool = [_from_groups(e, sizes, room) for e in elites]
-    while len(pool) < population and not any(len(x.bins) <= least for x in pool):
+    while len(pool) < population:
         noise = 0 if not pool else 16 * len(pool)
         pool.append(_best_fit(np.argsort(-s + noise * rng.random(len(s)), kind="stable").tolist(), sizes, room))
     for _ in range(generations):
         pool.sort(key=_fitness)
-        if len(pool[0].bins) <= least or len(pool) < 2:
+        if len(pool) < 2:                                   # one parent alone has no partner
             break
         i, j = rng.choice(min(len(pool), population), 2, replace=False)
         pool = pool[:population - 1] + [_crossover(pool[min(i, j)], pool[max(i, j)], sizes, room, rng)]
