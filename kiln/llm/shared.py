@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kiln.session import checkpoint_dir, scratch_path
+from kiln.session import checkpoint_dir, drop_scratch, scratch_path
 
 ID_SLOTS = 1 << 20
 
@@ -79,8 +79,7 @@ class Scratch:
 
     def clear(self) -> None:
         for spark, path in self.paths:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            drop_scratch(spark, path)
         if self.paths:
             release(self.paths[0][0])
         self.paths = []

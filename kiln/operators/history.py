@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kiln.functions.columns import qcol
-from kiln.operators.models import TrainedModel, index_of, label_of
-from kiln.session import scratch_path
+from kiln.operators.models import TrainedModel, index_of, label_of, load_part
+from kiln.session import drop_scratch, scratch_path
 
 _SUMS = "split string, round int, error double, n long"
 
@@ -73,8 +73,10 @@ def _predicted(scores: list[np.ndarray], kind: str, rounds: int) -> np.ndarray:
     return np.hstack(scores).argmax(axis=1).astype(float)             # votes of one forest, or a margin a class
 
 
-def _staged(ensembles: list[list[Tree]], kind: str):
-    """Summed error (squared, or rows of the wrong class) and rows by split and round."""
+def _staged(ensembles: list[list[Tree]], kind: str, before: int = 0):
+    """Summed error (squared, or rows of the wrong class) and rows by split and round.
+
+    ``before`` trees have voted already: the rows' ``votes`` hold their sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = max(map(len, ensembles))
         error: dict[str, np.ndarray] = {}
@@ -85,22 +87,59 @@ def _staged(ensembles: list[list[Tree]], kind: str):
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             y, split = b.column("y").to_numpy(zero_copy_only=False), np.array(b.column("split").to_pylist(), dtype=object)
             names = sorted(set(split))
-            scores: list = [0.0] * len(ensembles)
+            scores: list = [_votes(b)] if before else [0.0] * len(ensembles)
             for r in range(rounds):
                 scores = [s + e[r].weight * e[r].leaves(x) if r < len(e) else s for s, e in zip(scores, ensembles)]
-                miss = _predicted(scores, kind, r + 1) - y
+                miss = _predicted(scores, kind, before + r + 1) - y
                 miss = miss * miss if kind in ("mean", "sum") else (miss != 0).astype(float)
                 for s in names:
                     error.setdefault(s, np.zeros(rounds))[r] += miss[split == s].sum()
             for s in names:
                 rows[s] = rows.get(s, 0) + int((split == s).sum())
-        out = [(s, r + 1, float(e), rows[s]) for s, each in error.items() for r, e in enumerate(each)]
+        out = [(s, before + r + 1, float(e), rows[s]) for s, each in error.items() for r, e in enumerate(each)]
         cols = list(zip(*out)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64(), pa.int64()))],
                                          names=["split", "round", "error", "n"])
     return run
 
 
+def _votes(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("votes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _voted(trees: list[Tree], first: bool):
+    """The rows with the votes of ``trees`` added to theirs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            votes = sum((t.weight * t.leaves(x) for t in trees), 0.0 if first else _votes(b))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), b.column("split"), pa.array(list(votes), pa.list_(pa.float64()))],
+                                             names=["x", "y", "split", "votes"])
+    return run
+
+
+def _history_of_parts(model: TrainedModel, rows: DataFrame, kind: str) -> DataFrame:
+    """Sums by split and round of a forest in parts, one part after the other over written rows."""
+    spark, shown, before = rows.sparkSession, [], 0
+    paths = [scratch_path(spark, "voted") for _ in range(len(model.parts) + 1)]
+    rows.withColumn("votes", F.lit(None).cast("array<double>")).write.parquet(paths[0])
+    for k, part in enumerate(model.parts):
+        now = spark.read.parquet(paths[k])
+        trees = trees_of(spark, load_part(part, model.problem), shares=model.problem != "regression")
+        for t in trees:
+            t.weight = 1.0
+        path = scratch_path(spark, "history")
+        now.mapInArrow(_staged([trees], kind, before), _SUMS).write.parquet(path)
+        shown.append(path)
+        now.mapInArrow(_voted(trees, before == 0), now.schema).write.parquet(paths[k + 1])
+        drop_scratch(spark, paths[k])
+        before += len(trees)
+    drop_scratch(spark, paths[-1])
+    return spark.read.parquet(*shown)
+
+
 def training_history(model: TrainedModel, df: DataFrame, split_col: str = "split") -> DataFrame:
     """(model, split, round, metric, value) after each tree of a fitted forest, boosting or tree; the last round is the model.
 
@@ -110,18 +149,19 @@ def training_history(model: TrainedModel, df: DataFrame, split_col: str = "split
         raise ValueError(f"{model.model_type} is not fitted by rounds")
     fitted = model.pipeline.stages[-1]
     boosted, cls = model.model_type == "gradient_boosting", model.problem != "regression"
-    parts = fitted.models if boosted and model.problem == "multiclass" else [fitted]
-    ensembles = [trees_of(df.sparkSession, m, shares=cls and not boosted) for m in parts]
+    whole = [] if model.parts else fitted.models if boosted and model.problem == "multiclass" else [fitted]
+    ensembles = [trees_of(df.sparkSession, m, shares=cls and not boosted) for m in whole]
     if boosted:
         kind = "sum" if not cls else "margin" if len(ensembles) == 1 else "classes"
     else:
         kind = "votes" if cls else "mean"
-        for t in ensembles[0]:
+        for t in ensembles[0] if ensembles else []:
             t.weight = 1.0                                # votes and means count every tree alike
     classes = model.params.get("_classes")
     y = label_of(df, model.target, model.problem) if classes is None else index_of(model.target, classes)
     rows = df.select(F.array(*[qcol(c).cast("double") for c in model.features]).alias("x"), y.alias("y"), qcol(split_col).cast("string").alias("split"))
-    loss = rows.mapInArrow(_staged(ensembles, kind), _SUMS).groupBy("split", "round").agg((F.sum("error") / F.sum("n")).alias("loss"))
+    sums = _history_of_parts(model, rows, kind) if model.parts else rows.mapInArrow(_staged(ensembles, kind), _SUMS)
+    loss = sums.groupBy("split", "round").agg((F.sum("error") / F.sum("n")).alias("loss"))
     metrics = [F.struct(F.lit("loss").alias("metric"), F.col("loss").alias("value"))]
     if cls:
         metrics.append(F.struct(F.lit("accuracy").alias("metric"), (1 - F.col("loss")).alias("value")))

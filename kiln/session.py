@@ -70,6 +70,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/kiln-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that a later one replaces."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     try:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -95,4 +101,4 @@ def run_concurrently(fn, items, max_workers: int = 4) -> list:
         return list(pool.map(run, items))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "default_parallelism", "run_concurrently"]
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "drop_scratch", "default_parallelism", "run_concurrently"]
